@@ -126,13 +126,13 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct values in ascending order."""
-    n = len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
+    v = values.copy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        v[a:b].sort()
     new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    return v[new], np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=n))]).astype(np.int64)
+    new[1:] = v[1:] != v[:-1]
+    new[first[:-1][np.diff(first) > 0]] = True
+    return v[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -36,7 +36,7 @@ def _partial(batches):
     yield _emit(np.packbits(bits, bitorder="little"))
 
 
-def _union(table: pa.Table) -> pa.Table:
+def _union(table):
     out = np.zeros(_PART // 8, np.uint8)
     for x in table.column("bits"):
         out |= np.frombuffer(x.as_py(), np.uint8)

@@ -15,7 +15,8 @@ until the target is reached (whole documents: off by less than one document).
 Defined cases: a null text has no words; a null source is a source of its own,
 last in order; documents without words are taken 0 times and have no position;
 repeated rows are mixed each by itself; an empty table gives an empty one.
-Extra columns are kept, names that clash with the added ones are replaced.
+The text is dropped, extra columns are kept, and names that clash with the added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.work import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 LEVEL = 256  # buckets of a level of the prefix sums
 
@@ -67,6 +70,7 @@ def plan(documents: DataFrame, weights=cyclic_weights, tilt: float = 0.5, cap: f
     """
     added = ["size", "source_size", "target", "copies", "taken", "positions"]
     docs = documents.drop(*added).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
+    docs = written(docs.drop("text"), "sizes")  # texts are read once
     h = F.xxhash64(F.col("doc_id"), F.lit(8))
     per = docs.groupBy("source").agg(F.sum("size").alias("words"), F.max("size").alias("largest")).collect()
     if len(per) > 100_000:
@@ -93,7 +97,7 @@ def plan(documents: DataFrame, weights=cyclic_weights, tilt: float = 0.5, cap: f
     fine = fine.join(coarse, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h1") == F.col("_c1")))
     fine = fine.select(F.col("source").alias("_fs"), F.col("_h1").alias("_f1"), F.col("_h2").alias("_f2"), (F.col("_b1") + F.col("_b2")).alias("_base"))
     inner = Window.partitionBy("source", "_h1", "_h2").orderBy("_h3", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.drop("text").withColumn("_in", zero(F.sum("size").over(inner)))
+    placed = keyed.withColumn("_in", zero(F.sum("size").over(inner)))
     placed = placed.join(fine, F.col("source").eqNullSafe(F.col("_fs")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))).withColumn("_before", F.col("_in") + F.col("_base"))
     placed = placed.withColumnRenamed("source", "_src").join(sources, F.col("_src").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("_src", "source")
 

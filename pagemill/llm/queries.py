@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import curriculum, pii, warc
+from pagemill.llm import curriculum, line_dedup, ngram_join, pii, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +19,21 @@ def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "added")).alias("spans"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return curriculum.in_order(docs).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_pii_boosting, op8_mixing_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_pii_boosting, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum)}
 
 ORACLES = {
     "op1_warc_chunks": """
