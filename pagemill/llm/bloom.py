@@ -70,3 +70,17 @@ class Test:
         bits = np.frombuffer(self.shared.value, np.uint8)
         a, b = _bits(keys)
         return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def parted(df: DataFrame, column: str, test: Test, null_key: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose long ``column`` surely isn't in the filter, and the others."""
+    schema, at = df.schema, df.columns.index(column)
+
+    def side(which: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(test(b.column(at).cast(pa.int64()).fill_null(null_key).to_numpy()) == which))
+
+        return df.mapInArrow(run, schema)
+
+    return side(False), side(True)

@@ -15,11 +15,10 @@ columns are kept; names that clash with the added ones are replaced.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bloom import Bloom
+from pagemill.llm.bloom import Bloom, parted
 from pagemill.llm.setjoin import NO_ID, Spec, links, scan
 from pagemill.llm.work import written
 
@@ -41,23 +40,12 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Da
     """``docs`` with the kept text, n_lines and n_removed (both long)."""
     gone, _ = removed_lines(docs, k, num, den)
     by_doc = written(gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("unit")).alias("gone")), "removed-lines")  # at most a document's lines
-    test = Bloom(by_doc.select("doc")).test()
     docs = docs.drop("n_lines", "n_removed")
-    fields = docs.schema
-
-    def touched(which: bool):
-        def run(batches):
-            at = fields.fieldNames().index("doc_id")
-            for b in batches:
-                hit = test(b.column(at).cast(pa.int64()).fill_null(NO_ID).to_numpy())
-                yield b.filter(pa.array(hit == which))
-
-        return run
-
+    rest, some = parted(docs, "doc_id", Bloom(by_doc.select("doc")).test(), NO_ID)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    rest = docs.mapInArrow(touched(False), fields).withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
-    some = docs.mapInArrow(touched(True), fields).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).join(by_doc, F.col("_doc") == F.col("doc"), "left")
+    rest = rest.withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
+    some = some.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).join(by_doc, F.col("_doc") == F.col("doc"), "left")
     keep = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
     some = some.withColumn("n_lines", n_lines).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(keep))
-    some = some.withColumn("n_removed", F.coalesce(F.array_size("gone"), F.lit(0)).cast("long")).select(*fields.fieldNames(), "n_lines", "n_removed")
+    some = some.withColumn("n_removed", F.coalesce(F.array_size("gone"), F.lit(0)).cast("long")).select(*docs.columns, "n_lines", "n_removed")
     return rest.unionByName(some)

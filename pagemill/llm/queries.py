@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import curriculum, line_dedup, ngram_join, pii, warc
+from pagemill.llm import curriculum, decontaminate, line_dedup, ngram_join, pii, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,12 @@ def op8_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.in_order(docs).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_pii_boosting, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "n_found", "n_item")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_pii_boosting, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
 
 ORACLES = {
     "op1_warc_chunks": """
@@ -44,4 +49,16 @@ ORACLES = {
                CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_page <> page_id THEN first_page END AS refers_to
         FROM d LEFT JOIN f ON d.digest = f.digest""",
+    "op10_decontamination": r"""
+        WITH t AS (
+            SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        w AS (
+            SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM t),
+        s AS (
+            SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+            FROM w WHERE len(w) > 0),
+        n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, CAST(count(*) AS INTEGER) AS n_found, CAST(any_value(n.n) AS INTEGER) AS n_item
+        FROM s d JOIN s i ON d.shingle = i.shingle AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
+        GROUP BY d.id, i.id HAVING 10 * count(*) >= 8 * any_value(n.n)""",
 }
