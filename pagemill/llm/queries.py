@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import curriculum, decontaminate, line_dedup, ngram_join, pii, warc
+from pagemill.llm import ball_tree, curriculum, decontaminate, line_dedup, ngram_join, pii, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "added")).alias("spans"))
 
 
+def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10)
 
@@ -38,7 +42,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_found", "n_item")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_pii_boosting, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_pii_boosting, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
 
 ORACLES = {
     "op1_warc_chunks": """
@@ -49,6 +53,15 @@ ORACLES = {
                CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_page <> page_id THEN first_page END AS refers_to
         FROM d LEFT JOIN f ON d.digest = f.digest""",
+    "op6_ball_tree_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_decontamination": r"""
         WITH t AS (
             SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
