@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ball_tree, curriculum, decontaminate, line_dedup, ngram_join, pii, warc
+from pagemill.llm import ball_tree, curriculum, decontaminate, language, line_dedup, ngram_join, pii, quality_mil, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,12 +13,29 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_chunks(warc.write_archives(pages), data=False)).drop("verified")
 
 
+def _fold(modulus: int, held: int):
+    """Whether a row is held out by crc32 of its doc_id as text; never for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(False))
+
+
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality_mil.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_fold(3, 1))
+    return quality_mil.scored(docs, model).select("doc_id", _fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "added")).alias("spans"))
 
 
+def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.learned(docs.select("doc_id", "text", "lang"), ~_fold(4, 2))
+    return language.identified(docs.select("doc_id", "text"), model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -42,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_found", "n_item")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op3_pii_boosting, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
 
 ORACLES = {
     "op1_warc_chunks": """
