@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ball_tree, curriculum, decontaminate, language, line_dedup, ngram_join, pii, quality_mil, warc
+from pagemill.llm import ball_tree, curriculum, decontaminate, language, line_dedup, ngram_join, pii, quality_mil, repeats, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "added")).alias("spans"))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.learned(docs.select("doc_id", "text", "lang"), ~_fold(4, 2))
@@ -59,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_found", "n_item")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op4_repeated_bytes, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
 
 ORACLES = {
     "op1_warc_chunks": """
