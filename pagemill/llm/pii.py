@@ -23,6 +23,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.work import written
+
 KINDS = ["email", "ip", "card", "phone"]
 
 # Possessive forms of the base patterns: they match the same spans, without a
@@ -224,7 +226,7 @@ def select(found: DataFrame, model: Model) -> DataFrame:
 
 def find(documents: DataFrame) -> DataFrame:
     """doc_id, base and added spans of every document."""
-    found = candidates(documents)
+    found = written(candidates(documents), "candidates")  # texts are read once
     return select(found, fit(found))
 
 
