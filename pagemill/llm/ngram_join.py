@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.bloom import Bloom, parted
 from pagemill.llm.components import components
 from pagemill.llm.setjoin import NO_ID, Spec, links, scan
 from pagemill.llm.work import written
@@ -36,12 +37,14 @@ def groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, orders: int
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id; all columns are kept.
+    """``docs`` with one document of each component, that with the smallest doc_id; all columns are kept.
 
     Of repeated rows with that id and equal texts one stays; rows with a null doc_id stay.
     """
-    found = groups(docs, **how)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = groups(docs, **how).filter("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") < F.col("doc_id")).alias("gone"), F.count("*").alias("rows")).filter("gone or rows > 1")
+    gone = written(gone.select(F.col("doc_id").alias("_id"), "gone"), "near-copies")
+    rest, some = parted(docs, "doc_id", Bloom(gone.select("_id")).test(), NO_ID)
+    some = some.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id").filter("gone is null or not gone")
+    once = some.filter("gone is not null").drop("gone").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(some.filter("gone is null").drop("gone")).unionByName(once)
