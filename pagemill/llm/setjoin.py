@@ -33,11 +33,12 @@ from pagemill.llm.work import removed, written
 
 SMALL_GROUP = 16
 BLOCK_NODES = 256
-COMMON_TOKENS = 1 << 17  # entries of the table that ranks common tokens; it only affects cost
-HOT = 100_000
+GROUP_NODES = 1024
+LEVELS = 1 << 23  # bytes of the table of token counts, whose size doesn't grow; it only affects cost
+_PART = 1 << 16
+HOT = 17  # as a power of two: tokens counted more often are dealt out by node
 FLUSH = 1 << 19  # records held before they are passed on
 NO_ID = -(1 << 63)
-_TOP = np.uint64(1 << 63)
 RECORD = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
 
@@ -55,6 +56,7 @@ class Units(NamedTuple):
     values: np.ndarray  # distinct tokens of unit i are values[first[i]:first[i + 1]], ascending
     first: np.ndarray
     node: np.ndarray
+    start: np.ndarray  # unit i is data[start[i]:start[i + 1]] of the block, with the line's end
 
 
 def units(block: Block, spec: Spec) -> Units:
@@ -67,7 +69,7 @@ def units(block: Block, spec: Spec) -> Units:
         no = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         bounds = np.append(np.sort(np.concatenate([bounds[:-1], breaks + 1])), bounds[-1])
     values, first = distinct(*shingles(words(block.data, bounds), spec.k))
-    return Units(doc + block.first, no, values, first, set_hash(values, first))
+    return Units(doc + block.first, no, values, first, set_hash(values, first), bounds)
 
 
 def set_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -108,38 +110,38 @@ def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     return rows.filter("token is null").drop("token", "seen"), rows.filter("token is not null").select("token", "seen")
 
 
-def common_tokens(counts: DataFrame):
-    """A broadcast table of the COMMON_TOKENS most counted tokens: ascending tokens, their ranks (most common last), and which are hot."""
-    top = counts.groupBy("token").agg(F.sum("seen").alias("seen")).filter("seen > 2").orderBy(F.desc("seen"), "token").limit(COMMON_TOKENS).collect()
-    token = np.array([r["token"] for r in top], np.int64).view(np.uint64)
-    seen = np.array([r["seen"] for r in top], np.int64)
-    rank = np.arange(len(top))[::-1].astype(np.uint64)
-    by = np.argsort(token)
-    return counts.sparkSession.sparkContext.broadcast((token[by], rank[by], (seen > HOT)[by]))
+def _levels(key, table):
+    out = np.zeros(_PART, np.uint8)
+    at = (table.column("token").to_numpy().view(np.uint64) & np.uint64(_PART - 1)).astype(np.int64)
+    np.maximum.at(out, at, np.log2(table.column("seen").to_numpy()).astype(np.uint8))
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([out.tobytes()], pa.binary())})
 
 
-def ordered(values: np.ndarray, first: np.ndarray, common, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit's tokens as keys of the order, ascending; which keys are of hot tokens' table entries is told by hot_key."""
-    token, rank, _ = common
+def token_levels(counts: DataFrame):
+    """A broadcast table: for the low bits of a token, the power of two of how often it was counted; 0 for others."""
+    part = F.shiftright("token", 16).bitwiseAND(LEVELS // _PART - 1).cast("int").alias("part")
+    rows = counts.groupBy("token").agg(F.sum("seen").alias("seen")).select("token", "seen", part).groupBy("part").applyInArrow(_levels, "part int, levels binary").collect()
+    out = np.zeros(LEVELS, np.uint8)
+    for r in rows:  # at most LEVELS / _PART rows
+        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["levels"], np.uint8)
+    return counts.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def ordered(values: np.ndarray, first: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """Each unit's tokens as keys of the order, ascending: by count level (the top 6 bits), then by hash."""
     with np.errstate(over="ignore"):
-        key = mix(values + np.uint64((order + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) >> np.uint64(1)
-    if len(token):
-        at = np.minimum(np.searchsorted(token, values), len(token) - 1)
-        known = token[at] == values
-        key[known] = _TOP | rank[at[known]]
-    for a, b in zip(first[:-1], first[1:]):
+        key = mix(values + np.uint64((order + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) >> np.uint64(6)
+    key |= levels[(values & np.uint64(LEVELS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         key[a:b].sort()
     return key
 
 
-def packed(docs: DataFrame, spec: Spec, common, buckets: int) -> DataFrame:
+def packed(docs: DataFrame, spec: Spec, levels, buckets: int) -> DataFrame:
     """Prefix records by order and bucket. Hot tokens are dealt out by node, since their groups aren't looked at as a whole."""
 
     def run(batches):
-        hot = np.zeros(0, np.uint64)
-        token, rank, is_hot = common.value
-        if len(token):
-            hot = np.sort(_TOP | rank[is_hot])
+        table = np.frombuffer(levels.value, np.uint8)
         for b in batches:
             held = {o: [] for o in range(spec.orders)}
             size = 0
@@ -147,8 +149,8 @@ def packed(docs: DataFrame, spec: Spec, common, buckets: int) -> DataFrame:
             def flush():
                 for o, parts in held.items():
                     r = np.concatenate(parts)
-                    by = np.where(np.isin(r["token"], hot), buckets + r["node"] % np.uint64(buckets), r["token"] % np.uint64(buckets)).astype(np.int64)
-                    turn = np.argsort(by, kind="stable")
+                    by = np.where(r["token"] >> np.uint64(58) >= HOT, buckets + r["node"] % np.uint64(buckets), r["token"] % np.uint64(buckets)).astype(np.int64)
+                    turn = np.argsort(by.astype(np.uint16) if 2 * buckets < 1 << 16 else by, kind="stable")
                     r, by = r[turn], by[turn]
                     cut = np.flatnonzero(np.diff(by, prepend=-1))
                     ends = np.append(cut[1:], len(by))
@@ -168,7 +170,7 @@ def packed(docs: DataFrame, spec: Spec, common, buckets: int) -> DataFrame:
                 start = u.first[once]
                 within = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 for o in range(spec.orders):
-                    key = ordered(u.values, u.first, common.value, o)
+                    key = ordered(u.values, u.first, table, o)
                     r = np.empty(len(within), RECORD)
                     r["token"] = key[np.repeat(start, take) + within]
                     r["node"], r["n"], r["at"] = np.repeat(u.node[once], take), np.repeat(n[once], take), within
@@ -219,7 +221,7 @@ def _grouped(spec: Spec, buckets: int):
 def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> DataFrame:
     """Edges (a, b) whose connected clusters hold every pair of nodes that links."""
     buckets = 4 * max(8, docs.rdd.getNumPartitions())
-    found = packed(docs, spec, common_tokens(counts), buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
+    found = packed(docs, spec, token_levels(counts), buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
     found = written(found, "candidates")
     pairs = lambda o: found.filter((F.col("ord") == o) & ~F.col("large")).select("a", "b").distinct()
     kept = pairs(0)
@@ -233,19 +235,19 @@ def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> DataFrame:
     return kept.union(star).distinct()
 
 
-def _sets(spec: Spec, in_doc, in_node):
+def _texts(spec: Spec, in_doc, in_node):
+    """(node, doc, unit, text) of the units that pass; text is shipped since it packs better than its set."""
+
     def run(batches):
         for b in batches:
-            ids = b.column(0).fill_null(NO_ID)
-            b = b.filter(pa.array(in_doc(ids.to_numpy())))
+            b = b.filter(pa.array(in_doc(b.column(0).fill_null(NO_ID).to_numpy())))
             ids = b.column(0).fill_null(NO_ID)
             for block in text_blocks(b.column(1)):
                 u = units(block, spec)
-                n = np.diff(u.first)
-                hit = np.flatnonzero(in_node(u.node.view(np.int64)) & (n > 0))
+                hit = np.flatnonzero(in_node(u.node.view(np.int64)) & (np.diff(u.first) > 0))
                 if len(hit):
-                    sets = pa.array([u.values[u.first[i] : u.first[i + 1]].tobytes() for i in hit], pa.binary())
-                    yield pa.RecordBatch.from_arrays([signed(u.node[hit]), ids.take(pa.array(u.doc[hit])), pa.array(u.no[hit], pa.int32()), sets], ["node", "doc", "unit", "tokens"])
+                    text = pa.array([block.data[u.start[i] : u.start[i + 1]].tobytes() for i in hit], pa.binary())
+                    yield pa.RecordBatch.from_arrays([signed(u.node[hit]), ids.take(pa.array(u.doc[hit])), pa.array(u.no[hit], pa.int32()), text], ["node", "doc", "unit", "text"])
 
     return run
 
@@ -265,16 +267,12 @@ def overlaps(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray):
 
 
 def _verify(spec: Spec, later: bool):
-    def run(key, table):
-        _, p, q = (x.as_py() for x in key)
-        block = table.column("block").to_numpy()
-        node = table.column("node").to_numpy()
-        tokens = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
-        n = np.array([len(t) for t in tokens])
-        place = np.argsort(np.lexsort((node, table.column("unit").to_numpy(), table.column("doc").to_numpy())))
+    """Of a table of cluster blocks that meet (root, p, q), the links, or the nodes that link to an earlier one."""
+
+    def meet(block, p, q, tokens, n, place, node):
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         up = list(range(len(node)))
-        out_a, out_b = [], []
+        gone = np.zeros(len(node), bool)
 
         def top(x):
             while up[x] != x:
@@ -282,22 +280,37 @@ def _verify(spec: Spec, later: bool):
                 x = up[x]
             return x
 
-        gone = np.zeros(len(node), bool)
-        if len(left) and len(right):
-            for i, common in overlaps(tokens, left, right):
-                hits = right[(common * (spec.den + spec.num) >= spec.num * (n[i] + n[right])) & (right != i)]
-                if later:
-                    gone[hits[place[hits] > place[i]]] = True
-                    gone[i] |= bool((place[hits] < place[i]).any())
-                else:
-                    for j in hits:
-                        if top(i) != top(j):
-                            up[top(i)] = top(j)
-                            out_a.append(node[i])
-                            out_b.append(node[j])
+        for i, common in overlaps(tokens, left, right) if len(left) and len(right) else ():
+            hits = right[(common * (spec.den + spec.num) >= spec.num * (n[i] + n[right])) & (right != i)]
+            if later:
+                gone[hits[place[hits] > place[i]]] = True
+                gone[i] |= bool((place[hits] < place[i]).any())
+            else:
+                for j in hits:
+                    if top(i) != top(j):
+                        up[top(i)] = top(j)
+                        yield node[i], node[j]
         if later:
-            out_a = out_b = node[gone]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            yield from ((x, x) for x in node[gone])
+
+    def run(key, table):
+        names = ["root", "p", "q", "block", "node", "unit", "doc"]
+        cols = {n: table.column(n).to_numpy() for n in names}
+        order = np.lexsort((cols["unit"], cols["doc"], cols["node"], cols["q"], cols["p"], cols["root"]))
+        cols = {n: c[order] for n, c in cols.items()}
+        same = lambda *of: np.concatenate([[False], np.all([cols[n][1:] == cols[n][:-1] for n in of], axis=0)])
+        once = np.flatnonzero(~same("root", "p", "q", "node"))  # repeated rows give a text twice
+        cols = {n: c[once] for n, c in cols.items()}
+        texts = [table.column("text")[int(i)].as_py() for i in order[once]]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        values, first = distinct(*shingles(words(np.frombuffer(b"".join(texts), np.uint8), bounds), spec.k))
+        place = np.argsort(np.lexsort((cols["node"], cols["unit"], cols["doc"])))
+        starts = np.append(np.flatnonzero(~same("root", "p", "q")), len(once))
+        out = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            tokens = [values[first[i] : first[i + 1]] for i in range(a, b)]
+            out += meet(cols["block"][a:b], cols["p"][a], cols["q"][a], tokens, np.diff(first[a : b + 1]), place[a:b], cols["node"][a:b])
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -312,9 +325,13 @@ def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, la
     blocks = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
     home = written(classes.join(cluster, "node").join(blocks, "root").select("node", "doc", "unit", "root", "blocks"), "homes")
     removed(cluster)
-    sets = docs.mapInArrow(_sets(spec, Bloom(home.select("doc")).test(), Bloom(home.select("node")).test()), "node long, doc long, unit int, tokens binary")
-    one = sets.join(home, ["node", "doc", "unit"]).dropDuplicates(["node"])  # repeated rows give a set twice
+    texts = docs.mapInArrow(_texts(spec, Bloom(home.select("doc")).test(), Bloom(home.select("node")).test()), "node long, doc long, unit int, text binary")
+    one = texts.join(home, ["node", "doc", "unit"])
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = one.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "doc", "unit", "tokens")
-    return written(met.groupBy("root", "p", "q").applyInArrow(_verify(spec, later), "a long, b long").distinct(), "links")
+    # Small clusters go together to groups of some GROUP_NODES nodes; what two large blocks hold is a group of its own.
+    share = max(1, home.count() // GROUP_NODES)
+    pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
+    met = met.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(share))).otherwise(pair))
+    met = met.select("part", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "doc", "unit", "text")
+    return written(met.groupBy("part").applyInArrow(_verify(spec, later), "a long, b long").distinct(), "links")
