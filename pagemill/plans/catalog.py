@@ -1,12 +1,27 @@
-"""The queries of the library and the DuckDB SQL that gives the same rows."""
+"""The queries of the library, each on the driver's tables, and the DuckDB SQL that gives the same rows.
+
+Tables stand for the document model: documents are tasks with lines, conversations
+are documents whose turns are pages, lineitem holds cells (an order is a table, a
+line number a row), orders are tasks, customers batches, events page events.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES = {}
-ORACLES = {}
+from pagemill.functions import geometry as G
+from pagemill.functions import html as H
+from pagemill.functions import normalize as N
+from pagemill.functions import text as X
+from pagemill.operators import exports, layout, pages, queue, ruby, tables
+from pagemill.schema import ExportOptions
+from pagemill.sources import payloads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
@@ -25,11 +40,690 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as blocks of one-page tasks, at invented places."""
+    docs = _table(spark, sf_dir, "documents")
+    lines = docs.select(F.col("doc_id").alias("task_id"), F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
+    width = F.least(F.length("text"), F.lit(60)) * 10.0
+    return lines.select("task_id", F.lit(0).alias("page_index"), "ord", "text", F.array(F.lit(20.0), F.col("ord") * 26.0, 20.0 + width, F.col("ord") * 26.0 + 20.0).alias("box"), F.lit("horizontal").alias("direction"), F.lit(20.0).alias("font_size"))
+
+
+_LINES = r"""
+    l0 AS (SELECT doc_id AS task_id, text AS whole, string_split(text, chr(10)) AS parts FROM documents),
+    lines AS (SELECT task_id, unnest(range(len(parts))) AS ord, unnest(parts) AS text FROM l0)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").cast("int").alias("page_index"), "role", "text")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a table an order: flag and quantity of each line; of repeated line numbers all rows, by part."""
+    items = _table(spark, sf_dir, "lineitem")
+    row = F.struct(F.lit(0).alias("column"), F.col("l_returnflag").alias("text")), F.struct(F.lit(1).alias("column"), F.col("l_quantity").cast("int").cast("string").alias("text"))
+    flat = items.select(F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") - 1).alias("row"), "l_partkey", F.explode(F.array(*row)).alias("c"))
+    return flat.select("task_id", F.lit(0).alias("page_index"), F.lit(0).alias("table_index"), F.col("l_partkey").cast("int").alias("row_ord"), F.col("c.column").alias("cell_ord"), "row", "c.column", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), "c.text")
+
+
+# --- pages ---
+
+
 @query("""
-    SELECT conv_id, string_agg(text, e'\\n\\n' ORDER BY turn) AS text, count(*) AS pages
+    SELECT conv_id AS task_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS text, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars
     FROM conversations GROUP BY conv_id""")
-def doc_text_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "conversations")
-    return pages.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"]), "\n\n").alias("text"), F.count("*").alias("pages")
-    )
+def doc_text_concat(spark, sf_dir):
+    return pages.document_text(_turns(spark, sf_dir))
+
+
+@query(f"WITH {_LINES} SELECT task_id, CAST(ord AS INTEGER) AS ord, trim(text) AS text FROM lines WHERE trim(text) <> ''")
+def doc_line_blocks(spark, sf_dir):
+    return _lines(spark, sf_dir).select("task_id", "ord", F.trim("text").alias("text")).filter("text <> ''")
+
+
+_RANGES = [("1，3-5, 8", 10), ("", 3), ("2-2", 2), ("1-3,2,9-9", 9), ("0", 4), ("4-2", 9), ("5", 4), ("1,,2", 5), ("a", 5), ("1-", 5), ("1,2", 0)]
+
+
+@query("""
+    WITH r(value, total, tokens) AS (VALUES ('1，3-5, 8', 10, [[1, 1], [3, 5], [8, 8]]), ('', 3, [[1, 3]]), ('2-2', 2, [[2, 2]]), ('1-3,2,9-9', 9, [[1, 3], [2, 2], [9, 9]])),
+    e AS (SELECT DISTINCT value, total, unnest(list_transform(range(t[1], t[2] + 1), lambda x: x - 1)) AS page FROM (SELECT value, total, unnest(tokens) AS t FROM r))
+    SELECT value, total, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS selected FROM e GROUP BY value, total""")
+def page_range_select(spark, sf_dir):
+    r = spark.createDataFrame(_RANGES, "value string, total int")
+    return r.withColumn("selected", X.page_range(F.col("value"), F.col("total"))).filter("selected is not null").withColumn("selected", F.array_join(F.transform("selected", lambda p: p.cast("string")), ","))
+
+
+@query("""
+    SELECT conv_id AS task_id, CAST(turn AS INTEGER) AS page_index FROM conversations c
+    WHERE turn >= 1 + conv_id % 3 GROUP BY 1, 2""")
+def resume_pending_pages(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    whole = turns.groupBy("task_id").agg(F.array_sort(F.collect_set("page_index")).alias("selected"))
+    done = turns.filter(F.col("page_index") < 1 + F.col("task_id") % 3)
+    return pages.pending(whole, done)
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem)
+    SELECT l_orderkey AS task_id, l_linenumber AS page_index, l_partkey, l_suppkey FROM r WHERE n = 1""")
+def page_dedupe_last(spark, sf_dir):
+    return _dedupe(spark, sf_dir, pages.latest)
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)
+    SELECT l_orderkey AS task_id, l_linenumber AS page_index, l_partkey, l_suppkey FROM r WHERE n = 1""")
+def page_dedupe_first(spark, sf_dir):
+    return _dedupe(spark, sf_dir, pages.earliest)
+
+
+def _dedupe(spark, sf_dir, pick):
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("page_index"), "l_partkey", "l_suppkey", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice").alias("arrival"))
+    return pick(items, "arrival").select("task_id", "page_index", "l_partkey", "l_suppkey")
+
+
+@query("""
+    SELECT o_orderkey AS task_id, o_orderkey % 7 > 0 AND o_orderkey % 7 < 5 AND o_orderstatus = 'O' AND o_custkey % 4 <> 0 AS resumable FROM orders""")
+def resume_eligibility(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    common = [F.lit("text").alias("result_type"), F.lit(0.5).alias("threshold"), F.lit("").alias("page_range"), F.lit(0).alias("rotation"), F.lit("auto").alias("pdf_source"), F.lit(False).alias("ruby_enabled"), F.lit(7).alias("source_mtime_ns")]
+    size = F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")).alias("source_size")
+    stored = o.select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderkey") % 7).alias("page_count"), F.lit(5).alias("selected_count"), F.lit(9).alias("total_count"), F.when(F.col("o_orderstatus") == "O", "fast").otherwise("accurate").alias("profile"), size, *common)
+    asked = o.select(F.col("o_orderkey").alias("task_id"), F.lit("fast").alias("profile"), size, *common)
+    return stored.alias("r").join(asked.alias("o"), "task_id").select("task_id", pages.can_resume().alias("resumable"))
+
+
+@query("""
+    SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality >= 0.5""")
+def score_filter_nullsafe(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return pages.above_threshold(docs, 0.5, "quality").fillna({"quality": -1})
+
+
+@query("""
+    WITH r AS (SELECT DISTINCT l_orderkey % 500 AS task_id, l_orderkey // 500 AS page_index FROM lineitem),
+    g AS (SELECT *, page_index - row_number() OVER (PARTITION BY task_id ORDER BY page_index) AS run FROM r)
+    SELECT task_id, CAST(min(page_index) AS BIGINT) AS first_page, CAST(max(page_index) AS BIGINT) AS last_page, count(*) AS pages FROM g GROUP BY task_id, run""")
+def continuity_islands(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("task_id"), F.floor(F.col("l_orderkey") / 500).alias("page_index"))
+    return pages.islands(items)
+
+
+@query("""
+    SELECT conv_id AS task_id, CAST(count(*) AS INTEGER) AS page_count, CAST(sum(len(string_split(text, chr(10)))) AS INTEGER) AS block_count,
+      greatest(CAST(count(*) AS INTEGER), 3) AS selected_count, 'text' AS result_type, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS INTEGER) AS chars
+    FROM conversations GROUP BY conv_id""")
+def result_finalize(spark, sf_dir):
+    turns = _turns(spark, sf_dir).withColumns({"n_blocks": F.size(F.split("text", "\n", -1)), "n_tables": F.lit(0)})
+    none = {n: F.lit(None).cast(t) for n, t in (("profile", "string"), ("result_type", "string"), ("task_mode", "string"), ("text", "string"), ("edited_pages", "int"), ("total_count", "int"), ("rotation", "int"), ("elapsed_ms", "int"))}
+    heads = turns.select("task_id").distinct().withColumns({**none, "text_edited": F.lit(False), "selected_count": F.lit(3)})
+    return pages.finalized(heads, turns).select("task_id", "page_count", "block_count", "selected_count", "result_type", F.length("text").alias("chars"))
+
+
+@query("""
+    SELECT conv_id AS task_id, 'edited' || coalesce(chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE place > 1), '') AS text
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) GROUP BY conv_id""")
+def edited_prefix(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    return pages.edited_prefix(turns, turns.select("task_id").distinct().withColumns({"text": F.lit("edited"), "edited_pages": F.lit(1)}))
+
+
+@query("""
+    SELECT o_orderkey AS task_id, (CAST(o_custkey % 4 AS INTEGER) * 90 + 270) % 360 AS rotation, CAST(round_even(o_orderkey % 7 / 8.0 * 100, 0) AS INTEGER) AS percent FROM orders""")
+def rotation_percent(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("task_id"), pages.rotated((F.col("o_custkey") % 4 * 90).cast("int"), -90).alias("rotation"), pages.percent_done(F.col("o_orderkey") % 7, F.lit(8)).alias("percent"))
+
+
+# --- layout ---
+
+_BOXED = r"""
+    placed AS (SELECT task_id, ord, text, 20.0 AS x0, ord * 26.0 AS y0, 20.0 + least(length(text), 60) * 10.0 AS x1, ord * 26.0 + 20.0 AS y1 FROM lines)"""
+_TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_MARGIN = rf"""
+    {_LINES}, {_BOXED},
+    marg AS (SELECT task_id // 5 AS task_id, task_id % 5 AS page_index, ord, CASE WHEN length(text) > 100 THEN '' WHEN y1 < 72.0 THEN
+      CASE WHEN regexp_full_match({_TRIM}, '[\s0-9０-９ivxlcdmIVXLCDM—–\-·第页頁]+') THEN 'page-number' ELSE 'top:' || regexp_replace({_TRIM}, '[0-9０-９]+', '#', 'g') END
+      WHEN y0 > 728.0 THEN CASE WHEN regexp_full_match({_TRIM}, '[\s0-9０-９ivxlcdmIVXLCDM—–\-·第页頁]+') THEN 'page-number' ELSE 'bottom:' || regexp_replace({_TRIM}, '[0-9０-９]+', '#', 'g') END
+      ELSE '' END AS margin FROM placed),
+    np AS (SELECT task_id, count(DISTINCT page_index) AS pages FROM marg GROUP BY task_id),
+    freq AS (SELECT task_id, margin, count(DISTINCT page_index) AS n FROM marg WHERE margin <> '' GROUP BY task_id, margin),
+    keys AS (SELECT f.task_id, margin, n, pages FROM freq f JOIN np USING (task_id) WHERE margin = 'page-number' OR (pages >= 3 AND n >= greatest(3, ceil(pages * 0.6))))"""
+
+
+def _margins(spark, sf_dir):
+    lines = _lines(spark, sf_dir).withColumn("margin", X.margin_key(F.col("text"), F.col("box"), F.lit(800.0)))
+    return lines.select(F.floor(F.col("task_id") / 5).alias("task_id"), (F.col("task_id") % 5).alias("page_index"), "ord", "margin")
+
+
+@query(f"WITH {_MARGIN} SELECT CAST(task_id AS BIGINT) AS task_id, margin, n, pages FROM keys")
+def margin_frequency(spark, sf_dir):
+    return layout.header_keys(_margins(spark, sf_dir))
+
+
+@query(f"WITH {_MARGIN} SELECT CAST(m.task_id AS BIGINT) AS task_id, page_index, count(*) AS lines FROM marg m ANTI JOIN keys k ON m.task_id = k.task_id AND m.margin = k.margin GROUP BY ALL")
+def margin_removed(spark, sf_dir):
+    return layout.without_headers(_margins(spark, sf_dir)).groupBy("task_id", "page_index").agg(F.count("*").alias("lines"))
+
+
+@query(r"""
+    WITH w AS (SELECT doc_id AS task_id, lower(unnest(regexp_extract_all(text, '\b[A-Za-z]{4,}\b'))) AS word FROM documents)
+    SELECT task_id, count(DISTINCT word) AS words, CAST(sum(DISTINCT length(word)) AS BIGINT) AS sizes, min(word) AS first_word, max(word) AS last_word FROM w GROUP BY task_id""")
+def word_dictionary(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), F.explode(X.words_of(F.col("text"))).alias("word"))
+    return words.groupBy("task_id").agg(F.count("*").alias("words"), F.sum_distinct(F.length("word")).cast("long").alias("sizes"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
+@query(rf"""
+    WITH {_LINES},
+    cut AS (SELECT task_id, whole, ord, CASE WHEN ord % 2 = 0 THEN regexp_replace(text, '[^A-Za-z]+$', '') || '-' ELSE regexp_replace(text, '^[^a-z]+', '') END AS text FROM lines JOIN l0 USING (task_id)),
+    s AS (SELECT task_id, whole, ord, regexp_extract(lag(text) OVER (PARTITION BY task_id ORDER BY ord), '([A-Za-z]{{2,}})-$', 1) AS head, regexp_extract(text, '^([a-z]{{2,}})', 1) AS tail FROM cut)
+    SELECT task_id, CAST(ord AS INTEGER) AS ord, lower(head || tail) AS word FROM s
+    WHERE head <> '' AND tail <> '' AND list_contains(list_transform(regexp_extract_all(whole, '\b[A-Za-z]{{4,}}\b'), lambda x: lower(x)), lower(head || tail))""")
+def hyphen_rejoin(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    words = docs.select(F.col("doc_id").alias("task_id"), F.explode(X.words_of(F.col("text"))).alias("word"))
+    cut = F.when(F.col("ord") % 2 == 0, F.concat(F.regexp_replace("text", r"[^A-Za-z]+\z", ""), F.lit("-"))).otherwise(F.regexp_replace("text", "^[^a-z]+", ""))
+    return layout.hyphen_rejoins(_lines(spark, sf_dir).withColumn("text", cut), words).select("task_id", "ord", "word")
+
+
+@query(r"""
+    WITH g AS (SELECT l_orderkey AS task_id, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY l_orderkey)
+    SELECT task_id, q[len(q) // 2 + 1] AS size FROM g""")
+def body_size(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.collect_list("l_quantity").alias("q"))
+    return items.select("task_id", X.upper_median(F.col("q"), F.lit(20.0)).alias("size"))
+
+
+@query("""
+    WITH g AS (SELECT l_suppkey, median(l_quantity) AS middle, round(quantile_cont(l_quantity, 0.7), 6) AS upper FROM lineitem GROUP BY l_suppkey)
+    SELECT * FROM g""")
+def three_medians(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.median("l_quantity").alias("middle"), F.round(F.percentile("l_quantity", 0.7), 6).alias("upper"))
+
+
+@query(rf"""
+    WITH {_LINES}, {_BOXED},
+    m AS (SELECT task_id, list_sort(list(26.0))[1] AS step FROM placed GROUP BY task_id)
+    SELECT task_id, 0 AS page_index, 20.0 AS size, 26.0 AS step FROM m""")
+def body_metrics(spark, sf_dir):
+    return layout.metrics_by_page(_lines(spark, sf_dir))
+
+
+_OPENS = r"(regexp_matches(ltrim({b}), '^(?:[•●■◆・※]|[-*]\s|[0-9０-９]+(?:[.．](?:[^0-9０-９]|$)|[)）、])\s*|[（(][0-9]+[）)]|[一二三四五六七八九十]+[、．])') OR regexp_matches(ltrim({b}), '^[「『“]') OR regexp_matches(trim({b}), '(?i)^(?:第[一二三四五六七八九十百千〇零0-9]+[章节部篇]|Chapter\s+[0-9]+|序言$|目录$)') OR regexp_matches({b}, '^(?: {{2,}}|\t|　)'))"
+_ENDED = "regexp_matches(trim({a}), '[。！？.!?][」』”’\"'')）\\]]*$')"
+_SPACE = "CASE WHEN right({a}, 1) IN (' ', chr(9)) OR left({b}, 1) IN (' ', chr(9)) OR right({a}, 1) IN ('-', chr(173)) THEN '' ELSE ' ' END"
+_SEPARATOR = rf"""
+    CASE WHEN {_OPENS.format(b="b")} THEN 'paragraph'
+         WHEN greatest(x1 - x0, p1 - p0) < 240.0 THEN 'line'
+         WHEN {_ENDED.format(a="a")} AND p1 - p0 < (x1 - x0) * 0.78 THEN 'paragraph'
+         ELSE CASE WHEN {_SPACE.format(a="a", b="b")} = '' THEN 'none' ELSE 'space' END END"""
+_SEAMS = rf"""
+    {_LINES}, {_BOXED},
+    seams AS (SELECT task_id, ord, lag(text) OVER w AS a, text AS b, x0, x1, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1 FROM placed WHERE text <> '' WINDOW w AS (PARTITION BY task_id ORDER BY ord))"""
+
+
+def _seams(spark, sf_dir):
+    lines = _lines(spark, sf_dir).filter("text <> ''")
+    line = F.struct("text", "box", "direction", "font_size")
+    before = F.lag(line).over(Window.partitionBy("task_id", "page_index").orderBy("ord"))
+    pairs = lines.withColumn("a", before).filter("a is not null").withColumn("b", line)
+    # the metrics of these lines are those of body_metrics; blank lines leave gaps between the others
+    return pairs.withColumn("sep", layout.separator(F.col("a"), F.col("b"), F.lit(20.0), F.lit(26.0)))
+
+
+def _sep_name(c):
+    return F.when(c == "\n\n", "paragraph").when(c == "\n", "line").when(c == " ", "space").otherwise("none")
+
+
+@query(rf"""
+    WITH {_SEAMS}
+    SELECT task_id, CAST(ord AS INTEGER) AS ord, {_SEPARATOR} AS separator FROM seams WHERE a IS NOT NULL AND ord - 1 IN (SELECT ord FROM placed q WHERE q.task_id = seams.task_id AND q.text <> '')""")
+def line_separator_class(spark, sf_dir):
+    s = _seams(spark, sf_dir).filter(F.col("b.box")[1] - F.col("a.box")[1] == 26.0)
+    return s.select("task_id", "ord", _sep_name(F.col("sep")).alias("separator"))
+
+
+@query(rf"""
+    WITH p AS (SELECT conv_id AS task_id, turn, text AS b, lag(text) OVER w AS a, lag(turn) OVER w AS was FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT task_id, CAST(turn AS INTEGER) AS page_index, CASE WHEN turn <> was + 1 OR {_OPENS.format(b="b")} OR {_ENDED.format(a="a")} THEN 'paragraph' WHEN {_SPACE.format(a="a", b="b")} = '' THEN 'none' ELSE 'space' END AS separator
+    FROM p WHERE a IS NOT NULL""")
+def page_join_class(spark, sf_dir):
+    by = Window.partitionBy("task_id").orderBy("page_index")
+    p = _turns(spark, sf_dir).withColumns({"a": F.lag("text").over(by), "was": F.lag("page_index").over(by)}).filter("a is not null")
+    sep = F.when(F.col("page_index") != F.col("was") + 1, "\n\n").otherwise(layout.page_separator(F.col("a"), F.col("text")))
+    return p.select("task_id", "page_index", _sep_name(sep).alias("separator"))
+
+
+@query(rf"""
+    WITH {_LINES}
+    SELECT task_id, string_agg(text, ' ' ORDER BY ord) AS text FROM lines WHERE trim(text) <> '' GROUP BY task_id""")
+def paragraph_join_text(spark, sf_dir):
+    lines = _lines(spark, sf_dir).filter(F.trim("text") != "")
+    return pages.joined(lines, ["task_id"], "text", "ord", " ")
+
+
+@query("""
+    WITH b AS (SELECT l_suppkey AS task_id, l_linenumber AS block_ord, l_orderkey, l_partkey, l_quantity * 10 AS x0, l_quantity * 10 + 5 AS x1 FROM lineitem),
+    o AS (SELECT task_id, x0, x1, row_number() OVER (PARTITION BY task_id ORDER BY x0, l_orderkey, block_ord, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY task_id) AS n FROM b),
+    r AS (SELECT *, max(x1) OVER (PARTITION BY task_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o)
+    SELECT task_id, count(*) FILTER (WHERE i >= cut) AS right_column, count(*) AS blocks FROM (
+      SELECT *, min(CASE WHEN i >= 2 AND n - i >= 2 AND x0 - reach > 4.8 THEN i END) OVER (PARTITION BY task_id) AS cut FROM r) GROUP BY task_id""")
+def two_column_cut(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem")
+    x = F.col("l_quantity") * 10
+    blocks = items.select(F.col("l_suppkey").alias("task_id"), F.lit(0).alias("page_index"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("block_ord"), F.array(x, F.lit(0.0), x + 5, F.lit(1.0)).alias("box"), F.lit(2.4).alias("font_size"))
+    return layout.two_columns(blocks).groupBy("task_id").agg(F.count_if(F.col("column_id") == 1).alias("right_column"), F.count("*").alias("blocks"))
+
+
+@query()
+def project_text(spark, sf_dir):
+    """Whole projection of documents, lines as blocks, five documents to a task as its pages."""
+    lines = _lines(spark, sf_dir).withColumn("page_index", (F.col("task_id") % 5).cast("int")).withColumn("task_id", F.floor(F.col("task_id") / 5).cast("string"))
+    blocks = lines.select("task_id", "page_index", F.col("ord").alias("block_ord"), "text", "box", "direction", "font_size", F.lit("body").alias("role"))
+    page = blocks.groupBy("task_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "text"))), lambda b: b["text"]), "\n").alias("text"))
+    page = page.withColumns({"raw_text": F.col("text"), "schema_version": F.lit(1), "height": F.lit(800.0), "ruby_enabled": F.lit(False)})
+    heads = page.groupBy("task_id").agg(F.count("*").cast("int").alias("selected"))
+    return layout.project(heads, layout.nested_pages(page, blocks)).select("task_id", "text", "joined")
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z\n]+', ' ', 'g') AS text FROM documents),
+    t AS (SELECT doc_id, regexp_replace(regexp_replace(text, ' +', ' ', 'g'), ' (\n|$)', '\1', 'g') AS text FROM d)
+    SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10)), '\n\n\n+', chr(10) || chr(10), 'g') AS text FROM t""")
+def normalize_text(spark, sf_dir):
+    """Letters and line ends only, with a carriage return and empty lines put in: what passes 1, 5 and 9 do, SQL can say."""
+    plain = F.regexp_replace("text", r"[^A-Za-z\n]+", " ")
+    return _table(spark, sf_dir, "documents").select("doc_id", N.normalized(F.replace(plain, F.lit("\n"), F.lit("\r\n"))).alias("text"))
+
+
+# --- tables ---
+
+
+@query("""
+    SELECT l_orderkey AS task_id, CAST(max(l_linenumber) AS INTEGER) AS height, 2 AS width, CAST(min(l_linenumber) - 1 AS INTEGER) AS first_row, 2 * count(*) AS cells FROM lineitem GROUP BY l_orderkey""")
+def table_extents(spark, sf_dir):
+    return tables.extents(_cells(spark, sf_dir)).select("task_id", "height", "width", "first_row", "cells")
+
+
+@query("""
+    WITH c AS (SELECT l_orderkey AS task_id, l_linenumber - 1 AS r, arg_max(l_returnflag, l_partkey) AS f, arg_max(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), l_partkey) AS q
+               FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = count(DISTINCT l_partkey)) GROUP BY 1, 2),
+    h AS (SELECT task_id, max(r) AS last FROM c GROUP BY task_id),
+    g AS (SELECT task_id, unnest(range(last + 1)) AS r FROM h)
+    SELECT g.task_id, string_agg(coalesce(f || chr(9) || q, chr(9)), chr(10) ORDER BY g.r) AS tsv FROM g LEFT JOIN c ON g.task_id = c.task_id AND g.r = c.r GROUP BY g.task_id""")
+def table_tsv(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    clear = cells.groupBy("task_id", "row").agg(F.count("*").alias("n"), F.count_distinct("row_ord").alias("m")).filter("n = 2 * m").select("task_id", "row")
+    return tables.to_tsv(cells.join(clear, ["task_id", "row"])).select("task_id", "tsv")
+
+
+@query("""
+    WITH c AS (SELECT l_orderkey, l_partkey, l_linenumber, '<tr><td>' || l_returnflag || '</td><td>' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '</td></tr>' AS r FROM lineitem
+      WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey)))
+    SELECT l_orderkey AS task_id, '<table><tbody>' || string_agg(r, '' ORDER BY l_partkey) || '</tbody></table>' AS html FROM c GROUP BY l_orderkey""")
+def html_cell_render(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    clear = cells.groupBy("task_id").agg(F.count("*").alias("n"), F.count_distinct("row_ord").alias("m")).filter("n = 2 * m").select("task_id")
+    return tables.to_html(cells.join(clear, "task_id")).select("task_id", "html")
+
+
+_PAIR = "SELECT p_partkey AS pair, p_name AS t1, lag(p_name) OVER (ORDER BY p_partkey) AS t2 FROM part"
+
+
+@query(f"""
+    WITH p AS ({_PAIR}), k AS (SELECT pair, regexp_replace(lower(t1), '[^a-z0-9]+', '', 'g') AS a, regexp_replace(lower(t2), '[^a-z0-9]+', '', 'g') AS b FROM p WHERE t2 IS NOT NULL)
+    SELECT pair, round(CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 9) AS mean, CAST(CASE WHEN a = b OR 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.72 THEN 1 ELSE 0 END AS BIGINT) AS strong FROM k""")
+def header_similarity(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    nxt = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("before"))
+    both = p.join(nxt, "p_partkey")
+    cell = lambda c: both.select(F.col("p_partkey").alias("pair"), F.lit(0).alias("cell_ord"), F.lit(0).alias("column"), F.lit(1).alias("col_span"), F.col(c).alias("text"))
+    return tables.row_similarity(cell("p_name"), cell("before")).select("pair", F.round("mean", 9).alias("mean"), F.col("strong").cast("long").alias("strong"))
+
+
+def _page_tables(spark, sf_dir):
+    """A table on each turn's page: a header of two cells and the turn's role; every fifth conversation changes its header."""
+    t = _turns(spark, sf_dir).distinct()
+    head = F.array(F.lit("item"), F.when((F.col("task_id") % 5 == 0) & (F.col("page_index") % 2 == 0), "quantity").otherwise("value"))
+    rows = t.groupBy("task_id", "page_index").agg(F.min("role").alias("role")).withColumn("rows", F.array(head, F.array("role", F.col("page_index").cast("string"))))
+    flat = rows.select("task_id", "page_index", F.posexplode("rows").alias("row_ord", "r")).select("task_id", "page_index", "row_ord", F.posexplode("r").alias("cell_ord", "text"))
+    return flat.select(F.col("task_id").cast("string").alias("task_id"), "page_index", F.lit(0).alias("table_index"), "row_ord", "cell_ord", F.col("row_ord").alias("row"), F.col("cell_ord").alias("column"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), "text")
+
+
+_PAGES_OF = "SELECT DISTINCT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn % 2 = 0 THEN 'quantity' ELSE 'value' END AS head FROM conversations"
+_JOINS = f"""
+    p AS ({_PAGES_OF}), g AS (SELECT *, CASE WHEN turn = lag(turn) OVER w + 1 AND head = lag(head) OVER w THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM g)"""
+
+
+@query(f"""
+    WITH {_JOINS}
+    SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(min(turn) AS INTEGER) AS page_index, CAST(max(turn) AS INTEGER) AS end_page_index, CAST(count(*) AS INTEGER) AS sources, 1 + count(*) AS n_rows, CAST(count(*) AS INTEGER) AS last_row FROM s GROUP BY conv_id, run""")
+def table_merge(spark, sf_dir):
+    m = tables.merged(_page_tables(spark, sf_dir))
+    return m.groupBy("task_id", "page_index", "end_page_index", F.col("source_table_count").alias("sources")).agg(F.count_distinct("row_ord").alias("n_rows"), F.max("row").alias("last_row"))
+
+
+@query(f"WITH {_JOINS} SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(turn AS INTEGER) AS page_index, 'no-header' AS reason FROM s WHERE new = 1 AND run > 1")
+def merge_issues(spark, sf_dir):
+    return tables.issues(_page_tables(spark, sf_dir))
+
+
+@query("""
+    SELECT vec_id, round(list_min(list_filter(embedding, lambda x, i: i % 2 = 1)), 6) AS x0, round(list_min(list_filter(embedding, lambda x, i: i % 2 = 0)), 6) AS y0,
+      round(list_max(list_filter(embedding, lambda x, i: i % 2 = 1)), 6) AS x1, round(list_max(list_filter(embedding, lambda x, i: i % 2 = 0)), 6) AS y1
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)""")
+def box_union(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", G.box_union(F.col("embedding").cast("array<double>")).alias("b"))
+    return e.select("vec_id", *[F.round(F.col("b")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query("""
+    WITH b AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS ord, l_partkey % 97 * 10.0 AS x, l_quantity * 20.0 AS y, CASE WHEN l_linenumber % 2 = 0 THEN 9.0 ELSE 20.0 END AS f FROM lineitem),
+    d AS (SELECT page, ord, min(x) AS x, min(y) AS y, min(f) AS f FROM b GROUP BY page, ord),
+    p AS (SELECT s.page, s.ord AS small, t.ord AS body, greatest(0.0, t.y - (s.y + s.f)) AS gap FROM d s JOIN d t ON s.page = t.page AND s.ord <> t.ord
+      WHERE s.f / t.f BETWEEN 0.22 AND 0.7 AND least(s.x + 60, t.x + 60) - greatest(s.x, t.x) >= 60 * 0.45 AND t.y - (s.y + s.f) BETWEEN -0.15 * t.f AND 0.9 * t.f)
+    SELECT page, small, arg_min(body, (gap, body)) AS body, round(min(gap), 6) AS gap FROM p GROUP BY page, small""")
+def nearest_small_to_large(spark, sf_dir):
+    i = _table(spark, sf_dir, "lineitem")
+    b = i.select(F.col("l_suppkey").alias("task_id"), F.lit(0).alias("page_index"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("block_ord"), (F.col("l_partkey") % 97 * 10.0).alias("x"), (F.col("l_quantity") * 20.0).alias("y"), F.when(F.col("l_linenumber") % 2 == 0, 9.0).otherwise(20.0).alias("font_size"))
+    d = b.groupBy("task_id", "page_index", "block_ord").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("font_size").alias("font_size"))
+    d = d.select("task_id", "page_index", "block_ord", "font_size", F.array(F.col("x"), F.col("y"), F.col("x") + 60, F.col("y") + F.col("font_size")).alias("box"), F.lit("horizontal").alias("direction"))
+    return ruby.nearest_bodies(d).select(F.col("task_id").alias("page"), "small", "body", F.round("gap", 6).alias("gap"))
+
+
+@query("""
+    WITH g AS (SELECT doc_id AS line_id, unnest(range(least(length(text), 200))) AS ord, text FROM documents),
+    c AS (SELECT line_id, ord, substr(text, CAST(ord AS INTEGER) + 1, 1) AS ch, ord * 10 + (ord // 7) * 5 + (ord // 31) * 40 AS s FROM g),
+    l AS (SELECT *, s - lag(s + 9) OVER w AS gap, lag(ch) OVER w AS pc FROM c WINDOW w AS (PARTITION BY line_id ORDER BY ord)),
+    t AS (SELECT *, sum(CASE WHEN gap > 17 THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY ord) AS segment,
+          CASE WHEN gap > 2.2 AND gap <= 17 AND pc <> ' ' AND ch <> ' ' AND ascii(pc) < 128 AND ascii(ch) < 128 THEN ' ' ELSE '' END AS lead FROM l)
+    SELECT line_id, CAST(segment AS BIGINT) AS segment, string_agg(lead || ch, '' ORDER BY ord) AS text FROM t GROUP BY line_id, segment""")
+def glyph_segments(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.posexplode(F.split(F.substring("text", 1, 200), "")).alias("ord", "text"))
+    s = F.col("ord") * 10 + F.floor(F.col("ord") / 7) * 5 + F.floor(F.col("ord") / 31) * 40
+    glyphs = docs.withColumns({"start": s, "end": s + 9, "size": F.lit(10.0)})
+    return pages.joined(ruby.segments(glyphs).withColumn("text", F.concat("lead", "text")), ["line_id", "segment"], "text", "ord", "")
+
+
+@query()
+def glyph_lines(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("task_id"), F.lit(0).alias("page_index"), F.posexplode(F.split(F.substring("text", 1, 120), "")).alias("ord", "text"))
+    x, y = F.col("ord") % 40 * 10.0, F.floor(F.col("ord") / 40) * 24.0
+    return ruby.grouped_lines(docs.select("*", F.array(x, y, x + 9, y + 10).alias("box"), F.lit(10.0).alias("size"))).select("task_id", "block_ord", "text", "direction")
+
+
+@query()
+def ruby_binding(spark, sf_dir):
+    i = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 40).alias("k")).agg(F.min("l_quantity").alias("q"))
+    small = F.col("k") % 2 == 0
+    h = F.when(small, 9.0).otherwise(20.0)
+    x, y = (F.col("q") * 10).alias("x"), F.floor(F.col("k") / 2) * 40.0 + F.when(small, 0.0).otherwise(11.0)
+    b = i.select(F.col("l_suppkey").cast("string").alias("task_id"), F.lit(0).alias("page_index"), F.col("k").cast("int").alias("block_ord"), F.concat(F.lit("text"), "k").alias("text"), F.array(x, y, x + 80, y + h).alias("box"), F.lit("horizontal").alias("direction"), h.alias("font_size"), F.lit("body").alias("role"))
+    return ruby.bound(b).select("task_id", "block_ord", "role", "parent", F.size("ruby").alias("glosses"))
+
+
+# --- HTML and sources ---
+
+
+@query("""
+    SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+def html_escape(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", X.escape_html(F.col("html")).alias("escaped"))
+
+
+@query()
+def html_sanitize(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", H.sanitized(F.col("html")).alias("safe"))
+
+
+@query("""
+    SELECT l_orderkey AS task_id, CAST(l_linenumber - 1 AS INTEGER) AS "row", CAST(c AS INTEGER) AS "column", CASE c WHEN 0 THEN l_returnflag ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS text
+    FROM (SELECT *, unnest([0, 1]) AS c FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS l_linenumber, l_returnflag, l_quantity FROM lineitem
+      WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey))))""")
+def html_table_parse(spark, sf_dir):
+    made = html_cell_render(spark, sf_dir).withColumn("rows", H.table_rows(F.col("html")))
+    flat = payloads.cells(made.select("task_id", "rows"))
+    return flat.select("task_id", "row", "column", "text")
+
+
+@query("""
+    SELECT conv_id AS task_id, CAST(turn AS INTEGER) AS page_index, text, CAST(len(string_split(text, chr(10))) AS INTEGER) AS blocks, round(turn / 8.0, 6) AS first_score FROM (
+      SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM conversations WHERE trim(text) <> '')""")
+def payload_adapter(spark, sf_dir):
+    t = _turns(spark, sf_dir).filter(F.trim("text") != "")
+    texts = F.split("text", "\n", -1)
+    body = F.struct(F.col("page_index").alias("page_index"), texts.alias("rec_texts"), F.array(F.col("page_index") / 8.0).alias("rec_scores"))
+    json = F.to_json(F.struct(body.alias("res")))
+    p = payloads.pages(t.select("task_id", json.alias("payload")))
+    return p.select("task_id", "page_index", "text", F.size("blocks").alias("blocks"), F.round(F.get("blocks", F.lit(0))["score"], 6).alias("first_score"))
+
+
+@query("""
+    SELECT page_id, sha256(html) AS sha256 FROM pages""")
+def content_sha256(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("sha256"))
+
+
+@query("""
+    SELECT o_orderkey AS task_id, round(least(2.0, sqrt(24000000 / greatest(o_totalprice * 10.0, 1.0)), 8192 / greatest(o_totalprice, 10.0, 1.0)), 9) AS scale FROM orders""")
+def raster_scale(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.round(G.raster_scale(F.col("o_totalprice"), F.lit(10.0)), 9).alias("scale"))
+
+
+# --- names and exports ---
+
+_NATURAL = r"array_to_string(list_transform(regexp_extract_all(lower({c}), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(regexp_replace(p, '^0+([0-9])', '\1'), 20, '0') ELSE p END), '')"
+
+
+@query(f"""
+    WITH p AS (SELECT DISTINCT p_brand || ' ' || p_size AS path FROM part)
+    SELECT path, CAST(row_number() OVER (ORDER BY {_NATURAL.format(c="path")}, path) - 1 AS INTEGER) AS rank FROM p""")
+def natural_sort_rank(spark, sf_dir):
+    files = _table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(" "), "p_size").alias("path")).distinct().withColumn("ordinal", F.col("path"))
+    return queue.in_natural_order(files, "rank").select("path", "rank")
+
+
+@query(r"""
+    WITH n AS (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 160) AS name FROM pages)
+    SELECT page_id, CASE WHEN name = '' THEN '识别结果' WHEN regexp_matches(name, '(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\.|$)') THEN '_' || name ELSE name END AS name FROM n""")
+def safe_name(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", X.safe_name(F.col("url")).alias("name"))
+
+
+_ITEMS = """
+    SELECT o_orderkey AS id, 'scan/' || o_orderpriority || '.v' || o_custkey % 50 || '.pdf' AS file_name, CASE WHEN o_orderkey % 2 = 0 THEN 'fast' ELSE 'accurate' END AS profile,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'table' ELSE 'text' END AS mode, o_orderkey % 4 AS n_tables FROM orders"""
+_PLAN = f"""
+    items AS ({_ITEMS}),
+    kinds AS (SELECT *, unnest(CASE WHEN n_tables > 0 THEN ['text', 'tables'] ELSE ['text'] END) AS kind FROM items),
+    rows AS (SELECT *, unnest(['txt', 'xlsx', 'html']) AS format FROM kinds),
+    plan AS (SELECT id, format, kind, 'p-' || regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '\\.[^.]+$', '') || CASE profile WHEN 'fast' THEN '-轻量' ELSE '-高精度' END
+        || CASE WHEN format = 'html' THEN CASE mode WHEN 'text' THEN '.text.html' ELSE '.tables.html' END ELSE '.' || format END AS name FROM rows
+      WHERE (format = 'txt' AND kind = 'text') OR (format = 'xlsx' AND kind = 'tables') OR (format = 'html' AND (kind = 'tables' OR mode = 'text')))"""
+_OPTIONS = ExportOptions(prefix="p-", suffix="-{profile}", date="2024-01-01")
+
+
+def _items(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("scan/"), "o_orderpriority", F.lit(".v"), F.col("o_custkey") % 50, F.lit(".pdf")).alias("file_name"),
+        F.when(F.col("o_orderkey") % 2 == 0, "fast").otherwise("accurate").alias("profile"), F.when(F.col("o_orderkey") % 3 == 0, "table").otherwise("text").alias("mode"), F.lit(True).alias("has_text"), (F.col("o_orderkey") % 4).alias("n_tables"),
+    )
+
+
+@query(f"WITH {_PLAN} SELECT id, format, kind, name FROM plan")
+def export_plan(spark, sf_dir):
+    return exports.planned(_items(spark, sf_dir), ["txt", "xlsx", "html", "txt"], _OPTIONS).select(F.col("ids")[0].alias("id"), "format", "kind", "name")
+
+
+@query(f"WITH {_PLAN} SELECT name, count(*) AS files, min(id) AS first_id FROM plan GROUP BY name")
+def export_names(spark, sf_dir):
+    p = exports.planned(_items(spark, sf_dir), ["txt", "xlsx", "html"], _OPTIONS)
+    return p.groupBy("name").agg(F.count("*").alias("files"), F.min(F.col("ids")[0]).alias("first_id"))
+
+
+@query(f"""
+    WITH {_PLAN}, a AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'skip' WHEN id % 5 = 1 THEN 'overwrite' ELSE 'create' END AS action FROM plan)
+    SELECT count(*) FILTER (WHERE action <> 'skip') AS count, count(*) FILTER (WHERE action = 'skip') AS skipped, count(*) FILTER (WHERE action = 'overwrite') AS overwrites,
+      (SELECT count(*) FROM items WHERE n_tables = 0) AS no_tables FROM a""")
+def export_preview_counts(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return exports.preview(_actions(items), items)
+
+
+def _actions(items):
+    k = F.col("ids")[0] % 5
+    return exports.planned(items, ["txt", "xlsx", "html"], _OPTIONS).withColumn("action", F.when(k == 0, "skip").when(k == 1, "overwrite").otherwise("create"))
+
+
+@query("""
+    WITH i AS (SELECT o_orderkey AS id, unnest(['txt', 'html']) AS format FROM orders), a AS (SELECT id, CASE WHEN id % 5 = 0 OR (id % 7 = 0 AND format = 'html') THEN 'skip' ELSE 'create' END AS action FROM i)
+    SELECT DISTINCT id FROM a WHERE action <> 'skip' EXCEPT SELECT id FROM a WHERE action = 'skip'""")
+def fully_exported(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.array("o_orderkey").alias("ids"), F.explode(F.array(F.lit("txt"), F.lit("html"))).alias("format"))
+    skip = (F.col("ids")[0] % 5 == 0) | ((F.col("ids")[0] % 7 == 0) & (F.col("format") == "html"))
+    return exports.exported_ids(o.withColumn("action", F.when(skip, "skip").otherwise("create")))[1]
+
+
+@query("""
+    WITH n AS (SELECT o_orderkey AS ord, o_orderpriority || '.txt' AS name, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS n, o_custkey FROM orders)
+    SELECT ord, CASE WHEN n = 1 THEN o_custkey || name ELSE regexp_replace(o_custkey || name, '\\.txt$', '') || ' (' || n || ').txt' END AS final_name FROM n""")
+def collision_numbering(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.concat("o_custkey", "o_orderpriority", F.lit(".txt")).alias("name"))
+    return exports.numbered(o).select("ord", "final_name")
+
+
+@query("""
+    SELECT l_orderkey AS task_id, CAST(0 AS INTEGER) AS "column", max(least(greatest(length(l_shipdate || l_returnflag) + 2, 10), 40) / 2.0) AS width FROM lineitem GROUP BY l_orderkey""")
+def column_widths(spark, sf_dir):
+    i = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.lit(0).alias("page_index"), F.lit(0).alias("table_index"), F.lit(0).alias("column"), F.lit(2).alias("col_span"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), "l_returnflag").alias("text"))
+    return exports.column_widths(i).select("task_id", "column", "width")
+
+
+@query("""
+    SELECT o_orderkey AS task_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024.0 < 1024 THEN printf('%.1f KB', floor(n / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 104857.6 + 0.5) / 10) END AS size FROM (SELECT o_orderkey, o_custkey * o_custkey * 256 AS n FROM orders)""")
+def format_bytes(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), X.format_bytes(F.col("o_custkey") * F.col("o_custkey") * 256).alias("size"))
+
+
+# --- queue, history, store, diagnostics ---
+
+
+def _tasks(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("batch_index"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("file_name"), F.col("o_orderdate").alias("saved_at"), (F.col("o_orderkey") % 5).alias("revision"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 4).alias("exported_revision"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS tasks FROM orders GROUP BY o_orderstatus")
+def queue_status_counts(spark, sf_dir):
+    return queue.status_counts(_tasks(spark, sf_dir))
+
+
+@query("""
+    WITH t AS (SELECT o_custkey AS batch_id, o_orderkey % 7 AS pages, o_orderkey % 11 AS blocks, o_orderkey % 5 AS revision, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 END AS exported FROM orders)
+    SELECT batch_id, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(pages * 100) AS BIGINT) AS elapsed_ms, count(*) FILTER (WHERE revision <> coalesce(exported, -1)) AS unexported FROM t GROUP BY batch_id""")
+def export_estimate(spark, sf_dir):
+    k = F.col("task_id")
+    return queue.batch_totals(_tasks(spark, sf_dir).withColumns({"page_count": k % 7, "block_count": k % 11, "elapsed_ms": k % 7 * 100}))
+
+
+@query("""
+    SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 3 = 0 THEN 'never' WHEN o_orderkey % 4 = o_orderkey % 5 THEN 'current' ELSE 'outdated' END AS state FROM orders""")
+def export_states(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("task_id", queue.export_state(F.col("revision"), F.col("exported_revision")).alias("state"))
+
+
+@query("""
+    SELECT o_orderkey AS task_id, o_orderpriority AS file_name FROM orders WHERE contains(lower(o_orderpriority), 'urgent') ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20""")
+def history_page(spark, sf_dir):
+    return queue.history_page(_tasks(spark, sf_dir), 2, "URGENT").select("task_id", "file_name")
+
+
+@query("""
+    SELECT o_orderkey AS task_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS batch_index FROM orders""")
+def batch_index(spark, sf_dir):
+    return queue.renumbered(_tasks(spark, sf_dir)).select("task_id", "batch_index")
+
+
+@query(f"""
+    WITH f AS (SELECT DISTINCT p_brand || '.' || ['png', 'PDF', 'txt'][p_size % 3 + 1] AS path FROM part), n AS (SELECT path FROM f WHERE regexp_matches(lower(path), '\\.(png|pdf)$') AND path NOT IN (SELECT p_brand || '.PDF' FROM part WHERE p_partkey % 9 = 0))
+    SELECT path, CAST(row_number() OVER (ORDER BY {_NATURAL.format(c="path")}) - 1 AS INTEGER) AS batch_index FROM n""")
+def file_admission(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    ext = F.get(F.array(F.lit("png"), F.lit("PDF"), F.lit("txt")), F.col("p_size") % 3)
+    files = p.select(F.concat("p_brand", F.lit("."), ext).alias("path")).distinct().withColumn("ordinal", F.col("path"))
+    return queue.admit(files, p.filter("p_partkey % 9 = 0").select(F.concat("p_brand", F.lit(".PDF")).alias("path")), "b").select("path", "batch_index")
+
+
+@query("SELECT o_orderkey AS task_id FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey")
+def removed_tasks(spark, sf_dir):
+    return queue.removed_tasks(_tasks(spark, sf_dir), _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"))).select("task_id")
+
+
+@query("""
+    SELECT g.n AS step, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = g.n AND o_orderstatus = 'P') = 0 AS deletable FROM range(10) g(n)""")
+def delete_guard(spark, sf_dir):
+    t = _tasks(spark, sf_dir).withColumn("step", F.col("task_id") % 10)
+    active = t.filter("status = 'P'").select("step").distinct().withColumn("here", F.lit(True))
+    return spark.range(10).select(F.col("id").alias("step")).join(active, "step", "left").select("step", F.col("here").isNull().alias("deletable"))
+
+
+@query("SELECT o_orderkey AS task_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 = o_orderkey % 6")
+def exported_still(spark, sf_dir):
+    t = _tasks(spark, sf_dir)
+    return queue.exported_still(t.select("task_id", (F.col("task_id") % 6).alias("revision")), t).select("task_id", "status")
+
+
+_MESSAGE = "['', 'Connection lost', 'libfoo.so missing', 'no inference file', 'plain', '下载失败'][event_id % 6 + 1]"
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, ['FileNotFoundError', 'OSError', 'ValueError', 'ModelRequiredError', 'LocalModelsMissingError'][event_id % 5 + 1] AS kind, {_MESSAGE} AS m FROM events)
+    SELECT event_id, CASE WHEN kind = 'ModelRequiredError' THEN 'model_required' WHEN kind = 'LocalModelsMissingError' THEN 'model' WHEN m IN ('Connection lost', '下载失败') THEN 'download' WHEN m = 'libfoo.so missing' THEN 'runtime'
+      WHEN kind = 'FileNotFoundError' THEN 'file' WHEN kind = 'OSError' THEN 'storage' WHEN m = 'no inference file' THEN 'model' ELSE 'unknown' END AS category FROM e""")
+def error_category(spark, sf_dir):
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int"))
+    kind = pick(["FileNotFoundError", "OSError", "ValueError", "ModelRequiredError", "LocalModelsMissingError"], 5)
+    message = pick(["", "Connection lost", "libfoo.so missing", "no inference file", "plain", "下载失败"], 6)
+    return _table(spark, sf_dir, "events").select("event_id", queue.error_category(kind, message).alias("category"))
+
+
+@query("""
+    SELECT ts AS "time", CASE WHEN event_id % 3 = 0 THEN 'recognize' ELSE 'other' END AS method, CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'unknown' END AS category, count(*) AS n FROM events WHERE event_id % 7 > 0 GROUP BY ALL""")
+def safe_events(spark, sf_dir):
+    k = F.col("event_id")
+    e = _table(spark, sf_dir, "events").select(F.when(k % 7 > 0, F.col("ts").cast("string")).otherwise("no time").alias("time"), F.when(k % 3 == 0, "recognize").otherwise(F.col("event_type")).alias("method"), F.when(k % 2 == 0, "ok").otherwise("secret").alias("category"))
+    return queue.safe_events(e).withColumn("time", F.col("time").cast("timestamp_ntz")).groupBy("time", "method", "category").agg(F.count("*").alias("n"))
+
+
+_FILES = [("SLANet_plus", "inference.pdiparams", 5), ("SLANet_plus", "inference.json", 6), ("SLANet_plus", "inference.yml", 6), ("PP-OCRv5_mobile_rec", "inference.yml", 4)]
+
+
+@query("""
+    SELECT * FROM (VALUES ('PP-OCRv5_mobile_det', FALSE, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'missing'), ('PP-OCRv5_mobile_rec', FALSE, 4, 1, 'incomplete'),
+      ('PicoDet_layout_1x_table', FALSE, 0, 0, 'missing'), ('SLANet_plus', TRUE, 17, 3, 'ready')) AS m(name, installed, size_bytes, file_count, state)""")
+def model_cache_rollup(spark, sf_dir):
+    required = queue.required_models(spark.createDataFrame([("fast", "table")], "profile string, mode string"))
+    return queue.model_states(required, spark.createDataFrame(_FILES, "name string, file string, size long"))
+
+
+@query("""
+    SELECT * FROM (VALUES ('SLANet_plus/other.bin', 'illegal-path'), ('SLANet_plus/inference.json', 'bad-digest'), ('PicoDet_layout_1x_table/inference.yml', 'size-differs'),
+      ('PP-OCRv5_mobile_det', 'incomplete-model'), ('PP-OCRv5_mobile_rec', 'incomplete-model'), ('PicoDet_layout_1x_table', 'incomplete-model')) AS p(path, problem)""")
+def manifest_checks(spark, sf_dir):
+    d = "a" * 64
+    entries = [("SLANet_plus/inference.pdiparams", 5, d), ("SLANet_plus/inference.json", 6, "x"), ("SLANet_plus/inference.yml", 6, d), ("SLANet_plus/other.bin", 1, d), ("PicoDet_layout_1x_table/inference.yml", 3, d)]
+    disk = [(p, n + (p.startswith("Pico")), None) for p, n, _ in entries]
+    required = queue.required_models(spark.createDataFrame([("fast", "table")], "profile string, mode string"))
+    return queue.manifest_problems(spark.createDataFrame(entries, "path string, size long, sha256 string"), required, spark.createDataFrame(disk, "path string, length long, digest string"))
+
+
+@query("""
+    SELECT task_id, count(*) AS pages, CAST(sum(n_blocks) AS BIGINT) AS blocks FROM (
+      SELECT user_id AS task_id, event_id % 50 AS page_index, arg_min(event_id % 9, event_id) AS n_blocks FROM events GROUP BY 1, 2) GROUP BY task_id""")
+def stream_pages_first_wins(spark, sf_dir):
+    """The batch form of the incremental result: first copies, then counts of each task."""
+    k = F.col("event_id")
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), (k % 50).alias("page_index"), (k % 9).alias("n_blocks"), k.alias("arrival"))
+    return pages.earliest(e, "arrival").groupBy("task_id").agg(F.count("*").alias("pages"), F.sum("n_blocks").alias("blocks"))
