@@ -84,30 +84,30 @@ def plan(documents: DataFrame, weights=cyclic_weights, tilt: float = 0.5, cap: f
     for i, (r, w, t) in enumerate(zip(per, ws, targets)):
         lean = tilt if i % 2 else -tilt
         table.append((r["source"], r["words"], t, math.floor(t / r["words"] + 1e-12) if r["words"] else 0, (1 - lean), (1 + lean)))
-    sources = F.broadcast(spark.createDataFrame(table, "source string, source_size long, target double, whole long, begin double, end double"))
-    keyed = docs.withColumn("_h1", F.pmod(h, F.lit(LEVEL))).withColumn("_h2", F.pmod(F.shiftright(h, 8), F.lit(LEVEL))).withColumn("_h3", h)
+    sources = F.broadcast(spark.createDataFrame(table, "__name string, source_size long, target double, __whole long, __begin double, __end double"))
+    keyed = docs.withColumn("__h1", F.pmod(h, F.lit(LEVEL))).withColumn("__h2", F.pmod(F.shiftright(h, 8), F.lit(LEVEL))).withColumn("__h3", h)
 
     # Prefix sums of the words in hash order within each source, by two levels of buckets: no window holds a whole source.
-    fine = keyed.groupBy("source", "_h1", "_h2").agg(F.sum("size").alias("_w"))
-    coarse = fine.groupBy("source", "_h1").agg(F.sum("_w").alias("_w"))
+    fine = keyed.groupBy("source", "__h1", "__h2").agg(F.sum("size").alias("__w"))
+    coarse = fine.groupBy("source", "__h1").agg(F.sum("__w").alias("__w"))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    coarse = coarse.select(F.col("source").alias("_s"), F.col("_h1").alias("_c1"), zero(F.sum("_w").over(before("source", "_h1"))).alias("_b1"))
-    fine = fine.withColumn("_b2", zero(F.sum("_w").over(before("source", "_h1", "_h2"))))
-    fine = fine.join(coarse, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h1") == F.col("_c1")))
-    fine = fine.select(F.col("source").alias("_fs"), F.col("_h1").alias("_f1"), F.col("_h2").alias("_f2"), (F.col("_b1") + F.col("_b2")).alias("_base"))
-    inner = Window.partitionBy("source", "_h1", "_h2").orderBy("_h3", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_in", zero(F.sum("size").over(inner)))
-    placed = placed.join(fine, F.col("source").eqNullSafe(F.col("_fs")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))).withColumn("_before", F.col("_in") + F.col("_base"))
-    placed = placed.withColumnRenamed("source", "_src").join(sources, F.col("_src").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("_src", "source")
-
-    extra = F.col("target") - F.col("whole") * F.col("source_size")  # words of the last, partial round
-    more = (F.col("_before") + F.col("size") / 2 < extra) & (F.col("size") > 0)
-    placed = placed.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.when(more, 1).otherwise(0)).cast("int"))
+    coarse = coarse.select(F.col("source").alias("__s"), F.col("__h1").alias("__c1"), zero(F.sum("__w").over(before("source", "__h1"))).alias("__b1"))
+    fine = fine.withColumn("__b2", zero(F.sum("__w").over(before("source", "__h1", "__h2"))))
+    fine = fine.join(coarse, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__h1") == F.col("__c1")))
+    fine = fine.select(F.col("source").alias("__fs"), F.col("__h1").alias("__f1"), F.col("__h2").alias("__f2"), (F.col("__b1") + F.col("__b2")).alias("__base"))
+    inner = Window.partitionBy("source", "__h1", "__h2").orderBy("__h3", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("__in", zero(F.sum("size").over(inner)))
+    placed = placed.join(fine, F.col("source").eqNullSafe(F.col("__fs")) & (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2"))).withColumn("__before", F.col("__in") + F.col("__base"))
+    placed = placed.join(sources, F.col("source").eqNullSafe(F.col("__name")))
+
+    extra = F.col("target") - F.col("__whole") * F.col("source_size")  # words of the last, partial round
+    more = (F.col("__before") + F.col("size") / 2 < extra) & (F.col("size") > 0)
+    placed = placed.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("__whole") + F.when(more, 1).otherwise(0)).cast("int"))
     placed = placed.withColumn("taken", F.col("size") * F.col("copies"))
-    share = lambda k: F.least((k * F.col("source_size") + F.col("_before") + F.col("size") / 2) / F.col("target"), F.lit(1.0))
-    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: _when_at(share(k), F.col("begin"), F.col("end")))).otherwise(F.array().cast("array<double>"))
-    return placed.withColumn("positions", positions).drop("_h1", "_h2", "_h3", "_in", "_base", "_before", "_fs", "_f1", "_f2", "whole", "begin", "end")
+    share = lambda k: F.least((k * F.col("source_size") + F.col("__before") + F.col("size") / 2) / F.col("target"), F.lit(1.0))
+    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: _when_at(share(k), F.col("__begin"), F.col("__end")))).otherwise(F.array().cast("array<double>"))
+    return placed.withColumn("positions", positions).drop("__h1", "__h2", "__h3", "__in", "__base", "__before", "__fs", "__f1", "__f2", "__whole", "__begin", "__end", "__name")
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:

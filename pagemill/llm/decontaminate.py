@@ -159,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 8, den
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that match an item; rows that share a matching doc_id all go."""
-    hit = written(matches(docs, benchmark, **how).select("doc").distinct(), "contaminated")
+    hit = written(matches(docs, benchmark, **how).select(F.col("doc").alias("__doc")).distinct(), "contaminated")
     rest, some = parted(docs, "doc_id", Bloom(hit).test(), NO_ID)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    return rest.unionByName(some.withColumn("_doc", key).join(hit, F.col("_doc") == hit["doc"], "left_anti").drop("_doc"))
+    return rest.unionByName(some.withColumn("__key", key).join(hit, F.col("__key") == F.col("__doc"), "left_anti").drop("__key"))

@@ -39,13 +39,13 @@ def removed_lines(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> t
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with the kept text, n_lines and n_removed (both long)."""
     gone, _ = removed_lines(docs, k, num, den)
-    by_doc = written(gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("unit")).alias("gone")), "removed-lines")  # at most a document's lines
+    by_doc = written(gone.distinct().groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_list("unit")).alias("__gone")), "removed-lines")  # at most a document's lines
     docs = docs.drop("n_lines", "n_removed")
-    rest, some = parted(docs, "doc_id", Bloom(by_doc.select("doc")).test(), NO_ID)
+    rest, some = parted(docs, "doc_id", Bloom(by_doc.select("__doc")).test(), NO_ID)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
     rest = rest.withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
-    some = some.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).join(by_doc, F.col("_doc") == F.col("doc"), "left")
-    keep = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    some = some.withColumn("n_lines", n_lines).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(keep))
-    some = some.withColumn("n_removed", F.coalesce(F.array_size("gone"), F.lit(0)).cast("long")).select(*docs.columns, "n_lines", "n_removed")
+    some = some.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).join(by_doc, F.col("__key") == F.col("__doc"), "left")
+    keep = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    some = some.withColumn("n_lines", n_lines).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(keep))
+    some = some.withColumn("n_removed", F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long")).select(*docs.columns, "n_lines", "n_removed")
     return rest.unionByName(some)

@@ -42,9 +42,9 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     Of repeated rows with that id and equal texts one stays; rows with a null doc_id stay.
     """
     found = groups(docs, **how).filter("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") < F.col("doc_id")).alias("gone"), F.count("*").alias("rows")).filter("gone or rows > 1")
-    gone = written(gone.select(F.col("doc_id").alias("_id"), "gone"), "near-copies")
-    rest, some = parted(docs, "doc_id", Bloom(gone.select("_id")).test(), NO_ID)
-    some = some.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id").filter("gone is null or not gone")
-    once = some.filter("gone is not null").drop("gone").dropDuplicates(["doc_id", "text"])
-    return rest.unionByName(some.filter("gone is null").drop("gone")).unionByName(once)
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") < F.col("doc_id")).alias("__gone"), F.count("*").alias("__rows")).filter("__gone or __rows > 1")
+    gone = written(gone.select(F.col("doc_id").alias("__id"), "__gone"), "near-copies")
+    rest, some = parted(docs, "doc_id", Bloom(gone.select("__id")).test(), NO_ID)
+    some = some.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id").filter("__gone is null or not __gone")
+    once = some.filter("__gone is not null").drop("__gone").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(some.filter("__gone is null").drop("__gone")).unionByName(once)

@@ -145,8 +145,8 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column, max_documents: i
     """A model of labels.quality of the documents whose doc_id meets ``usable``, a condition on doc_id."""
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     pick = labels.filter(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(max_documents)
-    pick = F.broadcast(pick.withColumnRenamed("doc_id", "_doc"))  # max_documents rows
-    rows = docs.select("doc_id", "text").join(pick, F.col("doc_id") == F.col("_doc")).select(F.col("quality").cast("int").alias("quality"), "text", "doc_id")
+    pick = F.broadcast(pick.withColumnRenamed("doc_id", "__doc"))  # max_documents rows
+    rows = docs.select("doc_id", "text").join(pick, F.col("doc_id") == F.col("__doc")).select(F.col("quality").cast("int").alias("quality"), "text", "doc_id")
     taken = rows.select("quality", "text").mapInArrow(_bags, "quality int, bag binary").collect()
     taken = sorted((r["bag"], int(r["quality"] == 1)) for r in taken)
     return fit([np.frombuffer(b, np.float32).reshape(-1, MEASURES) for b, _ in taken], np.array([y for _, y in taken], float), **how)

@@ -231,14 +231,14 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with kept (binary: the remaining bytes), spans (array of maximal removed [start, end)), n_bytes and n_removed."""
     docs = docs.drop("kept", "spans", "n_bytes", "n_removed")
-    found = repeats(docs, least).groupBy("doc").agg(F.collect_list(F.struct("text_id", "start", "end")).alias("_found"))  # at most a document's length
+    found = repeats(docs, least).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("text_id", "start", "end")).alias("__found"))  # at most a document's length
     found = written(found, "repeats")
-    rest, some = parted(docs, "doc_id", Bloom(found.select("doc")).test(), NO_ID)
+    rest, some = parted(docs, "doc_id", Bloom(found.select("__doc")).test(), NO_ID)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = rest.withColumns({"kept": F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "spans": F.array().cast(span), "n_bytes": n_bytes, "n_removed": F.lit(0).cast("long")})
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    some = some.withColumn("_key", key).join(found, F.col("_key") == F.col("doc"), "left").drop("_key", "doc")
+    some = some.withColumn("__key", key).join(found, F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", span), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())])
     at = docs.columns.index("text")
 

@@ -144,7 +144,7 @@ def packed(docs: DataFrame, spec: Spec, levels, buckets: int) -> DataFrame:
         table = np.frombuffer(levels.value, np.uint8)
         for b in batches:
             held = {o: [] for o in range(spec.orders)}
-            size = 0
+            size, seen = 0, np.zeros(0, np.uint64)  # nodes of this batch: a copy adds nothing
 
             def flush():
                 for o, parts in held.items():
@@ -164,8 +164,10 @@ def packed(docs: DataFrame, spec: Spec, levels, buckets: int) -> DataFrame:
                 n = np.diff(u.first)
                 _, once = np.unique(u.node, return_index=True)
                 once = np.sort(once[n[once] > 0])
+                once = once[~np.isin(u.node[once], seen)]
                 if not len(once):
                     continue
+                seen = np.concatenate([seen, u.node[once]])
                 take = n[once] - -(-spec.num * n[once] // spec.den) + 1
                 start = u.first[once]
                 within = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
@@ -218,8 +220,8 @@ def _grouped(spec: Spec, buckets: int):
     return run
 
 
-def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> DataFrame:
-    """Edges (a, b) whose connected clusters hold every pair of nodes that links."""
+def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) whose connected clusters hold every pair of nodes that links; and the table that they are made from."""
     buckets = 4 * max(8, docs.rdd.getNumPartitions())
     found = packed(docs, spec, token_levels(counts), buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
     found = written(found, "candidates")
@@ -232,7 +234,7 @@ def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> DataFrame:
         kept = kept.join(pairs(o), ["a", "b"], "left_semi").union(both).distinct()
     crowd = found.filter((F.col("ord") == 0) & F.col("large")).select("a", "b")
     star = crowd.join(crowd.groupBy("b").agg(F.min("a").alias("least")), "b").select("a", F.col("least").alias("b"))
-    return kept.union(star).distinct()
+    return kept.union(star).distinct(), found
 
 
 def _texts(spec: Spec, in_doc, in_node):
@@ -321,7 +323,9 @@ def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, la
     classes: node, doc and unit of each node's first unit (doc NO_ID for a null doc_id); the order of nodes is theirs.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    cluster = written(components(candidates(docs, spec, counts)), "clusters")
+    edges, found = candidates(docs, spec, counts)
+    cluster = written(components(edges), "clusters")
+    removed(found)
     blocks = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
     home = written(classes.join(cluster, "node").join(blocks, "root").select("node", "doc", "unit", "root", "blocks"), "homes")
     removed(cluster)
@@ -334,4 +338,6 @@ def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, la
     pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
     met = met.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(share))).otherwise(pair))
     met = met.select("part", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "doc", "unit", "text")
-    return written(met.groupBy("part").applyInArrow(_verify(spec, later), "a long, b long").distinct(), "links")
+    out = written(met.groupBy("part").applyInArrow(_verify(spec, later), "a long, b long").distinct(), "links")
+    removed(home)
+    return out
