@@ -12,7 +12,7 @@ position. Equal strings have the same anchor, so a string whose anchor's rank is
 unique is unique. Neighbouring strings mostly share an anchor; such a run is one
 row with a name of all its bytes, and of equal runs all but the earliest are
 repeats as a whole. Only the earliest runs of anchors that occur in unequal runs
-are expanded to pairs for each position.
+are expanded to pairs for each position, and only pairs that occur twice become rows.
 
 Names are 64-bit fingerprints. Tasks combine what they have read before they
 pass it on (of equal runs in a batch, the earliest goes on), so a string in a
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pagemill.llm.blocks import BLOCK, POWERS, Block, mix, signed, spans_hash, text_blocks
 from pagemill.llm.bloom import Bloom, parted
 from pagemill.llm.setjoin import NO_ID
-from pagemill.llm.work import written
+from pagemill.llm.work import removed, written
 
 LEAST = 100
 _PLACE = np.uint64((1 << 21) - 1)  # low bits of a rank that hold its position in a segment
@@ -141,12 +141,39 @@ def _ids(b: pa.RecordBatch, block: Block) -> tuple[np.ndarray, np.ndarray]:
 RUNS = "rank long, name long, doc long, text_id long, p int, n int, local boolean"
 
 
-def surviving_runs(docs: DataFrame, test, least: int = LEAST) -> DataFrame:
-    """Runs whose anchor's rank passes ``test``; local: not the earliest of its name in its batch, then n is the bytes it covers."""
-    names = [x.split()[0] for x in RUNS.split(", ")]
+_NAMES = [x.split()[0] for x in RUNS.split(", ")]
+
+
+def _earliest_first(held: list[tuple], least: int):
+    """Rows of a batch as RUNS: of equal names the earliest place goes on, the bytes of the others are merged to local ranges."""
 
     def table(rank, name, doc, text, p, n, local):
-        return pa.RecordBatch.from_arrays([signed(rank), signed(name), pa.array(doc), pa.array(text), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(np.full(len(p), local))], names)
+        return pa.RecordBatch.from_arrays([signed(rank), signed(name), pa.array(doc), pa.array(text), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(np.full(len(p), local))], _NAMES)
+
+    if not held:
+        return
+    rank, name, doc, text, p, n = (np.concatenate(x) for x in zip(*held))
+    turn = np.lexsort((p, doc, name, rank))
+    rank, name, doc, text, p, n = (x[turn] for x in (rank, name, doc, text, p, n))
+    lead = np.ones(len(p), bool)
+    lead[1:] = (rank[1:] != rank[:-1]) | (name[1:] != name[:-1])
+    at = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    earliest = (doc == doc[at]) & (p == p[at])
+    yield table(*(x[earliest] for x in (rank, name, doc, text, p, n)), False)
+    if not earliest.all():
+        doc, text, p, n = (x[~earliest] for x in (doc, text, p, n))
+        turn = np.lexsort((p, text, doc))
+        doc, text, p, n = (x[turn] for x in (doc, text, p, n))
+        cut = np.ones(len(p), bool)
+        cut[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (p[1:] > p[:-1] + n[:-1] + least - 1)
+        first = np.flatnonzero(cut)
+        end = np.maximum.reduceat(p + n + least - 1, first)
+        none = np.zeros(len(first), np.uint64)
+        yield table(none, none, doc[first], text[first], p[first], end - p[first], True)
+
+
+def surviving_runs(docs: DataFrame, test, least: int = LEAST) -> DataFrame:
+    """Runs whose anchor's rank passes ``test``; local: not the earliest of its name in its batch, then n is the bytes it covers."""
 
     def run(batches):
         for b in batches:
@@ -158,74 +185,82 @@ def surviving_runs(docs: DataFrame, test, least: int = LEAST) -> DataFrame:
                     rank, p, n, doc = (x[keep] for x in r)
                     ids, text = _ids(b, block)
                     held.append((rank, spans_hash(block.data, p, p + n + least - 1), ids[doc], text[doc], p - block.bounds[doc], n))
-            if not held:
-                continue
-            rank, name, doc, text, p, n = (np.concatenate(x) for x in zip(*held))
-            turn = np.lexsort((p, doc, name, rank))
-            rank, name, doc, text, p, n = (x[turn] for x in (rank, name, doc, text, p, n))
-            lead = np.ones(len(p), bool)
-            lead[1:] = (rank[1:] != rank[:-1]) | (name[1:] != name[:-1])
-            at = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-            earliest = (doc == doc[at]) & (p == p[at])
-            yield table(*(x[earliest] for x in (rank, name, doc, text, p, n)), False)
-            if not earliest.all():
-                doc, text, p, n = (x[~earliest] for x in (doc, text, p, n))
-                turn = np.lexsort((p, text, doc))
-                doc, text, p, n = (x[turn] for x in (doc, text, p, n))
-                cut = np.ones(len(p), bool)
-                cut[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (p[1:] > p[:-1] + n[:-1] + least - 1)
-                first = np.flatnonzero(cut)
-                end = np.maximum.reduceat(p + n + least - 1, first)  # starts ascend, and longer runs start earlier
-                none = np.zeros(len(first), np.uint64)
-                yield table(none, none, doc[first], text[first], p[first], end - p[first], True)
+            yield from _earliest_first(held, least)
 
     return written(docs.mapInArrow(run, RUNS), "runs")
 
 
-def _strings(in_doc, in_name, least: int):
-    """(name, doc, text_id, p) of every string of the runs that pass."""
-    h = least // 2
+def _places(doc: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (doc << 24) ^ p
 
-    def run(batches):
-        for b in batches:
-            b = b.filter(pa.array(in_doc(b.column(0).fill_null(NO_ID).to_numpy())))
-            for block in text_blocks(b.column(1)):
-                r = runs(block, least)
-                keep = np.flatnonzero(in_name(spans_hash(block.data, r.p, r.p + r.n + least - 1).view(np.int64)))
-                if not len(keep):
-                    continue
-                p, n, doc = r.p[keep], r.n[keep], r.doc[keep]
-                ids, text = _ids(b, block)
-                every = np.repeat(p - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                doc = np.repeat(doc, n)
-                names = np.empty(len(every), np.uint64)
-                for lo in range(0, len(block.data), BLOCK):
-                    i, j = np.searchsorted(every, [lo, lo + BLOCK])
-                    if i < j:
-                        names[i:j] = pairs(ranks(block.data[lo : lo + BLOCK + least], h), least - h)[every[i:j] - lo]
-                yield pa.RecordBatch.from_arrays([signed(names), pa.array(ids[doc]), pa.array(text[doc]), pa.array(every - block.bounds[doc], pa.int32())], ["name", "doc", "text_id", "p"])
-
-    return run
+
+def _open_strings(batches, in_doc, in_place, least: int):
+    """For each batch a list of (name, doc, text_id, p) of the strings of the runs that pass; a run more does no harm."""
+    h = least // 2
+    for b in batches:
+        b = b.filter(pa.array(in_doc(b.column(0).fill_null(NO_ID).to_numpy())))
+        held = []
+        for block in text_blocks(b.column(1)):
+            r = runs(block, least)
+            ids, text = _ids(b, block)
+            keep = np.flatnonzero(in_place(_places(ids[r.doc], r.p - block.bounds[r.doc])))
+            if not len(keep):
+                continue
+            p, n, doc = r.p[keep], r.n[keep], r.doc[keep]
+            every = np.repeat(p - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            doc = np.repeat(doc, n)
+            names = np.empty(len(every), np.uint64)
+            for lo in range(0, len(block.data), BLOCK):
+                i, j = np.searchsorted(every, [lo, lo + BLOCK])
+                if i < j:
+                    names[i:j] = pairs(ranks(block.data[lo : lo + BLOCK + least], h), least - h)[every[i:j] - lo]
+            held.append((names, ids[doc], text[doc], every - block.bounds[doc]))
+        yield held
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, text_id, start, end): byte ranges, maybe overlapping, of all strings that also start earlier."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = surviving_runs(docs, Bloom(repeated_ranks(docs, least)).test(), least)
-    local = found.filter("local").select("doc", "text_id", F.col("p").alias("start"), (F.col("p") + F.col("n")).alias("end"))
-    wide = found.filter("not local")
+    buckets = 4 * max(8, docs.rdd.getNumPartitions())
+    anchors = repeated_ranks(docs, least)
+    found = surviving_runs(docs, Bloom(anchors).test(), least)
+    removed(anchors)
     place = F.struct("doc", "p")
-    first = written(wide.groupBy("rank", "name").agg(F.min(place).alias("first"), F.count("*").alias("times")), "first-runs")
-    again = wide.join(first.filter("times > 1"), ["rank", "name"]).filter(place > F.col("first"))
-    again = again.select("doc", "text_id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (least - 1)).alias("end"))
-    # Anchors of unequal runs: the pairs at each position decide.
+
+    def late(rows: DataFrame, first: DataFrame, by: list[str]) -> DataFrame:
+        """Ranges of the rows that aren't the earliest of their name, and those that tasks have merged."""
+        again = rows.filter("not local").join(first.filter("times > 1"), by).filter(place > F.col("first"))
+        again = again.select("doc", "text_id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (least - 1)).alias("end"))
+        return again.union(rows.filter("local").select("doc", "text_id", F.col("p").alias("start"), (F.col("p") + F.col("n")).alias("end")))
+
+    earliest = [F.min(place).alias("first"), F.count("*").alias("times")]
+    first = written(found.filter("not local").groupBy("rank", "name").agg(*earliest), "first-runs")
+    # Anchors of unequal runs: the pair at each position decides, of the earliest runs only.
     unequal = first.groupBy("rank").count().filter("count > 1").select("rank")
-    open_runs = written(first.join(unequal, "rank", "left_semi").select("name", F.col("first.doc").alias("doc")), "open-runs")
-    strings = docs.mapInArrow(_strings(Bloom(open_runs.select("doc")).test(), Bloom(open_runs.select("name")).test(), least), "name long, doc long, text_id long, p int")
-    strings = written(strings, "strings")
-    earliest = strings.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    late = strings.join(earliest, "name").filter(place > F.col("first")).select("doc", "text_id", F.col("p").alias("start"), (F.col("p") + least).alias("end"))
-    return local.union(again).union(late)
+    place_key = F.shiftleft(F.col("first.doc"), 24).bitwiseXOR(F.col("first.p").cast("long"))
+    open_runs = written(first.join(unequal, "rank", "left_semi").select(F.col("first.doc").alias("doc"), place_key.alias("place")), "open-runs")
+    in_doc, in_place = Bloom(open_runs.select("doc")).test(), Bloom(open_runs.select("place")).test()
+
+    def names(batches):
+        for held in _open_strings(batches, in_doc, in_place, least):
+            if held:
+                v, n = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
+                yield _buckets(np.repeat(v, np.minimum(n, 2)), buckets)
+
+    twice = written(docs.mapInArrow(names, "bucket int, ranks binary").groupBy("bucket").applyInArrow(_repeated, "rank long"), "pairs")
+    in_twice = Bloom(twice).test()
+    removed(twice)
+
+    def strings(batches):
+        for held in _open_strings(batches, in_doc, in_place, least):
+            kept = []
+            for name, doc, text, p in held:
+                k = np.flatnonzero(in_twice(name.view(np.int64)))
+                kept.append((np.zeros(len(k), np.uint64), name[k], doc[k], text[k], p[k], np.ones(len(k), np.int64)))
+            yield from _earliest_first(kept, least)
+
+    single = written(docs.mapInArrow(strings, RUNS), "strings")
+    return late(found, first, ["rank", "name"]).union(late(single, single.filter("not local").groupBy("name").agg(*earliest), ["name"]))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
