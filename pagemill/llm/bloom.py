@@ -1,7 +1,7 @@
-"""A Bloom filter of fixed size, built by the executors.
+"""A Bloom filter of bounded size, built by the executors.
 
-It only thins out what a later exact join has to shuffle: its size doesn't
-grow with the data, and what passes wrongly is dropped by that join.
+It only thins out what a later exact join has to shuffle: its size has a bound
+whatever the data, and what passes wrongly is dropped by that join.
 """
 
 from __future__ import annotations
@@ -12,47 +12,45 @@ from pyspark.sql import DataFrame
 
 from pagemill.llm.blocks import mix
 
-BITS = 1 << 26
-_PART = 1 << 19  # bits of one row
+MOST_BITS, LEAST_BITS, BITS_A_KEY = 1 << 26, 1 << 16, 16
+_ROWS = 64  # rows that the filter travels in
 
 
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
-    return (h & np.uint64(BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64)
+    return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _emit(bits: np.ndarray) -> pa.RecordBatch:
-    rows = bits.reshape(-1, _PART // 8)
-    some = np.flatnonzero(rows.any(axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
+def _partial(size: int):
+    def run(batches):
+        bits = np.zeros(size, bool)
+        for b in batches:
+            for at in _bits(b.column(0).drop_null().to_numpy(zero_copy_only=False), size):
+                bits[at] = True
+        rows = np.packbits(bits, bitorder="little").reshape(_ROWS, -1)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
 
+    return run
 
-def _partial(batches):
-    bits = np.zeros(BITS, bool)
-    for b in batches:
-        keys = b.column(0).drop_null().to_numpy(zero_copy_only=False)
-        for at in _bits(keys):
-            bits[at] = True
-    yield _emit(np.packbits(bits, bitorder="little"))
 
-
-def _union(table):
-    out = np.zeros(_PART // 8, np.uint8)
+def _union(key, table):
+    out = np.frombuffer(table.column("bits")[0].as_py(), np.uint8).copy()
     for x in table.column("bits"):
         out |= np.frombuffer(x.as_py(), np.uint8)
-    return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
 
 
 class Bloom:
-    """Of the long values in the first column of ``df``; two bits a key, 8 MB in all."""
+    """Of the long values in the first column of ``df``; BITS_A_KEY bits a key, MOST_BITS (8 MB) at most."""
 
     def __init__(self, df: DataFrame) -> None:
-        spark = df.sparkSession
-        parts = df.mapInArrow(_partial, "part int, bits binary").groupBy("part").applyInArrow(_union, "part int, bits binary").collect()
-        bits = np.zeros(BITS // 8, np.uint8)
-        for r in parts:  # at most BITS / _PART rows
-            bits[r["part"] * _PART // 8 : (r["part"] + 1) * _PART // 8] = np.frombuffer(r["bits"], np.uint8)
-        self.shared = spark.sparkContext.broadcast(bits.tobytes())
+        size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * df.count()).bit_length()))
+        parts = df.mapInArrow(_partial(size), "part int, bits binary").groupBy("part").applyInArrow(_union, "part int, bits binary").collect()
+        bits = np.zeros((_ROWS, size // 8 // _ROWS), np.uint8)
+        for r in parts:  # at most _ROWS
+            bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        self.shared = df.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def test(self) -> "Test":
         return Test(self.shared)
@@ -68,7 +66,7 @@ class Test:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(self.shared.value, np.uint8)
-        a, b = _bits(keys)
+        a, b = _bits(keys, 8 * len(bits))
         return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 

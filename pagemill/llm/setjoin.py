@@ -34,7 +34,7 @@ from pagemill.llm.work import removed, written
 SMALL_GROUP = 16
 BLOCK_NODES = 256
 GROUP_NODES = 1024
-LEVELS = 1 << 23  # bytes of the table of token counts, whose size doesn't grow; it only affects cost
+LEVELS = 1 << 23  # bytes at most of the table of token counts; it only affects cost
 _PART = 1 << 16
 HOT = 17  # as a power of two: tokens counted more often are dealt out by node
 FLUSH = 1 << 19  # records held before they are passed on
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(u.doc)), pa.array(u.no, pa.int32()), pa.array(n, pa.int32()), node, none, none], names)
                 held.append(u.values)
                 size += len(u.values)
-                if size > 8 * FLUSH:
+                if size > 4 * FLUSH:
                     yield counts(held)
                     held, size = [], 0
             if size:
@@ -119,9 +119,10 @@ def _levels(key, table):
 
 def token_levels(counts: DataFrame):
     """A broadcast table: for the low bits of a token, the power of two of how often it was counted; 0 for others."""
-    part = F.shiftright("token", 16).bitwiseAND(LEVELS // _PART - 1).cast("int").alias("part")
+    size = min(LEVELS, max(_PART, 1 << (4 * counts.count()).bit_length()))
+    part = F.shiftright("token", 16).bitwiseAND(size // _PART - 1).cast("int").alias("part")
     rows = counts.groupBy("token").agg(F.sum("seen").alias("seen")).select("token", "seen", part).groupBy("part").applyInArrow(_levels, "part int, levels binary").collect()
-    out = np.zeros(LEVELS, np.uint8)
+    out = np.zeros(size, np.uint8)
     for r in rows:  # at most LEVELS / _PART rows
         out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["levels"], np.uint8)
     return counts.sparkSession.sparkContext.broadcast(out.tobytes())
@@ -131,7 +132,7 @@ def ordered(values: np.ndarray, first: np.ndarray, levels: np.ndarray, order: in
     """Each unit's tokens as keys of the order, ascending: by count level (the top 6 bits), then by hash."""
     with np.errstate(over="ignore"):
         key = mix(values + np.uint64((order + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) >> np.uint64(6)
-    key |= levels[(values & np.uint64(LEVELS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+    key |= levels[(values & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         key[a:b].sort()
     return key
