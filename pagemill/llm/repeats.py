@@ -40,6 +40,7 @@ from pagemill.llm.setjoin import NO_ID
 from pagemill.llm.work import removed, written
 
 LEAST = 100
+HELD = 1 << 20  # names that a task holds before it combines them
 _PLACE = np.uint64((1 << 21) - 1)  # low bits of a rank that hold its position in a segment
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -113,6 +114,21 @@ def _buckets(values: np.ndarray, buckets: int):
     return pa.RecordBatch.from_arrays([pa.array(by[cut], pa.int32()), pa.array([values[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["bucket", "ranks"])
 
 
+def _twice_at_most(parts, buckets: int):
+    """Names by bucket; of those that occur more often in a stretch of HELD, two go on."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > HELD:
+            v, n = np.unique(np.concatenate(held), return_counts=True)
+            yield _buckets(np.repeat(v, np.minimum(n, 2)), buckets)
+            held, size = [], 0
+    if size:
+        v, n = np.unique(np.concatenate(held), return_counts=True)
+        yield _buckets(np.repeat(v, np.minimum(n, 2)), buckets)
+
+
 def _repeated(key, table):
     v, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("ranks")]), return_counts=True)
     return pa.table({"rank": signed(v[n > 1])})
@@ -123,11 +139,8 @@ def repeated_ranks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     buckets = 4 * max(8, docs.rdd.getNumPartitions())
 
     def run(batches):
-        for b in batches:
-            held = [r.rank for block in text_blocks(b.column(0)) if len((r := runs(block, least)).rank)]
-            if held:
-                v, n = np.unique(np.concatenate(held), return_counts=True)
-                yield _buckets(np.repeat(v, np.minimum(n, 2)), buckets)
+        ranks_of = (runs(block, least).rank for b in batches for block in text_blocks(b.column(0)))
+        yield from _twice_at_most(ranks_of, buckets)
 
     return written(docs.select("text").mapInArrow(run, "bucket int, ranks binary").groupBy("bucket").applyInArrow(_repeated, "rank long"), "ranks")
 
@@ -144,14 +157,24 @@ RUNS = "rank long, name long, doc long, text_id long, p int, n int, local boolea
 _NAMES = [x.split()[0] for x in RUNS.split(", ")]
 
 
-def _earliest_first(held: list[tuple], least: int):
-    """Rows of a batch as RUNS: of equal names the earliest place goes on, the bytes of the others are merged to local ranges."""
+def _earliest_first(parts, least: int):
+    """Rows as RUNS: of equal names in a stretch of HELD / 4 rows the earliest place goes on, the bytes of the others are merged to local ranges."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > HELD // 4:
+            yield from _split(held, least)
+            held, size = [], 0
+    if size:
+        yield from _split(held, least)
+
+
+def _split(held: list[tuple], least: int):
 
     def table(rank, name, doc, text, p, n, local):
         return pa.RecordBatch.from_arrays([signed(rank), signed(name), pa.array(doc), pa.array(text), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(np.full(len(p), local))], _NAMES)
 
-    if not held:
-        return
     rank, name, doc, text, p, n = (np.concatenate(x) for x in zip(*held))
     turn = np.lexsort((p, doc, name, rank))
     rank, name, doc, text, p, n = (x[turn] for x in (rank, name, doc, text, p, n))
@@ -175,17 +198,18 @@ def _earliest_first(held: list[tuple], least: int):
 def surviving_runs(docs: DataFrame, test, least: int = LEAST) -> DataFrame:
     """Runs whose anchor's rank passes ``test``; local: not the earliest of its name in its batch, then n is the bytes it covers."""
 
-    def run(batches):
+    def surviving(batches):
         for b in batches:
-            held = []
             for block in text_blocks(b.column(1)):
                 r = runs(block, least)
                 keep = np.flatnonzero(test(r.rank.view(np.int64)))
                 if len(keep):
                     rank, p, n, doc = (x[keep] for x in r)
                     ids, text = _ids(b, block)
-                    held.append((rank, spans_hash(block.data, p, p + n + least - 1), ids[doc], text[doc], p - block.bounds[doc], n))
-            yield from _earliest_first(held, least)
+                    yield rank, spans_hash(block.data, p, p + n + least - 1), ids[doc], text[doc], p - block.bounds[doc], n
+
+    def run(batches):
+        yield from _earliest_first(surviving(batches), least)
 
     return written(docs.mapInArrow(run, RUNS), "runs")
 
@@ -195,11 +219,10 @@ def _places(doc: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _open_strings(batches, in_doc, in_place, least: int):
-    """For each batch a list of (name, doc, text_id, p) of the strings of the runs that pass; a run more does no harm."""
+    """For each block (name, doc, text_id, p) of the strings of the runs that pass; a run more does no harm."""
     h = least // 2
     for b in batches:
         b = b.filter(pa.array(in_doc(b.column(0).fill_null(NO_ID).to_numpy())))
-        held = []
         for block in text_blocks(b.column(1)):
             r = runs(block, least)
             ids, text = _ids(b, block)
@@ -214,8 +237,7 @@ def _open_strings(batches, in_doc, in_place, least: int):
                 i, j = np.searchsorted(every, [lo, lo + BLOCK])
                 if i < j:
                     names[i:j] = pairs(ranks(block.data[lo : lo + BLOCK + least], h), least - h)[every[i:j] - lo]
-            held.append((names, ids[doc], text[doc], every - block.bounds[doc]))
-        yield held
+            yield names, ids[doc], text[doc], every - block.bounds[doc]
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -242,22 +264,19 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     in_doc, in_place = Bloom(open_runs.select("doc")).test(), Bloom(open_runs.select("place")).test()
 
     def names(batches):
-        for held in _open_strings(batches, in_doc, in_place, least):
-            if held:
-                v, n = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
-                yield _buckets(np.repeat(v, np.minimum(n, 2)), buckets)
+        yield from _twice_at_most((x[0] for x in _open_strings(batches, in_doc, in_place, least)), buckets)
 
     twice = written(docs.mapInArrow(names, "bucket int, ranks binary").groupBy("bucket").applyInArrow(_repeated, "rank long"), "pairs")
     in_twice = Bloom(twice).test()
     removed(twice)
 
     def strings(batches):
-        for held in _open_strings(batches, in_doc, in_place, least):
-            kept = []
-            for name, doc, text, p in held:
+        def kept():
+            for name, doc, text, p in _open_strings(batches, in_doc, in_place, least):
                 k = np.flatnonzero(in_twice(name.view(np.int64)))
-                kept.append((np.zeros(len(k), np.uint64), name[k], doc[k], text[k], p[k], np.ones(len(k), np.int64)))
-            yield from _earliest_first(kept, least)
+                yield np.zeros(len(k), np.uint64), name[k], doc[k], text[k], p[k], np.ones(len(k), np.int64)
+
+        yield from _earliest_first(kept(), least)
 
     single = written(docs.mapInArrow(strings, RUNS), "strings")
     return late(found, first, ["rank", "name"]).union(late(single, single.filter("not local").groupBy("name").agg(*earliest), ["name"]))
