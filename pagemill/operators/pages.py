@@ -130,3 +130,27 @@ def edited_prefix(pages: DataFrame, results: DataFrame) -> DataFrame:
     rest = pages.withColumn("place", place).join(results.select("task_id", "edited_pages"), "task_id").filter(F.col("place") >= F.coalesce("edited_pages", F.lit(1 << 30)))
     tail = joined(rest.filter("text <> ''"), ["task_id"], "text", "page_index", "\n\n").withColumnRenamed("text", "tail")
     return results.join(tail, "task_id", "left").select("task_id", F.concat_ws("\n\n", F.nullif("text", F.lit("")), F.nullif("tail", F.lit(""))).alias("text"))
+
+
+def document_info(tasks: DataFrame, listing: DataFrame) -> DataFrame:
+    """task_id, total and selected pages, size and modification time of PDF files; tasks: path, total, page_range."""
+    chosen = selected_pages(tasks.filter(X.extension(F.col("path")) == "pdf"))
+    return chosen.join(listing, "path", "left").select("task_id", "total", F.size("selected").alias("selected_count"), "range_error", F.col("length").alias("source_size"), "modification_time")
+
+
+def begun(tasks: DataFrame, results: DataFrame, pages: DataFrame) -> DataFrame:
+    """Results at the start of a run: partial, with the options of ``tasks`` and what earlier pages have given; tables stay as recognised until the end."""
+    old = finalized(results, pages).select("task_id", "text", "page_count", "block_count", "raw_table_count")
+    own = [c for c in tasks.columns if c not in old.columns]
+    return tasks.select("task_id", *own).join(old, "task_id", "left").fillna({"text": "", "page_count": 0, "block_count": 0, "raw_table_count": 0}).withColumns({"partial": F.lit(True), "cancelled": F.lit(False), "table_count": F.col("raw_table_count")})
+
+
+def headers(results: DataFrame) -> DataFrame:
+    """What the store keeps in front: without pages and tables, and without text that hasn't been edited."""
+    kept = results.drop("pages", "tables")
+    return kept.withColumn("text", F.when(F.coalesce("text_edited", F.lit(False)), F.col("text"))) if "text" in kept.columns else kept
+
+
+def least_score(scores: Column) -> Column:
+    """Of a reading's blocks; 0 where there is none."""
+    return F.coalesce(F.array_min(scores), F.lit(0.0))

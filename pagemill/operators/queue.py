@@ -179,3 +179,23 @@ def safe_report(report: DataFrame) -> DataFrame:
         if name in out.columns:
             out = out.withColumn(name, F.when(F.col(name).isin(domain), F.col(name)))
     return out
+
+
+MANIFEST = "schema int, runtime string, capabilities array<struct<profile:string,mode:string>>, files array<struct<path:string,size:long,sha256:string>>"
+
+
+def manifest(packs: DataFrame, schema: int, runtime: str) -> tuple[DataFrame, DataFrame]:
+    """Capabilities (profile, mode) and files of pack manifests (column json); malformed or foreign ones fail."""
+    m = F.from_json("json", MANIFEST, {"mode": "FAILFAST"})
+    fits = (m["schema"] == schema) & (m["runtime"] == runtime) & F.size(m["capabilities"]).between(1, 4) & (F.size(m["files"]) > 0)
+    read = packs.select(F.when(F.coalesce(fits, F.lit(False)), m).otherwise(F.raise_error(F.lit("a pack's manifest is of another version or incomplete"))).alias("m"))
+    return read.select(F.inline("m.capabilities")).distinct(), read.select(F.inline("m.files"))
+
+
+def history_entry(history: DataFrame, pages: DataFrame, task_id: str) -> DataFrame:
+    """One entry with its pages in order; fails where there is none."""
+    nested = pages.filter(F.col("task_id") == task_id).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("pages"))
+    wanted = history.sparkSession.createDataFrame([(task_id,)], "task_id string")
+    found = wanted.join(history.withColumn("_here", F.lit(True)), "task_id", "left").join(nested, "task_id", "left")
+    checked = F.when(F.col("_here").isNull(), F.raise_error(F.lit("there is no such entry"))).otherwise(F.col("task_id"))
+    return found.withColumn("task_id", checked).drop("_here")

@@ -123,3 +123,38 @@ def test_payloads(spark):
     assert got[0].score == 0.7 and got[0].box == [0, 2, 6, 7] and got[0].rows[0][1].box == [0, 5, 6, 7]
     assert got[1].score is None and got[1].box == [] and got[1].rows == []
     assert [(r.text, r.row, r.column) for r in payloads.cells(t).orderBy("column").collect()] == [("x", 0, 0), ("y", 0, 1)]
+
+
+def test_rendered_files(spark):
+    texts = spark.createDataFrame([("d\\a.pdf", "x"), ("", None)], "file_name string, text string")
+    assert [(r.name, bytes(r.content)) for r in exports.text_files(texts).collect()] == [("a.txt", b"x"), ("识别结果.txt", b"")]
+    cells = spark.createDataFrame([("t", 0, 1, 0, 1, 0, 0, 0, 0, 1, 1, "v")], "task_id string, page_index int, end_page_index int, table_index int, source_table_count int, row_ord int, cell_ord int, row int, column int, row_span int, col_span int, text string")
+    assert bytes(exports.workbooks(cells).first().content).startswith(b"PK")
+
+
+def test_manifest_and_history(spark):
+    good = '{"schema": 1, "runtime": "r", "capabilities": [{"profile": "fast", "mode": "text"}], "files": [{"path": "p/f", "size": 3, "sha256": "x"}]}'
+    packs = lambda *json: spark.createDataFrame([(j,) for j in json], "json string")
+    able, files = queue.manifest(packs(good), 1, "r")
+    assert able.count() == 1 and files.first().path == "p/f"
+    for bad, runtime in ((good, "other"), ("{", "r"), ("{}", "r")):
+        with pytest.raises(Exception):
+            queue.manifest(packs(bad), 1, runtime)[1].collect()
+    history = spark.createDataFrame([("a", "n")], "task_id string, file_name string")
+    stored = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one")], "task_id string, page_index int, text string")
+    assert [p.text for p in queue.history_entry(history, stored, "a").first().pages] == ["one", "two"]
+    with pytest.raises(Exception):
+        queue.history_entry(history, stored, "b").collect()
+
+
+def test_information_and_start(spark):
+    tasks = spark.createDataFrame([("a", "/x.pdf", 9, "2-4"), ("b", "/y.PDF", 2, "7"), ("c", "/z.png", 1, "")], "task_id string, path string, total int, page_range string")
+    listing = spark.createDataFrame([("/x.pdf", 5)], "path string, length long").withColumn("modification_time", F.lit(None).cast("timestamp"))
+    got = {r.task_id: (r.selected_count, r.range_error, r.source_size) for r in pages.document_info(tasks, listing).collect()}
+    assert got["a"] == (3, None, 5) and got["b"][1:] == ("bad-token", None) and "c" not in got
+    assert spark.range(1).select(pages.least_score(F.array(F.lit(0.4), F.lit(0.2))), pages.least_score(F.array().cast("array<double>"))).first()[:] == (0.2, 0.0)
+    results = spark.createDataFrame([("a", "fast", "text", "text", "old", False, None, 9, 3, 0, 10)], "task_id string, profile string, result_type string, task_mode string, text string, text_edited boolean, edited_pages int, total_count int, selected_count int, rotation int, elapsed_ms int")
+    stored = spark.createDataFrame([("a", 1, "p1", 2, 1), ("a", 0, "p0", 1, 0)], "task_id string, page_index int, text string, n_blocks int, n_tables int")
+    start = pages.begun(tasks.filter("task_id = 'a'"), results, stored).first()
+    assert (start.text, start.page_count, start.block_count, start.table_count, start.partial) == ("p0\n\np1", 2, 3, 1, True)
+    assert pages.headers(results).first().text is None
