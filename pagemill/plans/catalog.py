@@ -58,11 +58,17 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a table an order: flag and quantity of each line; of repeated line numbers all rows, by part."""
+    """Cells of a table an order: flag and quantity of each line, which stands in its line number's row; repeated numbers overlay each other."""
     items = _table(spark, sf_dir, "lineitem")
-    row = F.struct(F.lit(0).alias("column"), F.col("l_returnflag").alias("text")), F.struct(F.lit(1).alias("column"), F.col("l_quantity").cast("int").cast("string").alias("text"))
-    flat = items.select(F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") - 1).alias("row"), "l_partkey", F.explode(F.array(*row)).alias("c"))
-    return flat.select("task_id", F.lit(0).alias("page_index"), F.lit(0).alias("table_index"), F.col("l_partkey").cast("int").alias("row_ord"), F.col("c.column").alias("cell_ord"), "row", "c.column", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), "c.text")
+    order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag")
+    pair = F.struct(F.lit(0).alias("column"), F.col("l_returnflag").alias("text")), F.struct(F.lit(1).alias("column"), F.col("l_quantity").cast("int").cast("string").alias("text"))
+    flat = items.select(F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") - 1).alias("row"), (F.row_number().over(order) - 1).alias("row_ord"), F.array(*pair).alias("pair")).select("task_id", "row", "row_ord", F.explode("pair").alias("c"))
+    return flat.select("task_id", F.lit(0).alias("page_index"), F.lit(0).alias("table_index"), "row_ord", F.col("c.column").alias("cell_ord"), "row", "c.column", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), "c.text")
+
+
+_ITEM_ROWS = """
+    i AS (SELECT l_orderkey AS task_id, l_linenumber - 1 AS r, l_returnflag AS f, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_returnflag) - 1 AS n FROM lineitem)"""
 
 
 # --- pages ---
@@ -253,13 +259,13 @@ _OPENS = r"(regexp_matches(ltrim({b}), '^(?:[•●■◆・※]|[-*]\s|[0-9０-
 _ENDED = "regexp_matches(trim({a}), '[。！？.!?][」』”’\"'')）\\]]*$')"
 _SPACE = "CASE WHEN right({a}, 1) IN (' ', chr(9)) OR left({b}, 1) IN (' ', chr(9)) OR right({a}, 1) IN ('-', chr(173)) THEN '' ELSE ' ' END"
 _SEPARATOR = rf"""
-    CASE WHEN {_OPENS.format(b="b")} THEN 'paragraph'
+    CASE WHEN ord > was + 1 OR {_OPENS.format(b="b")} THEN 'paragraph'
          WHEN greatest(x1 - x0, p1 - p0) < 240.0 THEN 'line'
          WHEN {_ENDED.format(a="a")} AND p1 - p0 < (x1 - x0) * 0.78 THEN 'paragraph'
          ELSE CASE WHEN {_SPACE.format(a="a", b="b")} = '' THEN 'none' ELSE 'space' END END"""
 _SEAMS = rf"""
     {_LINES}, {_BOXED},
-    seams AS (SELECT task_id, ord, lag(text) OVER w AS a, text AS b, x0, x1, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1 FROM placed WHERE text <> '' WINDOW w AS (PARTITION BY task_id ORDER BY ord))"""
+    seams AS (SELECT task_id, ord, lag(ord) OVER w AS was, lag(text) OVER w AS a, text AS b, x0, x1, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1 FROM placed WHERE text <> '' WINDOW w AS (PARTITION BY task_id ORDER BY ord))"""
 
 
 def _seams(spark, sf_dir):
@@ -267,7 +273,7 @@ def _seams(spark, sf_dir):
     line = F.struct("text", "box", "direction", "font_size")
     before = F.lag(line).over(Window.partitionBy("task_id", "page_index").orderBy("ord"))
     pairs = lines.withColumn("a", before).filter("a is not null").withColumn("b", line)
-    # the metrics of these lines are those of body_metrics; blank lines leave gaps between the others
+    # their metrics are those of body_metrics; blank lines leave gaps between the others
     return pairs.withColumn("sep", layout.separator(F.col("a"), F.col("b"), F.lit(20.0), F.lit(26.0)))
 
 
@@ -277,10 +283,9 @@ def _sep_name(c):
 
 @query(rf"""
     WITH {_SEAMS}
-    SELECT task_id, CAST(ord AS INTEGER) AS ord, {_SEPARATOR} AS separator FROM seams WHERE a IS NOT NULL AND ord - 1 IN (SELECT ord FROM placed q WHERE q.task_id = seams.task_id AND q.text <> '')""")
+    SELECT task_id, CAST(ord AS INTEGER) AS ord, {_SEPARATOR} AS separator FROM seams WHERE a IS NOT NULL""")
 def line_separator_class(spark, sf_dir):
-    s = _seams(spark, sf_dir).filter(F.col("b.box")[1] - F.col("a.box")[1] == 26.0)
-    return s.select("task_id", "ord", _sep_name(F.col("sep")).alias("separator"))
+    return _seams(spark, sf_dir).select("task_id", "ord", _sep_name(F.col("sep")).alias("separator"))
 
 
 @query(rf"""
@@ -345,26 +350,20 @@ def table_extents(spark, sf_dir):
     return tables.extents(_cells(spark, sf_dir)).select("task_id", "height", "width", "first_row", "cells")
 
 
-@query("""
-    WITH c AS (SELECT l_orderkey AS task_id, l_linenumber - 1 AS r, arg_max(l_returnflag, l_partkey) AS f, arg_max(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), l_partkey) AS q
-               FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = count(DISTINCT l_partkey)) GROUP BY 1, 2),
+@query(f"""
+    WITH {_ITEM_ROWS}, c AS (SELECT task_id, r, arg_max(f, n) AS f, arg_max(q, n) AS q FROM i GROUP BY task_id, r),
     h AS (SELECT task_id, max(r) AS last FROM c GROUP BY task_id),
     g AS (SELECT task_id, unnest(range(last + 1)) AS r FROM h)
     SELECT g.task_id, string_agg(coalesce(f || chr(9) || q, chr(9)), chr(10) ORDER BY g.r) AS tsv FROM g LEFT JOIN c ON g.task_id = c.task_id AND g.r = c.r GROUP BY g.task_id""")
 def table_tsv(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    clear = cells.groupBy("task_id", "row").agg(F.count("*").alias("n"), F.count_distinct("row_ord").alias("m")).filter("n = 2 * m").select("task_id", "row")
-    return tables.to_tsv(cells.join(clear, ["task_id", "row"])).select("task_id", "tsv")
+    return tables.to_tsv(_cells(spark, sf_dir)).select("task_id", "tsv")
 
 
-@query("""
-    WITH c AS (SELECT l_orderkey, l_partkey, l_linenumber, '<tr><td>' || l_returnflag || '</td><td>' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '</td></tr>' AS r FROM lineitem
-      WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey)))
-    SELECT l_orderkey AS task_id, '<table><tbody>' || string_agg(r, '' ORDER BY l_partkey) || '</tbody></table>' AS html FROM c GROUP BY l_orderkey""")
+@query(f"""
+    WITH {_ITEM_ROWS}
+    SELECT task_id, '<table><tbody>' || string_agg('<tr><td>' || f || '</td><td>' || q || '</td></tr>', '' ORDER BY n) || '</tbody></table>' AS html FROM i GROUP BY task_id""")
 def html_cell_render(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    clear = cells.groupBy("task_id").agg(F.count("*").alias("n"), F.count_distinct("row_ord").alias("m")).filter("n = 2 * m").select("task_id")
-    return tables.to_html(cells.join(clear, "task_id")).select("task_id", "html")
+    return tables.to_html(_cells(spark, sf_dir)).select("task_id", "html")
 
 
 _PAIR = "SELECT p_partkey AS pair, p_name AS t1, lag(p_name) OVER (ORDER BY p_partkey) AS t2 FROM part"
@@ -433,14 +432,15 @@ def nearest_small_to_large(spark, sf_dir):
 
 
 @query("""
-    WITH g AS (SELECT doc_id AS line_id, unnest(range(least(length(text), 200))) AS ord, text FROM documents),
+    WITH g AS (SELECT conv_id * 100 + turn AS line_id, unnest(range(length(text))) AS ord, text FROM conversations),
     c AS (SELECT line_id, ord, substr(text, CAST(ord AS INTEGER) + 1, 1) AS ch, ord * 10 + (ord // 7) * 5 + (ord // 31) * 40 AS s FROM g),
     l AS (SELECT *, s - lag(s + 9) OVER w AS gap, lag(ch) OVER w AS pc FROM c WINDOW w AS (PARTITION BY line_id ORDER BY ord)),
     t AS (SELECT *, sum(CASE WHEN gap > 17 THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY ord) AS segment,
           CASE WHEN gap > 2.2 AND gap <= 17 AND pc <> ' ' AND ch <> ' ' AND ascii(pc) < 128 AND ascii(ch) < 128 THEN ' ' ELSE '' END AS lead FROM l)
     SELECT line_id, CAST(segment AS BIGINT) AS segment, string_agg(lead || ch, '' ORDER BY ord) AS text FROM t GROUP BY line_id, segment""")
 def glyph_segments(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.posexplode(F.split(F.substring("text", 1, 200), "")).alias("ord", "text"))
+    turns = _table(spark, sf_dir, "conversations").filter("text <> ''")
+    docs = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("line_id"), F.posexplode(F.split("text", "")).alias("ord", "text"))
     s = F.col("ord") * 10 + F.floor(F.col("ord") / 7) * 5 + F.floor(F.col("ord") / 31) * 40
     glyphs = docs.withColumns({"start": s, "end": s + 9, "size": F.lit(10.0)})
     return pages.joined(ruby.segments(glyphs).withColumn("text", F.concat("lead", "text")), ["line_id", "segment"], "text", "ord", "")
@@ -448,8 +448,8 @@ def glyph_segments(spark, sf_dir):
 
 @query()
 def glyph_lines(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("task_id"), F.lit(0).alias("page_index"), F.posexplode(F.split(F.substring("text", 1, 120), "")).alias("ord", "text"))
-    x, y = F.col("ord") % 40 * 10.0, F.floor(F.col("ord") / 40) * 24.0
+    docs = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("task_id"), F.lit(0).alias("page_index"), F.posexplode(F.split("p_name", "")).alias("ord", "text"))
+    x, y = F.col("ord") % 8 * 10.0, F.floor(F.col("ord") / 8) * 24.0
     return ruby.grouped_lines(docs.select("*", F.array(x, y, x + 9, y + 10).alias("box"), F.lit(10.0).alias("size"))).select("task_id", "block_ord", "text", "direction")
 
 
@@ -477,10 +477,9 @@ def html_sanitize(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", H.sanitized(F.col("html")).alias("safe"))
 
 
-@query("""
-    SELECT l_orderkey AS task_id, CAST(l_linenumber - 1 AS INTEGER) AS "row", CAST(c AS INTEGER) AS "column", CASE c WHEN 0 THEN l_returnflag ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS text
-    FROM (SELECT *, unnest([0, 1]) AS c FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS l_linenumber, l_returnflag, l_quantity FROM lineitem
-      WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey))))""")
+@query(f"""
+    WITH {_ITEM_ROWS}
+    SELECT task_id, CAST(n AS INTEGER) AS "row", CAST(c AS INTEGER) AS "column", CASE c WHEN 0 THEN f ELSE q END AS text FROM (SELECT *, unnest([0, 1]) AS c FROM i)""")
 def html_table_parse(spark, sf_dir):
     made = html_cell_render(spark, sf_dir).withColumn("rows", H.table_rows(F.col("html")))
     flat = payloads.cells(made.select("task_id", "rows"))
