@@ -162,4 +162,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     hit = written(matches(docs, benchmark, **how).select(F.col("doc").alias("__doc")).distinct(), "contaminated")
     rest, some = parted(docs, "doc_id", Bloom(hit).test(), NO_ID)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    return rest.unionByName(some.withColumn("__key", key).join(hit, F.col("__key") == F.col("__doc"), "left_anti").drop("__key"))
+    return rest.unionByName(some.withColumn("__key", key).join(hit.hint("merge"), F.col("__key") == F.col("__doc"), "left_anti").drop("__key"))

@@ -44,7 +44,7 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Da
     rest, some = parted(docs, "doc_id", Bloom(by_doc.select("__doc")).test(), NO_ID)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
     rest = rest.withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
-    some = some.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).join(by_doc, F.col("__key") == F.col("__doc"), "left")
+    some = some.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).join(by_doc.hint("merge"), F.col("__key") == F.col("__doc"), "left")
     keep = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     some = some.withColumn("n_lines", n_lines).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(keep))
     some = some.withColumn("n_removed", F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long")).select(*docs.columns, "n_lines", "n_removed")

@@ -45,6 +45,6 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") < F.col("doc_id")).alias("__gone"), F.count("*").alias("__rows")).filter("__gone or __rows > 1")
     gone = written(gone.select(F.col("doc_id").alias("__id"), "__gone"), "near-copies")
     rest, some = parted(docs, "doc_id", Bloom(gone.select("__id")).test(), NO_ID)
-    some = some.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id").filter("__gone is null or not __gone")
+    some = some.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id").filter("__gone is null or not __gone")
     once = some.filter("__gone is not null").drop("__gone").dropDuplicates(["doc_id", "text"])
     return rest.unionByName(some.filter("__gone is null").drop("__gone")).unionByName(once)

@@ -292,7 +292,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = rest.withColumns({"kept": F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "spans": F.array().cast(span), "n_bytes": n_bytes, "n_removed": F.lit(0).cast("long")})
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    some = some.withColumn("__key", key).join(found, F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
+    some = some.withColumn("__key", key).join(found.hint("merge"), F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", span), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())])
     at = docs.columns.index("text")
 

@@ -331,7 +331,7 @@ def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, la
     home = written(classes.join(cluster, "node").join(blocks, "root").select("node", "doc", "unit", "root", "blocks"), "homes")
     removed(cluster)
     texts = docs.mapInArrow(_texts(spec, Bloom(home.select("doc")).test(), Bloom(home.select("node")).test()), "node long, doc long, unit int, text binary")
-    one = texts.join(home, ["node", "doc", "unit"])
+    one = texts.join(home.hint("merge"), ["node", "doc", "unit"])  # texts are dealt out alike at every size
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = one.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Small clusters go together to groups of some GROUP_NODES nodes; what two large blocks hold is a group of its own.
