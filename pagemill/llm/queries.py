@@ -66,6 +66,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op4_repeated_bytes, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
 
+
+def _words(column: str) -> str:
+    """SQL for the words of a column, A-Z lower-cased."""
+    return rf"regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
 ORACLES = {
     "op1_warc_chunks": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -84,6 +90,36 @@ ORACLES = {
             FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op4_repeated_bytes": r"""
+        WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+        c AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM h WHERE length(h) >= 200),
+        s AS (SELECT doc_id, p, md5_number(substr(h, CAST(2 * p + 1 AS BIGINT), 200)) AS s FROM c),
+        r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM s) WHERE k > 1),
+        m AS (SELECT doc_id, p, p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 100 AS new FROM r),
+        i AS (SELECT doc_id, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m),
+        v AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, k),
+        x AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM v),
+        t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, list({'f': was, 't': a} ORDER BY a) AS gaps FROM x GROUP BY doc_id)
+        SELECT h.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+          sha256(unhex(CASE WHEN gaps IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda g: substr(h, CAST(2 * g.f + 1 AS BIGINT), CAST(2 * (g.t - g.f) AS BIGINT))), '') || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+        FROM h LEFT JOIN t ON t.doc_id = h.doc_id""",
+    "op7_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS shingle FROM w WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
+    "op9_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, unnest(range(len(x))) AS no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+        w AS (SELECT doc_id, no, {_words("line")} AS w FROM l),
+        s AS (SELECT DISTINCT doc_id, no, hash(unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS shingle FROM w WHERE len(w) > 0),
+        n AS (SELECT doc_id, no, count(*) AS n FROM s GROUP BY doc_id, no),
+        p AS (SELECT a.doc_id, a.no, b.doc_id AS d, b.no AS m, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.no < a.no)) GROUP BY ALL),
+        g AS (SELECT DISTINCT p.doc_id, p.no FROM p JOIN n x ON x.doc_id = p.doc_id AND x.no = p.no JOIN n y ON y.doc_id = p.d AND y.no = p.m WHERE 10 * c >= 8 * (x.n + y.n - c)),
+        k AS (SELECT l.doc_id, l.no, line, g.no IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.no = g.no)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
     "op10_decontamination": r"""
         WITH t AS (
             SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
