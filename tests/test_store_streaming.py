@@ -99,3 +99,13 @@ def test_listing_log_and_source(spark, tmp_path):
     df = spark.read.format("fake_documents").option("path", "x.pdf").option("pages", "0,2,5").option("per_partition", "2").load()
     assert df.rdd.getNumPartitions() == 2 and sorted(r.page_index for r in df.collect()) == [0, 2, 5]
     assert df.agg(F.max("text")).first()[0] == "page 5"
+
+
+def test_event_log_rotates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files.EventLog, "MOST_BYTES", 200)
+    log = files.EventLog(str(tmp_path / "events.jsonl"))
+    rows = [(f"2024-01-01T00:00:0{i}Z", "ping" if i % 2 else "/secret/path", "ok") for i in range(9)] + [("no time", "ping", "ok")]
+    log.append(spark.createDataFrame(rows, "time string, method string, category string"))
+    assert len(log.files()) == 3 and all(len(open(f).read()) <= 200 for f in log.files())
+    back = files.event_log(spark, log.files())
+    assert {r.method for r in back.collect()} == {"ping", "other"} and back.agg(F.max("time")).first()[0].startswith("2024-01-01T00:00:08")
