@@ -16,18 +16,18 @@ MOST_BITS, LEAST_BITS, BITS_A_KEY = 1 << 26, 1 << 16, 16
 _ROWS = 64  # rows that the filter travels in
 
 
-def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def bit_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
     return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
 
 
 def _partial(size: int):
     def run(batches):
-        bits = np.zeros(size, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for b in batches:
-            for at in _bits(b.column(0).drop_null().to_numpy(zero_copy_only=False), size):
-                bits[at] = True
-        rows = np.packbits(bits, bitorder="little").reshape(_ROWS, -1)
+            for at in bit_places(b.column(0).drop_null().to_numpy(zero_copy_only=False), size):
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        rows = bits.reshape(_ROWS, -1)
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
 
@@ -66,7 +66,7 @@ class Test:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(self.shared.value, np.uint8)
-        a, b = _bits(keys, 8 * len(bits))
+        a, b = bit_places(keys, 8 * len(bits))
         return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 

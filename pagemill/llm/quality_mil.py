@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.blocks import LOWER, distinct, text_blocks, words
+from pagemill.llm.work import bounded_batches
 
 PASSAGE = 128
 MAX_DOCUMENTS = 6000
@@ -143,6 +144,7 @@ def _bags(batches):
 
 def learned(docs: DataFrame, labels: DataFrame, usable: Column, max_documents: int = MAX_DOCUMENTS, **how) -> Model:
     """A model of labels.quality of the documents whose doc_id meets ``usable``, a condition on doc_id."""
+    bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     pick = labels.filter(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(max_documents)
     pick = F.broadcast(pick.withColumnRenamed("doc_id", "__doc"))  # max_documents rows

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.blocks import Block, distinct, mix, shingles, signed, text_blocks, words
-from pagemill.llm.bloom import Bloom
+from pagemill.llm.bloom import Bloom, bit_places
 from pagemill.llm.components import components
 from pagemill.llm.work import removed, written
 
-SMALL_GROUP = 16
+SMALL_GROUP = 32
+SEEN_BITS = 1 << 26
 BLOCK_NODES = 256
 GROUP_NODES = 1024
 LEVELS = 1 << 23  # bytes at most of the table of token counts; it only affects cost
@@ -84,15 +85,24 @@ def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     schema = "doc_id long, unit int, n int, node long, token long, seen long"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def counts(held):
-        v, seen = np.unique(np.concatenate(held), return_counts=True)
-        v, seen = v[seen > 1], seen[seen > 1]
-        none = pa.nulls(len(v))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), signed(v), pa.array(seen)], names)
-
     def run(batches):
+        seen = np.zeros(SEEN_BITS // 8, np.uint8)  # a Bloom filter of the task's tokens so far
+        held, size = [], 0
+
+        def counts():
+            v, n = np.unique(np.concatenate(held), return_counts=True)
+            places = bit_places(v.view(np.int64), SEEN_BITS)
+            before = np.ones(len(v), bool)
+            for at in places:
+                before &= (seen[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            for at in places:
+                np.bitwise_or.at(seen, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            n = n + before
+            v, n = v[n > 1], n[n > 1]
+            none = pa.nulls(len(v))
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), signed(v), pa.array(n)], names)
+
         for b in batches:
-            held, size = [], 0
             for block in text_blocks(b.column(1)):
                 u = units(block, spec)
                 n, none = np.diff(u.first), pa.nulls(len(u.node), pa.int64())
@@ -100,11 +110,11 @@ def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(u.doc)), pa.array(u.no, pa.int32()), pa.array(n, pa.int32()), node, none, none], names)
                 held.append(u.values)
                 size += len(u.values)
-                if size > 4 * FLUSH:
-                    yield counts(held)
+                if size > 2 * FLUSH:
+                    yield counts()
                     held, size = [], 0
-            if size:
-                yield counts(held)
+        if size:
+            yield counts()
 
     rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "units")
     return rows.filter("token is null").drop("token", "seen"), rows.filter("token is not null").select("token", "seen")
@@ -143,32 +153,35 @@ def packed(docs: DataFrame, spec: Spec, levels, buckets: int) -> DataFrame:
 
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
-        for b in batches:
-            held = {o: [] for o in range(spec.orders)}
-            size, seen = 0, np.zeros(0, np.uint64)  # nodes of this batch: a copy adds nothing
-
-            def flush():
-                for o, parts in held.items():
-                    r = np.concatenate(parts)
-                    by = np.where(r["token"] >> np.uint64(58) >= HOT, buckets + r["node"] % np.uint64(buckets), r["token"] % np.uint64(buckets)).astype(np.int64)
-                    turn = np.argsort(by.astype(np.uint16) if 2 * buckets < 1 << 16 else by, kind="stable")
-                    r, by = r[turn], by[turn]
-                    cut = np.flatnonzero(np.diff(by, prepend=-1))
-                    ends = np.append(cut[1:], len(by))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(cut), o), pa.int32()), pa.array(by[cut], pa.int32()), pa.array([r[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["ord", "bucket", "records"]
-                    )
-                    parts.clear()
+        held = {o: [] for o in range(spec.orders)}
+        size, seen = 0, set()  # latest nodes: a copy adds nothing
+
+        def flush():
+            for o, parts in held.items():
+                r = np.concatenate(parts)
+                by = np.where(r["token"] >> np.uint64(58) >= HOT, buckets + r["node"] % np.uint64(buckets), r["token"] % np.uint64(buckets)).astype(np.int64)
+                turn = np.argsort(by.astype(np.uint16) if 2 * buckets < 1 << 16 else by, kind="stable")
+                r, by = r[turn], by[turn]
+                cut = np.flatnonzero(np.diff(by, prepend=-1))
+                ends = np.append(cut[1:], len(by))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(cut), o), pa.int32()), pa.array(by[cut], pa.int32()), pa.array([r[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["ord", "bucket", "records"]
+                )
+                parts.clear()
 
+        for b in batches:
             for block in text_blocks(b.column(0)):
                 u = units(block, spec)
                 n = np.diff(u.first)
                 _, once = np.unique(u.node, return_index=True)
                 once = np.sort(once[n[once] > 0])
-                once = once[~np.isin(u.node[once], seen)]
+                fresh = u.node[once].tolist()
+                once = once[[x not in seen for x in fresh]]
+                seen.update(fresh)
+                if len(seen) > 2 * FLUSH:
+                    seen.clear()
                 if not len(once):
                     continue
-                seen = np.concatenate([seen, u.node[once]])
                 take = n[once] - -(-spec.num * n[once] // spec.den) + 1
                 start = u.first[once]
                 within = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
@@ -182,8 +195,8 @@ def packed(docs: DataFrame, spec: Spec, levels, buckets: int) -> DataFrame:
                 if size > FLUSH:
                     yield from flush()
                     size = 0
-            if size:
-                yield from flush()
+        if size:
+            yield from flush()
 
     return docs.select("text").mapInArrow(run, "ord int, bucket int, records binary")
 
@@ -234,6 +247,10 @@ def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> tuple[DataFram
         both = kept.join(free.withColumnRenamed("node", "a"), "a", "left_semi").join(free.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
         kept = kept.join(pairs(o), ["a", "b"], "left_semi").union(both).distinct()
     crowd = found.filter((F.col("ord") == 0) & F.col("large")).select("a", "b")
+    for o in range(1, spec.orders):
+        rows = found.filter(F.col("ord") == o)
+        there = rows.select("a").union(rows.filter("not large").select("b")).distinct()
+        crowd = crowd.join(there, "a", "left_semi")
     star = crowd.join(crowd.groupBy("b").agg(F.min("a").alias("least")), "b").select("a", F.col("least").alias("b"))
     return kept.union(star).distinct(), found
 
