@@ -285,30 +285,33 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with kept (binary: the remaining bytes), spans (array of maximal removed [start, end)), n_bytes and n_removed."""
     docs = docs.drop("kept", "spans", "n_bytes", "n_removed")
-    found = repeats(docs, least).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("text_id", "start", "end")).alias("__found"))  # at most a document's length
+    found = repeats(docs, least).groupBy(F.col("doc").alias("__doc"), F.col("text_id").alias("__text")).agg(F.collect_set(F.struct("start", "end")).alias("__found"))  # at most a text's length
     found = written(found, "repeats")
     rest, some = parted(docs, "doc_id", Bloom(found.select("__doc")).test(), NO_ID)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = rest.withColumns({"kept": F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "spans": F.array().cast(span), "n_bytes": n_bytes, "n_removed": F.lit(0).cast("long")})
+    at = docs.columns.index("text")
+
+    def marked(batches):
+        for b in batches:
+            ids = [np.zeros(0, np.int64)] + [spans_hash(block.data, block.bounds[:-1], block.bounds[1:]).view(np.int64) for block in text_blocks(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(ids))], [*b.schema.names, "__id"])
+
+    some = some.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("__id", T.LongType())]))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    some = some.withColumn("__key", key).join(found.hint("merge"), F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
+    some = some.withColumn("__key", key).join(found.hint("merge"), (F.col("__key") == F.col("__doc")) & (F.col("__id") == F.col("__text")), "left").select(*docs.columns, "__found")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", span), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())])
-    at = docs.columns.index("text")
 
     def cut(batches):
         for b in batches:
             kept, spans, sizes, gone = [], [], [], []
             of = b.column(b.num_columns - 1)
             for block in text_blocks(b.column(at)):
-                text = spans_hash(block.data, block.bounds[:-1], block.bounds[1:]).view(np.int64)
                 for i in range(len(block.bounds) - 1):
                     data = block.data[block.bounds[i] : block.bounds[i + 1]]
                     x = of[block.first + i].values
-                    s, e = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    if x is not None and len(x):
-                        own = x.field("text_id").to_numpy() == text[i]
-                        s, e = x.field("start").to_numpy()[own].astype(np.int64), x.field("end").to_numpy()[own].astype(np.int64)
+                    s, e = (np.zeros(0, np.int64) if x is None else x.field(n).to_numpy().astype(np.int64) for n in ("start", "end"))
                     cover = np.zeros(len(data) + 1, np.int64)
                     np.add.at(cover, s, 1)
                     np.add.at(cover, e, -1)
