@@ -5,6 +5,7 @@ from pagemill.llm import queries
 from tests.conftest import DATA
 
 from .fixtures import documents
+from .test_dedup import plain_components, plain_lines, plain_matches
 
 
 def test_stages_over_the_test_data(spark):
@@ -39,3 +40,26 @@ def test_every_query_gives_a_row_a_record(spark):
     for name in ("op2_quality_mil", "op5_language_backoff"):
         out = queries.QUERIES[name](spark, DATA)
         assert out.count() == n and out.filter(F.col("held_out")).count() > 0
+
+
+def test_stages_match_plain_versions(spark):
+    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
+    rows = lambda df: sorted(tuple(r) for r in df.select(*corpus_pipeline.COLUMNS).collect())
+    docs = corpus_pipeline.quality(spark, read("documents"), DATA)
+    before = rows(docs)
+    gone = plain_lines(before)
+    expected = []
+    for i, text, lang, source, n in before:
+        kept = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i])
+        expected.append((i, kept, lang, source, len(kept) if gone[i] else n))
+    docs = corpus_pipeline.lines(spark, docs, DATA)
+    assert rows(docs) == expected
+    found = {i for i, _, c in plain_components(expected, 5, 8, 10) if i == c}
+    docs = corpus_pipeline.near_copies(spark, docs, DATA)
+    expected = [r for r in expected if r[0] in found]
+    assert rows(docs) == expected
+    hit = {r[0] for r in plain_matches(expected, [tuple(r) for r in read("benchmark").select("item_id", "text").collect()])}
+    docs = corpus_pipeline.benchmark(spark, docs, DATA)
+    expected = [r for r in expected if r[0] not in hit]
+    assert rows(docs) == expected and hit
+    assert sorted(r.doc_id for r in corpus_pipeline.mixture(spark, docs, DATA).collect()) == [r[0] for r in expected]
