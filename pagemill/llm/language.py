@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.llm.work import bounded_batches
+
 MAX_DOCUMENTS = 20_000
 MAX_WORDS = 60_000
 ORDER = 4
 BACKOFF = 0.7
-CACHE = 1 << 17
+CACHE = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -70,6 +72,7 @@ def model_of(rows: list[tuple[str, str, int]]) -> Model:
 
 def learned(docs: DataFrame, usable: Column, max_documents: int = MAX_DOCUMENTS, max_words: int = MAX_WORDS) -> Model:
     """A model of text and lang of the documents whose doc_id meets ``usable``, a condition on doc_id."""
+    bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
     pick = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(max_documents).distinct()
     pick = F.broadcast(pick)  # max_documents rows of a long
@@ -92,6 +95,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.grams = [{g: v.tolist() for g, v in table.items()} for table in model.grams]  # short lists add up faster than arrays
         self.clear()
 
     def clear(self) -> None:
@@ -104,14 +108,15 @@ class Scorer:
         self.at[w] = i
         return i
 
-    def logs(self, w: str) -> np.ndarray:
+    def logs(self, w: str) -> np.ndarray | list[float]:
         if (known := self.model.words.get(w)) is not None:
             return known - known.max()
         for n in range(ORDER, 0, -1):
-            found = [v for g in _grams(w, n) if (v := self.model.grams[n - 1].get(g)) is not None]
+            found = [v for g in _grams(w, n) if (v := self.grams[n - 1].get(g)) is not None]
             if found:
-                mean = np.mean(found, axis=0)
-                return BACKOFF ** (ORDER + 1 - n) * (mean - mean.max())
+                total = [sum(x) for x in zip(*found)]
+                top, weight = max(total), BACKOFF ** (ORDER + 1 - n) / len(found)
+                return [weight * (x - top) for x in total]
         return np.zeros(len(self.model.languages))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
