@@ -5,7 +5,7 @@ link if the Jaccard similarity of their sets is at least num / den. Equal sets
 are one node, known by a 64-bit fingerprint, so that copies aren't multiplied.
 
 1. ``scan`` reads all texts once: a row for each unit and, for tokens seen
-   twice or more in a batch, counts that make up the order of tokens.
+   twice or more in a task, counts that make up the order of tokens.
 2. ``candidates``: a token order puts common tokens last and the rest by hash. A
    linking pair shares a token among each one's first n - ceil(t n) + 1. Executors
    group packed (token, node) records by bucket and drop tokens of one node;
@@ -38,7 +38,7 @@ GROUP_NODES = 1024
 LEVELS = 1 << 23  # bytes at most of the table of token counts; it only affects cost
 _PART = 1 << 16
 HOT = 17  # as a power of two: tokens counted more often are dealt out by node
-FLUSH = 1 << 19  # records held before they are passed on
+FLUSH = 1 << 18  # records held before they are passed on
 NO_ID = -(1 << 63)
 RECORD = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
