@@ -40,7 +40,7 @@ from pagemill.llm.setjoin import NO_ID
 from pagemill.llm.work import removed, written
 
 LEAST = 100
-HELD = 1 << 20  # names that a task holds before it combines them
+HELD = 1 << 19  # names that a task holds before it combines them
 _PLACE = np.uint64((1 << 21) - 1)  # low bits of a rank that hold its position in a segment
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
