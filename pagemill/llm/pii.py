@@ -8,8 +8,11 @@ table of counts, one row for each combination of the (coarse) features, so the
 driver gets a table whose size has a bound whatever the number of documents,
 and scoring is a column expression.
 
-There are no labels for personal data: a candidate counts as positive if it is,
-or covers, a base span of its kind that passes its check.
+There are no labels for personal data. The trees are fitted to loose candidates
+that touch no base span, since only these can be added: one counts as positive if
+it passes the check of its own form, and is negative otherwise. To these come base
+spans that pass, rewritten into loose forms where they stand, as positives, so that
+a form is learned before the text has it.
 
 Defined cases: a null text is empty; empty texts have no spans; repeated rows
 give repeated results; extra columns are dropped.
@@ -37,7 +40,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": _LOCAL + r"++(?:@[A-Za-z0-9-]++|\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++)",
+    "email": _LOCAL + r"++(?:@[A-Za-z0-9-]++|\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20\.\x20|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+",
     "card": r"(?<![0-9])[0-9]++(?:[\x20./_-]{1,2}+[0-9]++)*+",
     "phone": r"(?<![0-9])\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++",
@@ -49,6 +52,9 @@ CONTEXT = {
     "phone": r"(?i)(?:phone|tel|call|fax|mobil\w*)\W*$",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+# A phone without a plus: an area code of three digits, or a trunk prefix; no date.
+_LOCAL_PHONE = r"(?:1[\x20.-]{1,2})?(?:\([0-9]{3}\)[\x20.-]{0,2}|[0-9]{3}[\x20.-]{1,2})[0-9]{3}[\x20.-]{1,2}[0-9]{4}"
+_TRUNK_PHONE = r"(?![0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2})\(?0[0-9]{1,5}(?:[\x20().-]{1,3}[0-9]{2,8}){1,5}"
 FEATURES = ["kind", "loose", "digits", "marks", "check", "left", "right", "context"]
 _RUN = 256
 
@@ -75,8 +81,33 @@ def _passes(kind: str, m: Column) -> Column:
     return n.between(9, 15)
 
 
+def _passes_loose(kind: str, m: Column, after: Column) -> Column:
+    """The checks of forms that the base patterns don't have; cards differ by separators only."""
+    if kind == "email":
+        return m.rlike(r"[\[(]at[\])].*[^A-Za-z0-9-][A-Za-z]{2,}$")
+    if kind == "ip":
+        return m.rlike(r"[A-Fa-f]|[0-9]{3}") & ~after.rlike(r"^(?:[0-9A-Fa-f]|:[0-9A-Fa-f:])")
+    if kind == "phone":
+        return _passes(kind, m) & m.rlike(f"^(?:{_LOCAL_PHONE}|{_TRUNK_PHONE})$")
+    return _passes(kind, m)
+
+
+def _rewritten(kind: str, m: Column) -> list[Column]:
+    """A base span that passes, in loose forms."""
+    if kind == "email":
+        name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+        return [F.concat(name, F.lit(" [at] "), host), F.concat(name, F.lit("(at)"), F.replace(host, F.lit("."), F.lit("(dot)")))]
+    if kind == "ip":
+        octets = F.transform(F.split(m, r"\."), lambda x: F.lpad(F.lower(F.hex(x.cast("int"))), 2, "0"))
+        last = F.concat(octets[0], octets[1], F.lit(":"), octets[2], octets[3])
+        return [F.concat(F.lit("0:0:0:0:0:ffff:"), last), F.concat(F.lit("2001:0db8:0000:0000:0000:0000:"), last)]
+    if kind == "card":
+        return [F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", f"$1{c}") for c in "./"]
+    return [F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+1[\x20.-]*", ""), F.regexp_replace(m, r"^\+[2-9][0-9]{0,2}[\x20.-]+", "0")]
+
+
 def _matches(text: Column, pattern: str, make) -> Column:
-    """make(match, start, text before it, text after it) for each match; starts are sums of lengths, in runs of _RUN."""
+    """The arrays make(match, start, text before it, text after it) of all matches; starts are sums of lengths, in runs of _RUN."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(z: Column) -> Column:
@@ -91,12 +122,14 @@ def _matches(text: Column, pattern: str, make) -> Column:
 
     gaps = F.split(text, pattern, -1)
     # A one-row array binds what is used several times, so that it is computed once.
-    made = F.flatten(F.transform(F.array(F.struct(found.alias("m"), gaps.alias("g"))), placed))
+    made = F.flatten(F.flatten(F.transform(F.array(F.struct(found.alias("m"), gaps.alias("g"))), placed)))
     return F.when(text.rlike(pattern), made)
 
 
 def _span(kind: str, loose: bool):
-    def make(m: Column, start: Column, before: Column, after: Column) -> Column:
+    """Makes the candidate of a match; behind a base one that passes, its loose forms."""
+
+    def one(m: Column, start: Column, before: Column, after: Column, loose: bool = loose, made: bool = False) -> Column:
         n = F.length(_digits(m))
         side = lambda c: F.when(F.length(c) == 0, 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^[\p{L}\p{N}]"), 2).otherwise(3)
         steps = F.when(n < 7, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).when(n == 16, 4).when(n < 20, 5).otherwise(6)
@@ -108,24 +141,38 @@ def _span(kind: str, loose: bool):
             F.lit(int(loose)).alias("loose"),
             steps.alias("digits"),
             marks.alias("marks"),
-            _passes(kind, m).cast("int").alias("check"),
+            (_passes_loose(kind, m, after) if loose else _passes(kind, m)).cast("int").alias("check"),
             side(F.right(before, F.lit(1))).alias("left"),
             side(F.left(after, F.lit(1))).alias("right"),
             F.right(before, F.lit(24)).rlike(CONTEXT[kind]).cast("int").alias("context"),
+            F.lit(int(made)).alias("made"),
         )
 
+    def make(m: Column, start: Column, before: Column, after: Column) -> Column:
+        own = F.array(one(m, start, before, after))
+        if loose:
+            return own
+        forms = F.filter(F.array(*_rewritten(kind, m)), lambda x: x.rlike(f"^{LOOSE[kind]}$") & _passes_loose(kind, x, after))
+        return F.when(_passes(kind, m), F.concat(own, F.transform(forms, lambda x: one(x, start, before, after, True, True)))).otherwise(own)
+
     return make
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, ``base`` (spans of the base patterns that pass) and ``loose`` (all other candidates)."""
+    """doc_id, ``base`` (spans of the base patterns that pass), ``loose`` (candidates of the loose patterns) and ``made`` (loose forms of base spans)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    kind = "array<struct<start:int,kind:int,end:int,loose:int,digits:int,marks:int,check:int,left:int,right:int,context:int>>"
+    kind = "array<struct<start:int,kind:int,end:int,loose:int,digits:int,marks:int,check:int,left:int,right:int,context:int,made:int>>"
     none = F.array().cast(kind)
     every = [F.coalesce(_matches(text, p, _span(k, loose)), none).cast(kind) for loose, table in ((False, BASE), (True, LOOSE)) for k, p in table.items()]
     docs = documents.select("doc_id", F.concat(*every).alias("all"))
     good = lambda c: (c["loose"] == 0) & (c["check"] == 1)
-    return docs.select("doc_id", F.filter("all", good).alias("base"), F.filter("all", lambda c: ~good(c)).alias("loose"))
+    loose = lambda made: F.filter("all", lambda c: (c["loose"] == 1) & (c["made"] == made))
+    return docs.select("doc_id", F.filter("all", good).alias("base"), loose(0).alias("loose"), loose(1).alias("made"))
+
+
+def _apart(c: Column) -> Column:
+    """Touches no base span."""
+    return ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
 
 class Model(NamedTuple):
@@ -137,17 +184,16 @@ class Model(NamedTuple):
 
 
 def fit(found: DataFrame, rounds: int = 24, rate: float = 0.4, precision: float = 0.98) -> Model:
-    """Fitted to counts by feature values and label; documents with crc32(doc_id) % 5 = 0 calibrate the thresholds."""
-    covers = lambda c: F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
-    labelled = F.concat(F.transform("base", lambda c: F.struct(c.alias("c"), F.lit(1).alias("y"))), F.transform("loose", lambda c: F.struct(c.alias("c"), covers(c).cast("int").alias("y"))))
+    """Fitted to counts by feature values and label; documents with crc32(doc_id) % 5 = 0 calibrate the thresholds, all where these have no positive of a kind."""
     fold = (F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 5 == 0).alias("held")
-    rows = found.filter("size(base) + size(loose) > 0").select(fold, F.explode(labelled).alias("x")).select("held", "x.y", *[f"x.c.{f}" for f in FEATURES]).groupBy("held", "y", *FEATURES).count().orderBy("held", "y", *FEATURES).collect()
+    labelled = F.transform(F.concat("made", F.filter("loose", _apart)), lambda c: F.struct(c.alias("c"), c["check"].alias("y")))
+    rows = found.filter("size(made) + size(loose) > 0").select(fold, F.explode(labelled).alias("x")).select("held", "x.y", *[f"x.c.{f}" for f in FEATURES]).groupBy("held", "y", *FEATURES).count().orderBy("held", "y", *FEATURES).collect()
     train = [(tuple(r[f] for f in FEATURES), r["y"], r["count"]) for r in rows if not r["held"]]
     held = [(tuple(r[f] for f in FEATURES), r["y"], r["count"]) for r in rows if r["held"]]
-    if len({y for _, y, _ in train}) < 2:
+    if not any(y for _, y, _ in train + held):
         return Model(-20.0, [], [1.0] * len(KINDS))
     ones, whole = sum(n for _, y, n in train if y), sum(n for *_, n in train)
-    bias = math.log(ones / (whole - ones))
+    bias = math.log((ones + 1) / (whole - ones + 1))
     score, trees = [bias] * len(train), []
 
     def best(idx, g, h):
@@ -188,7 +234,8 @@ def fit(found: DataFrame, rounds: int = 24, rate: float = 0.4, precision: float
     model = Model(bias, trees, [])
     thresholds = []
     for k in range(len(KINDS)):
-        seen = sorted(((_score(model, x), y, n) for x, y, n in held if x[0] == k), reverse=True)
+        part = held if any(y and x[0] == k for x, y, _ in held) else train + held
+        seen = sorted(((_score(model, x), y, n) for x, y, n in part if x[0] == k), reverse=True)
         limit, good, out = 1.0, 0, 0
         for j, (s, y, n) in enumerate(seen):
             good, out = good + n * y, out + n
@@ -219,8 +266,7 @@ def select(found: DataFrame, model: Model) -> DataFrame:
     Of added spans of a kind that overlap, all stay: a redaction covers their union.
     """
     limit = F.array(*[F.lit(t) for t in model.thresholds])
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    chosen = F.filter("loose", lambda c: (c["loose"] == 1) & (probability(model, c) >= limit[c["kind"]]) & apart(c))
+    chosen = F.filter("loose", lambda c: (c["loose"] == 1) & (probability(model, c) >= limit[c["kind"]]) & _apart(c))
     return found.select("doc_id", "base", F.when(F.size("loose") > 0, chosen).otherwise(F.col("loose")).alias("added"))
 
 

@@ -88,6 +88,23 @@ def test_boosting_learns_and_spares_plain_numbers(spark):
     assert all(len(r.base) == 2 for r in out if r.doc_id < 100)
 
 
+def test_each_kind_gains_loose_forms_and_plain_numbers_gain_none(spark):
+    base = [(i, f"call +1 (743) 555-{3000 + i} or write user{i}@mail.example.com from 10.0.{i}.7 with 4111 1111 1111 1111 today") for i in range(60)]
+    plain = [f"chapter {i} of {i + 3} has 12 pages, rows 10 20 30 40 {50 + i}, on 2024-01-02 10:30 and 01.02.2023 10, 1 234 567 890 in all, ids 4111.1111.1111.1112, 1:2:3:4:5:6:7:{i}, me@host" for i in range(60)]
+    loose = {
+        "email": ["john.doe [at] example.com", "john.doe(at)example(dot)com"],
+        "ip": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:0:0:0:202:b3ff:fe1e:8329"],
+        "card": ["4111.1111.1111.1111", "5500/0000/0000/0004"],
+        "phone": ["(743) 555-3824", "1 743 555 3824", "030 1234 5678"],
+    }
+    planted = [(k, x) for k, xs in loose.items() for x in xs]
+    rows = base + [(1000 + i, t) for i, t in enumerate(plain)] + [(2000 + i, f"we saw {x} here. Then 5 more") for i, (_, x) in enumerate(planted)]
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.digest(F.col("base")).alias("base"), pii.digest(F.col("added")).alias("added")).collect()}
+    assert [out[2000 + i].added for i in range(len(planted))] == [f"{k}:7:{7 + len(x)}" for k, x in planted]
+    assert all(out[i].added == "" and out[i].base.count(",") == 3 for i in range(60))
+    assert {out[1000 + i].added for i in range(60)} == {""}
+
+
 def test_mixing_targets_and_positions(spark):
     df, rows = documents(spark)
     out = curriculum.in_order(df.withColumn("size", F.lit("clash"))).collect()
