@@ -1,13 +1,13 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
-The model has, for each language, how often the most frequent words of a bounded sample occur,
+The model has, for each language, how often the words of a bounded sample occur,
 and n-gram counts made from them. A word of the table scores by its log frequency in each
 language; another by the mean log frequency of its longest n-grams that are known (ORDER
 letters, then one less, and so on), at BACKOFF of a word's weight for each step.
 
 Words are runs of letters in lower case. The tables come from at most
 ``max_documents`` documents with a language (first in a hash order of doc_id), counted whole by the
-executors; ``max_words`` entries of a language and word, the most frequent, are kept.
+executors; all their words are kept, as arrays sorted by 64-bit fingerprints.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text where no language could be learned; ties go to the first language in
@@ -16,6 +16,7 @@ order; repeated rows get equal results; extra columns stay.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -30,7 +31,6 @@ from pyspark.sql import types as T
 from pagemill.llm.work import bounded_batches
 
 MAX_DOCUMENTS = 20_000
-MAX_WORDS = 60_000
 ORDER = 4
 BACKOFF = 0.7
 CACHE = 1 << 18
@@ -43,9 +43,31 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def _name(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Words(NamedTuple):
+    """An entry for each language and word, by the word's fingerprint; absent counts are 0."""
+
+    names: np.ndarray
+    langs: np.ndarray
+    counts: np.ndarray
+    base: np.ndarray  # by language
+
+    def get(self, word: str) -> np.ndarray | None:
+        name = np.uint64(_name(word))
+        i, j = self.names.searchsorted(name), self.names.searchsorted(name, "right")
+        if i == j:
+            return None
+        n = np.zeros(len(self.base))
+        n[self.langs[i:j]] = self.counts[i:j]
+        return np.log(n + 0.5) - self.base
+
+
 class Model(NamedTuple):
     languages: list[str]
-    words: dict[str, np.ndarray]
+    words: Words
     grams: list[dict[str, np.ndarray]]  # by length, the shortest first
 
 
@@ -59,18 +81,20 @@ def model_of(rows: list[tuple[str, str, int]]) -> Model:
     """From (language, word, count)."""
     languages = sorted({r[0] for r in rows})
     at = {x: i for i, x in enumerate(languages)}
-    words: dict = defaultdict(lambda: [0.0] * len(languages))
+    names, langs, counts = np.empty(len(rows), np.uint64), np.empty(len(rows), np.int32), np.empty(len(rows))
     grams = [defaultdict(lambda: [0.0] * len(languages)) for _ in range(ORDER)]
-    for lang, word, n in rows:
-        words[word][at[lang]] += n
+    for i, (lang, word, n) in enumerate(rows):
+        names[i], langs[i], counts[i] = _name(word), at[lang], n
         weight = 1 + math.log(n)
         for k in range(ORDER):
             for g in _grams(word, k + 1):
                 grams[k][g][at[lang]] += weight
-    return Model(languages, _logs(words, len(languages), 0.5), [_logs(g, len(languages), 0.5) for g in grams])
+    order = np.argsort(names, kind="stable")
+    base = np.log(np.bincount(langs, counts, len(languages)) + 0.5 * (len(np.unique(names)) + 1))
+    return Model(languages, Words(names[order], langs[order], counts[order], base), [_logs(g, len(languages), 0.5) for g in grams])
 
 
-def learned(docs: DataFrame, usable: Column, max_documents: int = MAX_DOCUMENTS, max_words: int = MAX_WORDS) -> Model:
+def learned(docs: DataFrame, usable: Column, max_documents: int = MAX_DOCUMENTS) -> Model:
     """A model of text and lang of the documents whose doc_id meets ``usable``, a condition on doc_id."""
     bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
@@ -86,8 +110,8 @@ def learned(docs: DataFrame, usable: Column, max_documents: int = MAX_DOCUMENTS,
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     words = docs.join(pick, "doc_id", "left_semi").filter("lang is not null").select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    top = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    return model_of([(r["lang"], r["word"], r["n"]) for r in top])
+    table = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")])
+    return model_of(list(zip(*[c.to_pylist() for c in table.columns])))
 
 
 class Scorer:

@@ -208,6 +208,17 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert {r.lang_pred for r in language.identified(docs, blank).collect()} == {"und"}
 
 
+def test_all_words_of_the_sample_are_known(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    rows = [(k, " ".join(f"{name(i)} {name(i)}" for i in range(k * 7000, k * 7000 + 7000)), "en") for k in range(9)] + [(9, "zwrot rzadki żółty", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learned(docs, F.lit(True))
+    assert model.languages == ["en", "pl"]
+    assert all(model.words.get(w) is not None for w in (name(0), name(62_999), "rzadki")) and model.words.get("unseen") is None
+    ask = spark.createDataFrame([(1, "zwrot żółty"), (2, name(62_999))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identified(ask, model).collect()} == {1: "pl", 2: "en"}
+
+
 def test_cache_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(language, "CACHE", 8)
     scorer = language.Scorer(language.model_of([("en", "the", 9), ("de", "das", 9)]))
