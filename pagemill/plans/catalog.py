@@ -341,6 +341,12 @@ def normalize_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", N.normalized(F.replace(plain, F.lit("\n"), F.lit("\r\n"))).alias("text"))
 
 
+@query()
+def normalize_whole_text(spark, sf_dir):
+    """All passes over unchanged texts."""
+    return _table(spark, sf_dir, "documents").select("doc_id", N.normalized(F.col("text")).alias("text"))
+
+
 # --- tables ---
 
 

@@ -97,3 +97,13 @@ def test_margin_keys(spark):
     rows = [("Title 12", [0.0, 10.0, 9.0, 30.0]), (" – 7 – ", [0.0, 770.0, 9.0, 790.0]), ("body", [0.0, 300.0, 9.0, 320.0]), ("x" * 101, [0.0, 10.0, 9.0, 30.0]), ("no box", [])]
     got = [r[0] for r in spark.createDataFrame(rows, "t string, b array<double>").select(X.margin_key(F.col("t"), F.col("b"), F.lit(800.0))).collect()]
     assert got == ["top:Title #", "page-number", "", "", ""]
+
+
+def test_whole_texts_are_normalised(spark, tmp_path):
+    from pagemill.plans import catalog
+
+    texts = {1: "你好, 世界.", 2: "Hello，world ！", 3: "第 1 章 (附录)\r\n\n\n\nx ", 4: "https://a.b/c,d é 漢字 ( x )", 5: "plain text 12.5", 6: "等等...", 7: "", 8: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in catalog.QUERIES["normalize_whole_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: N.normalize_text(t) for k, t in texts.items()}
+    assert (got[1], got[2], got[6]) == ("你好，世界。", "Hello, world!", "等等……")
