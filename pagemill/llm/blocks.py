@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,21 +42,23 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK) -> Itera
 
 
 class _Powers:
-    def __init__(self) -> None:
+    def __init__(self, base: np.uint64) -> None:
+        self.bases = ("up", base), ("down", np.uint64(pow(int(base), -1, 1 << 64)))
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << int(n - 1).bit_length()
             with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", _INVERSE)):
+                for name, base in self.bases:
                     t = np.full(size, base, np.uint64)
                     t[0] = 1
                     setattr(self, name, np.multiply.accumulate(t))
         return self.up, self.down
 
 
-POWERS = _Powers()
+POWERS = _Powers(_BASE)
+OTHER_POWERS = _Powers(np.uint64(0xC6BC279692B5C323))  # for fingerprints that don't depend on the first
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = BLOCK) -> np.ndarray:
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = BLOCK, powers: _Powers = POWERS) -> np.ndarray:
     """64-bit fingerprints of data[start:end] for spans in order of start and of end."""
     out = np.empty(len(start), np.uint64)
     i = 0
@@ -76,7 +77,7 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int
         while i < len(start):
             j = max(i + 1, int(np.searchsorted(end, start[i] + limit, "right")))
             lo, hi = int(start[i]), int(end[j - 1])
-            up, down = POWERS.get(hi - lo + 1)
+            up, down = powers.get(hi - lo + 1)
             total = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
             s, e = start[i:j] - lo, end[i:j] - lo

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from pagemill.llm.blocks import mix
 
-MOST_BITS, LEAST_BITS, BITS_A_KEY = 1 << 26, 1 << 16, 16
+MOST_BITS, LEAST_BITS, BITS_A_KEY = 1 << 26, 1 << 20, 16
 _ROWS = 64  # rows that the filter travels in
 
 
@@ -70,14 +70,14 @@ class Test:
         return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def parted(df: DataFrame, column: str, test: Test, null_key: int) -> tuple[DataFrame, DataFrame]:
-    """The rows whose long ``column`` surely isn't in the filter, and the others."""
-    schema, at = df.schema, df.columns.index(column)
+def parted(df: DataFrame, test: Test) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key (columns __doc and __text) surely isn't in the filter, and the others."""
+    schema, at = df.schema, [df.columns.index(c) for c in ("__doc", "__text")]
 
     def side(which: bool):
         def run(batches):
             for b in batches:
-                yield b.filter(pa.array(test(b.column(at).cast(pa.int64()).fill_null(null_key).to_numpy()) == which))
+                yield b.filter(pa.array(test(np.bitwise_xor(*(b.column(i).to_numpy() for i in at))) == which))
 
         return df.mapInArrow(run, schema)
 

@@ -5,34 +5,32 @@ sequence). Items are partitioned by the size of that set, by powers of two; each
 partition keeps bottom MinHash sketches as long as its largest item needs: of
 the u - ceil(t u) + 1 smallest hashes of an item at least one is in every
 document that holds a share t of its shingles. So documents of any length are
-probed with the sketches, without windows or loss, and hits are verified by
-counting all of the item's shingles in the document.
+probed with the sketches, without windows or loss.
 
-The items' shingles are sent to all executors if they number at most
-``most_shared``; beyond that, sketches and shingles are joined by hash.
+One plan serves every size. A pass over the texts keeps the shingles that may be
+an item's (a Bloom filter of bounded size thins them out, the joins below are exact);
+a join with the sketches finds candidate pairs; only for these all of the item's
+shingles in the document are counted.
 
 Defined cases: an item without words matches nothing; an item of fewer than k
 words matches where its word sequence stands in a document; null texts are
 empty; items that repeat an item_id are one item each; a null doc_id or item_id
-is kept as it is; extra columns are ignored by ``matches`` and kept by
-``decontaminated``.
+is kept as it is; different texts under one doc_id (or null) are documents of their
+own, rows alike in both give one match; extra columns are ignored by ``matches``
+and kept by ``decontaminated``.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.blocks import distinct, mix, shingles, signed, text_blocks, words
-from pagemill.llm.bloom import Bloom, parted
-from pagemill.llm.setjoin import NO_ID
-from pagemill.llm.work import written
+from pagemill.llm.bloom import Bloom
+from pagemill.llm.work import NO_ID, row_key, without, written
 
-MOST_SHARED = 2_000_000  # shingles: 16 MB, and as much for their items
 SHINGLES = "item long, item_id long, words int, size int, value long, sketch boolean"
 
 
@@ -64,102 +62,40 @@ def item_shingles(benchmark: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     return written(numbered.mapInArrow(run, SHINGLES), "benchmark")
 
 
-class Table(NamedTuple):
-    value: np.ndarray  # distinct, ascending
-    first: np.ndarray  # rows of value i: first[i]:first[i + 1]
-    item: np.ndarray  # its item's index, row by row
-    sketch: np.ndarray
-    size: np.ndarray  # by item
-    item_id: list
-    seen: np.ndarray  # bit map of the values' low bits
-
-
-def _tables(rows) -> dict[int, Table]:
-    out = {}
-    for m in sorted({r["words"] for r in rows}):
-        of = sorted((r for r in rows if r["words"] == m), key=lambda r: r["value"] % (1 << 64))
-        items = {}
-        for r in of:
-            items.setdefault(r["item"], (len(items), r["size"], r["item_id"]))
-        all_values = np.array([r["value"] for r in of], np.int64).view(np.uint64)
-        value, first = np.unique(all_values, return_index=True)
-        seen = np.zeros(1 << 20, bool)
-        seen[(value & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        out[m] = Table(value, np.append(first, len(of)), np.array([items[r["item"]][0] for r in of]), np.array([r["sketch"] for r in of]), np.array([x[1] for x in items.values()]), [x[2] for x in items.values()], seen)
-    return out
-
-
-MATCHES = "doc long, doc_id long, item_id long, n_found int, n_item int"
-
-
-def _probe(tables, num: int, den: int):
-    names = [x.split()[0] for x in MATCHES.split(", ")]
-
-    def run(batches):
-        for b in batches:
-            for block in text_blocks(b.column(1)):
-                w = words(block.data, block.bounds)
-                for m, t in tables.value.items():
-                    values, first = distinct(*shingles(w, m))
-                    near = np.flatnonzero(t.seen[(values & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                    at = np.minimum(np.searchsorted(t.value, values[near]), len(t.value) - 1)
-                    near, at = near[t.value[at] == values[near]], at[t.value[at] == values[near]]
-                    if not len(near):
-                        continue
-                    doc = np.searchsorted(first, near, "right") - 1
-                    long_enough = np.diff(w.first)[doc] >= m  # a shorter document's only shingle isn't m words
-                    doc, at = doc[long_enough], at[long_enough]
-                    count = t.first[at + 1] - t.first[at]
-                    row = np.repeat(t.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    pair = np.repeat(doc, count) * len(t.size) + t.item[row]
-                    pair, turn, found = np.unique(pair, return_inverse=True, return_counts=True)
-                    hit = np.bincount(turn, t.sketch[row], minlength=len(pair)) > 0
-                    item = pair % len(t.size)
-                    ok = np.flatnonzero(hit & (found * den >= num * t.size[item]))
-                    ids = b.column(0).take(pa.array(block.first + pair[ok] // len(t.size)))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.fill_null(NO_ID), ids, pa.array([t.item_id[i] for i in item[ok]], pa.int64()), pa.array(found[ok], pa.int32()), pa.array(t.size[item[ok]], pa.int32())], names
-                    )
-
-    return run
-
-
 def _values(sizes: list[int], test):
+    """(doc, text_id, words, value) of the distinct shingles that may be an item's."""
+    names = ["doc", "text_id", "words", "value"]
+
     def run(batches):
         for b in batches:
-            for block in text_blocks(b.column(1)):
+            for block in text_blocks(b.column(2)):
                 w = words(block.data, block.bounds)
                 for m in sizes:
                     values, first = distinct(*shingles(w, m))
                     near = np.flatnonzero(test(values.view(np.int64)))
                     doc = np.searchsorted(first, near, "right") - 1
-                    ok = np.diff(w.first)[doc] >= m
-                    near, doc = near[ok], doc[ok]
-                    ids = b.column(0).take(pa.array(block.first + doc))
-                    # The text's fingerprint keeps rows apart that share a doc_id.
-                    text = np.add.reduceat(mix(w.hash + np.arange(len(w.hash), dtype=np.uint64)), w.first[:-1].clip(max=max(len(w.hash) - 1, 0))) if len(w.hash) else np.zeros(len(w.first) - 1, np.uint64)
-                    yield pa.RecordBatch.from_arrays([ids.fill_null(NO_ID), ids, signed(text[doc]), pa.array(np.full(len(near), m), pa.int32()), signed(values[near])], ["doc", "doc_id", "text_id", "words", "value"])
+                    ok = np.diff(w.first)[doc] >= m  # a shorter document's only shingle isn't m words
+                    near, doc = near[ok], pa.array(block.first + doc[ok])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(np.full(len(near), m), pa.int32()), signed(values[near])], names)
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 8, den: int = 10, most_shared: int = MOST_SHARED) -> DataFrame:
-    """doc (NO_ID for a null doc_id), doc_id, item_id, n_found, n_item: documents with at least num / den of an item's shingles."""
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc (NO_ID for a null doc_id), text_id, doc_id, item_id, n_found, n_item: documents with at least num / den of an item's shingles."""
     items = item_shingles(benchmark, k, num, den)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    if items.count() <= most_shared:
-        tables = docs.sparkSession.sparkContext.broadcast(_tables(items.collect()))
-        return docs.mapInArrow(_probe(tables, num, den), MATCHES)
-    sizes = [r[0] for r in items.select("words").distinct().collect()]  # 1 to k
-    found = written(docs.mapInArrow(_values(sizes, Bloom(items.select("value")).test()), "doc long, doc_id long, text_id long, words int, value long"), "item-values")
-    who = ["doc", "doc_id", "text_id"]
-    hits = found.join(items, ["words", "value"]).groupBy(*who, "item", "item_id", "size").agg(F.count("*").alias("n"), F.max("sketch").alias("hit"))
-    return hits.filter(F.col("hit") & (F.col("n") * den >= num * F.col("size"))).select("doc", "doc_id", "item_id", F.col("n").cast("int").alias("n_found"), F.col("size").alias("n_item"))
+    sizes = sorted(r[0] for r in items.select("words").distinct().collect())  # 1 to k
+    key = row_key()
+    rows = docs.select(key["__doc"].alias("doc"), key["__text"].alias("text_id"), "text")
+    found = written(rows.mapInArrow(_values(sizes, Bloom(items.select("value")).test()), "doc long, text_id long, words int, value long"), "item-values")
+    sketches = items.filter("sketch").select("words", "value", "item")
+    candidates = found.join(sketches, ["words", "value"]).select("doc", "text_id", "item").distinct()
+    exact = found.join(items.drop("sketch"), ["words", "value"]).join(candidates, ["doc", "text_id", "item"])
+    counted = exact.groupBy("doc", "text_id", "item", "item_id", "size").agg(F.count_distinct("value").cast("int").alias("n_found"))
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
+    return counted.filter(F.col("n_found") * den >= num * F.col("size")).select("doc", "text_id", doc_id, "item_id", "n_found", F.col("size").alias("n_item"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that match an item; rows that share a matching doc_id all go."""
-    hit = written(matches(docs, benchmark, **how).select(F.col("doc").alias("__doc")).distinct(), "contaminated")
-    rest, some = parted(docs, "doc_id", Bloom(hit).test(), NO_ID)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    return rest.unionByName(some.withColumn("__key", key).join(hit.hint("merge"), F.col("__key") == F.col("__doc"), "left_anti").drop("__key"))
+    """``docs`` without the documents that match an item; what shares a doc_id with one but has another text is judged by itself."""
+    return without(docs, written(matches(docs, benchmark, **how).select("doc", "text_id").distinct(), "contaminated"))

@@ -14,13 +14,14 @@ row with a name of all its bytes, and of equal runs all but the earliest are
 repeats as a whole. Only the earliest runs of anchors that occur in unequal runs
 are expanded to pairs for each position, and only pairs that occur twice become rows.
 
-Names are 64-bit fingerprints. Tasks combine what they have read before they
+Runs are equal if their anchors' ranks and their names are, strings if two
+fingerprints are that don't depend on each other: 128 bits each. Tasks combine what they have read before they
 pass it on (of equal runs in a batch, the earliest goes on), so a string in a
 third of all documents gives a row for each batch.
 
 Defined cases: positions order by doc_id (null first), then start; rows that
-repeat a doc_id take the same place, so equal texts under one id don't remove
-each other; a null text is empty; texts shorter than ``least`` bytes stay whole.
+repeat a doc_id take the same place, so that equal strings at equal starts don't remove
+each other, and rows alike in doc_id and text keep the same bytes; a null text is empty; texts shorter than ``least`` bytes stay whole.
 Extra columns are kept, names that clash with the added ones are replaced.
 """
 
@@ -34,10 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.blocks import BLOCK, POWERS, Block, mix, signed, spans_hash, text_blocks
+from pagemill.llm.blocks import BLOCK, OTHER_POWERS, POWERS, Block, mix, signed, spans_hash, text_blocks
 from pagemill.llm.bloom import Bloom, parted
-from pagemill.llm.setjoin import NO_ID
-from pagemill.llm.work import removed, written
+from pagemill.llm.work import removed, row_key, written
 
 LEAST = 100
 HELD = 1 << 19  # names that a task holds before it combines them
@@ -147,8 +147,7 @@ def repeated_ranks(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def _ids(b: pa.RecordBatch, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Each document's place in the order, and its text's fingerprint, which keeps rows apart that share an id."""
-    ids = b.column(0).slice(block.first, len(block.bounds) - 1).fill_null(NO_ID).to_numpy()
-    return ids, spans_hash(block.data, block.bounds[:-1], block.bounds[1:]).view(np.int64)
+    return tuple(b.column(c).slice(block.first, len(block.bounds) - 1).to_numpy() for c in (0, 1))
 
 
 RUNS = "rank long, name long, doc long, text_id long, p int, n int, local boolean"
@@ -200,7 +199,7 @@ def surviving_runs(docs: DataFrame, test, least: int = LEAST) -> DataFrame:
 
     def surviving(batches):
         for b in batches:
-            for block in text_blocks(b.column(1)):
+            for block in text_blocks(b.column(2)):
                 r = runs(block, least)
                 keep = np.flatnonzero(test(r.rank.view(np.int64)))
                 if len(keep):
@@ -219,11 +218,11 @@ def _places(doc: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _open_strings(batches, in_doc, in_place, least: int):
-    """For each block (name, doc, text_id, p) of the strings of the runs that pass; a run more does no harm."""
+    """For each block (name, doc, text_id, p, block, at) of the strings of the runs that pass, at being the start in the block; a run more does no harm."""
     h = least // 2
     for b in batches:
-        b = b.filter(pa.array(in_doc(b.column(0).fill_null(NO_ID).to_numpy())))
-        for block in text_blocks(b.column(1)):
+        b = b.filter(pa.array(in_doc(b.column(0).to_numpy())))
+        for block in text_blocks(b.column(2)):
             r = runs(block, least)
             ids, text = _ids(b, block)
             keep = np.flatnonzero(in_place(_places(ids[r.doc], r.p - block.bounds[r.doc])))
@@ -237,12 +236,13 @@ def _open_strings(batches, in_doc, in_place, least: int):
                 i, j = np.searchsorted(every, [lo, lo + BLOCK])
                 if i < j:
                     names[i:j] = pairs(ranks(block.data[lo : lo + BLOCK + least], h), least - h)[every[i:j] - lo]
-            yield names, ids[doc], text[doc], every - block.bounds[doc]
+            yield names, ids[doc], text[doc], every - block.bounds[doc], block, every
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, text_id, start, end): byte ranges, maybe overlapping, of all strings that also start earlier."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    key = row_key()
+    docs = docs.select(key["__doc"].alias("doc"), key["__text"].alias("text_id"), "text")
     buckets = 4 * max(8, docs.rdd.getNumPartitions())
     anchors = repeated_ranks(docs, least)
     found = surviving_runs(docs, Bloom(anchors).test(), least)
@@ -272,14 +272,15 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def strings(batches):
         def kept():
-            for name, doc, text, p in _open_strings(batches, in_doc, in_place, least):
+            for name, doc, text, p, block, at in _open_strings(batches, in_doc, in_place, least):
                 k = np.flatnonzero(in_twice(name.view(np.int64)))
-                yield np.zeros(len(k), np.uint64), name[k], doc[k], text[k], p[k], np.ones(len(k), np.int64)
+                other = spans_hash(block.data, at[k], at[k] + least, powers=OTHER_POWERS)
+                yield other, name[k], doc[k], text[k], p[k], np.ones(len(k), np.int64)
 
         yield from _earliest_first(kept(), least)
 
     single = written(docs.mapInArrow(strings, RUNS), "strings")
-    return late(found, first, ["rank", "name"]).union(late(single, single.filter("not local").groupBy("name").agg(*earliest), ["name"]))
+    return late(found, first, ["rank", "name"]).union(late(single, single.filter("not local").groupBy("rank", "name").agg(*earliest), ["rank", "name"]))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -287,20 +288,15 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.drop("kept", "spans", "n_bytes", "n_removed")
     found = repeats(docs, least).groupBy(F.col("doc").alias("__doc"), F.col("text_id").alias("__text")).agg(F.collect_set(F.struct("start", "end")).alias("__found"))  # at most a text's length
     found = written(found, "repeats")
-    rest, some = parted(docs, "doc_id", Bloom(found.select("__doc")).test(), NO_ID)
+    rest, some = parted(docs.withColumns(row_key()), Bloom(found.select(F.col("__doc").bitwiseXOR(F.col("__text")))).test())
+    rest, found = rest.drop("__doc", "__text"), found.withColumnsRenamed({"__doc": "__of_doc", "__text": "__of_text"})
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     rest = rest.withColumns({"kept": F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "spans": F.array().cast(span), "n_bytes": n_bytes, "n_removed": F.lit(0).cast("long")})
     at = docs.columns.index("text")
 
-    def marked(batches):
-        for b in batches:
-            ids = [np.zeros(0, np.int64)] + [spans_hash(block.data, block.bounds[:-1], block.bounds[1:]).view(np.int64) for block in text_blocks(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(ids))], [*b.schema.names, "__id"])
-
-    some = some.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("__id", T.LongType())]))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    some = some.withColumn("__key", key).join(found.hint("merge"), (F.col("__key") == F.col("__doc")) & (F.col("__id") == F.col("__text")), "left").select(*docs.columns, "__found")
+    of_row = (F.col("__doc") == F.col("__of_doc")) & (F.col("__text") == F.col("__of_text"))
+    some = some.join(found.hint("merge"), of_row, "left").select(*docs.columns, "__found")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", span), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches):

@@ -13,8 +13,8 @@ are one node, known by a 64-bit fingerprint, so that copies aren't multiplied.
    only their members, so no group is expanded. With several orders, a pair must
    be found under each.
 3. The candidates' connected clusters are cut into blocks of BLOCK_NODES nodes; each two
-   blocks of a cluster meet in one task, which computes exact overlaps and returns
-   at most one row a node.
+   blocks of a cluster meet in one task. There, too, two nodes are compared only if they
+   share a prefix token under every order; what is left gets an exact overlap.
 """
 
 from __future__ import annotations
@@ -29,17 +29,17 @@ from pyspark.sql import functions as F
 from pagemill.llm.blocks import Block, distinct, mix, shingles, signed, text_blocks, words
 from pagemill.llm.bloom import Bloom, bit_places
 from pagemill.llm.components import components
-from pagemill.llm.work import removed, written
+from pagemill.llm.work import NO_ID, removed, row_key, written
 
 SMALL_GROUP = 32
 SEEN_BITS = 1 << 26
 BLOCK_NODES = 256
 GROUP_NODES = 1024
-LEVELS = 1 << 23  # bytes at most of the table of token counts; it only affects cost
+FEW = 8  # sets that are compared one by one
+LEVELS = 1 << 23  # bytes at most of the table of token counts, of which an eighth is filled, by the most frequent tokens; it only affects cost
 _PART = 1 << 16
 HOT = 17  # as a power of two: tokens counted more often are dealt out by node
 FLUSH = 1 << 18  # records held before they are passed on
-NO_ID = -(1 << 63)
 RECORD = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
 
@@ -81,8 +81,8 @@ def set_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Units (doc_id, unit, n, node; node null where n is 0) and token counts (token, seen)."""
-    schema = "doc_id long, unit int, n int, node long, token long, seen long"
+    """Units (doc_id, text_id, unit, n, node; node null where n is 0) and token counts (token, seen)."""
+    schema = "doc_id long, text_id long, unit int, n int, node long, token long, seen long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -100,14 +100,14 @@ def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
             n = n + before
             v, n = v[n > 1], n[n > 1]
             none = pa.nulls(len(v))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), signed(v), pa.array(n)], names)
+            return pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())), signed(v), pa.array(n)], names)
 
         for b in batches:
-            for block in text_blocks(b.column(1)):
+            for block in text_blocks(b.column(2)):
                 u = units(block, spec)
                 n, none = np.diff(u.first), pa.nulls(len(u.node), pa.int64())
-                node = pa.array(u.node.view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(u.doc)), pa.array(u.no, pa.int32()), pa.array(n, pa.int32()), node, none, none], names)
+                node, doc = pa.array(u.node.view(np.int64), mask=n == 0), pa.array(u.doc)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(u.no, pa.int32()), pa.array(n, pa.int32()), node, none, none], names)
                 held.append(u.values)
                 size += len(u.values)
                 if size > 2 * FLUSH:
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
         if size:
             yield counts()
 
-    rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "units")
+    rows = written(docs.select(F.col("doc_id").cast("long"), row_key()["__text"], "text").mapInArrow(run, schema), "units")
     return rows.filter("token is null").drop("token", "seen"), rows.filter("token is not null").select("token", "seen")
 
 
@@ -129,9 +129,16 @@ def _levels(key, table):
 
 def token_levels(counts: DataFrame):
     """A broadcast table: for the low bits of a token, the power of two of how often it was counted; 0 for others."""
-    size = min(LEVELS, max(_PART, 1 << (4 * counts.count()).bit_length()))
+    counts = counts.groupBy("token").agg(F.sum("seen").alias("seen"))
+    by_level = sorted(((r[0], r[1]) for r in counts.groupBy(F.log2("seen").cast("int")).count().collect()), reverse=True)  # at most 64 rows
+    least, held = 64, 0
+    for level, n in by_level:  # whole levels from the top, as long as the table stays thinly filled
+        if held and held + n > LEVELS // 8:
+            break
+        least, held = level, held + n
+    size = min(LEVELS, max(_PART, 1 << (4 * held).bit_length()))
     part = F.shiftright("token", 16).bitwiseAND(size // _PART - 1).cast("int").alias("part")
-    rows = counts.groupBy("token").agg(F.sum("seen").alias("seen")).select("token", "seen", part).groupBy("part").applyInArrow(_levels, "part int, levels binary").collect()
+    rows = counts.filter(F.log2("seen") >= least).select("token", "seen", part).groupBy("part").applyInArrow(_levels, "part int, levels binary").collect()
     out = np.zeros(size, np.uint8)
     for r in rows:  # at most LEVELS / _PART rows
         out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["levels"], np.uint8)
@@ -234,10 +241,10 @@ def _grouped(spec: Spec, buckets: int):
     return run
 
 
-def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, spec: Spec, levels) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) whose connected clusters hold every pair of nodes that links; and the table that they are made from."""
     buckets = 4 * max(8, docs.rdd.getNumPartitions())
-    found = packed(docs, spec, token_levels(counts), buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
+    found = packed(docs, spec, levels, buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
     found = written(found, "candidates")
     pairs = lambda o: found.filter((F.col("ord") == o) & ~F.col("large")).select("a", "b").distinct()
     kept = pairs(0)
@@ -255,41 +262,55 @@ def candidates(docs: DataFrame, spec: Spec, counts: DataFrame) -> tuple[DataFram
     return kept.union(star).distinct(), found
 
 
-def _texts(spec: Spec, in_doc, in_node):
-    """(node, doc, unit, text) of the units that pass; text is shipped since it packs better than its set."""
+def _texts(spec: Spec, in_row, in_node):
+    """(node, doc, text_id, unit, text) of the units that pass; text is shipped since it packs better than its set."""
 
     def run(batches):
+        seen = set()  # latest units: a row that is repeated adds nothing
         for b in batches:
-            b = b.filter(pa.array(in_doc(b.column(0).fill_null(NO_ID).to_numpy())))
-            ids = b.column(0).fill_null(NO_ID)
-            for block in text_blocks(b.column(1)):
+            b = b.filter(pa.array(in_row(b.column(0).to_numpy() ^ b.column(1).to_numpy())))
+            rows = b.column(0).to_numpy() ^ b.column(1).to_numpy()
+            for block in text_blocks(b.column(2)):
                 u = units(block, spec)
                 hit = np.flatnonzero(in_node(u.node.view(np.int64)) & (np.diff(u.first) > 0))
+                marks = mix(u.node[hit] ^ rows[u.doc[hit]].view(np.uint64)).tolist()
+                hit = hit[[not (x in seen or seen.add(x)) for x in zip(marks, u.no[hit].tolist())]] if len(hit) else hit
+                if len(seen) > 2 * FLUSH:
+                    seen.clear()
                 if len(hit):
                     text = pa.array([block.data[u.start[i] : u.start[i + 1]].tobytes() for i in hit], pa.binary())
-                    yield pa.RecordBatch.from_arrays([signed(u.node[hit]), ids.take(pa.array(u.doc[hit])), pa.array(u.no[hit], pa.int32()), text], ["node", "doc", "unit", "text"])
+                    doc = pa.array(u.doc[hit])
+                    yield pa.RecordBatch.from_arrays([signed(u.node[hit]), b.column(0).take(doc), b.column(1).take(doc), pa.array(u.no[hit], pa.int32()), text], ["node", "doc", "text_id", "unit", "text"])
 
     return run
 
 
-def overlaps(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray):
-    """For each of ``left``: its index and the sizes of its set's intersections with the sets of ``right``."""
-    owner = np.repeat(np.arange(len(right)), [len(tokens[i]) for i in right])
-    every = np.concatenate([tokens[i] for i in right])
-    table, code = np.unique(every, return_inverse=True)
-    flag = np.zeros(len(table), bool)
-    for i in left:
-        at = np.minimum(np.searchsorted(table, tokens[i]), len(table) - 1)
-        at = at[table[at] == tokens[i]]
-        flag[at] = True
-        yield i, np.bincount(owner[flag[code]], minlength=len(right))
-        flag[at] = False
+class Against:
+    """Sizes of intersections with each of several sets."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.owner, self.count = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets)
+        self.table, self.code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flag = np.zeros(len(self.table), bool)
+
+    def __call__(self, one: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.table, one), len(self.table) - 1)
+        at = at[self.table[at] == one]
+        self.flag[at] = True
+        out = np.bincount(self.owner[self.flag[self.code]], minlength=self.count)
+        self.flag[at] = False
+        return out
 
 
-def _verify(spec: Spec, later: bool):
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
+def _verify(spec: Spec, later: bool, levels):
     """Of a table of cluster blocks that meet (root, p, q), the links, or the nodes that link to an earlier one."""
 
-    def meet(block, p, q, tokens, n, place, node):
+    def meet(block, p, q, tokens, prefixes, n, place, node):
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         up = list(range(len(node)))
         gone = np.zeros(len(node), bool)
@@ -300,8 +321,20 @@ def _verify(spec: Spec, later: bool):
                 x = up[x]
             return x
 
-        for i, common in overlaps(tokens, left, right) if len(left) and len(right) else ():
-            hits = right[(common * (spec.den + spec.num) >= spec.num * (n[i] + n[right])) & (right != i)]
+        filters = [Against([prefix[j] for j in right]) for prefix in prefixes] if len(left) and len(right) else []
+        whole = None
+        for i in left if filters else ():
+            # The filters of length and of all orders are intersected before overlaps are counted.
+            may = (np.minimum(n[i], n[right]) * spec.den >= spec.num * np.maximum(n[i], n[right])) & (right != i)
+            for against, prefix in zip(filters, prefixes):
+                may &= against(prefix[i]) > 0
+            js = right[may]
+            if len(js) > FEW:
+                whole = whole or Against([tokens[j] for j in right])
+                common = whole(tokens[i])[may]
+            else:
+                common = np.array([_common(tokens[i], tokens[j]) for j in js], np.int64)
+            hits = js[common * (spec.den + spec.num) >= spec.num * (n[i] + n[js])]
             if later:
                 gone[hits[place[hits] > place[i]]] = True
                 gone[i] |= bool((place[hits] < place[i]).any())
@@ -314,9 +347,9 @@ def _verify(spec: Spec, later: bool):
             yield from ((x, x) for x in node[gone])
 
     def run(key, table):
-        names = ["root", "p", "q", "block", "node", "unit", "doc"]
+        names = ["root", "p", "q", "block", "node", "unit", "doc", "text_id"]
         cols = {n: table.column(n).to_numpy() for n in names}
-        order = np.lexsort((cols["unit"], cols["doc"], cols["node"], cols["q"], cols["p"], cols["root"]))
+        order = np.lexsort((cols["unit"], cols["text_id"], cols["doc"], cols["node"], cols["q"], cols["p"], cols["root"]))
         cols = {n: c[order] for n, c in cols.items()}
         same = lambda *of: np.concatenate([[False], np.all([cols[n][1:] == cols[n][:-1] for n in of], axis=0)])
         once = np.flatnonzero(~same("root", "p", "q", "node"))  # repeated rows give a text twice
@@ -324,12 +357,16 @@ def _verify(spec: Spec, later: bool):
         texts = [table.column("text")[int(i)].as_py() for i in order[once]]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
         values, first = distinct(*shingles(words(np.frombuffer(b"".join(texts), np.uint8), bounds), spec.k))
-        place = np.argsort(np.lexsort((cols["node"], cols["unit"], cols["doc"])))
+        n = np.diff(first)
+        take = n - -(-spec.num * n // spec.den) + 1
+        keys = [ordered(values, first, np.frombuffer(levels.value, np.uint8), o) for o in range(spec.orders)]
+        place = np.argsort(np.lexsort((cols["node"], cols["unit"], cols["text_id"], cols["doc"])))
         starts = np.append(np.flatnonzero(~same("root", "p", "q")), len(once))
         out = []
         for a, b in zip(starts[:-1], starts[1:]):
             tokens = [values[first[i] : first[i + 1]] for i in range(a, b)]
-            out += meet(cols["block"][a:b], cols["p"][a], cols["q"][a], tokens, np.diff(first[a : b + 1]), place[a:b], cols["node"][a:b])
+            prefixes = [[key[first[i] : first[i] + take[i]] for i in range(a, b)] for key in keys]
+            out += meet(cols["block"][a:b], cols["p"][a], cols["q"][a], tokens, prefixes, n[a:b], place[a:b], cols["node"][a:b])
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -338,24 +375,27 @@ def _verify(spec: Spec, later: bool):
 def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, later: bool = False) -> DataFrame:
     """Of the join's pairs, enough to connect every component: (a, b), nodes; with ``later`` the nodes that link to an earlier one, as a.
 
-    classes: node, doc and unit of each node's first unit (doc NO_ID for a null doc_id); the order of nodes is theirs.
+    classes: node, doc, text_id and unit of each node's first unit (doc NO_ID for a null doc_id); the order of nodes is theirs.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    edges, found = candidates(docs, spec, counts)
+    key = row_key()
+    docs = docs.select(key["__doc"].alias("doc"), key["__text"].alias("text_id"), "text")
+    levels = token_levels(counts)
+    edges, found = candidates(docs, spec, levels)
     cluster = written(components(edges), "clusters")
     removed(found)
     blocks = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
-    home = written(classes.join(cluster, "node").join(blocks, "root").select("node", "doc", "unit", "root", "blocks"), "homes")
+    home = written(classes.join(cluster, "node").join(blocks, "root").select("node", "doc", "text_id", "unit", "root", "blocks"), "homes")
     removed(cluster)
-    texts = docs.mapInArrow(_texts(spec, Bloom(home.select("doc")).test(), Bloom(home.select("node")).test()), "node long, doc long, unit int, text binary")
-    one = texts.join(home.hint("merge"), ["node", "doc", "unit"])  # texts are dealt out alike at every size
+    in_row, in_node = Bloom(home.select(F.col("doc").bitwiseXOR(F.col("text_id")))).test(), Bloom(home.select("node")).test()
+    texts = docs.mapInArrow(_texts(spec, in_row, in_node), "node long, doc long, text_id long, unit int, text binary")
+    one = texts.join(home.hint("merge"), ["node", "doc", "text_id", "unit"])  # texts are dealt out alike at every size
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = one.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Small clusters go together to groups of some GROUP_NODES nodes; what two large blocks hold is a group of its own.
     share = max(1, home.count() // GROUP_NODES)
     pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
     met = met.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(share))).otherwise(pair))
-    met = met.select("part", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "doc", "unit", "text")
-    out = written(met.groupBy("part").applyInArrow(_verify(spec, later), "a long, b long").distinct(), "links")
+    met = met.select("part", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "doc", "text_id", "unit", "text")
+    out = written(met.groupBy("part").applyInArrow(_verify(spec, later, levels), "a long, b long").distinct(), "links")
     removed(home)
     return out

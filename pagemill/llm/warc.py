@@ -143,9 +143,10 @@ def _page(urn: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
-def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK, data: bool = True) -> DataFrame:
+def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK, data: bool = True, task_bytes: int = SEGMENT) -> DataFrame:
     """The archives' records as chunk rows, columns CHUNKS; without ``data`` that column is null.
 
+    Segments are dealt to a task for each ``task_bytes`` of the archives, by their place.
     chunk_no counts from 0; an empty payload and a revisit have one chunk. total_bytes is the
     payload's whole length, for a revisit that of the response it refers to. digest_so_far is the
     SHA-256 of the payload up to the chunk's end; for a revisit, which has no payload of its own,
@@ -190,7 +191,9 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK, data: bool = True
         if rows:
             yield batch(rows)
 
-    return manifest.repartition(F.col("archive"), F.col("first_byte")).mapInArrow(read, CHUNKS)
+    total = manifest.agg(F.sum("n_bytes"), F.count("*")).first()
+    tasks = max(1, min(total[1], max(-(-(total[0] or 0) // task_bytes), manifest.sparkSession.sparkContext.defaultParallelism)))
+    return manifest.repartitionByRange(tasks, "archive", "first_byte").mapInArrow(read, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:

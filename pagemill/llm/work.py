@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 BATCH_BYTES = 4 << 20
+NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder of this process."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary folder, but only in local mode: a cluster's executors don't share one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="pagemill-")
     return _OWN["dir"]
@@ -38,6 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> dict[str, Column]:
+    """What tells rows apart: the doc_id (NO_ID for null) and the text's fingerprint. Rows alike in both share all decisions."""
+    return {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the keys (doc, text_id) in ``gone``. Spark broadcasts the keys if they are few, else deals out both sides."""
+    keys = gone.select(F.col("doc").alias("__gone_doc"), F.col("text_id").alias("__gone_text")).distinct()
+    keyed = docs.withColumns(row_key())
+    return keyed.join(keys, (F.col("__doc") == F.col("__gone_doc")) & (F.col("__text") == F.col("__gone_text")), "left_anti").drop("__doc", "__text")
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the table behind a frame of :func:`written` that is no longer needed."""
     spark = df.sparkSession

@@ -59,38 +59,49 @@ def test_one_document_of_each_group_stays(spark, docs):
     expected = {(i, c) for i, _, c in found if i is not None and i == c}
     got = [r.doc_id for r in kept.collect()]
     assert {i for i in got if i is not None} == {i for i, _ in expected}
-    assert got.count(None) == 2 and got.count(rows[4][0]) == 1
+    assert got.count(None) == 1 and got.count(rows[4][0]) == 1  # one of them copies a text that stays
 
 
-def plain_lines(rows, k=5):
-    order = sorted({(r[0] if r[0] is not None else -1, r[1]) for r in rows if r[1] is not None})
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, body), (None, body + " "), (None, "something else entirely is said in this text"), (5, "a b c d e f g"), (5, "h i j k l m n"), (5, "h i j k l m n"), (7, None), (7, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in ngram_join.deduplicated(df).collect()), key=str)
+    assert len(kept) == 7 and sum(r[0] is None for r in kept) == 3 and [r for r in kept if r[0] == 5] == rows[3:5]
+
+
+def plain_lines(rows, k=5, mark=hash):
+    """Numbers of removed lines by (doc_id or -1, text); ``mark`` orders the texts of one id."""
+    order = sorted({(r[0] if r[0] is not None else -1, mark(r[1]), r[1]) for r in rows if r[1] is not None})
     seen, gone = [], defaultdict(set)
-    for doc, text in order:
+    for doc, at, text in order:
         for no, line in enumerate(text.split("\n")):
             s = shingle_set(line, k)
-            if s and any((d, n) < (doc, no) and 10 * len(s & t) >= 8 * len(s | t) for d, n, t in seen):
-                gone[doc].add(no)
-            seen.append((doc, no, s))
+            if s and any(p < (doc, at, no) and 10 * len(s & t) >= 8 * len(s | t) for p, t in seen):
+                gone[doc, text].add(no)
+            seen.append(((doc, at, no), s))
     return gone
 
 
 def test_line_dedup_matches_all_pairs(spark):
-    rows = [r for r in documents(spark, 2, 30)[1]]
-    first = {}
-    rows = [r for r in rows if first.setdefault(r[0], r[1]) == r[1]]  # one text an id
+    rows = documents(spark, 2, 30)[1]
+    rows += [(3, rows[8][1] + "\nthis line stands under an id that has another text", "en", "a", 1, 1, "x"), (None, "no id here at all\nbut a second line of its own", "en", "a", 1, 1, "x")]
     df = spark.createDataFrame(rows, DOCS)
-    gone = plain_lines(rows)
+    marks = {r[0]: r[1] for r in df.filter("text is not null").select("text", F.xxhash64("text")).distinct().collect()}
+    gone = plain_lines(rows, mark=marks.get)
     got = line_dedup.deduplicated(df).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        text = next(x[1] for x in rows if x[0] == r.doc_id)
-        if text is None:
-            assert r.text is None and r.n_lines == 0
-            continue
-        lines = text.split("\n")
-        away = gone[r.doc_id if r.doc_id is not None else -1]
-        assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in away)
-        assert (r.n_lines, r.n_removed) == (len(lines), len(away))
+    expected = []
+    for r in rows:
+        lines = r[1].split("\n") if r[1] is not None else []
+        away = gone[r[0] if r[0] is not None else -1, r[1]]
+        expected.append((r[0], "\n".join(x for i, x in enumerate(lines) if i not in away) if r[1] is not None else None, len(lines), len(away)))
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == sorted(expected, key=str)
+
+
+def test_lines_of_other_texts_under_an_id_stay(spark):
+    rows = [(1, "the same first line of words in both\na line that repeats in this corpus"), (2, "a line that repeats in this corpus\nunique to the second"), (2, "something only this text says\nand nobody repeats this one here"), (None, "a line that repeats in this corpus\nx y z"), (None, "p q r\ns t u")]
+    got = {tuple(r) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_removed").collect()}
+    assert (2, "something only this text says\nand nobody repeats this one here", 0) in got and (None, "p q r\ns t u", 0) in got and sum(n for *_, n in got) == 2
 
 
 def plain_repeats(rows, least=100):
@@ -140,8 +151,7 @@ def plain_matches(rows, items, k=5):
     return out
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_decontamination_matches_all_pairs(spark, docs, most):
+def test_decontamination_matches_all_pairs(spark, docs):
     df, rows = docs
     long = [r for r in rows if r[1] and len(words(r[1])) > 60][:6]
     items = [(i, " ".join(words(r[1])[10 : 20 + 5 * i]), "x") for i, r in enumerate(long)]
@@ -149,12 +159,23 @@ def test_decontamination_matches_all_pairs(spark, docs, most):
     w[20] = "altered"
     items += [(50, " ".join(w), "x"), (51, "one", "x"), (52, "", "x"), (53, None, "x"), (54, "b c", "x"), (None, items[1][1], "x"), (54, "b c", "x")]
     bench = spark.createDataFrame(items, ITEMS)
-    got = decontaminate.matches(df, bench, most_shared=most).drop("doc")
+    got = decontaminate.matches(df, bench).select("doc_id", "item_id", "n_found", "n_item")
     assert {tuple(r) for r in got.collect()} == plain_matches(rows, items)
-    kept = decontaminate.decontaminated(df, bench, most_shared=most)
-    hit = {r[0] for r in plain_matches(rows, items)}
+    kept = decontaminate.decontaminated(df, bench)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in rows if r[0] not in hit), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in rows if not plain_matches([r], items)), key=str)
+
+
+def test_rows_are_judged_one_by_one(spark):
+    words_ = [f"w{i}" for i in range(14)]  # an item of 10 shingles
+    half = " ".join(words_[:9])  # has 5 of them
+    most = " ".join(words_[:12])  # has 8 of them
+    rows = [(1, half), (1, half), (2, half), (2, " ".join(words_[5:])), (3, most), (None, most), (None, "clean text without an id"), (3, "clean text under a used id"), (4, " ".join(words_[:11]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(words_), "x")], ITEMS)
+    got = sorted((r.doc_id or 0, r.n_found, r.n_item) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(0, 8, 10), (3, 8, 10)]
+    kept = sorted((tuple(r) for r in decontaminate.decontaminated(docs, bench).collect()), key=str)
+    assert kept == sorted((r for r in rows if r[1] != most), key=str)
 
 
 def test_empty_tables(spark, docs):
