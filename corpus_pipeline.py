@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that match an earlier one; a document may be left empty."""
-    kept = line_dedup.deduplicated(docs)
+    """Texts without the lines that match an earlier one; a document that is left without words, a copy of earlier lines as a whole, goes."""
+    kept = line_dedup.deduplicated(docs).filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
