@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
@@ -10,47 +12,68 @@ def table(value, head="项目", rows=2):
     return {"table_index": 0, "rows": [[{"row": i, "column": 0, "row_span": 1, "col_span": 1, "text": head if i == 0 else value}] for i in range(rows)]}
 
 
-def test_merge_needs_neighbours_with_one_table_each():
-    assert len(tables.merge_pages([(1, [table("a")]), (4, [table("b")])])) == 2
-    out = tables.merge_pages([(3, [table("a")]), (4, [table("b")])])
-    assert (out[0]["page_index"], out[0]["end_page_index"], out[0]["source_table_count"], [r[0]["row"] for r in out[0]["rows"]]) == (3, 4, 2, [0, 1, 2])
-    assert len(tables.merge_pages([(0, [table("a")]), (1, []), (2, [table("b")])])) == 2
-    assert len(tables.merge_pages([(0, [table("a"), table("b")]), (1, [table("c")])])) == 3
-    chain = tables.merge_pages([(i, [table(f"v{i}")]) for i in range(50)])
-    assert len(chain) == 1 and len(chain[0]["rows"]) == 51
+def frame(spark, pages, task="t"):
+    rows = [(task, p, t["table_index"], i, j, c["row"], c["column"], c["row_span"], c["col_span"], c["text"]) for p, ts in pages for t in ts for i, row in enumerate(t["rows"]) for j, c in enumerate(row)]
+    return spark.createDataFrame(rows, CELLS)
+
+
+def merged(spark, pages):
+    """(page, end page, sources, [(row_ord, row, text)]) of the merged tables."""
+    empty = spark.createDataFrame([("t", p) for p, _ in pages], "task_id string, page_index int")
+    out = {}
+    for r in tables.merged(frame(spark, pages), empty).orderBy("page_index", "table_index", "row_ord", "cell_ord").collect():
+        out.setdefault((r.page_index, r.table_index, r.end_page_index, r.source_table_count), []).append((r.row_ord, r.row, r.text))
+    return [(p, e, n, rows) for (p, _, e, n), rows in out.items()]
+
+
+def issues(spark, pages):
+    return sorted((r.page_index, r.reason) for r in tables.issues(frame(spark, pages)).collect())
+
+
+def test_merge_needs_neighbours_with_one_table_each(spark):
+    assert len(merged(spark, [(1, [table("a")]), (4, [table("b")])])) == 2
+    assert merged(spark, [(3, [table("a")]), (4, [table("b")])]) == [(3, 4, 2, [(0, 0, "项目"), (1, 1, "a"), (2, 2, "b")])]
+    assert len(merged(spark, [(0, [table("a")]), (1, []), (2, [table("b")])])) == 2
+    assert len(merged(spark, [(0, [table("a"), {**table("b"), "table_index": 1}]), (1, [table("c")])])) == 3
+    ((_, end, sources, rows),) = merged(spark, [(i, [table(f"v{i}")]) for i in range(50)])
+    assert (end, sources) == (49, 50) and rows == [(0, 0, "项目"), *((i + 1, i + 1, f"v{i}") for i in range(50))]
+    def tall(value):
+        cell = lambda row, span, text: [{"row": row, "column": 0, "row_span": span, "col_span": 1, "text": text}]
+        return {"table_index": 0, "rows": [cell(4, 2, "项目"), cell(6, 3, value)]}
 
+    assert merged(spark, [(0, [tall("x")]), (1, [table("y")]), (2, [tall("z")])]) == [(0, 2, 3, [(0, 4, "项目"), (1, 6, "x"), (2, 9, "y"), (3, 10, "z")])]
 
-def test_header_is_compared_with_the_grown_table():
+
+def test_header_is_compared_with_the_grown_table(spark):
     # The head has one row; the second row compared is the first continuation's.
     pages = [(0, [table("", rows=1)]), (1, [table("same")]), (2, [table("same")])]
-    assert [len(t["rows"]) for t in tables.merge_pages(pages)] == [2]
+    assert [len(rows) for *_, rows in merged(spark, pages)] == [2]
 
 
 def test_rows_match_by_similarity_and_digits():
-    row = lambda *texts: [{"row": 0, "column": i, "row_span": 1, "col_span": 1, "text": t} for i, t in enumerate(texts)]
-    assert tables.rows_match(row("Amount", "Name"), row("amount.", "NAME"))
-    assert not tables.rows_match(row("Amount 1"), row("Amount 2")) and not tables.rows_match(row("Nr １"), row("Nr 1"))
-    assert not tables.rows_match(row(""), row("")) and not tables.rows_match(row("a"), row("a", "b")) and not tables.rows_match([], [])
-    assert tables.rows_match(row("a" * 41 + "b" * 9), row("a" * 50)) and not tables.rows_match(row("a" * 40 + "b" * 10), row("a" * 50))  # .82 and .80
+    def row(*texts):
+        key = lambda t: "".join(c for c in t.lower() if c.isalnum())
+        return [{"column": i, "span": 1, "digits": re.findall("[0-9０-９]+", t), "key": key(t)} for i, t in enumerate(texts)]
+
+    assert tables.same_header(row("Amount", "Name"), row("amount.", "NAME"))
+    assert not tables.same_header(row("Amount 1"), row("Amount 2")) and not tables.same_header(row("Nr １"), row("Nr 1"))
+    assert not tables.same_header(row(""), row("")) and not tables.same_header(row("a"), row("a", "b")) and not tables.same_header([], [])
+    assert tables.same_header(row("a" * 41 + "b" * 9), row("a" * 50)) and not tables.same_header(row("a" * 40 + "b" * 10), row("a" * 50))  # .82 and .80
     wide = row("a")
-    wide[0]["col_span"] = 2
-    assert not tables.rows_match(wide, row("a"))
+    wide[0]["span"] = 2
+    assert not tables.same_header(wide, row("a"))
 
 
-def test_issues():
+def test_issues(spark):
     wide = table("b")
     wide["rows"][0][0]["col_span"] = 2
     other = table("b", "别的标题")
-    assert tables.merge_issues([(0, [table("a")]), (1, [other])]) == [(1, "no-header")]
-    assert tables.merge_issues([(0, [table("a")]), (1, [wide])]) == [(1, "column-mismatch")]
-    assert tables.merge_issues([(0, [table("a")]), (1, [table("a"), table("b")])]) == [(1, "not-one-table")]
-    assert tables.merge_issues([(0, [table("a")]), (2, [table("a")])]) == [(2, "non-consecutive")]
-    assert tables.merge_issues([(0, [table("a")]), (1, [table("b")])]) == []
-
-
-def frame(spark, pages, task="t"):
-    rows = [(task, p, t["table_index"], i, j, c["row"], c["column"], c["row_span"], c["col_span"], c["text"]) for p, ts in pages for t in ts for i, row in enumerate(t["rows"]) for j, c in enumerate(row)]
-    return spark.createDataFrame(rows, CELLS)
+    two = [table("a"), {**table("b"), "table_index": 1}]
+    assert issues(spark, [(0, [table("a")]), (1, [other])]) == [(1, "no-header")]
+    assert issues(spark, [(0, [table("a")]), (1, [wide])]) == [(1, "column-mismatch")]
+    assert issues(spark, [(0, [table("a")]), (1, two)]) == [(1, "not-one-table")]
+    assert issues(spark, [(0, [table("a")]), (2, [table("a")])]) == [(2, "non-consecutive")]
+    assert issues(spark, [(0, [table("a")]), (1, [table("b")])]) == []
 
 
 def test_frames(spark):
@@ -94,27 +117,36 @@ def test_table_function(spark):
     assert [(r.row, r.column, r.col_span, r.text) for r in got] == [(0, 0, 1, "a"), (0, 1, 2, "b")]
 
 
-def line(ord_, text, box, size, direction="horizontal", **more):
-    return {"block_ord": ord_, "text": text, "box": box, "font_size": size, "direction": direction, **more}
+LINES = "task_id string, page_index int, block_ord int, text string, box array<double>, font_size double, direction string, candidate boolean, chars array<struct<text:string,box:array<double>,offset:int>>"
+
+
+def bound(spark, *lines):
+    """(role, parent, glosses as (start, end, text, alignment)) of a page's lines (text, box, size and more)."""
+    rows = [("t", 0, i, text, [float(v) for v in box], float(size), more.get("direction", "horizontal"), more.get("candidate", False), more.get("chars")) for i, (text, box, size, more) in enumerate(lines)]
+    return [(r.role, r.parent, [(g.start, g.end, g.text, g.alignment) for g in r.ruby]) for r in ruby.bound(spark.createDataFrame(rows, LINES)).orderBy("block_ord").collect()]
+
+
+def test_binding(spark):
+    out = bound(spark, ("漢字語", [10, 30, 70, 50], 20, {}), ("かんじ", [10, 18, 70, 27], 9, {}), ("too", [10, 17, 70, 26], 9, {}), ("far", [300, 400, 330, 409], 9, {"candidate": True}), (" ", [10, 18, 70, 27], 9, {}))
+    assert out == [("body", None, [(0, 3, "かんじ", "estimated")]), ("ruby", 0, []), ("ruby-unmatched", None, []), ("ruby-unmatched", None, []), ("body", None, [])]
+    tall = {"direction": "vertical"}
+    assert bound(spark, ("縦書き", [10, 10, 30, 70], 20, tall), ("たて", [33, 10, 42, 70], 9, tall)) == [("body", None, [(0, 3, "たて", "estimated")]), ("ruby", 0, [])]
+    chars = [(c, [10.0 + 20 * i, 30.0, 30.0 + 20 * i, 50.0], i) for i, c in enumerate("漢字語")]
+    assert bound(spark, ("漢字語", [10, 30, 70, 50], 20, {"chars": chars}), ("じ", [30, 18, 50, 27], 9, {}))[0][2] == [(1, 2, "じ", "characters")]
+    # A gloss can't be glossed: the third line's nearest body is the second, which is a gloss itself by then.
+    stack = bound(spark, ("漢字語漢字語", [10, 30, 130, 70], 40, {}), ("よみかた", [10, 10, 130, 28], 18, {}), ("tiny", [10, 4, 130, 9], 5, {}))
+    assert [(role, parent) for role, parent, _ in stack] == [("body", None), ("ruby", 0), ("body", None)]
 
 
-def test_binding():
-    out = ruby.bind([line(0, "漢字語", [10, 30, 70, 50], 20), line(1, "かんじ", [10, 18, 70, 27], 9), line(2, "too", [10, 17, 70, 26], 9), line(3, "far", [300, 400, 330, 409], 9, candidate=True)])
-    assert [(b["role"], len(b["ruby"])) for b in out] == [("body", 1), ("ruby", 0), ("ruby-unmatched", 0), ("ruby-unmatched", 0)]
-    assert (out[0]["ruby"][0]["start"], out[0]["ruby"][0]["end"], out[0]["ruby"][0]["alignment"]) == (0, 3, "estimated")
-    tall = ruby.bind([line(0, "縦書き", [10, 10, 30, 70], 20, "vertical"), line(1, "たて", [33, 10, 42, 70], 9, "vertical")])
-    assert tall[1]["role"] == "ruby" and tall[0]["ruby"][0]["end"] == 3
-    chars = [{"text": c, "box": [10 + 20 * i, 30, 30 + 20 * i, 50], "offset": i} for i, c in enumerate("漢字語")]
-    exact = ruby.bind([line(0, "漢字語", [10, 30, 70, 50], 20, chars=chars), line(1, "じ", [30, 18, 50, 27], 9)])
-    assert (exact[0]["ruby"][0]["start"], exact[0]["ruby"][0]["end"], exact[0]["ruby"][0]["alignment"]) == (1, 2, "characters")
+def glyph_lines(spark, glyphs):
+    rows = [("t", 0, i, text, [float(x), float(y), float(x + 20), float(y + 20)], 20.0) for i, (text, x, y) in enumerate(glyphs)]
+    return ruby.grouped_lines(spark.createDataFrame(rows, "task_id string, page_index int, ord int, text string, box array<double>, size double")).orderBy("block_ord").collect()
 
 
-def test_glyph_lines():
-    glyph = lambda t, x, y, s=20: {"text": t, "box": [x, y, x + s, y + s], "size": s}
-    out = ruby.lines_of([glyph("a", 0, 0), glyph("b", 22, 1), glyph("c", 50, 0), glyph("d", 120, 0), glyph("e", 0, 60)], "horizontal")
-    assert [b["text"] for b in out] == ["ab c", "d", "e"] and [c["offset"] for c in out[0]["chars"]] == [0, 1, 3]
-    assert [b["text"] for b in ruby.lines_of([glyph("漢", 0, 20 * i) for i in range(3)], "vertical")] == ["漢漢漢"]
-    assert ruby.lines_of([], "horizontal") == []
+def test_glyph_lines(spark):
+    out = glyph_lines(spark, [("a", 0, 0), ("b", 22, 1), ("c", 50, 0), ("d", 120, 0), ("e", 0, 60)])
+    assert [b.text for b in out] == ["ab c", "d", "e"] and [c["offset"] for c in out[0].chars] == [0, 1, 3] and out[0].box == [0.0, 0.0, 70.0, 21.0]
+    assert [(b.text, b.direction) for b in glyph_lines(spark, [("漢", 0, 20 * i) for i in range(3)])] == [("漢漢漢", "vertical")]
 
 
 def test_glyph_frames(spark):
