@@ -21,8 +21,6 @@ ones are replaced.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,26 +30,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEVEL = 256  # buckets of a level of the prefix sums
 
 
-def cyclic_weights(n: int) -> list[int]:
-    return [i % 3 + 1 for i in range(n)]
+def cyclic_weights(place: Column) -> Column:
+    """1, 2, 3, repeating, by a source's place in order (from 0)."""
+    return place % 3 + 1
+
+
+def _in_order(sources: DataFrame) -> DataFrame:
+    """Sources by code point, null last, with ``__place`` from 0: a range sort and the partitions' row counts, so no task holds all."""
+    order = [F.col("source").isNull(), "source"]
+    there = written(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("__id", 33)
+    count = there.groupBy(part.alias("__part")).count().collect()  # a row a partition
+    first, base = {}, 0
+    for r in sorted(count):
+        first[r[0]] = base
+        base += r[1]
+    known = F.create_map(*[F.lit(x) for pair in (first or {0: 0}).items() for x in pair])
+    return there.withColumn("__place", known[part] + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
 
 
-def fill_targets(sizes: list[int], weights: list[float], cap: float = 3.0, total: float | None = None) -> list[float]:
-    """Shares of ``total`` by weight, at most cap times the size each; the excess goes to those below, by weight."""
-    left = float(sum(sizes) if total is None else total)
-    target, open_ = [0.0] * len(sizes), [i for i, w in enumerate(weights) if w > 0]
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / whole > cap * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = left * weights[i] / whole
-            break
-        for i in full:
-            target[i] = cap * sizes[i]
-        left -= sum(target[i] for i in full)
-        open_ = [i for i in open_ if i not in full]
-    return target
+def with_targets(sources: DataFrame, cap: float = 3.0, total: float | None = None) -> DataFrame:
+    """``sources`` (words, weight) with ``target``: shares of ``total`` by weight, at most cap times the words each; the excess goes to those below, by weight.
+
+    Rounds of one aggregate: those above their cap are filled, the rest share what is left, until none is above.
+    """
+    full_at, open_ = F.col("words") * cap, F.col("weight") > 0
+    first = sources.agg(F.sum("words"), F.sum(F.when(open_, F.col("weight")))).first()
+    left, spent, filled, whole = float(first[0] or 0 if total is None else total), 0.0, 0, first[1]
+    while whole:
+        share = F.lit(left - spent) * F.col("weight") / F.lit(float(whole))
+        full = open_ & (share > full_at)
+        n, words, rest = sources.agg(F.count_if(full), F.sum(F.when(full, full_at)), F.sum(F.when(open_ & ~full, F.col("weight")))).first()
+        if n == filled:
+            return sources.withColumn("target", F.when(full, full_at).when(open_, share).otherwise(0.0).cast("double"))
+        filled, spent, whole = n, float(words), rest
+    return sources.withColumn("target", F.when(open_, full_at).otherwise(0.0).cast("double"))
 
 
 def _when_at(demand: Column, begin: Column, end: Column) -> Column:
@@ -64,28 +77,20 @@ def _when_at(demand: Column, begin: Column, end: Column) -> Column:
 def plan(documents: DataFrame, weights=cyclic_weights, tilt: float = 0.5, cap: float = 3.0, total: float | None = None) -> DataFrame:
     """``documents`` with size, source_size, target, copies, taken and the positions of its copies (array<double>).
 
-    weights: a function from the number of sources, in order, to their mean weights. Schedules lean
-    by ``tilt`` of the weight, alternate sources from early to late and from late to early. The
-    driver gets one row a source: the names of the sources in a mix are few and their number is checked.
+    weights: a function from a source's place in order (a column, from 0) to its mean weight. Schedules lean
+    by ``tilt`` of the weight, alternate sources from early to late and from late to early. Sources stay a table, however many they are.
     """
     added = ["size", "source_size", "target", "copies", "taken", "positions"]
     docs = documents.drop(*added).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
-    docs = written(docs.drop("text"), "sizes")  # texts are read once
-    h = F.xxhash64(F.col("doc_id"), F.lit(8))
-    per = docs.groupBy("source").agg(F.sum("size").alias("words"), F.max("size").alias("largest")).collect()
-    if len(per) > 100_000:
-        raise ValueError("too many sources for a table of them on the driver")
-    per = sorted(per, key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["words"] for r in per]
-    ws = weights(len(per))
-    targets = fill_targets(sizes, ws, cap, total)
-    spark = documents.sparkSession
-    table = []
-    for i, (r, w, t) in enumerate(zip(per, ws, targets)):
-        lean = tilt if i % 2 else -tilt
-        table.append((r["source"], r["words"], t, math.floor(t / r["words"] + 1e-12) if r["words"] else 0, (1 - lean), (1 + lean)))
-    sources = F.broadcast(spark.createDataFrame(table, "__name string, source_size long, target double, __whole long, __begin double, __end double"))
-    keyed = docs.withColumn("__h1", F.pmod(h, F.lit(LEVEL))).withColumn("__h2", F.pmod(F.shiftright(h, 8), F.lit(LEVEL))).withColumn("__h3", h)
+    # Texts are read once; the order within a source is that of a hash of doc_id and text, so rows without an id are spread too.
+    docs = written(docs.withColumn("__h3", F.xxhash64("doc_id", "text", F.lit(8))).drop("text"), "sizes")
+    h = F.col("__h3")
+    sources = _in_order(docs.groupBy("source").agg(F.sum("size").alias("words"))).withColumn("weight", weights(F.col("__place")))
+    sources = with_targets(sources, cap, total)
+    lean = F.when(F.col("__place") % 2 == 1, tilt).otherwise(-tilt)
+    whole = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words") + 1e-12)).otherwise(0).cast("long")
+    sources = sources.select(F.col("source").alias("__name"), F.col("words").alias("source_size"), "target", whole.alias("__whole"), (1 - lean).alias("__begin"), (1 + lean).alias("__end"))
+    keyed = docs.withColumn("__h1", F.pmod(h, F.lit(LEVEL))).withColumn("__h2", F.pmod(F.shiftright(h, 8), F.lit(LEVEL)))
 
     # Prefix sums of the words in hash order within each source, by two levels of buckets: no window holds a whole source.
     fine = keyed.groupBy("source", "__h1", "__h2").agg(F.sum("size").alias("__w"))
@@ -99,7 +104,7 @@ def plan(documents: DataFrame, weights=cyclic_weights, tilt: float = 0.5, cap: f
     inner = Window.partitionBy("source", "__h1", "__h2").orderBy("__h3", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("__in", zero(F.sum("size").over(inner)))
     placed = placed.join(fine, F.col("source").eqNullSafe(F.col("__fs")) & (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2"))).withColumn("__before", F.col("__in") + F.col("__base"))
-    placed = placed.join(sources, F.col("source").eqNullSafe(F.col("__name")))
+    placed = placed.join(sources, F.col("source").eqNullSafe(F.col("__name")))  # Spark broadcasts the sources if they are small
 
     extra = F.col("target") - F.col("__whole") * F.col("source_size")  # words of the last, partial round
     more = (F.col("__before") + F.col("size") / 2 < extra) & (F.col("size") > 0)

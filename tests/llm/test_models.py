@@ -1,13 +1,17 @@
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pagemill.llm import ball_tree, curriculum, language, pii, quality_mil, queries, warc
 
+from tests.conftest import DATA
+
 from .fixtures import documents, words
 
 PAGES = "page_id long, url string, html string, digest string"
@@ -113,7 +117,7 @@ def test_mixing_targets_and_positions(spark):
     for r in rows:
         size[r[3]] = size.get(r[3], 0) + len(words(r[1]))
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    targets = dict(zip(order, curriculum.fill_targets([size[s] for s in order], curriculum.cyclic_weights(len(order)))))
+    targets = dict(zip(order, fill_targets([size[s] for s in order], [i % 3 + 1 for i in range(len(order))])))
     taken, largest = {}, {}
     for r in out:
         assert r.source_size == size[r.source] and abs(r.target - targets[r.source]) < 1e-6
@@ -131,11 +135,41 @@ def test_mixing_targets_and_positions(spark):
     assert curriculum.in_order(df.limit(0)).count() == 0
 
 
-def test_fill_targets_shares_the_excess():
-    assert curriculum.fill_targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
-    out = curriculum.fill_targets([10, 1000, 1000], [3, 1, 1])
-    assert out[0] == 30 and sum(out) == pytest.approx(2010) and out[1] == out[2]
-    assert curriculum.fill_targets([0, 0], [1, 2]) == [0, 0] and curriculum.fill_targets([], []) == []
+def fill_targets(sizes, weights, cap=3.0, total=None):
+    """Plainly: fill what is above its cap, share the rest, again."""
+    left = float(sum(sizes) if total is None else total)
+    target, open_ = [0.0] * len(sizes), [i for i, w in enumerate(weights) if w > 0]
+    while open_:
+        whole = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / whole > cap * sizes[i]]
+        if not full:
+            for i in open_:
+                target[i] = left * weights[i] / whole
+            break
+        for i in full:
+            target[i] = cap * sizes[i]
+        left -= sum(target[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return target
+
+
+@pytest.mark.parametrize("sizes,weights,total", [
+    ([100, 100, 100], [1, 2, 3], None), ([10, 1000, 1000], [3, 1, 1], None), ([0, 0], [1, 2], None), ([1, 2, 4, 8, 16, 1000, 7], [9, 8, 7, 6, 5, 1, 0], None), ([5, 50, 7], [1, 1, 1], 10_000), ([3], [0], None), ([1, 10, 100, 1000, 10000], [1, 1, 1, 1, 1], 3000),
+])
+def test_targets_share_the_excess(spark, sizes, weights, total):
+    df = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(zip(sizes, weights))], "i int, words long, weight double")
+    got = [r.target for r in curriculum.with_targets(df, 3.0, total).orderBy("i").collect()]
+    assert got == pytest.approx(fill_targets(sizes, weights, 3.0, total))
+    assert curriculum.with_targets(df.limit(0)).count() == 0
+
+
+def test_many_sources_and_rows_without_an_id(spark):
+    rows = [(i if i % 3 else None, f"word {i} " * (1 + i % 5), f"s{i % 700:04d}" if i % 50 else None) for i in range(3000)]
+    out = curriculum.plan(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len(words(t)) for _, t, x in rows if x == s) for s in order}
+    expected = dict(zip(order, fill_targets([size[s] for s in order], [i % 3 + 1 for i in range(len(order))])))
+    assert len(out) == 3000 and all(r.target == pytest.approx(expected[r.source]) and r.source_size == size[r.source] for r in out)
 
 
 def plain_top(vectors, k, every):
@@ -185,7 +219,7 @@ def test_quality_is_learned_from_labels(spark):
     assert quality_mil.scored(docs.limit(0), nothing).count() == 0
 
 
-def test_attention_gradients():
+def test_attention_is_learned():
     rnd = np.random.default_rng(0)
     bags = [rnd.normal(size=(n, quality_mil.MEASURES)).astype(np.float32) for n in (1, 3, 5, 2) * 20]
     labels = np.array([float(b.max() > 2.8) for b in bags])
@@ -195,6 +229,50 @@ def test_attention_gradients():
     assert ((p >= 0.5) == labels).mean() > 0.9
 
 
+def test_gradients_match_differences():
+    rnd = np.random.default_rng(0)
+    m = quality_mil.start(rnd, 5, 3)
+    sizes = [1, 4, 2]
+    x, first, y = rnd.normal(size=(7, quality_mil.MEASURES)), np.concatenate([[0], np.cumsum(sizes)]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = quality_mil._forward(m, x, first)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for n, grad in quality_mil.gradients(m, x, first, y).items():
+        for at in [tuple(rnd.integers(0, d) for d in m[n].shape) for _ in range(8)]:
+            was = m[n][at]
+            m[n][at] = was + 1e-5
+            up = loss()
+            m[n][at] = was - 1e-5
+            down = loss()
+            m[n][at] = was
+            assert grad[at] == pytest.approx((up - down) / 2e-5, abs=1e-7), n
+
+
+def plain_score(model, text):
+    """Word by word: passages of PASSAGE words, gated attention, the logistic function of the weighted encoding."""
+    w = words(text)
+    parts = [w[i : i + quality_mil.PASSAGE] for i in range(0, len(w), quality_mil.PASSAGE)] or [[]]
+    bytes_ = [(" ".join(p) + " " * (k + 1 < len(parts))).encode() for k, p in enumerate(parts)]  # white space goes with the word before
+    x = np.concatenate([quality_mil.passages(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0] for b in bytes_])
+    m = model.weights
+    encoded = [np.tanh(((v - model.mean) / model.scale) @ m["W"] + m["b"]) for v in x]
+    force = [float((np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"])))) @ m["w"]) for h in encoded]
+    weight = [math.exp(f - max(force)) for f in force]
+    z = sum(a * h for a, h in zip(weight, encoded)) / sum(weight)
+    return 1 / (1 + math.exp(-float(z @ m["c"] + m["d"][0])))
+
+
+def test_scores_match_the_plain_version(spark):
+    rnd = np.random.default_rng(3)
+    texts_ = [" ".join("".join(rnd.choice(list("abcdefg,."), rnd.integers(1, 9))) for _ in range(n)) for n in (1, 5, 127, 128, 129, 700, 2000)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string")
+    model = quality_mil.learned(docs, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int"), F.lit(True), epochs=3)
+    for r in quality_mil.scored(docs, model).collect():
+        assert r.score == pytest.approx(plain_score(model, r.text), abs=1e-5)
+
+
 def test_language_backs_off_to_shorter_grams(spark):
     rows = [(i, ("the house and the garden " if i % 2 else "das haus und der garten ") * 5, "en" if i % 2 else "de", "s") for i in range(40)]
     rows += [(100, "the gardens", None, "s"), (101, "hausgarten underten", None, "s"), (102, None, "en", "s"), (103, "123 !?", "en", "s"), (104, "", None, "s"), (None, "the house", "en", "s")]
@@ -214,13 +292,81 @@ def test_all_words_of_the_sample_are_known(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.learned(docs, F.lit(True))
     assert model.languages == ["en", "pl"]
-    assert all(model.words.get(w) is not None for w in (name(0), name(62_999), "rzadki")) and model.words.get("unseen") is None
+    known = np.isin(language.names_of([name(0), name(62_999), "rzadki", "unseen"]), model.words.names)
+    assert known.tolist() == [True, True, True, False]
     ask = spark.createDataFrame([(1, "zwrot żółty"), (2, name(62_999))], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in language.identified(ask, model).collect()} == {1: "pl", 2: "en"}
+    few = language.learned(docs, F.lit(True), per_language=1)
+    assert "pl" in few.languages  # the sample is taken language by language
+
+
+def plain_language(rows, ask):
+    """(lang_pred, score) of each text, word by word."""
+    letters = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    count, grams = {}, [{} for _ in range(language.ORDER)]
+    for text, lang in rows:
+        for w in letters(text):
+            count.setdefault(w, {}).setdefault(lang, 0)
+            count[w][lang] += 1
+    langs = sorted({x for c in count.values() for x in c})
+    pieces = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    for w, c in count.items():
+        for lang, n in c.items():
+            for k in range(language.ORDER):
+                for g in pieces(w, k + 1):
+                    at = grams[k].setdefault(g, {})
+                    at[lang] = at.get(lang, 0) + 1 + math.log(n)
+
+    def logs(table, key):
+        whole = {x: sum(c.get(x, 0) for c in table.values()) + 0.5 * (len(table) + 1) for x in langs}
+        return [math.log((table[key].get(x, 0) + 0.5) / whole[x]) for x in langs]
+
+    def word(w):
+        if w in count:
+            return logs(count, w)
+        for n in range(language.ORDER, 0, -1):
+            found = [logs(grams[n - 1], g) for g in pieces(w, n) if g in grams[n - 1]]
+            if found:
+                return [language.BACKOFF ** (language.ORDER + 1 - n) * sum(x) / len(found) for x in zip(*found)]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in ask:
+        found = [word(w) for w in letters(text)]
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(x) for x in zip(*found)]
+        share = [math.exp((x - max(total)) / math.sqrt(len(found))) for x in total]
+        out.append((langs[total.index(max(total))], max(share) / sum(share)))
+    return out
 
 
-def test_cache_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr(language, "CACHE", 8)
-    scorer = language.Scorer(language.model_of([("en", "the", 9), ("de", "das", 9)]))
-    text = " ".join(f"the das{'x' * i}" for i in range(30))
-    assert scorer(text)[0] in ("en", "de") and len(scorer.at) <= 8
+def test_language_matches_the_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(language, "CACHE_BYTES", 800)
+    monkeypatch.setattr(language, "PIECE", 16)
+    rows = [("the house and the garden, the end", "en"), ("das Haus und der Garten", "de"), ("हिन्दी भाषा के शब्द", "hi"), ("la maison et le jardin ½ ²", "fr"), ("the", "en"), ("maison blanche", "fr")]
+    ask = ["The gardens' housing", "Häuser und Gärten", "हिन्दी", "½ ² ①", "42 -- _", None, "", "jardins maisonnette thé", "und", "xq zzzz", "漢字", "a\u0301b ©", "house " * 40 + "Garten", "the-end/house_das"]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = language.identified(spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "doc_id long, text string").repartition(2), language.learned(docs, F.lit(True))).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, plain_language(rows, ask)):
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6), r
+    assert [r.lang_pred for r in got[2:7]] == ["hi", "und", "und", "und", "und"]
+
+
+def test_held_out_languages_and_labels(spark):
+    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
+    found = queries.op5_language_backoff(spark, DATA).filter("held_out").join(read("documents").select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'")
+    assert found.filter("lang = lang_pred").count() >= 0.95 * found.count() > 0
+    scored = queries.op2_quality_mil(spark, DATA).filter("held_out").join(read("labels").select("doc_id", "quality"), "doc_id")
+    assert scored.filter("quality = predicted").count() >= 0.95 * scored.count() > 0
+
+
+def test_very_long_texts_are_scored(spark):
+    long = "the house and the garden " * 60_000
+    docs = spark.createDataFrame([(1, long, "en"), (2, "das haus", "de"), (3, "x" * 300_000, None), (4, long, None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language.identified(docs, language.learned(docs, F.lit(True))).collect()}
+    assert out[1].lang_pred == out[4].lang_pred == "en" and out[1].score == out[4].score and out[2].lang_pred == "de"
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality_mil.scored(docs, quality_mil.learned(docs, labels, F.lit(True))).collect()}
+    assert scores[1] == scores[4] and all(0 <= x <= 1 for x in scores.values())
