@@ -1,7 +1,8 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE words. Each passage is encoded by a
-learned layer from measures of its words and bytes; gated attention, learned from
+learned layer from 40 measures of its bytes and words (shares of byte classes, lengths, repeats,
+capitals; not which words they are); gated attention, learned from
 the documents' labels, weighs the passages; the score is a logistic function of
 the weighted mean of their encodings.
 
@@ -93,6 +94,26 @@ def _forward(m: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict
     return {"bag": bag, "h": h, "t": t, "g": g, "a": a, "z": z, "p": p}
 
 
+def start(rng: np.random.Generator, hidden: int, gate: int) -> dict[str, np.ndarray]:
+    return {
+        "W": rng.normal(0, 1 / np.sqrt(MEASURES), (MEASURES, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gate)), "U": rng.normal(0, 0.3, (hidden, gate)),
+        "w": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1),
+    }
+
+
+def gradients(m: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss over bags."""
+    f = _forward(m, x, first)
+    bag, h, t, g, a = (f[n] for n in ("bag", "h", "t", "g", "a"))
+    dp = (f["p"] - labels) / len(labels)
+    dz = dp[:, None] * m["c"]
+    da = (h * dz[bag]).sum(axis=1)
+    de = a * (da - np.add.reduceat(a * da, first[:-1])[bag])
+    dt, dg = de[:, None] * m["w"] * g * (1 - t**2), de[:, None] * m["w"] * t * g * (1 - g)
+    dh = (a[:, None] * dz[bag] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h**2)
+    return {"c": f["z"].T @ dp, "d": np.array([dp.sum()]), "w": (t * g).T @ de, "V": h.T @ dt, "U": h.T @ dg, "W": x.T @ dh, "b": dh.sum(axis=0)}
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
     """Minimises the log loss by Adam."""
     if not len(labels) or labels.min() == labels.max():
@@ -100,10 +121,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, gate: int
     every = np.concatenate(bags).astype(np.float64)
     mean, scale = every.mean(axis=0), every.std(axis=0) + 0.02
     rng = np.random.default_rng(seed)
-    m = {
-        "W": rng.normal(0, 1 / np.sqrt(MEASURES), (MEASURES, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gate)), "U": rng.normal(0, 0.3, (hidden, gate)),
-        "w": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1),
-    }
+    m = start(rng, hidden, gate)
     first_moment, second, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     for epoch in range(epochs):
         turn = rng.permutation(len(bags))
@@ -111,17 +129,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, gate: int
             pick = turn[k : k + batch]
             x = (np.concatenate([bags[i] for i in pick]) - mean) / scale
             first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in pick])])
-            f = _forward(m, x, first)
-            bag, h, t, g, a = (f[n] for n in ("bag", "h", "t", "g", "a"))
-            dp = (f["p"] - labels[pick]) / len(pick)
-            dz = dp[:, None] * m["c"]
-            da = (h * dz[bag]).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, first[:-1])[bag])
-            dt, dg = de[:, None] * m["w"] * g * (1 - t**2), de[:, None] * m["w"] * t * g * (1 - g)
-            dh = (a[:, None] * dz[bag] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h**2)
-            grads = {"c": f["z"].T @ dp, "d": np.array([dp.sum()]), "w": (t * g).T @ de, "V": h.T @ dt, "U": h.T @ dg, "W": x.T @ dh, "b": dh.sum(axis=0)}
             step += 1
-            for n, grad in grads.items():
+            for n, grad in gradients(m, x, first, labels[pick]).items():
                 grad = grad + decay * m[n]
                 first_moment[n] = 0.9 * first_moment[n] + 0.1 * grad
                 second[n] = 0.999 * second[n] + 0.001 * grad**2
@@ -149,7 +158,8 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column, max_documents: i
     pick = labels.filter(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(max_documents)
     pick = F.broadcast(pick.withColumnRenamed("doc_id", "__doc"))  # max_documents rows
     rows = docs.select("doc_id", "text").join(pick, F.col("doc_id") == F.col("__doc")).select(F.col("quality").cast("int").alias("quality"), "text", "doc_id")
-    taken = rows.select("quality", "text").mapInArrow(_bags, "quality int, bag binary").collect()
+    bags = rows.select("quality", "text").mapInArrow(_bags, "quality int, bag binary")
+    taken = bags.orderBy(F.xxhash64("bag"), "bag", "quality").limit(max_documents).collect()  # a doc_id may have many rows
     taken = sorted((r["bag"], int(r["quality"] == 1)) for r in taken)
     return fit([np.frombuffer(b, np.float32).reshape(-1, MEASURES) for b, _ in taken], np.array([y for _, y in taken], float), **how)
 
