@@ -241,9 +241,14 @@ def _grouped(spec: Spec, buckets: int):
     return run
 
 
+def buckets_of(docs: DataFrame) -> int:
+    """Groups that work is dealt to, several a task."""
+    return 4 * max(8, docs.rdd.getNumPartitions())
+
+
 def candidates(docs: DataFrame, spec: Spec, levels) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) whose connected clusters hold every pair of nodes that links; and the table that they are made from."""
-    buckets = 4 * max(8, docs.rdd.getNumPartitions())
+    buckets = buckets_of(docs)
     found = packed(docs, spec, levels, buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
     found = written(found, "candidates")
     pairs = lambda o: found.filter((F.col("ord") == o) & ~F.col("large")).select("a", "b").distinct()
@@ -392,7 +397,7 @@ def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, la
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = one.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Small clusters go together to groups of some GROUP_NODES nodes; what two large blocks hold is a group of its own.
-    share = max(1, home.count() // GROUP_NODES)
+    share = max(buckets_of(docs), home.count() // GROUP_NODES)
     pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
     met = met.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(share))).otherwise(pair))
     met = met.select("part", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "doc", "text_id", "unit", "text")
