@@ -116,7 +116,7 @@ def format_bytes(n: Column) -> Column:
         F.when(n < 1024, F.format_string("%d B", n.cast("long")))
         .when(kib < 1024, F.format_string("%.1f KB", kib))
         .when(mib < 1024, F.format_string("%.1f MB", mib))
-        .otherwise(F.format_string("%.1f GB", gib))
+        .otherwise(F.format_string("%.2f GB", gib))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
+from pagemill.operators.order import numbered
 
 # --- fixed values ---
 PAGE_OF_HISTORY = 20
@@ -34,9 +35,8 @@ def admit(files: DataFrame, queue: DataFrame, batch_id: str) -> DataFrame:
 
 
 def in_natural_order(files: DataFrame, number: str) -> DataFrame:
-    """``files`` (path, ordinal) numbered from 0 by base name, then path, then ordinal. One batch: its files are what a user picked."""
-    order = Window.orderBy(X.natural_key(X.base_name(F.col("path"))), X.natural_key(F.col("path")), "ordinal")
-    return files.withColumn(number, F.row_number().over(order) - 1)
+    """``files`` (path, ordinal) numbered from 0 by base name, then path, then ordinal."""
+    return numbered(files, number, X.natural_key(X.base_name(F.col("path"))), X.natural_key(F.col("path")), "ordinal")
 
 
 def renumbered(tasks: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def renumbered(tasks: DataFrame) -> DataFrame:
 
 def moved(tasks: DataFrame, task_id: str, to: int) -> DataFrame:
     """The queue with one task at another place; tasks: task_id, place (from 0)."""
-    at = F.max(F.when(F.col("task_id") == task_id, F.col("place"))).over(Window.partitionBy(F.lit(1)))
+    at = tasks.filter(F.col("task_id") == task_id).agg(F.max("place")).scalar()
     shift = F.when(F.col("task_id") == task_id, F.lit(to)).when((F.col("place") > at) & (F.col("place") <= to), F.col("place") - 1).when((F.col("place") < at) & (F.col("place") >= to), F.col("place") + 1)
     return tasks.withColumn("place", F.coalesce(shift, F.col("place")))
 
@@ -94,9 +94,9 @@ def removed_tasks(stored: DataFrame, current: DataFrame) -> DataFrame:
     return stored.join(current.select("task_id"), "task_id", "left_anti")
 
 
-def deletable(ids: DataFrame, active: DataFrame) -> Column:
-    """A scalar: whether none of the ids is in the active queue."""
-    return F.lit(ids.join(active.select("task_id"), "task_id", "left_semi").isEmpty())
+def deletable(ids: DataFrame, active: DataFrame) -> DataFrame:
+    """One row, ``deletable``: whether none of the ids is in the active queue."""
+    return ids.join(active.select("task_id"), "task_id", "left_semi").agg((F.count("*") == 0).alias("deletable"))
 
 
 def checked_paths(tasks: DataFrame, listing: DataFrame) -> DataFrame:

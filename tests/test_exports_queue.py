@@ -18,7 +18,9 @@ def test_separate_and_combined_plans(spark):
     assert names == [("文字-scan_2024-05-06.text.html", "html", "a"), ("文字-scan_2024-05-06.txt", "txt", "a"), ("表格-scan_2024-05-06.tables.html", "html", "b"), ("表格-scan_2024-05-06.txt", "txt", "b"), ("表格-scan_2024-05-06.xlsx", "xlsx", "b")]
     one = {r.format: r for r in exports.planned(items, ["txt", "xlsx", "html"], ExportOptions(grouping="combined", name="all", suffix="-{profile}{mode}")).collect()}
     assert {f: r.name for f, r in one.items()} == {"txt": "all-轻量混合.txt", "xlsx": "all-轻量混合.xlsx", "html": "all-轻量文字.html"}
-    assert sorted(one["html"].ids) == ["a", "b"] and list(one["xlsx"].ids) == ["b"]
+    assert list(one["html"].ids) == ["a", "b"] and list(one["xlsx"].ids) == ["b"]
+    three = items.union(spark.createDataFrame([("0", "late.pdf", "fast", "text", True, 1)], ITEMS)).withColumn("ord", F.when(F.col("id") == "0", 9).otherwise(F.ascii("id") - 97))
+    assert list(exports.planned(three, ["html"], ExportOptions(grouping="combined")).first().ids) == ["a", "0", "b", "0"]
     for bad in ([], ["pdf"]):
         with pytest.raises(ValueError):
             exports.planned(items, bad)
@@ -37,11 +39,43 @@ def test_collisions(tmp_path):
             exports.resolve([bad], tmp_path, "overwrite")
 
 
+def test_combined_text(spark):
+    texts = spark.createDataFrame([(1, "b.png", "<two>", "text", None), (0, "a's.pdf", "one", "table", None), (2, "c", "three", "text", "<ruby>x</ruby>")], "ord int, file_name string, text string, mode string, html string")
+    tables_ = spark.createDataFrame([(0, 1, "a's.pdf", "<table>2</table>"), (0, 0, "a's.pdf", "<table>1</table>")], "ord int, table_ord int, file_name string, html string")
+    got = {r.format: r.text for r in exports.combined(texts, tables_).collect()}
+    assert got["txt"] == "—— a's.pdf ——\none\n\n—— b.png ——\n<two>\n\n—— c ——\nthree"
+    assert got["html"] == "b.png\n&lt;two&gt;\n\nc\n<ruby>x</ruby>\n\na&#x27;s.pdf\n<table>1</table>\n\na&#x27;s.pdf\n<table>2</table>"
+
+
+def test_pack_is_copied_or_the_old_one_stays(spark, tmp_path, monkeypatch):
+    source, target = tmp_path / "pack", tmp_path / "models"
+    (source / "m").mkdir(parents=True)
+    (source / "m" / "inference.yml").write_bytes(b"abc")
+    good = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    files = lambda digest: spark.createDataFrame([("m/inference.yml", 3, digest)], "path string, size long, sha256 string")
+    exports.copy_pack(files(good), str(source), str(target))
+    (target / "mark").write_text("old")
+    with pytest.raises(Exception):
+        exports.copy_pack(files("0" * 64), str(source), str(target))
+    assert (target / "mark").exists() and not (tmp_path / "models.staged").exists()
+    rename = os.rename
+    monkeypatch.setattr(os, "rename", lambda a, b: (_ for _ in ()).throw(OSError("full")) if str(a).endswith(".staged") else rename(a, b))
+    with pytest.raises(OSError):
+        exports.copy_pack(files(good), str(source), str(target))
+    monkeypatch.undo()
+    assert (target / "mark").exists()
+    exports.copy_pack(files(good), str(source), str(target))
+    assert not (target / "mark").exists() and not (tmp_path / "models.old").exists()
+    monkeypatch.setattr(exports, "SPARE_BYTES", 1 << 62)
+    with pytest.raises(OSError):
+        exports.copy_pack(files(good), str(source), str(target))
+
+
 def test_publish(spark, tmp_path):
     (tmp_path / "o.txt").write_text("old")
     rows = [("n.txt", b"new", "create"), ("o.txt", b"over", "overwrite"), ("s.txt", b"no", "skip")]
     df = spark.createDataFrame(rows, "name string, content binary, action string")
-    assert sorted(exports.publish(df, str(tmp_path))) == ["n.txt", "o.txt"]
+    assert sorted(r.name for r in exports.publish(df, str(tmp_path)).collect()) == ["n.txt", "o.txt"]
     assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"n.txt": "new", "o.txt": "over"}
     exports.publish(df, str(tmp_path))  # a repeated run finds its own files
     with pytest.raises(Exception):
