@@ -36,8 +36,8 @@ SEEN_BITS = 1 << 26
 BLOCK_NODES = 256
 GROUP_NODES = 1024
 FEW = 8  # sets that are compared one by one
-LEVELS = 1 << 23  # bytes at most of the table of token counts, of which an eighth is filled, by the most frequent tokens; it only affects cost
-_PART = 1 << 16
+LEVELS = 1 << 24  # bytes at most of the table of token counts, of which half is filled at most, by the most frequent tokens; it only affects cost
+_PART = 1 << 13
 HOT = 17  # as a power of two: tokens counted more often are dealt out by node
 FLUSH = 1 << 18  # records held before they are passed on
 RECORD = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4")])
@@ -133,11 +133,11 @@ def token_levels(counts: DataFrame):
     by_level = sorted(((r[0], r[1]) for r in counts.groupBy(F.log2("seen").cast("int")).count().collect()), reverse=True)  # at most 64 rows
     least, held = 64, 0
     for level, n in by_level:  # whole levels from the top, as long as the table stays thinly filled
-        if held and held + n > LEVELS // 8:
+        if held and held + n > LEVELS // 2:
             break
         least, held = level, held + n
     size = min(LEVELS, max(_PART, 1 << (4 * held).bit_length()))
-    part = F.shiftright("token", 16).bitwiseAND(size // _PART - 1).cast("int").alias("part")
+    part = F.shiftright("token", _PART.bit_length() - 1).bitwiseAND(size // _PART - 1).cast("int").alias("part")
     rows = counts.filter(F.log2("seen") >= least).select("token", "seen", part).groupBy("part").applyInArrow(_levels, "part int, levels binary").collect()
     out = np.zeros(size, np.uint8)
     for r in rows:  # at most LEVELS / _PART rows
