@@ -70,14 +70,26 @@ class Test:
         return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def parted(df: DataFrame, test: Test) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key (columns __doc and __text) surely isn't in the filter, and the others."""
-    schema, at = df.schema, [df.columns.index(c) for c in ("__doc", "__text")]
+def shared_ids(docs: DataFrame) -> Test:
+    """A test for the ids that several rows of ``docs`` (column doc) may have: only these need a text's fingerprint beside the id."""
+    return Bloom(docs.groupBy("doc").count().filter("count > 1").select("doc")).test()
+
+
+def text_of(shared: Test, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The fingerprints where an id may be shared, 0 elsewhere, where they would only take up room."""
+    return np.where(shared(doc), text, 0)
+
+
+def parted(df: DataFrame, test: Test, shared: Test) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key (columns __doc and __text, as by ``text_of``) surely isn't in the filter, and the others."""
+    schema, (doc_at, text_at) = df.schema, (df.columns.index(c) for c in ("__doc", "__text"))
 
     def side(which: bool):
         def run(batches):
             for b in batches:
-                yield b.filter(pa.array(test(np.bitwise_xor(*(b.column(i).to_numpy() for i in at))) == which))
+                doc = b.column(doc_at).to_numpy()
+                text = text_of(shared, doc, b.column(text_at).to_numpy())
+                yield b.set_column(text_at, "__text", pa.array(text)).filter(pa.array(test(doc ^ text) == which))
 
         return df.mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.blocks import BLOCK, OTHER_POWERS, POWERS, Block, mix, signed, spans_hash, text_blocks
-from pagemill.llm.bloom import Bloom, parted
+from pagemill.llm.bloom import Bloom, Test, parted, shared_ids, text_of
 from pagemill.llm.work import removed, row_key, written
 
 LEAST = 100
@@ -145,9 +145,10 @@ def repeated_ranks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return written(docs.select("text").mapInArrow(run, "bucket int, ranks binary").groupBy("bucket").applyInArrow(_repeated, "rank long"), "ranks")
 
 
-def _ids(b: pa.RecordBatch, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's place in the order, and its text's fingerprint, which keeps rows apart that share an id."""
-    return tuple(b.column(c).slice(block.first, len(block.bounds) - 1).to_numpy() for c in (0, 1))
+def _ids(b: pa.RecordBatch, block: Block, shared: Test) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's place in the order, and its text's fingerprint, which keeps rows apart that share an id (0 where none does)."""
+    ids, text = (b.column(c).slice(block.first, len(block.bounds) - 1).to_numpy() for c in (0, 1))
+    return ids, text_of(shared, ids, text)
 
 
 RUNS = "rank long, name long, doc long, text_id long, p int, n int, local boolean"
@@ -194,7 +195,7 @@ def _split(held: list[tuple], least: int):
         yield table(none, none, doc[first], text[first], p[first], end - p[first], True)
 
 
-def surviving_runs(docs: DataFrame, test, least: int = LEAST) -> DataFrame:
+def surviving_runs(docs: DataFrame, test, shared: Test, least: int = LEAST) -> DataFrame:
     """Runs whose anchor's rank passes ``test``; local: not the earliest of its name in its batch, then n is the bytes it covers."""
 
     def surviving(batches):
@@ -204,7 +205,7 @@ def surviving_runs(docs: DataFrame, test, least: int = LEAST) -> DataFrame:
                 keep = np.flatnonzero(test(r.rank.view(np.int64)))
                 if len(keep):
                     rank, p, n, doc = (x[keep] for x in r)
-                    ids, text = _ids(b, block)
+                    ids, text = _ids(b, block, shared)
                     yield rank, spans_hash(block.data, p, p + n + least - 1), ids[doc], text[doc], p - block.bounds[doc], n
 
     def run(batches):
@@ -217,14 +218,14 @@ def _places(doc: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (doc << 24) ^ p
 
 
-def _open_strings(batches, in_doc, in_place, least: int):
+def _open_strings(batches, in_doc, in_place, shared: Test, least: int):
     """For each block (name, doc, text_id, p, block, at) of the strings of the runs that pass, at being the start in the block; a run more does no harm."""
     h = least // 2
     for b in batches:
         b = b.filter(pa.array(in_doc(b.column(0).to_numpy())))
         for block in text_blocks(b.column(2)):
             r = runs(block, least)
-            ids, text = _ids(b, block)
+            ids, text = _ids(b, block, shared)
             keep = np.flatnonzero(in_place(_places(ids[r.doc], r.p - block.bounds[r.doc])))
             if not len(keep):
                 continue
@@ -239,13 +240,18 @@ def _open_strings(batches, in_doc, in_place, least: int):
             yield names, ids[doc], text[doc], every - block.bounds[doc], block, every
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, text_id, start, end): byte ranges, maybe overlapping, of all strings that also start earlier."""
+def _keyed(docs: DataFrame) -> DataFrame:
     key = row_key()
-    docs = docs.select(key["__doc"].alias("doc"), key["__text"].alias("text_id"), "text")
+    return docs.select(key["__doc"].alias("doc"), key["__text"].alias("text_id"), "text")
+
+
+def repeats(docs: DataFrame, least: int = LEAST, shared: Test | None = None) -> DataFrame:
+    """(doc, text_id, start, end): byte ranges, maybe overlapping, of all strings that also start earlier; text_id as by ``text_of``."""
+    docs = _keyed(docs)
+    shared = shared or shared_ids(docs)
     buckets = 4 * max(8, docs.rdd.getNumPartitions())
     anchors = repeated_ranks(docs, least)
-    found = surviving_runs(docs, Bloom(anchors).test(), least)
+    found = surviving_runs(docs, Bloom(anchors).test(), shared, least)
     removed(anchors)
     place = F.struct("doc", "p")
 
@@ -264,7 +270,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     in_doc, in_place = Bloom(open_runs.select("doc")).test(), Bloom(open_runs.select("place")).test()
 
     def names(batches):
-        yield from _twice_at_most((x[0] for x in _open_strings(batches, in_doc, in_place, least)), buckets)
+        yield from _twice_at_most((x[0] for x in _open_strings(batches, in_doc, in_place, shared, least)), buckets)
 
     twice = written(docs.mapInArrow(names, "bucket int, ranks binary").groupBy("bucket").applyInArrow(_repeated, "rank long"), "pairs")
     in_twice = Bloom(twice).test()
@@ -272,7 +278,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def strings(batches):
         def kept():
-            for name, doc, text, p, block, at in _open_strings(batches, in_doc, in_place, least):
+            for name, doc, text, p, block, at in _open_strings(batches, in_doc, in_place, shared, least):
                 k = np.flatnonzero(in_twice(name.view(np.int64)))
                 other = spans_hash(block.data, at[k], at[k] + least, powers=OTHER_POWERS)
                 yield other, name[k], doc[k], text[k], p[k], np.ones(len(k), np.int64)
@@ -286,9 +292,10 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with kept (binary: the remaining bytes), spans (array of maximal removed [start, end)), n_bytes and n_removed."""
     docs = docs.drop("kept", "spans", "n_bytes", "n_removed")
-    found = repeats(docs, least).groupBy(F.col("doc").alias("__doc"), F.col("text_id").alias("__text")).agg(F.collect_set(F.struct("start", "end")).alias("__found"))  # at most a text's length
+    shared = shared_ids(_keyed(docs))
+    found = repeats(docs, least, shared).groupBy(F.col("doc").alias("__doc"), F.col("text_id").alias("__text")).agg(F.collect_set(F.struct("start", "end")).alias("__found"))  # at most a text's length
     found = written(found, "repeats")
-    rest, some = parted(docs.withColumns(row_key()), Bloom(found.select(F.col("__doc").bitwiseXOR(F.col("__text")))).test())
+    rest, some = parted(docs.withColumns(row_key()), Bloom(found.select(F.col("__doc").bitwiseXOR(F.col("__text")))).test(), shared)
     rest, found = rest.drop("__doc", "__text"), found.withColumnsRenamed({"__doc": "__of_doc", "__text": "__of_text"})
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
