@@ -248,11 +248,20 @@ def three_medians(spark, sf_dir):
 
 
 @query(rf"""
-    WITH {_LINES}, {_BOXED},
-    m AS (SELECT task_id, list_sort(list(26.0))[1] AS step FROM placed GROUP BY task_id)
-    SELECT task_id, 0 AS page_index, 20.0 AS size, 26.0 AS step FROM m""")
+    WITH {_LINES},
+    p AS (SELECT task_id, ord, text, CASE WHEN ord % 3 = 0 THEN 24.0 WHEN length(text) % 7 = 0 THEN NULL ELSE 18.0 + ord % 5 END AS f, ord * 26.0 + (ord // 4) * 9.0 AS y FROM lines),
+    q AS (SELECT *, y - lag(y) OVER (PARTITION BY task_id ORDER BY ord) AS move, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 12 AS body FROM p),
+    s AS (SELECT task_id, list_sort(list(f) FILTER (WHERE f > 0 AND body)) AS a, list_sort(list(f) FILTER (WHERE f > 0)) AS b, count(*) FILTER (WHERE body) AS n FROM q GROUP BY task_id),
+    z AS (SELECT task_id, coalesce(CASE WHEN n > 0 THEN a[len(a) // 2 + 1] ELSE b[len(b) // 2 + 1] END, 20.0) AS size FROM s),
+    m AS (SELECT z.task_id, any_value(size) AS size, list_sort(list(move) FILTER (WHERE move > size * 0.5 AND move < size * 2.5)) AS steps FROM z JOIN q ON q.task_id = z.task_id GROUP BY z.task_id)
+    SELECT task_id, 0 AS page_index, size, round(coalesce(steps[len(steps) // 2 + 1], size * 1.3), 6) AS step FROM m""")
 def body_metrics(spark, sf_dir):
-    return layout.metrics_by_page(_lines(spark, sf_dir))
+    """Font sizes and line steps vary; some sizes are unknown."""
+    o = F.col("ord")
+    font = F.when(o % 3 == 0, 24.0).when(F.length("text") % 7 == 0, None).otherwise(18.0 + o % 5)
+    y = o * 26.0 + F.floor(o / 4) * 9.0
+    lines = _lines(spark, sf_dir).withColumns({"font_size": font, "box": F.array(F.lit(20.0), y, F.lit(400.0), y + 20.0)})
+    return layout.metrics_by_page(lines).withColumn("step", F.round("step", 6))
 
 
 _OPENS = r"(regexp_matches(ltrim({b}), '^(?:[•●■◆・※]|[-*]\s|[0-9０-９]+(?:[.．](?:[^0-9０-９]|$)|[)）、])\s*|[（(][0-9]+[）)]|[一二三四五六七八九十]+[、．])') OR regexp_matches(ltrim({b}), '^[「『“]') OR regexp_matches(trim({b}), '(?i)^(?:第[一二三四五六七八九十百千〇零0-9]+[章节部篇]|Chapter\s+[0-9]+|序言$|目录$)') OR regexp_matches({b}, '^(?: {{2,}}|\t|　)'))"
@@ -452,23 +461,6 @@ def glyph_segments(spark, sf_dir):
     return pages.joined(ruby.segments(glyphs).withColumn("text", F.concat("lead", "text")), ["line_id", "segment"], "text", "ord", "")
 
 
-@query()
-def glyph_lines(spark, sf_dir):
-    docs = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("task_id"), F.lit(0).alias("page_index"), F.posexplode(F.split("p_name", "")).alias("ord", "text"))
-    x, y = F.col("ord") % 8 * 10.0, F.floor(F.col("ord") / 8) * 24.0
-    return ruby.grouped_lines(docs.select("*", F.array(x, y, x + 9, y + 10).alias("box"), F.lit(10.0).alias("size"))).select("task_id", "block_ord", "text", "direction")
-
-
-@query()
-def ruby_binding(spark, sf_dir):
-    i = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 40).alias("k")).agg(F.min("l_quantity").alias("q"))
-    small = F.col("k") % 2 == 0
-    h = F.when(small, 9.0).otherwise(20.0)
-    x, y = (F.col("q") * 10).alias("x"), F.floor(F.col("k") / 2) * 40.0 + F.when(small, 0.0).otherwise(11.0)
-    b = i.select(F.col("l_suppkey").cast("string").alias("task_id"), F.lit(0).alias("page_index"), F.col("k").cast("int").alias("block_ord"), F.concat(F.lit("text"), "k").alias("text"), F.array(x, y, x + 80, y + h).alias("box"), F.lit("horizontal").alias("direction"), h.alias("font_size"), F.lit("body").alias("role"))
-    return ruby.bound(b).select("task_id", "block_ord", "role", "parent", F.size("ruby").alias("glosses"))
-
-
 # --- HTML and sources ---
 
 
@@ -478,8 +470,15 @@ def html_escape(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", X.escape_html(F.col("html")).alias("escaped"))
 
 
-@query()
+_TAGLESS = r"""regexp_replace(replace(html, 'var t="</p>"', 'var t="&lt;/p&gt;"'), '<!--.*?-->|<[^>]*>', '', 'gs')"""
+_PLAIN = f"replace(replace(replace(replace(replace(replace({_TAGLESS}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, {_PLAIN} AS t FROM pages)
+    SELECT page_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS safe FROM p""")
 def html_sanitize(spark, sf_dir):
+    """Pages hold none of the tags that stay, so what is left is their text, scripts and styles included, escaped."""
     return _table(spark, sf_dir, "pages").select("page_id", H.sanitized(F.col("html")).alias("safe"))
 
 
@@ -607,9 +606,10 @@ def column_widths(spark, sf_dir):
 
 
 @query("""
-    SELECT o_orderkey AS task_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024.0 < 1024 THEN printf('%.1f KB', floor(n / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 104857.6 + 0.5) / 10) END AS size FROM (SELECT o_orderkey, o_custkey * o_custkey * 256 AS n FROM orders)""")
+    SELECT o_orderkey AS task_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024.0 < 1024 THEN printf('%.1f KB', floor(n / 102.4 + 0.5) / 10) WHEN n / 1048576.0 < 1024 THEN printf('%.1f MB', floor(n / 104857.6 + 0.5) / 10)
+      ELSE printf('%.2f GB', floor(n / 10737418.24 + 0.5) / 100) END AS size FROM (SELECT o_orderkey, o_custkey * o_custkey * o_custkey * 64 AS n FROM orders)""")
 def format_bytes(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), X.format_bytes(F.col("o_custkey") * F.col("o_custkey") * 256).alias("size"))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), X.format_bytes(F.col("o_custkey") * F.col("o_custkey") * F.col("o_custkey") * 64).alias("size"))
 
 
 # --- queue, history, store, diagnostics ---
@@ -666,14 +666,6 @@ def removed_tasks(spark, sf_dir):
     return queue.removed_tasks(_tasks(spark, sf_dir), _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"))).select("task_id")
 
 
-@query("""
-    SELECT g.n AS step, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = g.n AND o_orderstatus = 'P') = 0 AS deletable FROM range(10) g(n)""")
-def delete_guard(spark, sf_dir):
-    t = _tasks(spark, sf_dir).withColumn("step", F.col("task_id") % 10)
-    active = t.filter("status = 'P'").select("step").distinct().withColumn("here", F.lit(True))
-    return spark.range(10).select(F.col("id").alias("step")).join(active, "step", "left").select("step", F.col("here").isNull().alias("deletable"))
-
-
 @query("SELECT o_orderkey AS task_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 = o_orderkey % 6")
 def exported_still(spark, sf_dir):
     t = _tasks(spark, sf_dir)
