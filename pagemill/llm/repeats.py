@@ -14,8 +14,8 @@ row with a name of all its bytes, and of equal runs all but the earliest are
 repeats as a whole. Only the earliest runs of anchors that occur in unequal runs
 are expanded to pairs for each position, and only pairs that occur twice become rows.
 
-Runs are equal if their anchors' ranks and their names are, strings if two
-fingerprints are that don't depend on each other: 128 bits each. Tasks combine what they have read before they
+Runs are equal if their anchors' ranks and their names are (128 bits), strings if two
+fingerprints are that don't depend on each other (96 bits). Tasks combine what they have read before they
 pass it on (of equal runs in a batch, the earliest goes on), so a string in a
 third of all documents gives a row for each batch.
 
@@ -280,7 +280,7 @@ def repeats(docs: DataFrame, least: int = LEAST, shared: Test | None = None) ->
         def kept():
             for name, doc, text, p, block, at in _open_strings(batches, in_doc, in_place, shared, least):
                 k = np.flatnonzero(in_twice(name.view(np.int64)))
-                other = spans_hash(block.data, at[k], at[k] + least, powers=OTHER_POWERS)
+                other = spans_hash(block.data, at[k], at[k] + least, powers=OTHER_POWERS) >> np.uint64(32)
                 yield other, name[k], doc[k], text[k], p[k], np.ones(len(k), np.int64)
 
         yield from _earliest_first(kept(), least)
