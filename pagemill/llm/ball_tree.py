@@ -1,10 +1,15 @@
 """Exact top-k inner products by a ball tree per shard, with branch and bound.
 
-Vectors are dealt to shards by a hash of vec_id; each shard has a ball tree.
-Queries come in blocks; a block descends a shard's tree, children by their
-upper bound q.c + |q| r, and leaves a node once no query's bound reaches its
-current k-th score. The first shard is searched first; its k-th scores are
-shared with all other shards, which return only what can still enter a result.
+Vectors are dealt to shards by the nearest of some pivots (a bounded sample that only
+decides which vectors lie together; all are indexed); a pivot with more than a shard's
+vectors has several shards, by a hash of vec_id. Each shard has a ball tree, whose
+nodes are visited by their upper bound q.c + |q| r and left once no query's bound reaches its
+current k-th score.
+
+Queries come in blocks of one shard. A block is searched in its own shard first. Its k-th
+scores, shared, are held against the root balls of all shards; only pairs of a block and a
+shard that may still enter a result are made, the most promising first, and the rest are held
+against the scores known by then before any tree is sent.
 
 Components are floor(scale * x); scores are exact integers (beyond 64 bits they
 stop at the limits of a long).
@@ -28,8 +33,10 @@ from pagemill.llm.work import written
 SHARD = 8192
 LEAF = 128
 QUERIES = 256
+PIVOTS = 1024
+FIRST_SHARDS = 4  # of a block, searched before the rest are looked at again
 LONG = (1 << 63) - 1
-INDEX = "dim int, shard int, ids binary, vectors binary, centre binary, radius binary, first binary, last binary, left binary"
+INDEX = "dim int, shard long, ids binary, vectors binary, centre binary, radius binary, first binary, last binary, left binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -68,7 +75,7 @@ def _build(scale: float):
                 add((a + b) // 2, b)
             node += 1
         arrays = [ids[turn], x[turn], np.array(centre), np.array(radius), *(np.array(v, np.int64) for v in (first, last, left))]
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), **{n: pa.array([v.tobytes()], pa.binary()) for n, v in zip(("ids", "vectors", "centre", "radius", "first", "last", "left"), arrays)}})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), **{n: pa.array([v.tobytes()], pa.binary()) for n, v in zip(("ids", "vectors", "centre", "radius", "first", "last", "left"), arrays)}})
 
     return run
 
@@ -84,6 +91,53 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(whole(q) @ whole(x).T, -LONG - 1, LONG).astype(np.int64)
 
 
+def bounds(q: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of queries with all that balls hold, a little above what rounding could lose."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = q @ centre.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius
+        return np.nan_to_num(bound + np.abs(bound) * 1e-9 + 1e-3 + 1e-12 * np.abs(q).sum(axis=1)[:, None] * np.abs(centre).max(initial=0.0), nan=np.inf)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten().cast(pa.float64())).reshape(len(column), dim) if dim else np.zeros((len(column), 0))
+
+
+def _cells(shared, names: list[str]):
+    """Rows with the number of the nearest pivot of their dimension; 0 where there is none."""
+
+    def run(batches):
+        for b in batches:
+            e, dims = b.column(names.index("embedding")), b.column(names.index("dim")).to_numpy()
+            cell = np.zeros(b.num_rows, np.int32)
+            for dim in np.unique(dims).tolist():
+                at, pivots = np.flatnonzero(dims == dim), shared.value.get(dim)
+                if pivots is not None and dim:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        cell[at] = ((pivots * pivots).sum(axis=1) - 2 * _matrix(e.take(pa.array(at)), dim) @ pivots.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*names, "cell"])
+
+    return run
+
+
+PAIRS = "dim int, block long, shard long, excess double"
+
+
+def _promising(key, queries, roots):
+    """Of a block and some shards' root balls the pairs that may hold something, by how far the best bound exceeds the k-th score."""
+    dim = key[0].as_py()
+    none = pa.table({"dim": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "excess": pa.array([], pa.float64())})
+    if not queries.num_rows or not roots.num_rows:
+        return none
+    q = _matrix(queries.column("vector").combine_chunks(), dim)
+    centre = np.stack([np.frombuffer(x, np.float64)[:dim] for x in roots.column("centre").to_pylist()])
+    radius = np.array([np.frombuffer(x, np.float64)[0] for x in roots.column("radius").to_pylist()])
+    kth = queries.column("kth").fill_null(-LONG - 1).to_numpy().astype(np.float64)
+    excess = (bounds(q, centre, radius) - kth[:, None]).max(axis=0)
+    open_ = np.flatnonzero(excess >= -np.abs(kth).max(initial=0.0) * 1e-12)
+    shard = roots.column("shard").to_numpy()[open_]
+    return pa.table({"dim": pa.array(np.full(len(open_), dim), pa.int32()), "block": pa.array(np.full(len(open_), key[1].as_py()), pa.int64()), "shard": pa.array(shard), "excess": pa.array(excess[open_])})
+
+
 def _search(k: int):
     def run(key, queries, shards):
         if not queries.num_rows or not shards.num_rows:
@@ -97,9 +151,7 @@ def _search(k: int):
         first, last, left = (np.frombuffer(one[n], np.int64) for n in ("first", "last", "left"))
         own = queries.column("query_id").to_numpy()
         q = np.asarray(queries.column("vector").combine_chunks().flatten()).reshape(len(own), dim) if dim else np.zeros((len(own), 0))
-        with np.errstate(over="ignore", invalid="ignore"):
-            bound = q @ centre.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius
-            bound = np.nan_to_num(bound + np.abs(bound) * 1e-9 + 1e-3 + 1e-12 * np.abs(q).sum(axis=1)[:, None] * np.abs(centre).max(initial=0.0), nan=np.inf)
+        bound = bounds(q, centre, radius)
         floor = queries.column("kth").fill_null(-LONG - 1).to_numpy()
         score = np.full((len(own), k), -LONG - 1)
         vec = np.full((len(own), k), LONG)
@@ -135,34 +187,66 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = vectors.select(F.col("vec_id").cast("long"), "embedding", is_query.alias("is_query")).filter(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
-    shards = max(1, -(-valid.count() // shard_rows))
-    dim = F.size("embedding").alias("dim")
-    dealt = valid.select("vec_id", "embedding", dim, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    index = written(dealt.groupBy("dim", "shard").applyInArrow(_build(scale), INDEX), "ball-trees")
-
-    queries = valid.filter("is_query").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    queries = written(queries.select(F.col("vec_id").alias("query_id"), "embedding", dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")), "queries")
-    schema = "query_id long, dim int, block int, kth long, vector array<double>"
+    twice = written(valid.groupBy("vec_id").count().filter("count > 1").select("vec_id"), "repeated-ids")
+    several = valid.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("is_query").alias("is_query"))
+    rows = valid.join(twice, "vec_id", "left_anti").unionByName(several).withColumn("dim", F.size("embedding"))
+
+    sample = rows.select("dim", "embedding", "vec_id").orderBy(F.xxhash64("vec_id", F.lit(2)), "vec_id").limit(min(PIVOTS, max(1, -(-valid.count() // shard_rows)))).collect()
+    pivots = {d: np.array([r["embedding"] for r in sample if r["dim"] == d], np.float64) for d in {r["dim"] for r in sample}}
+    names = rows.columns
+    placed = rows.mapInArrow(_cells(rows.sparkSession.sparkContext.broadcast(pivots), names), rows.withColumn("cell", F.lit(0)).schema)
+    parts = written(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).alias("parts")), "cells")  # a row a pivot and dimension
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    dealt = placed.join(parts, ["dim", "cell"]).withColumn("shard", F.shiftleft(F.col("cell").cast("long"), 32) + part)
+    index = written(dealt.select("vec_id", "embedding", "dim", "shard").groupBy("dim", "shard").applyInArrow(_build(scale), INDEX), "ball-trees")
 
     def floored(batches):
         for b in batches:
             e = b.column(1)
             v = pa.array(np.floor(scale * np.asarray(e.flatten().cast(pa.float64()))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(e.value_lengths()))]), pa.int32()), v)], ["query_id", "dim", "block", "kth", "vector"])
+            vector = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(e.value_lengths()))]), pa.int32()), v)
+            yield pa.RecordBatch.from_arrays([b.column(0), vector, b.column(2), b.column(3)], ["query_id", "vector", "dim", "home"])
 
-    def search(asked: DataFrame, trees: DataFrame, shard: Column) -> DataFrame:
-        asked = asked.select("query_id", "embedding", "dim", "block", "kth").mapInArrow(floored, schema).withColumn("shard", shard)
-        trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        by = ("dim", "shard", "block")
-        return asked.groupBy(*by).cogroup(trees.groupBy(*by)).applyInArrow(_search(k), FOUND)
+    asked = dealt.filter("is_query").select("vec_id", "embedding", "dim", "shard").mapInArrow(floored, "query_id long, vector array<double>, dim int, home long")
+    blocks = written(asked.groupBy("dim", "home").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), "blocks")
+    block = F.xxhash64("dim", "home", F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("blocks")))
+    queries = written(asked.join(blocks, ["dim", "home"]).withColumn("block", block).drop("blocks"), "queries")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def known(found: DataFrame) -> DataFrame:
+        """Queries with their k-th score so far, null where there are fewer."""
+        kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k).drop("n")
+        return queries.join(kth, "query_id", "left")
 
-    none = F.lit(None).cast("long")
-    begun = written(search(queries.withColumn("kth", none), index.filter("shard = 0"), F.lit(0)), "first-shard")
-    found = begun
+    def search(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """What the shards of the pairs (dim, block, shard) hold for the queries of their blocks."""
+        by = ("dim", "shard", "block")
+        fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides come from the pairs
+        left = fresh(asked.select("query_id", "dim", "block", "kth", "vector").join(pairs, ["dim", "block"]))
+        return left.groupBy(*by).cogroup(fresh(index.join(fresh(pairs), ["dim", "shard"])).groupBy(*by)).applyInArrow(_search(k), FOUND)
+
+    home = written(queries.select("dim", "block", F.col("home").alias("shard")).distinct(), "own-pairs")
+    found = written(search(queries.withColumn("kth", F.lit(None).cast("long")), home), "own-shards")
+    done = home
+    roots = index.select("dim", "shard", "centre", "radius")
+
+    def promising(asked: DataFrame) -> DataFrame:
+        """Pairs not searched yet that may hold something; a block meets root balls, in groups, but no tree."""
+        own = asked.select("dim", "block", "kth", "vector")
+        group = F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("group")
+        balls = roots.select("*", group).join(home.select("dim", "block").distinct(), "dim")
+        spread = own.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        open_ = spread.groupBy("dim", "block", "group").cogroup(balls.groupBy("dim", "block", "group")).applyInArrow(_promising, PAIRS)
+        return open_.join(done, ["dim", "block", "shard"], "left_anti")
+
+    shards = index.count()
     if shards > 1:
-        kth = begun.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k).drop("n")
-        rest = F.explode(F.sequence(F.lit(1), F.lit(shards - 1)))
-        found = begun.union(search(queries.join(kth, "query_id", "left"), index.filter("shard > 0"), rest))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        groups = -(-shards // 4096)
+        turn = F.row_number().over(Window.partitionBy("dim", "block").orderBy(F.desc("excess"), "shard"))
+        first = written(promising(known(found)).withColumn("turn", turn).filter(F.col("turn") <= FIRST_SHARDS).select("dim", "block", "shard"), "first-shards")
+        found = written(best(found.union(search(known(found), first))).drop("rank"), "found")
+        done = home.union(first)
+        rest = written(promising(known(found)).select("dim", "block", "shard"), "other-shards")
+        found = found.union(search(known(found), rest))
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
