@@ -113,7 +113,7 @@ def sanitized(markup: Column) -> Column:
 
 def table_rows(markup: Column, boxes: Column | None = None) -> Column:
     """array<array<cell>>; boxes: array<array<double>>."""
-    parse = F.udf(parse_table, f"array<array<{CELL}>>", useArrow=True)
+    parse = F.pandas_udf(lambda m, b: pd.Series([parse_table(x, y) for x, y in zip(m, b)], dtype=object), f"array<array<{CELL}>>")
     return parse(markup, boxes if boxes is not None else F.lit(None).cast("array<array<double>>"))
 
 

@@ -894,3 +894,76 @@ def page_hand_off(spark, sf_dir):
     cheap, rest = S.hand_off(p, p.filter("page_index <= 2"))
     both = cheap.withColumn("cheap", F.lit(True)).union(rest.withColumn("cheap", F.lit(False)))
     return both.groupBy("task_id").agg(F.count_if("cheap").alias("cheap"), F.count_if(~F.col("cheap")).alias("rest"))
+
+
+@query(f"""
+    WITH {_FIRST}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY page) AS place FROM f)
+    SELECT CAST(user_id AS VARCHAR) AS task_id, 'edited' AS head, greatest(count(*) - 2, 0) AS rest FROM n GROUP BY user_id""")
+def stream_edited_prefix(spark, sf_dir):
+    """Pages that arrive behind an edited text of two pages are put behind it; the edited text stays."""
+    events, at = _page_events(spark, sf_dir)
+    S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"file://{at}/pages")
+    out = pages.edited_prefix(stored, stored.select("task_id").distinct().withColumns({"text": F.lit("edited"), "edited_pages": F.lit(2)}))
+    parts = F.split("text", "\n\n", -1)
+    return out.select("task_id", parts[0].alias("head"), (F.size(parts) - 1).cast("long").alias("rest"))
+
+
+@query(f"""
+    WITH {_FIRST} SELECT CAST(user_id AS VARCHAR) AS task_id, count(*) AS pages, count(*) AS rows, 'cancelled' AS state FROM f GROUP BY user_id""")
+def stream_pause_and_resume(spark, sf_dir):
+    """A run that is paused, resumed on its checkpoint as more events arrive, and cancelled: every page once, and no way on."""
+    k = F.col("event_id")
+    at = folder(spark, "paused")
+    e = _table(spark, sf_dir, "events").filter(k % 11 > 0).select(F.lit(1).cast("long").alias("generation"), F.col("user_id").cast("string").alias("task_id"), (k % 50).cast("int").alias("page_index"), F.lit("x").alias("text"), F.lit(1).alias("n_blocks"), F.lit(0).alias("n_tables"), k.alias("arrival"))
+    run = S.Run(lambda: S.store_pages(files.event_stream(spark, f"file://{at}/in"), f"file://{at}/pages", f"file://{at}/checkpoint"))
+    for part in range(3):
+        e.filter(F.col("arrival") % 3 == part).write.mode("append").json(f"file://{at}/in")
+        run.resume()
+        run.query.awaitTermination()
+        run.pause()
+    run.cancel()
+    try:
+        run.resume()
+    except RuntimeError:
+        pass
+    stored = spark.read.parquet(f"file://{at}/pages")
+    return stored.groupBy("task_id").agg(F.count_distinct("page_index").alias("pages"), F.count("*").alias("rows")).withColumn("state", F.lit(run.state))
+
+
+class _Numbered(files.DocumentSource):
+    """Pages that say their number."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "numbered_documents"
+
+    @staticmethod
+    def decode(path, pages_):
+        return ((path, p, f"page {p + 1}", 600.0, 800.0) for p in pages_)
+
+
+@query("""
+    SELECT 'x.pdf' AS path, CAST(p AS INTEGER) AS page_index, 'page ' || p + 1 AS text, 600.0 AS width, 3 AS parts FROM range(0, 40, 2) r(p)""")
+def document_source(spark, sf_dir):
+    """Only selected pages are opened, a partition for each 8 of them."""
+    spark.dataSource.register(_Numbered)
+    df = spark.read.format("numbered_documents").option("path", "x.pdf").option("pages", ",".join(map(str, range(0, 40, 2)))).option("per_partition", "8").load()
+    return df.select("path", "page_index", "text", "width", F.lit(df.rdd.getNumPartitions()).alias("parts"))
+
+
+@query(values("given VARCHAR, grouping VARCHAR, collision VARCHAR, lengths VARCHAR", [("default", "separate", "rename", "0,0,0"), ("odd", "separate", "rename", "100,100,100"), ("valid", "combined", "skip", "1,2,3")]))
+def export_settings(spark, sf_dir):
+    given = {"default": ExportOptions(), "odd": ExportOptions("by page", "ask", "p" * 200, "s" * 101, "n" * 100), "valid": ExportOptions("combined", "skip", "a", "bb", "ccc")}
+    rows = [(k, o.grouping, o.collision, f"{len(o.prefix)},{len(o.suffix)},{len(o.name)}") for k, o in ((k, o.normalised()) for k, o in given.items())]
+    return spark.createDataFrame(rows, "given string, grouping string, collision string, lengths string")
+
+
+@query(values("id INTEGER, text VARCHAR, html VARCHAR", [
+    (0, "本（ほん）を読（よ）む", "<ruby>本<rt>ほん</rt></ruby>を<ruby>読<rt>よ</rt></ruby>む"), (1, "本（ほん）を読む", "<ruby>本<rt>ほん</rt></ruby>を読む"), (2, "本を読む", "本を読む"), (3, "a&b（&lt;）", "<ruby>a&amp;b<rt>&amp;lt;</rt></ruby>"),
+]))
+def rendered_glosses(spark, sf_dir):
+    """Readings by their start; spans that overlap an earlier one or leave the text are skipped."""
+    cases = [("本を読む", [(2, 3, "よ"), (0, 1, "ほん")]), ("本を読む", [(0, 1, "ほん"), (0, 2, "no"), (3, 9, "no")]), ("本を読む", [(2, 2, "no"), (-1, 1, "no")]), ("a&b", [(0, 3, "&lt;")])]
+    made = [layout.rendered(t, [{"start": a, "end": b, "text": r} for a, b, r in spans], "ruby") for t, spans in cases]
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "id int, text string, html string")

@@ -50,3 +50,12 @@ class ExportOptions:
     suffix: str = ""
     name: str = ""
     date: str | None = None  # for {date}; today by default
+
+    def normalised(self) -> "ExportOptions":
+        """Rules outside their domain become the default; prefix, suffix and name are cut to 100 characters."""
+        return replace(
+            self,
+            grouping="combined" if self.grouping == "combined" else "separate",
+            collision=self.collision if self.collision in ("skip", "overwrite") else "rename",
+            prefix=self.prefix[:100], suffix=self.suffix[:100], name=self.name[:100],
+        )

@@ -82,6 +82,34 @@ def store_pages(events: DataFrame, folder: str, checkpoint: str, after: Callable
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+class Run:
+    """A stream that can be paused, resumed and cancelled between batches.
+
+    ``start`` starts the query, always on one checkpoint: a batch that isn't finished leaves no mark there and is done
+    again, so no page is lost or counted twice. A cancelled run can't be resumed.
+    """
+
+    def __init__(self, start: Callable[[], StreamingQuery]) -> None:
+        self._start, self.query, self.state = start, None, "idle"
+
+    def resume(self) -> None:
+        if self.state == "cancelled":
+            raise RuntimeError("the run has been cancelled")
+        if self.state != "running":
+            self.query, self.state = self._start(), "running"
+
+    def pause(self) -> None:
+        self._stop("paused")
+
+    def cancel(self) -> None:
+        self._stop("cancelled")
+
+    def _stop(self, state: str) -> None:
+        if self.query is not None:
+            self.query.stop()
+        self.query, self.state = None, state
+
+
 def completed(pages: DataFrame, selected: DataFrame) -> DataFrame:
     """Texts of the tasks all of whose selected pages are stored; selected: task_id, selected_count."""
     whole = pages.groupBy("task_id").agg(F.count("*").alias("n")).join(selected, "task_id").filter("n >= selected_count").select("task_id")
