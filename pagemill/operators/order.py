@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Partitions of a range sort; stated, so that both uses of the exchange see the same ones.
-PARTS = 32
+PARTS, SAMPLE = 32, 640  # ranges, and rows looked at to set their bounds; neither changes a result
 
 
-def numbered(df: DataFrame, number: str, *order: Column | str, parts: int = PARTS) -> DataFrame:
-    """``df`` with the rows' places from 0: a range sort, places within its partitions, and the partitions' counts added up.
+def numbered(df: DataFrame, number: str, *order: Column | str) -> DataFrame:
+    """``df`` with the rows' places from 0: ranges between bounds from a sample, places within each, and the ranges' counts added up.
 
-    Rows equal in ``order`` are numbered in any order, so it should tell all rows apart.
+    Rows equal in ``order`` are numbered in any order, so it should tell all rows apart. The bounds are literals, so a
+    row's range is the same however often the plan runs.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
-    ks = [f"__k{i}" for i in range(len(keys))]
-    dealt = keyed.repartitionByRange(parts, *ks).withColumn("__part", F.spark_partition_id())
-    counts = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # at most ``parts`` rows
-    before = [sum(counts.get(j, 0) for j in range(i)) for i in range(parts)]
-    own = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    placed = dealt.sortWithinPartitions(*ks).withColumn(number, (F.array(*[F.lit(b).cast("long") for b in before])[F.col("__part")] + own).cast("int"))
-    return placed.drop("__part", *ks)
+    ks = [f"__k{i}" for i in range(len(order))]
+    keyed = df.withColumns({k: F.col(c) if isinstance(c, str) else c for k, c in zip(ks, order)})
+    sample = keyed.select(*ks).orderBy(F.xxhash64(*ks), *ks).limit(SAMPLE).orderBy(*ks).collect()
+    bounds = [sample[i] for i in range(0, len(sample), -(-SAMPLE // PARTS))][1:]
+    types = keyed.select(*ks).schema
+    literal = lambda row: F.struct(*[F.lit(row[k]).cast(types[k].dataType).alias(k) for k in ks])
+    place = F.lit(0)
+    for b in bounds:
+        place = place + (F.struct(*ks) > literal(b)).cast("int")
+    dealt = keyed.withColumn("__range", place)
+    counts = dict(dealt.groupBy("__range").count().collect())  # at most PARTS rows
+    before = F.array(*[F.lit(sum(n for r, n in counts.items() if r < i)).cast("long") for i in range(PARTS + 1)])
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*ks)) - 1
+    return dealt.withColumn(number, (F.get(before, F.col("__range")) + own).cast("int")).drop("__range", *ks)
