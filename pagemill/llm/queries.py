@@ -9,6 +9,7 @@ from pagemill.llm import ball_tree, curriculum, decontaminate, language, line_de
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back in chunks: digests, lengths and what repeated payloads refer to."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.records(warc.read_chunks(warc.write_archives(pages), data=False)).drop("verified")
 
@@ -19,47 +20,57 @@ def _fold(modulus: int, held: int):
 
 
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a model of the labels outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = quality_mil.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~_fold(3, 1))
     return quality_mil.scored(docs, model).select("doc_id", _fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a digest of the base spans, and all spans, of every whole text; n_spans counts base and added ones."""
     found = pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.concat("base", "added")).alias("spans"))
+    every = F.concat("base", "added")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 100-byte strings that also start earlier."""
     kept = repeats.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all texts by a model of those outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.learned(docs.select("doc_id", "text", "lang"), ~_fold(4, 2))
     return language.identified(docs.select("doc_id", "text"), model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest inner products of every hundredth vector with all others."""
     return ball_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that 3-word shingles link at 0.9."""
     return ngram_join.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without lines that match an earlier one, as digests."""
     kept = line_dedup.deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op8_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and words taken of all documents, in the order of their first position."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return curriculum.in_order(docs).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of an item's 5-word shingles."""
     found = decontaminate.matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "item_id", "n_found", "n_item")
 
