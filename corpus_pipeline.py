@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import curriculum, decontaminate, line_dedup, ngram_join, quality_mil
-from pagemill.llm.work import written
+from pagemill.llm.work import removed, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,6 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            removed(docs)  # the table of the stage before
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
