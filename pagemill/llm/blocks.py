@@ -93,8 +93,8 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Maximal runs of bytes other than space and 0x09 to 0x0D, A-Z lower-cased; none crosses a document."""
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> Words:
+    """Maximal runs of bytes other than space and 0x09 to 0x0D, A-Z lower-cased by default; none crosses a document."""
     n = len(data)
     inside = ~SPACE[data]
     cut = np.zeros(n + 1, bool)
@@ -104,7 +104,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | cut[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(start, end, np.searchsorted(start, bounds), spans_hash(LOWER[data], start, end))
+    return Words(start, end, np.searchsorted(start, bounds), spans_hash(LOWER[data] if lower else data, start, end))
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ball_tree, curriculum, decontaminate, language, line_dedup, ngram_join, pii, quality_mil, repeats, warc
+from pagemill.llm import ball_kmeans, ball_tree, curriculum, decontaminate, filter_audit, language, line_dedup, ngram_join, pii, quality_mil, repeats, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_found", "n_item")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op4_repeated_bytes, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination)}
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 components after five rounds, with inertias and digests of centroids."""
+    found = ball_kmeans.with_inertia(*ball_kmeans.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language in all 120 orders."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return filter_audit.audit(read("documents"), read("labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op4_repeated_bytes, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination, op11_ball_kmeans, op13_filter_audit)}
 
 
 def _words(column: str) -> str:
@@ -83,7 +95,51 @@ def _words(column: str) -> str:
     return rf"regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
+def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
+    """SQL of k-means: a pair of tables a round."""
+    own = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - x[i]) * (v[i] - x[i])))"
+    nearest = lambda r: f"SELECT vec_id, v, arg_min({{'c': c, 'd': d}}, d * {k} + c) AS a FROM (SELECT rid, vec_id, v, c, CAST({own} AS BIGINT) AS d FROM k CROSS JOIN c{r}) GROUP BY rid, vec_id, v"
+    parts = [f"""
+        WITH k AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS x FROM (SELECT v, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM k ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest(r)})")
+        if r < rounds:
+            parts.append(f"m{r} AS (SELECT c, list(m ORDER BY i) AS x FROM (SELECT a.c AS c, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM a{r}, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY c)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, list_transform(coalesce(m{r}.x, c{r}.x), lambda y: CAST(y AS BIGINT)) AS x FROM c{r} LEFT JOIN m{r} USING (c))")
+    return ",\n        ".join(parts) + f"""
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string(x, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a.c"""
+
+
 ORACLES = {
+    "op11_ball_kmeans": _kmeans_sql(),
+    "op13_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy FROM t),
+        l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT part, CAST(len(w) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER) + 4 * CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS INTEGER)
+                + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(copy AS INTEGER) AS mask, quality, toxic
+            FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM m GROUP BY part, mask),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+            WHERE a.x <> b.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+        s AS (
+            SELECT filter_order, CAST(i AS INTEGER) AS step, 1 << (ascii(filter_order[i]) - 65) AS own, coalesce(list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(filter_order[j]) - 65))), 0) AS before
+            FROM o, range(1, 6) r(i)),
+        r AS (
+            SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (mask & (own + before) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+              CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+              CAST(coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+            FROM s CROSS JOIN c GROUP BY part, filter_order, step, own)
+        SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
     "op1_warc_chunks": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha256(html) AS digest FROM p),
