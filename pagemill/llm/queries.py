@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ball_kmeans, ball_tree, curriculum, decontaminate, filter_audit, language, line_dedup, ngram_join, pii, quality_mil, repeats, warc
+from pagemill.llm import ball_kmeans, ball_tree, curriculum, decontaminate, filter_audit, language, line_dedup, main_text, ngram_join, pii, quality_mil, repeats, warc
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,18 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
+def op12_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from each language in all 120 orders."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return filter_audit.audit(read("documents"), read("labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op4_repeated_bytes, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination, op11_ball_kmeans, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_quality_mil, op3_pii_boosting, op4_repeated_bytes, op5_language_backoff, op6_ball_tree_topk, op7_ngram_jaccard, op9_line_dedup, op8_mixing_curriculum, op10_decontamination, op11_ball_kmeans, op12_host_suffixes, op13_filter_audit)}
 
 
 def _words(column: str) -> str:
@@ -117,6 +122,13 @@ def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
 
 
 ORACLES = {
+    "op12_host_suffixes": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '[\x09-\x0D\x20]+', ' ', 'g') AS a FROM pages),
+        b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(a, '<br>', ' ', 'g'), '</?(p|h1)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS b FROM a),
+        e AS (SELECT page_id, url, list_transform(b, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g')) AS e FROM b),
+        d AS (SELECT page_id, url, list_transform(e, lambda x: trim(regexp_replace(regexp_replace(replace(x, '&#x27;', chr(39)), '&amp;?', '&', 'g'), ' +', ' ', 'g'))) AS d FROM e),
+        t AS (SELECT page_id, url, array_to_string(list_filter(d, lambda x: x <> ''), chr(10)) AS text, CAST(len(list_filter(d, lambda x: x <> '')) AS INTEGER) AS n_blocks FROM d)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars, n_blocks, 0 AS n_repeated FROM t""",
     "op11_ball_kmeans": _kmeans_sql(),
     "op13_filter_audit": r"""
         WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
