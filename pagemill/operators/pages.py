@@ -19,7 +19,7 @@ def latest(pages: DataFrame, arrival: str, keys=("task_id", "page_index")) -> Da
     return best.select(*keys, *[F.col(f"_p.{c}").alias(c) for c in rest])
 
 
-def earliest(pages: DataFrame, arrival: str, keys=("task_id", "page_index")) -> DataFrame:
+def earliest(pages: DataFrame, arrival: str | Column, keys=("task_id", "page_index")) -> DataFrame:
     """Of pages with one key the first to arrive, as an incremental result keeps it."""
     rest = [c for c in pages.columns if c not in keys]
     best = pages.groupBy(*keys).agg(F.min_by(F.struct(*rest), arrival).alias("_p"))

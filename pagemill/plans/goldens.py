@@ -831,43 +831,48 @@ def event_log_lines(spark, sf_dir):
 
 
 def _page_events(spark, sf_dir) -> tuple[DataFrame, str]:
-    """The events as page events of two processes, written as JSON lines: page event_id % 50 of the user's document."""
+    """The events as page events of two processes, written as JSON lines to six files in no order, two of which make a batch: page event_id % 50 of the user's document."""
     at = folder(spark, "events")
     k = F.col("event_id")
     e = _table(spark, sf_dir, "events").select((1 + (k % 11 > 0).cast("long")).alias("generation"), F.col("user_id").cast("string").alias("task_id"), (k % 50).cast("int").alias("page_index"), F.concat(F.lit("text "), k.cast("string")).alias("text"), (k % 9).cast("int").alias("n_blocks"), (k % 2).cast("int").alias("n_tables"), k.alias("arrival"))
-    e.select([c.split()[0] for c in EVENTS.split(", ")]).write.json(f"file://{at}/in")
-    return S.current(files.event_stream(spark, f"file://{at}/in"), 2), at
+    e.select([c.split()[0] for c in EVENTS.split(", ")]).repartition(6, F.xxhash64("arrival")).write.json(f"file://{at}/in")
+    return S.current(files.event_stream(spark, f"file://{at}/in", 2), 2), at
 
 
 _FIRST = "f AS (SELECT user_id, event_id % 50 AS page, min(event_id) AS first FROM events WHERE event_id % 11 > 0 GROUP BY ALL)"
 
 
 @query(f"""
-    WITH {_FIRST}, o AS (SELECT *, max(page) OVER (PARTITION BY user_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
-    SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(count(*) AS INTEGER) AS pages, CAST(sum(first % 9) AS INTEGER) AS blocks, CAST(sum(first % 2) AS INTEGER) AS tables, count(*) FILTER (WHERE reach IS NULL OR page > reach) AS in_order FROM o GROUP BY user_id""")
+    WITH {_FIRST} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(count(*) AS INTEGER) AS pages, CAST(sum(first % 9) AS INTEGER) AS blocks, CAST(sum(first % 2) AS INTEGER) AS tables FROM f GROUP BY user_id""")
 def stream_running_totals(spark, sf_dir):
-    """A stream of page events with keyed state: running totals of first copies; events of the earlier process don't count."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """A stream of page events with keyed state: running totals of first copies, corrected where an earlier copy comes later; events of the earlier process don't count."""
+    S.keyed_state(spark)
     events, at = _page_events(spark, sf_dir)
     writer = S.progress(events).writeStream.format("parquet").option("path", f"file://{at}/totals").option("checkpointLocation", f"file://{at}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"file://{at}/totals")
-    last = F.max_by(F.struct("blocks", "tables"), "pages")
-    out = rows.groupBy("task_id").agg(F.max("pages").alias("pages"), last.alias("t"), F.count_if("in_order").alias("in_order"))
-    return out.select("task_id", "pages", "t.blocks", "t.tables", "in_order")
+    last = F.max_by(F.struct("pages", "blocks", "tables"), "seq")
+    return rows.groupBy("task_id").agg(last.alias("t")).select("task_id", "t.pages", "t.blocks", "t.tables")
 
 
 @query(f"""
-    WITH {_FIRST} SELECT CAST(user_id AS VARCHAR) AS task_id, count(*) AS pages, TRUE AS same FROM f GROUP BY user_id""")
+    WITH {_FIRST} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(page AS INTEGER) AS page_index, 'text ' || first AS text, first AS arrival FROM f""")
 def stream_equals_batch(spark, sf_dir):
-    """Stored pages of a stream against the batch form over the same events: the same pages, each once."""
+    """Pages stored from a stream whose files and batches mix early and late copies: of every page the first to arrive."""
     events, at = _page_events(spark, sf_dir)
     S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint").awaitTermination()
-    stored = spark.read.parquet(f"file://{at}/pages").groupBy("task_id").agg(F.array_sort(F.collect_list("page_index")).alias("a"))
-    k = F.col("event_id")
-    e = _table(spark, sf_dir, "events").filter(k % 11 > 0).select(F.col("user_id").cast("string").alias("task_id"), (k % 50).cast("int").alias("page_index"), k.alias("arrival"))
-    batch = pages.earliest(e, "arrival").groupBy("task_id").agg(F.array_sort(F.collect_list("page_index")).alias("b"))
-    return stored.join(batch, "task_id", "full").select("task_id", F.size("a").cast("long").alias("pages"), (F.col("a") == F.col("b")).alias("same"))
+    return S.stored_pages(spark, f"file://{at}/pages").select("task_id", "page_index", "text", "arrival")
+
+
+@query(f"""
+    WITH {_FIRST} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(page AS INTEGER) AS page_index, TRUE AS ascending, first AS arrival FROM f""")
+def stream_corrections(spark, sf_dir):
+    """What the stream has emitted for each page: versions from 0 without a gap, each earlier than the one before, the last the first copy."""
+    events, at = _page_events(spark, sf_dir)
+    S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"file://{at}/pages").groupBy("task_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("version", "arrival"))).alias("v"))
+    falls = F.forall(F.sequence(F.lit(0), F.size("v") - 1), lambda i: (F.col("v")[i]["version"] == i) & ((i == 0) | (F.col("v")[i]["arrival"] < F.col("v")[F.greatest(i - 1, F.lit(0))]["arrival"])))
+    return rows.select("task_id", "page_index", falls.alias("ascending"), F.element_at("v", -1)["arrival"].alias("arrival"))
 
 
 @query(f"""
@@ -879,14 +884,25 @@ def auto_exports(spark, sf_dir):
     users = _table(spark, sf_dir, "events").select("user_id").distinct()
     selected = users.select(F.col("user_id").cast("string").alias("task_id"), (1 + F.col("user_id") % 3).alias("selected_count"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".pdf")).alias("file_name"))
     os.makedirs(f"{at}/out")
-    for r in users.filter("user_id % 7 = 0").toLocalIterator():
-        with open(f"{at}/out/u{r['user_id']}.txt", "w") as f:
-            f.write("mine")
-    after = E.auto_export(f"file://{at}/pages", selected, f"{at}/out", f"file://{at}/states")
-    S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint", after).awaitTermination()
+    E.export_completed(selected.filter("task_id % 7 = 0").withColumn("text", F.lit("mine")), f"{at}/out").write.format("noop").mode("overwrite").save()
+    S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint").awaitTermination()
+    E.export_as_completed(spark, f"file://{at}/pages", selected, f"{at}/out", f"file://{at}/states", f"file://{at}/exported").awaitTermination()
     return spark.read.parquet(f"file://{at}/states").select("task_id", "state")
 
 
+@query(f"""
+    WITH {_FIRST} SELECT CAST(user_id AS VARCHAR) AS task_id, count(*) AS pages, string_agg('text ' || first, chr(10) || chr(10) ORDER BY page) AS text FROM f GROUP BY user_id HAVING count(*) >= 3""")
+def stream_completed_texts(spark, sf_dir):
+    """Texts of the documents that a stream has finished, three pages or more, each once, from the folders that hold their pages."""
+    events, at = _page_events(spark, sf_dir)
+    S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint").awaitTermination()
+    users = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), F.lit(3).alias("selected_count")).distinct()
+    done = S.completions(spark, f"file://{at}/pages", users).writeStream.format("parquet").option("path", f"file://{at}/done").option("checkpointLocation", f"file://{at}/done-checkpoint")
+    done.trigger(availableNow=True).start().awaitTermination()
+    finished = spark.read.parquet(f"file://{at}/done")
+    return pages.document_text(S.pages_of(spark, f"file://{at}/pages", finished)).select("task_id", "pages", "text")
+
+
 @query("SELECT conv_id AS task_id, count(*) FILTER (WHERE turn % 2 = 0) AS cheap, count(*) FILTER (WHERE turn % 2 = 1) AS rest FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn > 2) GROUP BY conv_id")
 def page_hand_off(spark, sf_dir):
     """Pages with embedded text go first; what is stored already is in neither pass."""
@@ -903,7 +919,7 @@ def stream_edited_prefix(spark, sf_dir):
     """Pages that arrive behind an edited text of two pages are put behind it; the edited text stays."""
     events, at = _page_events(spark, sf_dir)
     S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint").awaitTermination()
-    stored = spark.read.parquet(f"file://{at}/pages")
+    stored = S.stored_pages(spark, f"file://{at}/pages")
     out = pages.edited_prefix(stored, stored.select("task_id").distinct().withColumns({"text": F.lit("edited"), "edited_pages": F.lit(2)}))
     parts = F.split("text", "\n\n", -1)
     return out.select("task_id", parts[0].alias("head"), (F.size(parts) - 1).cast("long").alias("rest"))
@@ -927,7 +943,7 @@ def stream_pause_and_resume(spark, sf_dir):
         run.resume()
     except RuntimeError:
         pass
-    stored = spark.read.parquet(f"file://{at}/pages")
+    stored = S.stored_pages(spark, f"file://{at}/pages")
     return stored.groupBy("task_id").agg(F.count_distinct("page_index").alias("pages"), F.count("*").alias("rows")).withColumn("state", F.lit(run.state))
 
 

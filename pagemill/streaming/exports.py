@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from pagemill.operators.exports import numbered, text_files
-from pagemill.streaming.pages import completed
+from pagemill.operators.pages import document_text
+from pagemill.streaming.pages import completions, pages_of
 
 STATES = "task_id string, name string, state string"
 
@@ -45,16 +46,20 @@ def export_completed(texts: DataFrame, directory: str) -> DataFrame:
     return named.mapInArrow(write, STATES)
 
 
-def auto_export(stored: str, selected: DataFrame, directory: str, states: str) -> Callable[[DataFrame, int], None]:
-    """For ``store_pages``: after each batch, exports the documents that its pages complete; what became of each is kept under ``states``.
+def export_as_completed(spark: SparkSession, stored: str, selected: DataFrame, directory: str, states: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A query beside that of ``store_pages``: exports each document once, when all its selected pages are stored; what became of it is kept under ``states``.
 
-    selected: task_id, selected_count, file_name; stored: the folder of all stored pages.
+    selected: task_id, selected_count, file_name; stored: the folder of the stored pages, of which only the batches and
+    buckets of finished documents are read. A failure here doesn't touch the pages; a batch done again finds its own files.
     """
 
-    def after(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        touched = spark.read.parquet(stored).drop("batch").join(batch.select("task_id").distinct(), "task_id", "left_semi")
-        done = completed(touched, selected).join(selected.select("task_id", "file_name"), "task_id")
-        export_completed(done, directory).write.mode("overwrite").parquet(f"{states}/batch={number}")
+    def batch(finished: DataFrame, number: int) -> None:
+        finished = finished.persist()
+        try:
+            texts = document_text(pages_of(spark, stored, finished)).join(selected.select(F.col("task_id").alias("task_id"), "file_name"), "task_id")
+            export_completed(texts, directory).write.mode("overwrite").parquet(f"{states}/batch={number}")
+        finally:
+            finished.unpersist()
 
-    return after
+    writer = completions(spark, stored, selected).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -1,23 +1,38 @@
 """Incremental results with Structured Streaming.
 
-While pages arrive, the first of a page's copies counts; when a task is done,
-its result is made anew from the stored pages, so it doesn't depend on the order
-of arrival.
+Of a page's copies the first to arrive counts, by its ``arrival`` number, whatever files and batches
+the copies come in: keyed state holds the best arrival of each page, and a copy that turns out to be earlier is emitted as a
+correction with a higher version. When a task is done, its result is made anew from the stored pages,
+so it doesn't depend on the order in which they were read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import IntegerType, StructType
 
-from pagemill.operators.pages import document_text
+from pagemill.operators.pages import document_text, earliest
 
-PROGRESS = "task_id string, page_index int, pages int, blocks int, tables int, in_order boolean"
+BLOCK = 256  # pages of a task that share a state, so that a task of many pages is no single group
+NEVER = (1 << 63) - 1  # the arrival of an event without one
+PROGRESS = "task_id string, page_index int, pages int, blocks int, tables int, in_order boolean, version int, seq int"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """The state store that keyed state needs."""
+    if "RocksDB" not in (spark.conf.get(_PROVIDER, None) or ""):
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def bucket(task_id: str, n: int = 16):
+    return F.pmod(F.xxhash64(task_id), F.lit(n)).cast("int").alias("bucket")
 
 
 def current(events: DataFrame, generation: int) -> DataFrame:
@@ -25,63 +40,180 @@ def current(events: DataFrame, generation: int) -> DataFrame:
     return events.filter(F.col("generation") == generation)
 
 
-def first_copies(events: DataFrame, late: str | None = None) -> DataFrame:
-    """One event a page. ``late``, with an event_time column, bounds the state; without it every key is remembered."""
+def _turn(r: Row) -> tuple:
+    """Copies in order of arrival; equal arrivals by their text."""
+    return NEVER if r["arrival"] is None else r["arrival"], r["text"] is None, r["text"] or ""
+
+
+class _FirstCopies(StatefulProcessor):
+    """The first copies of a block of a task's pages; keeps numbers, no texts."""
+
+    def __init__(self, keep: int | None, timed: bool) -> None:
+        self.keep, self.timed = keep, timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "pages array<int>, arrivals array<long>, versions array<int>, until long", self.keep)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        pages, arrivals, versions, until = self.best.get() if self.best.exists() else ([], [], [], -1)
+        known = {p: (a, v) for p, a, v in zip(pages, arrivals, versions)}
+        fresh: dict[int, Row] = {}
+        last = until
+        for r in rows:
+            p = r["page_index"]
+            if self.timed:
+                last = max(last, r["__time"])
+            if (p not in known or _turn(r)[0] < known[p][0]) and (p not in fresh or _turn(r) < _turn(fresh[p])):
+                fresh[p] = r
+        for p, r in sorted(fresh.items()):
+            version = known[p][1] + 1 if p in known else 0
+            known[p] = _turn(r)[0], version
+            row = r.asDict() | {"version": version}
+            yield Row(**{k: v for k, v in row.items() if not k.startswith("__")})
+        if self.timed and last > until:
+            self.handle.registerTimer(last)
+        if fresh or last > until:
+            self.best.update((list(known), [a for a, _ in known.values()], [v for _, v in known.values()], last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.best.exists() and self.best.get()[3] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.best.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def first_copies(events: DataFrame, late: str | None = None, keep: int | None = None) -> DataFrame:
+    """The first copy of each page, with a version: 0, or higher where it corrects a copy that was emitted before.
+
+    A page's state is a few numbers. ``late``, with an event_time column, drops a block's state once the watermark has
+    passed all its events; ``keep`` drops it that many milliseconds after its last change (for queries that run on: Spark never ends an
+    availableNow trigger with it). A copy that comes later still is
+    emitted again, and :func:`stored_pages` decides. Events without a page_index are left out. Needs :func:`keyed_state`.
+    """
+    if late and keep:
+        raise ValueError("state ends by event time or by processing time")
+    out = StructType([*events.schema.fields]).add("version", IntegerType())
+    rows = events.filter("page_index is not null").withColumn("__block", F.floor(F.col("page_index") / BLOCK).cast("int"))
     if late:
-        return events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["task_id", "page_index"])
-    return events.dropDuplicates(["task_id", "page_index"])
+        rows = rows.withWatermark("event_time", late).withColumn("__time", F.unix_millis("event_time"))
+    mode = "EventTime" if late else "ProcessingTime" if keep else "None"
+    return rows.groupBy("task_id", "__block").transformWithState(_FirstCopies(keep, bool(late)), out, "Append", mode)
+
+
+def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that :func:`store_pages` has written, each by its earliest arrival; corrections replace what they correct."""
+    return _first(spark.read.parquet(folder))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    return earliest(rows.drop("batch", "bucket"), F.struct(F.coalesce("arrival", F.lit(NEVER)), F.col("text").isNull(), "text"))
 
 
 class _Progress(StatefulProcessor):
     """Counts of a task's distinct pages, and whether each came behind all before it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "page_index int", "here boolean")
-        self.totals = handle.getValueState("totals", "pages int, blocks int, tables int, last int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pages, blocks, tables, last = self.totals.get() if self.totals.exists() else (0, 0, 0, -1)
-        out = []
-        arrived = pd.concat(list(rows)).sort_values(["arrival", "page_index"])
-        for r in arrived.itertuples():
-            page = (int(r.page_index),)
-            if self.seen.containsKey(page):
+        self.seen = handle.getMapState("seen", "page_index int", "arrival long, blocks int, tables int, version int")
+        self.totals = handle.getValueState("totals", "pages int, blocks int, tables int, last int, seq int")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        pages, blocks, tables, last, seq = self.totals.get() if self.totals.exists() else (0, 0, 0, -1, 0)
+        for r in sorted(rows, key=lambda r: (_turn(r)[0], r["page_index"], *_turn(r)[1:])):
+            page, own = (r["page_index"],), (_turn(r)[0], r["n_blocks"] or 0, r["n_tables"] or 0)
+            old = self.seen.getValue(page) if self.seen.containsKey(page) else None
+            if old is not None and old[0] <= own[0]:
                 continue
-            self.seen.updateValue(page, (True,))
-            in_order = page[0] > last
-            pages, blocks, tables, last = pages + 1, blocks + int(r.n_blocks), tables + int(r.n_tables), max(last, page[0])
-            out.append((key[0], page[0], pages, blocks, tables, in_order))
-        self.totals.update((pages, blocks, tables, last))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PROGRESS.split(", ")])
+            version = 0 if old is None else old[3] + 1
+            self.seen.updateValue(page, (*own, version))
+            in_order = old is None and page[0] > last
+            pages, last = pages + (old is None), max(last, page[0])
+            blocks, tables = blocks + own[1] - (old[1] if old else 0), tables + own[2] - (old[2] if old else 0)
+            seq += 1
+            yield Row(task_id=key[0], page_index=page[0], pages=pages, blocks=blocks, tables=tables, in_order=in_order, version=version, seq=seq)
+        self.totals.update((pages, blocks, tables, last, seq))
 
     def close(self) -> None:
         pass
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Running totals of each task, a row for each new page (columns PROGRESS). Needs the RocksDB state store."""
-    return events.groupBy("task_id").transformWithStateInPandas(_Progress(), PROGRESS, "Append", "None")
+    """Running totals of each task (columns PROGRESS), numbered by seq: a row for each new page, and one, of a higher version, where an earlier copy of a page corrects the totals. Needs :func:`keyed_state`."""
+    return events.filter("page_index is not null").groupBy("task_id").transformWithState(_Progress(), PROGRESS, "Append", "None")
 
 
-def store_pages(events: DataFrame, folder: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
-    """Writes first copies to ``folder``, a subfolder a batch, so that a repeated batch replaces its own rows; ``after`` may export what a batch completes.
+def store_pages(events: DataFrame, folder: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, every: str | None = None, late: str | None = None) -> StreamingQuery:
+    """Writes first copies and corrections to ``folder``, a subfolder a batch, so that a repeated batch replaces its own rows.
 
-    A failure of ``after`` is recorded in the batch's ``failed`` subfolder and doesn't stop the pages.
+    Rows lie in folders by batch and bucket of the task; ``folder``-counts has a row a task and batch with the number of its new pages,
+    which is all that :func:`completions` reads. ``after`` may use what a batch has stored: its failure is recorded in
+    ``folder``-failed and doesn't stop the pages.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        spark = df.sparkSession
+        df.withColumn("bucket", bucket("task_id")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={number}")
+        stored = spark.read.schema(df.schema).parquet(f"{folder}/batch={number}")
+        stored.groupBy("task_id").agg(F.count_if(F.col("version") == 0).alias("n")).write.mode("overwrite").parquet(f"{folder}-counts/batch={number}")
         if after is None:
             return
         try:
-            after(df.sparkSession.read.parquet(f"{folder}/batch={number}"), number)
+            after(stored, number)
         except Exception as e:  # noqa: BLE001
-            df.sparkSession.createDataFrame([(number, type(e).__name__)], "batch long, error string").write.mode("overwrite").parquet(f"{folder}-failed/batch={number}")
+            spark.createDataFrame([(number, type(e).__name__)], "batch long, error string").write.mode("overwrite").parquet(f"{folder}-failed/batch={number}")
 
-    writer = first_copies(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    keyed_state(events.sparkSession)
+    writer = first_copies(events, late).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+class _Completion(StatefulProcessor):
+    """Counts a task's new pages and says once that all selected ones are there, and in which batches they are stored."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "pages long, batches array<long>, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        pages, batches, done = self.state.get() if self.state.exists() else (0, [], False)
+        if done:
+            return
+        batches, wanted = set(batches), None
+        for r in rows:
+            pages += r["n"]
+            batches.add(r["batch"])
+            wanted = r["selected_count"]
+        done = pages >= wanted
+        self.state.update((pages, [] if done else sorted(batches), done))
+        if done:
+            yield Row(task_id=key[0], pages=pages, batches=sorted(batches))
+
+    def close(self) -> None:
+        pass
+
+
+def completions(spark: SparkSession, folder: str, selected: DataFrame) -> DataFrame:
+    """A stream of the tasks whose selected pages (task_id, selected_count) have all been stored: task_id, pages, batches; each task once.
+
+    Reads the counts beside ``folder``, not the pages. Corrections don't count.
+    """
+    keyed_state(spark)
+    counts = spark.readStream.schema("task_id string, n long, batch long").option("basePath", f"{folder}-counts").parquet(f"{folder}-counts")
+    wanted = selected.select(F.col("task_id").alias("task_id"), F.col("selected_count").cast("long").alias("selected_count"))
+    return counts.join(wanted, "task_id").groupBy("task_id").transformWithState(_Completion(), "task_id string, pages long, batches array<long>", "Append", "None")
+
+
+def pages_of(spark: SparkSession, folder: str, finished: DataFrame) -> DataFrame:
+    """Stored pages of the tasks in ``finished`` (task_id, batches); only folders of their batches and buckets are read."""
+    there = finished.select(F.explode("batches").alias("batch"), bucket("task_id")).distinct().groupBy("batch").agg(F.collect_set("bucket").alias("buckets")).collect()  # a row a batch
+    if not there:
+        return stored_pages(spark, folder).limit(0)
+    place = reduce(lambda a, b: a | b, [(F.col("batch") == r["batch"]) & F.col("bucket").isin(r["buckets"]) for r in there])
+    rows = spark.read.parquet(folder).filter(place).join(finished.select(F.col("task_id").alias("task_id")), "task_id", "left_semi")
+    return _first(rows)
+
+
 class Run:
     """A stream that can be paused, resumed and cancelled between batches.
 

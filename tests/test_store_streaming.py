@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagemill.schema import EVENTS
 from pagemill.sources import files
 from pagemill.sources.store import Conflict, Store
+from pagemill.streaming import exports as E
 from pagemill.streaming import pages as S
 
 PAGES = "task_id string, page_index int, text string"
@@ -52,11 +53,74 @@ def test_pages_stream_first_copies_and_equal_a_batch(spark, tmp_path):
         S.store_pages(stream, str(out), str(check), after).awaitTermination()
         if step == 1:
             write_events(source, EVENT_ROWS[2:], "2.json")
-    stored = spark.read.parquet(str(out))
-    assert {(r.task_id, r.page_index) for r in stored.collect()} == {("a", 1), ("a", 0), ("b", 0)} and sum(seen) == 3
+    stored = S.stored_pages(spark, str(out))
+    assert {(r.task_id, r.page_index, r.text) for r in stored.collect()} == {("a", 1, "first"), ("a", 0, "zero"), ("b", 0, "b")} and sum(seen) == 3
     assert spark.read.parquet(f"{out}-failed").count() >= 2
-    done = {r.task_id: r.text for r in S.completed(stored, spark.createDataFrame([("a", 2), ("b", 2)], "task_id string, selected_count int")).collect()}
-    assert done.keys() == {"a"} and done["a"].startswith("zero\n\n")
+
+
+def test_documents_are_exported_once_when_they_are_complete(spark, tmp_path):
+    source, out, to = tmp_path / "in", str(tmp_path / "out"), tmp_path / "to"
+    source.mkdir()
+    to.mkdir()
+    selected = spark.createDataFrame([("a", 2, "a.pdf"), ("b", 2, "b.pdf"), ("c", 1, "c.pdf")], "task_id string, selected_count int, file_name string")
+    steps = [[(1, "a", 1, "one", 1, 0, 5), (1, "a", 1, "again", 1, 0, 6), (1, "b", 0, "b", 1, 0, 7), (1, "x", 0, "unknown", 1, 0, 8)], [(1, "a", 1, "early", 1, 0, 1), (1, "c", 0, "c", 1, 0, 9)], [(1, "a", 0, "zero", 1, 0, 10)], [(1, "a", 2, "more", 1, 0, 11), (1, "a", 0, "late", 1, 0, 12)]]
+    states = []
+    for n, rows in enumerate(steps):
+        write_events(source, rows, f"{n}.json")
+        S.store_pages(files.event_stream(spark, str(source)), out, str(tmp_path / "check")).awaitTermination()
+        E.export_as_completed(spark, out, selected, str(to), str(tmp_path / "states"), str(tmp_path / "exported")).awaitTermination()
+        got = spark.read.schema("task_id string, name string, state string").parquet(str(tmp_path / "states")).collect() if (tmp_path / "states").exists() else []
+        states.append(sorted((r.task_id, r.state) for r in got))
+    assert states == [[], [("c", "written")], [("a", "written"), ("c", "written")], [("a", "written"), ("c", "written")]]
+    assert (to / "a.txt").read_text(encoding="utf-8-sig").replace("\r", "") == "zero\n\nearly" and len(list(to.iterdir())) == 2
+    finished = spark.createDataFrame([("c", [1])], "task_id string, batches array<long>")
+    assert [r.text for r in S.pages_of(spark, out, finished).collect()] == ["c"]
+    plan = S.pages_of(spark, out, finished)._jdf.queryExecution().executedPlan().toString()
+    assert "batch" in plan.split("PartitionFilters:")[1].split("]")[0] and "bucket" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
+def test_a_later_batch_corrects_a_page(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    parts = [[(1, "a", 1, "third", 5, 2, 30), (1, "a", 1, "second", 3, 1, 20), (1, "a", 300, "far", 1, 0, 25), (1, "a", None, "no page", 1, 1, 1)], [(1, "a", 1, "first", 2, 0, 10), (1, "a", 300, "later", 9, 9, 26)], [(1, "a", 1, "fourth", 7, 7, 40), (1, "a", 2, None, None, None, None)], [(1, "a", 2, "known", 1, 1, 50)]]
+    S.keyed_state(spark)
+    for n, rows in enumerate(parts):
+        write_events(source, rows, f"{n}.json")
+        stream = files.event_stream(spark, str(source))
+        S.store_pages(stream, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+        S.progress(stream).writeStream.format("parquet").option("path", str(tmp_path / "totals")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    emitted = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.page_index, r.version, r.text or "") for r in emitted) == [(1, 0, "second"), (1, 1, "first"), (2, 0, ""), (2, 1, "known"), (300, 0, "far")]
+    assert {(r.page_index, r.text) for r in S.stored_pages(spark, str(tmp_path / "out")).collect()} == {(1, "first"), (2, "known"), (300, "far")}
+    totals = sorted(spark.read.parquet(str(tmp_path / "totals")).collect(), key=lambda r: r.seq)
+    assert [(r.page_index, r.version) for r in totals] == [(1, 0), (300, 0), (1, 1), (2, 0), (2, 1)]
+    assert (totals[-1].pages, totals[-1].blocks, totals[-1].tables) == (3, 4, 1)
+
+
+def test_state_ends_with_the_watermark_or_its_time(spark, tmp_path):
+    """A copy behind the state's end is emitted anew, and the stored page is still the first."""
+    source = tmp_path / "in"
+    S.keyed_state(spark)
+    schema = EVENTS + ", event_time timestamp"
+    rows = lambda *r: spark.createDataFrame([(1, "a", p, t, 1, 0, n, x) for p, t, n, x in r], "generation long, task_id string, page_index int, text string, n_blocks int, n_tables int, arrival long, at string").withColumn("event_time", F.col("at").cast("timestamp")).drop("at")
+    steps = [rows((0, "one", 1, "2024-01-01 00:00:00")), rows((500, "other", 2, "2024-01-01 02:00:00")), rows((500, "again", 3, "2024-01-01 02:00:01")), rows((0, "late", 9, "2024-01-01 02:30:00"))]
+    for n, step in enumerate(steps):
+        step.coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema(schema).json(str(source))
+        S.store_pages(stream, str(tmp_path / "out"), str(tmp_path / "check"), late="10 minutes").awaitTermination()
+    emitted = [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(emitted) == ["late", "one", "other"]  # the state of page 0 had gone, that of page 500 hadn't
+    assert {r.page_index: r.text for r in S.stored_pages(spark, str(tmp_path / "out")).collect()} == {0: "one", 500: "other"}
+    plain = spark.readStream.schema(schema).json(str(source))
+    q = S.first_copies(plain, keep=60_000).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "c2")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if spark.table("kept").count() >= 2 or not q.isActive:
+            break
+        q.awaitTermination(1)
+    q.stop()
+    assert {r.text for r in spark.table("kept").collect()} == {"one", "other"}
+    with pytest.raises(ValueError):
+        S.first_copies(plain, "1 hour", 5)
 
 
 def test_running_totals(spark, tmp_path):
