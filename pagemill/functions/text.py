@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,16 +18,18 @@ PROFILE_LABELS = {"fast": "轻量", "accurate": "高精度"}
 MODE_LABELS = {"text": "文字", "table": "表格"}
 MIXED_LABEL = "混合"
 SENTENCE_END = "[。！？.!?][」』”’\"')）\\]]*$"
-LIST_START = r"^(?:[•●■◆・※]|[-*]\s|[0-9０-９]+(?:[.．](?![0-9０-９])|[)）、])\s*|[（(][0-9]+[）)]|[一二三四五六七八九十]+[、．])"
+LIST_START = rf"^(?:[•●■◆・※]|[-*]{WHITE}|[0-9０-９]+(?:[.．](?![0-9０-９])|[)）、])|[（(][0-9]+[）)]|[一二三四五六七八九十]+[、．])"
 DIALOGUE_START = "^[「『“]"
 CJK = r"[\x{3000}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]"
-HEADING = r"(?i)^(?:第[一二三四五六七八九十百千〇零0-9]+[章节部篇]|Chapter\s+[0-9]+|序言$|目录$)"
+HEADING = rf"(?i)^(?:第[一二三四五六七八九十百千〇零0-9]+[章节部篇]|Chapter{WHITE}+[0-9]+|序言$|目录$)"
 # end of fixed values
+WHITE_CLASS = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), WHITE)  # as Python writes it
+WHITE_CHARS = "".join(chr(i) for i in range(0x3001) if re.match(WHITE_CLASS, chr(i)))
 
 
 def trimmed(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+\z", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def escape_html(c: Column, quote: str = "&#39;") -> Column:
@@ -149,4 +153,5 @@ def words_of(text: Column) -> Column:
 def upper_median(values: Column, fallback) -> Column:
     """The middle of the positive finite values, the upper one of two; ``fallback`` if there is none."""
     good = F.array_sort(F.filter(values, lambda v: (v > 0) & ~F.isnan(v) & (v < float("inf"))))
-    return F.when(F.size(good) > 0, F.element_at(good, (F.size(good) / 2).cast("int") + 1)).otherwise(fallback)
+    middle = F.transform(F.array(good), lambda g: F.get(g, (F.size(g) / 2).cast("int")))[0]  # sorted once
+    return F.coalesce(middle, fallback)

@@ -16,7 +16,7 @@ from pagemill.functions import geometry as G
 from pagemill.functions import html as H
 from pagemill.functions import normalize as N
 from pagemill.functions import text as X
-from pagemill.operators import exports, layout, pages, queue, ruby, tables
+from pagemill.operators import exports, layout, pages, projection, queue, ruby, tables
 from pagemill.schema import ExportOptions
 from pagemill.sources import payloads
 
@@ -329,6 +329,31 @@ def two_column_cut(spark, sf_dir):
     return layout.two_columns(blocks).groupBy("task_id").agg(F.count_if(F.col("column_id") == 1).alias("right_column"), F.count("*").alias("blocks"))
 
 
+_SHEETS = """
+    i AS (SELECT l_suppkey AS s, l_orderkey AS o, l_orderkey * 10 + l_linenumber AS k, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+    b AS (
+      SELECT 'long' AS sheet, s AS id, k, s % 3 AS kind, o % 40 AS band, p FROM i
+      UNION ALL SELECT 'short', o, k, o % 3, k % 10, p FROM i)"""
+
+
+@query(f"""
+    WITH {_SHEETS},
+    n AS (SELECT *, count(*) FILTER (WHERE band % 2 = 0) OVER (PARTITION BY sheet, id) AS evens, count(*) FILTER (WHERE band % 2 = 1) OVER (PARTITION BY sheet, id) AS odds FROM b),
+    t AS (SELECT sheet, id, k, CASE WHEN kind = 1 AND evens >= 2 AND odds >= 2 THEN band % 2 ELSE 0 END AS col, CASE WHEN kind = 0 THEN -band WHEN kind = 2 THEN band ELSE p END AS first, CASE WHEN kind = 1 THEN band % 2 ELSE p END AS second FROM n)
+    SELECT sheet, id, k, CAST(row_number() OVER (PARTITION BY sheet, id ORDER BY col, first, second, k) AS INTEGER) AS place FROM t""")
+def reading_order(spark, sf_dir):
+    """Lines of pages of an order (short) and of a supplier (long, hundreds of lines), in no order: vertical pages, pages of two columns, pages of rows."""
+    i = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("o"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).agg(F.min("l_partkey").alias("p"))
+    long = i.select(F.lit("long").alias("sheet"), F.col("s").alias("id"), "k", (F.col("s") % 3).alias("kind"), (F.col("o") % 40).alias("band"), "p")
+    rows = long.union(i.select(F.lit("short"), "o", "k", F.col("o") % 3, F.col("k") % 10, "p"))
+    kind, band, p = F.col("kind"), F.col("band") * 26.0, F.col("p") * 1.0
+    x = F.when(kind == 0, band).when(kind == 1, F.col("band") % 2 * 900.0).otherwise(p)
+    y = F.when(kind == 2, band).when(kind == 1, p * 30).otherwise(p)  # where a page turns out to have one column, lines that are near would go by x
+    block = F.struct("k", F.array(x, y, x + F.when(kind == 2, 1e7).otherwise(20.0), y + 20).alias("box"), F.when(kind == 0, "vertical").otherwise("horizontal").alias("direction"), F.lit(20.0).alias("font_size"))
+    sheets = rows.groupBy("sheet", "id", "kind").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    return sheets.select("sheet", "id", F.posexplode(projection.reading_order(F.col("blocks"))).alias("at", "b")).select("sheet", "id", "b.k", (F.col("at") + 1).alias("place"))
+
+
 @query()
 def project_text(spark, sf_dir):
     """Whole projection of documents, lines as blocks, five documents to a task as its pages."""
@@ -337,7 +362,7 @@ def project_text(spark, sf_dir):
     page = blocks.groupBy("task_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "text"))), lambda b: b["text"]), "\n").alias("text"))
     page = page.withColumns({"raw_text": F.col("text"), "schema_version": F.lit(1), "height": F.lit(800.0), "ruby_enabled": F.lit(False)})
     heads = page.groupBy("task_id").agg(F.count("*").cast("int").alias("selected"))
-    return layout.project(heads, layout.nested_pages(page, blocks)).select("task_id", "text", "joined")
+    return projection.project(heads, projection.nested_pages(page, blocks)).select("task_id", "text", "joined")
 
 
 @query(r"""

@@ -21,7 +21,7 @@ from pagemill.functions import geometry as G
 from pagemill.functions import html as H
 from pagemill.functions import normalize as N
 from pagemill.functions import text as X
-from pagemill.operators import exports, layout, pages, queue, ruby, tables
+from pagemill.operators import exports, pages, projection, queue, ruby, tables
 from pagemill.operators.order import numbered
 from pagemill.plans.catalog import _FILES, _ITEM_ROWS, _JOINS, _page_tables, _cells, _items, _table, _tasks, _turns, query
 from pagemill.schema import EVENTS, ExportOptions, TextSettings
@@ -182,7 +182,7 @@ def _projected(spark, cases) -> dict[tuple, DataFrame]:
         heads = spark.createDataFrame(heads, "task_id string, text string, result_type string, partial boolean, cancelled boolean, selected int, total int, text_edited boolean, edited_pages int")
         sheets = spark.createDataFrame(sheets, "task_id string, page_index int, text string, raw_text string, schema_version int, height double, ruby_enabled boolean")
         blocks = spark.createDataFrame(blocks, f"task_id string, page_index int, block_ord int, text string, box array<double>, direction string, font_size double, role string, ruby {ruby_type}")
-        out[settings] = layout.project(heads, layout.nested_pages(sheets, blocks), TextSettings(**dict(settings)))
+        out[settings] = projection.project(heads, projection.nested_pages(sheets, blocks), TextSettings(**dict(settings)))
     return out
 
 
@@ -213,7 +213,7 @@ def project_without_layout(spark, sf_dir):
     none = spark.createDataFrame([], "task_id string, page_index int, block_ord int, text string, box array<double>, direction string, font_size double, role string")
     heads = t.groupBy("task_id").agg(F.count("*").cast("int").alias("selected"))
     sheets = t.withColumns({"raw_text": F.col("text"), "schema_version": F.lit(None).cast("int"), "height": F.lit(800.0), "ruby_enabled": F.lit(False)})
-    return layout.project(heads, layout.nested_pages(sheets, none)).select("task_id", "text", "raw", "legacy")
+    return projection.project(heads, projection.nested_pages(sheets, none)).select("task_id", "text", "raw", "legacy")
 
 
 # --- glosses and glyphs ---
@@ -981,5 +981,5 @@ def export_settings(spark, sf_dir):
 def rendered_glosses(spark, sf_dir):
     """Readings by their start; spans that overlap an earlier one or leave the text are skipped."""
     cases = [("本を読む", [(2, 3, "よ"), (0, 1, "ほん")]), ("本を読む", [(0, 1, "ほん"), (0, 2, "no"), (3, 9, "no")]), ("本を読む", [(2, 2, "no"), (-1, 1, "no")]), ("a&b", [(0, 3, "&lt;")])]
-    made = [layout.rendered(t, [{"start": a, "end": b, "text": r} for a, b, r in spans], "ruby") for t, spans in cases]
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "id int, text string, html string")
+    rows = spark.createDataFrame([(i, t, spans) for i, (t, spans) in enumerate(cases)], "id int, base string, glosses array<struct<start:int,end:int,text:string>>")
+    return rows.select("id", projection.rendered(F.col("base"), F.col("glosses"), "ruby").alias("m")).select("id", "m.*")
