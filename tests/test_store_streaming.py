@@ -1,4 +1,6 @@
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,54 @@ def test_store(spark, tmp_path):
     assert [(r.task_id, len(r.pages)) for r in store.load().collect()] == [("a", 1)]
 
 
+def stored(store):
+    return {(r.task_id, r.page_index): r.text for r in store.pages().collect()}
+
+
+def test_a_save_writes_what_has_changed(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    tasks = spark.range(100).selectExpr("cast(id as string) as task_id")
+    base = tasks.selectExpr("task_id", "explode(sequence(0, 9)) as page_index").selectExpr("task_id", "page_index", "concat(task_id, '/', page_index) as text")
+    want = {(r.task_id, r.page_index): r.text for r in base.collect()}
+    v = store.save(tasks, base, None)
+    for i in range(20):
+        v = store.save(tasks, base.filter(f"task_id = '{i % 7}'").selectExpr("task_id", "page_index", f"'save {i}' as text"), v)
+        want |= {(str(i % 7), p): f"save {i}" for p in range(10)}
+        layers = store.layers()
+        assert len(layers) <= 8 and layers[0]["rows"] >= 1000 and sum(x["rows"] for x in layers[1:]) <= 200
+        if i == 3:
+            assert layers[-1]["rows"] == 10 and len(layers[-1]["there"]) == 1  # 1 % of the pages
+    assert stored(store) == want
+    v = store.save(tasks.filter("task_id <> '5'"), base.limit(0), v, reset=tasks.filter("task_id = '3'"))
+    v = store.save(tasks, base.filter("task_id = '5' and page_index = 2"), v)
+    for i in range(9):  # through a compaction of layers with resets
+        v = store.save(tasks, base.filter("task_id = '8'").selectExpr("task_id", "page_index", f"'again {i}' as text"), v)
+    want = {k: t for k, t in want.items() if k[0] not in ("3", "5")} | {("5", 2): "5/2"} | {("8", p): "again 8" for p in range(10)}
+    assert stored(store) == want
+    one = store.pages(tasks.filter("task_id = '8'"))
+    assert {(r.task_id, r.text) for r in one.collect()} == {("8", "again 8")}
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?PartitionFilters: \[([^\]]*)\]", one._jdf.queryExecution().executedPlan().toString())
+    pages = [filters for columns, filters in scans if "page_index" in columns]
+    assert pages and all("bucket" in f for f in pages)
+    assert not [d for d in store.vacuum() if d] and store.vacuum(0) and stored(store) == want
+
+
+def test_new_columns_and_locks(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    tasks = spark.createDataFrame([("a",), ("b",)], "task_id string")
+    v = store.save(tasks, spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], PAGES), None)
+    v = store.save(tasks, spark.createDataFrame([("a", 0, "z", 5)], PAGES + ", score int"), v)
+    assert {(r.task_id, r.text, r.score) for r in store.pages().collect()} == {("a", "z", 5), ("b", "y", None)}
+    lock = tmp_path / "session.version.lock"
+    lock.write_text("alive")
+    with pytest.raises(Conflict):
+        store.save(tasks, spark.createDataFrame([], PAGES), v)
+    assert lock.read_text() == "alive" and store.version() == v
+    os.utime(lock, (0, 0))  # its writer died long ago
+    assert store.save(tasks, spark.createDataFrame([], PAGES), v) == store.version() and not lock.exists()
+    assert len(stored(store)) == 2
+
+
 EVENT_ROWS = [(1, "a", 1, "first", 2, 0, 1), (1, "a", 1, "again", 9, 9, 2), (0, "a", 7, "old process", 1, 1, 3), (1, "a", 0, "zero", 1, 1, 4), (1, "b", 0, "b", 3, 0, 5)]
 
 
