@@ -7,9 +7,9 @@ letters, then one less, and so on), at BACKOFF of a word's weight for each step.
 
 Words are a letter and the letters and marks that follow it, in lower case. The sample is
 about ``per_language`` documents of each language (all where there are fewer), those lowest
-in a hash order of doc_id and text, counted whole by the executors; all their words and
-n-grams are kept, as arrays sorted by 64-bit fingerprints, so that every language with
-a labelled word can be predicted.
+in a hash order of doc_id and text and the very lowest of a language in any case, so that a language is never lost
+because its rows are alike; the executors count them whole. The driver gets their words, the most frequent of each language first, up to an equal
+share of TABLE_BYTES and one at least, and what n-grams these have, as arrays sorted by 64-bit fingerprints.
 
 Texts are scored by the distinct tokens between white space of a block of documents, gathered by index.
 
@@ -28,18 +28,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.blocks import Block, spans_hash, text_blocks, words
-from pagemill.llm.work import bounded_batches, written
+from pagemill.llm.work import bounded_batches, removed, written
 
 PER_LANGUAGE = 5_000
 ORDER = 4
 BACKOFF = 0.7
 SMOOTH = 0.5
 CACHE_BYTES = 32 << 20
+TABLE_BYTES = 64 << 20  # of words, 24 bytes each and their letters, that reach the driver
 PIECE = 1 << 16  # tokens looked up at a time
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
@@ -122,10 +123,10 @@ def learned(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -
     """A model of text and lang of the documents whose doc_id meets ``usable``, a condition on doc_id."""
     bounded_batches(docs.sparkSession)
     docs = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    share = docs.groupBy("lang").agg((per_language / F.count("*")).alias("share"))
-    share = written(share.select(F.col("lang").alias("__lang"), "share"), "language-shares")  # Spark broadcasts it if it is small
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 31)) / (1 << 31)
-    sample = docs.join(share, F.col("lang") == F.col("__lang")).filter(place < F.col("share")).select("lang", "text")
+    share = docs.groupBy(F.col("lang").alias("__lang")).agg((per_language / F.count("*")).alias("share"), F.min(place).alias("least"))
+    share = written(share, "language-shares")  # Spark broadcasts it if it is small
+    sample = docs.join(share, F.col("lang") == F.col("__lang")).filter((place < F.col("share")) | (place == F.col("least"))).select("lang", "text")
 
     def count(batches):
         for b in batches:
@@ -136,7 +137,12 @@ def learned(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "text", "n"])
 
     table = written(sample.mapInArrow(count, "lang string, text string, n long").groupBy("lang", "text").agg(F.sum("n").alias("n")), "language-words")
-    return model_of(table.toArrow(), _gram_counts(table).toArrow())
+    budget = TABLE_BYTES // max(1, share.count())
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = table.withColumns({"bytes": F.sum(F.octet_length("text") + 24).over(order), "place": F.count("*").over(order)})
+    kept = written(ranked.filter((F.col("bytes") <= budget) | (F.col("place") == 1)).drop("bytes", "place"), "language-table")
+    removed(table)
+    return model_of(kept.toArrow(), _gram_counts(kept).toArrow())
 
 
 class Scorer:

@@ -362,6 +362,20 @@ def test_held_out_languages_and_labels(spark):
     assert scored.filter("quality = predicted").count() >= 0.95 * scored.count() > 0
 
 
+def test_no_language_is_lost(spark, monkeypatch):
+    rows = [(7, "le chat et la souris", "fr")] * 60 + [(i, f"the house number {i}", "en") for i in range(200)] + [(900 + i, f"das haus {i}", "de") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.learned(docs, F.lit(True), per_language=20)
+    assert model.languages == ["de", "en", "fr"]
+    ask = spark.createDataFrame([(1, "le chat"), (2, "the house"), (3, "das haus")], "doc_id long, text string")
+    assert [r.lang_pred for r in language.identified(ask, model).orderBy("doc_id").collect()] == ["fr", "en", "de"]
+    monkeypatch.setattr(language, "TABLE_BYTES", 3 * 120)  # four words of each
+    small = language.learned(docs, F.lit(True))
+    assert small.languages == ["de", "en", "fr"] and len(small.words.names) <= 12
+    monkeypatch.setattr(language, "TABLE_BYTES", 1)
+    assert len(language.learned(docs, F.lit(True)).words.names) == 3
+
+
 def test_very_long_texts_are_scored(spark):
     long = "the house and the garden " * 60_000
     docs = spark.createDataFrame([(1, long, "en"), (2, "das haus", "de"), (3, "x" * 300_000, None), (4, long, None)], "doc_id long, text string, lang string")
