@@ -92,21 +92,43 @@ def test_boosting_learns_and_spares_plain_numbers(spark):
     assert all(len(r.base) == 2 for r in out if r.doc_id < 100)
 
 
+PERSONAL = "call +1 (743) 555-{0} or write user{1}@mail.example.com from 10.0.{1}.7 with 4111 1111 1111 1111 today"
+#: forms that aren't rewritten base spans, without a word that tells what they are
+DISGUISED = {
+    "email": ["john.doe [at] example.com", "john.doe(at)example(dot)com", "amy at example dot com", "b_c [at] sub.example.org"],
+    "ip": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:0:0:0:202:b3ff:fe1e:8329"],
+    "card": ["4111.1111.1111.1111", "5500/0000/0000/0004", "4111_1111_1111_1111"],
+    "phone": ["(743) 555-3824", "1 743 555 3824", "030 1234 5678", "743.555.3824", "212-555-0147"],
+}
+LOOK_ALIKE = [
+    "chapter 5 of 8 has 12 pages, rows 10 20 30 40 56", "on 2024-01-02 10:30 and 01.02.2023 10", "1 234 567 890 in all", "ids 4111.1111.1111.1112", "1:2:3:4:5:6:7:8", "me@host", "ISBN 123.456.7890", "version 100.200.3000",
+    "part no 555 123 4567", "coords 123-456-7890", "digest ab:cd:ef:01:23:45:67:89", "order 4111.1111.1111.1111", "meet at noon dot", "checksum 2001:0db8:85a3:0000:0000:8a2e:0370:7334",
+]
+
+
 def test_each_kind_gains_loose_forms_and_plain_numbers_gain_none(spark):
-    base = [(i, f"call +1 (743) 555-{3000 + i} or write user{i}@mail.example.com from 10.0.{i}.7 with 4111 1111 1111 1111 today") for i in range(60)]
-    plain = [f"chapter {i} of {i + 3} has 12 pages, rows 10 20 30 40 {50 + i}, on 2024-01-02 10:30 and 01.02.2023 10, 1 234 567 890 in all, ids 4111.1111.1111.1112, 1:2:3:4:5:6:7:{i}, me@host" for i in range(60)]
-    loose = {
-        "email": ["john.doe [at] example.com", "john.doe(at)example(dot)com"],
-        "ip": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:0:0:0:202:b3ff:fe1e:8329"],
-        "card": ["4111.1111.1111.1111", "5500/0000/0000/0004"],
-        "phone": ["(743) 555-3824", "1 743 555 3824", "030 1234 5678"],
-    }
-    planted = [(k, x) for k, xs in loose.items() for x in xs]
-    rows = base + [(1000 + i, t) for i, t in enumerate(plain)] + [(2000 + i, f"we saw {x} here. Then 5 more") for i, (_, x) in enumerate(planted)]
-    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.digest(F.col("base")).alias("base"), pii.digest(F.col("added")).alias("added")).collect()}
+    base = [(i, PERSONAL.format(3000 + i, i)) for i in range(60)]
+    planted = [(k, x) for k, xs in DISGUISED.items() for x in xs]
+    rows = base + [(1000 + i, f"the {t}.") for i, t in enumerate(LOOK_ALIKE * 5)] + [(2000 + i, f"we saw {x} here. Then 5 more") for i, (_, x) in enumerate(planted)]
+    rows += [(3000, "1-2 " * 20_000 + "we saw (743) 555-3824 here"), (3001, None), (3002, "")]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, kind int, made string, held int")
+    found = pii.candidates(df)
+    model = pii.fit(found)
+    used = {f for trees in model.trees for t in trees for f, v in (t[0:2], t[2:4], t[4:6]) if v < 99}
+    assert "check" not in pii.FEATURES and len(used) >= 3 and pii.FEATURES.index("context") in used
+    assert all(h.positives and h.caught >= 0.9 * h.positives and h.taken <= 0.02 * (h.caught + h.taken) for h in model.held)
+    out = {r.doc_id: r for r in pii.select(found, model).select("doc_id", pii.digest(F.col("base")).alias("base"), pii.digest(F.col("added")).alias("added")).collect()}
     assert [out[2000 + i].added for i in range(len(planted))] == [f"{k}:7:{7 + len(x)}" for k, x in planted]
     assert all(out[i].added == "" and out[i].base.count(",") == 3 for i in range(60))
-    assert {out[1000 + i].added for i in range(60)} == {""}
+    assert {(rows[60 + i][1], out[1000 + i].added) for i in range(len(LOOK_ALIKE))} == {(f"the {t}.", "") for t in LOOK_ALIKE}
+    assert out[3000].added == "phone:80007:80021" and out[3001].added == out[3002].added == ""
+
+
+def test_candidates_that_look_like_positives_have_no_label(spark):
+    """A text's own loose forms may be as many as the disguised ones, and are still found."""
+    rows = [(i, PERSONAL.format(3000 + i, i)) for i in range(60)] + [(1000 + i, f"we saw (743) 555-{4000 + i} here") for i in range(60)]
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 1000").select(F.size("added").alias("n")).collect()
+    assert {r.n for r in out} == {1}
 
 
 def test_mixing_targets_and_positions(spark):
