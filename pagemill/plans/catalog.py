@@ -36,6 +36,23 @@ def query(oracle: str | None = None):
     return register
 
 
+#: Like queries, but over literals or made-up listings: the driver's tables don't reach them, so they are run by the tests alone.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def case(oracle: str | None = None):
+    def register(f):
+        CASES[f.__name__] = f
+        if oracle:
+            ORACLES_OF_CASES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+ORACLES_OF_CASES: dict[str, str] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,7 +106,7 @@ def doc_line_blocks(spark, sf_dir):
 _RANGES = [("1，3-5, 8", 10), ("", 3), ("2-2", 2), ("1-3,2,9-9", 9), ("0", 4), ("4-2", 9), ("5", 4), ("1,,2", 5), ("a", 5), ("1-", 5), ("1,2", 0)]
 
 
-@query("""
+@case("""
     WITH r(value, total, tokens) AS (VALUES ('1，3-5, 8', 10, [[1, 1], [3, 5], [8, 8]]), ('', 3, [[1, 3]]), ('2-2', 2, [[2, 2]]), ('1-3,2,9-9', 9, [[1, 3], [2, 2], [9, 9]])),
     e AS (SELECT DISTINCT value, total, unnest(list_transform(range(t[1], t[2] + 1), lambda x: x - 1)) AS page FROM (SELECT value, total, unnest(tokens) AS t FROM r))
     SELECT value, total, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS selected FROM e GROUP BY value, total""")
@@ -722,7 +739,7 @@ def safe_events(spark, sf_dir):
 _FILES = [("SLANet_plus", "inference.pdiparams", 5), ("SLANet_plus", "inference.json", 6), ("SLANet_plus", "inference.yml", 6), ("PP-OCRv5_mobile_rec", "inference.yml", 4)]
 
 
-@query("""
+@case("""
     SELECT * FROM (VALUES ('PP-OCRv5_mobile_det', FALSE, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'missing'), ('PP-OCRv5_mobile_rec', FALSE, 4, 1, 'incomplete'),
       ('PicoDet_layout_1x_table', FALSE, 0, 0, 'missing'), ('SLANet_plus', TRUE, 17, 3, 'ready')) AS m(name, installed, size_bytes, file_count, state)""")
 def model_cache_rollup(spark, sf_dir):
@@ -730,7 +747,7 @@ def model_cache_rollup(spark, sf_dir):
     return queue.model_states(required, spark.createDataFrame(_FILES, "name string, file string, size long"))
 
 
-@query("""
+@case("""
     SELECT * FROM (VALUES ('SLANet_plus/other.bin', 'illegal-path'), ('SLANet_plus/inference.json', 'bad-digest'), ('PicoDet_layout_1x_table/inference.yml', 'size-differs'),
       ('PP-OCRv5_mobile_det', 'incomplete-model'), ('PP-OCRv5_mobile_rec', 'incomplete-model'), ('PicoDet_layout_1x_table', 'incomplete-model')) AS p(path, problem)""")
 def manifest_checks(spark, sf_dir):

@@ -71,6 +71,25 @@ def test_pack_is_copied_or_the_old_one_stays(spark, tmp_path, monkeypatch):
         exports.copy_pack(files(good), str(source), str(target))
 
 
+def test_a_run_publishes_all_or_nothing(spark, tmp_path):
+    files = spark.range(40).select(F.concat("id", F.lit(".txt")).alias("name"), F.encode(F.concat(F.lit("new "), "id"), "UTF-8").alias("content"), F.when(F.col("id") % 4 == 0, "overwrite").when(F.col("id") % 4 == 1, "skip").otherwise("create").alias("action")).repartition(8)
+    for i in (0, 4):
+        (tmp_path / f"{i}.txt").write_text("old")
+    before = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    broken = files.withColumn("content", F.when(F.col("name") == "22.txt", F.raise_error(F.lit("a task fails")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="a task fails"):
+        exports.publish(broken, str(tmp_path))
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == before
+    (tmp_path / "38.txt").write_text("another's")  # found only when names are given
+    with pytest.raises(Exception):
+        exports.publish(files, str(tmp_path))
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == before | {"38.txt": "another's"}
+    (tmp_path / "38.txt").unlink()
+    for _ in range(2):
+        exports.publish(files, str(tmp_path))
+        assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {f"{i}.txt": f"new {i}" for i in range(40) if i % 4 != 1}
+
+
 def test_publish(spark, tmp_path):
     (tmp_path / "o.txt").write_text("old")
     rows = [("n.txt", b"new", "create"), ("o.txt", b"over", "overwrite"), ("s.txt", b"no", "skip")]

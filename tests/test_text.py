@@ -107,3 +107,14 @@ def test_whole_texts_are_normalised(spark, tmp_path):
     got = {r.doc_id: r.text for r in catalog.QUERIES["normalize_whole_text"](spark, str(tmp_path)).collect()}
     assert got == {k: N.normalize_text(t) for k, t in texts.items()}
     assert (got[1], got[2], got[6]) == ("你好，世界。", "Hello, world!", "等等……")
+
+
+def test_whole_texts_are_cleaned_as_plainly(spark):
+    """The query normalize_whole_text sends only what can change to Python; row by row the same as the plain function."""
+    from pagemill.plans import catalog
+
+    from .conftest import DATA
+
+    got = {r.doc_id: r.text for r in catalog.QUERIES["normalize_whole_text"](spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert got == {r.doc_id: N.normalize_text(r.text) for r in docs} and len(got) == len(docs)
