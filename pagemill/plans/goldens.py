@@ -24,9 +24,9 @@ from pagemill.functions import text as X
 from pagemill.operators import exports, pages, projection, queue, ruby, tables
 from pagemill.operators.order import numbered
 from pagemill.plans.catalog import _FILES, _ITEM_ROWS, _JOINS, _page_tables, _cells, _items, _table, _tasks, _turns, case, query
-from pagemill.schema import EVENTS, ExportOptions, TextSettings
+from pagemill.schema import EDITS, EVENTS, ExportOptions, TextSettings
 from pagemill.sources import files, payloads
-from pagemill.sources.store import Conflict, Store
+from pagemill.sources.store import Conflict, SaveChain, Store
 from pagemill.streaming import exports as E
 from pagemill.streaming import pages as S
 
@@ -529,6 +529,31 @@ def store_round_trip(spark, sf_dir):
     return out.select("task_id", F.size("pages").alias("pages"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"])).alias("chars"), F.get("pages", F.lit(0))["text"].alias("first_text"))
 
 
+@query("""
+    WITH p AS (SELECT conv_id, turn, min(text) AS text, CAST(conv_id AS INTEGER) + turn AS k FROM conversations GROUP BY ALL)
+    SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(turn AS INTEGER) AS page_index, 'save ' || CASE WHEN k % 2 = 0 THEN 4 WHEN k % 3 = 0 THEN 3 WHEN k % 5 = 0 THEN 2 ELSE 1 END AS text FROM p""")
+def save_chain(spark, sf_dir):
+    """Five saves of ever fewer pages, three of which fail at first: all pages arrive, and none over a newer one."""
+    at = folder(spark, "chain")
+    store = Store(spark, f"{at}/store")
+    chain, good = SaveChain(store, f"{at}/log"), store.save
+    p = _turns(spark, sf_dir).withColumn("task_id", F.col("task_id").cast("string")).groupBy("task_id", "page_index").agg(F.count("*").alias("n")).drop("n")
+    k, heads = F.col("task_id").cast("int") + F.col("page_index"), p.select("task_id").distinct()
+    steps = [F.lit(True), F.lit(True), k % 5 == 0, k % 3 == 0, k % 2 == 0]
+
+    def broken(*args, **more):
+        raise OSError("the folder can't be reached")
+
+    for i, part in enumerate(steps):
+        store.save = broken if i in (0, 2, 3) else good
+        try:
+            chain.save(heads, p.filter(part).withColumns({"text": F.lit(f"save {i}"), "arrival": F.lit(i).cast("long")}))
+        except OSError:
+            assert i in (0, 2, 3)
+    assert not chain.pending()
+    return store.pages().select("task_id", "page_index", "text")
+
+
 @query("SELECT 'refused' AS outcome, count(DISTINCT conv_id) AS tasks FROM conversations UNION ALL SELECT 'removed', count(DISTINCT conv_id) FILTER (WHERE conv_id % 2 = 0) FROM conversations")
 def history_deletion(spark, sf_dir):
     """Entries that are in the queue can't be deleted; the others can."""
@@ -910,17 +935,72 @@ def page_hand_off(spark, sf_dir):
     return both.groupBy("task_id").agg(F.count_if("cheap").alias("cheap"), F.count_if(~F.col("cheap")).alias("rest"))
 
 
-@query(f"""
-    WITH {_FIRST}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY page) AS place FROM f)
-    SELECT CAST(user_id AS VARCHAR) AS task_id, 'edited' AS head, greatest(count(*) - 2, 0) AS rest FROM n GROUP BY user_id""")
+@query("""
+    WITH e AS (SELECT *, event_id % 17 = 0 AS edit FROM events WHERE event_id % 11 > 0),
+    f AS (SELECT user_id, event_id % 50 AS page, min(event_id) AS first FROM e WHERE NOT edit GROUP BY ALL),
+    l AS (SELECT user_id, max(event_id) AS last FROM e WHERE edit GROUP BY user_id),
+    n AS (SELECT f.*, last, row_number() OVER (PARTITION BY f.user_id ORDER BY page) - 1 AS place FROM f LEFT JOIN l ON l.user_id = f.user_id),
+    t AS (SELECT user_id, any_value(last) AS last, string_agg('text ' || first, chr(10) || chr(10) ORDER BY page) FILTER (WHERE last IS NULL OR place >= last % 5) AS tail FROM n GROUP BY user_id)
+    SELECT CAST(user_id AS VARCHAR) AS task_id, CASE WHEN last IS NULL THEN tail ELSE concat_ws(chr(10) || chr(10), 'edit ' || last, tail) END AS text FROM t""")
 def stream_edited_prefix(spark, sf_dir):
-    """Pages that arrive behind an edited text of two pages are put behind it; the edited text stays."""
-    events, at = _page_events(spark, sf_dir)
-    S.store_pages(events, f"file://{at}/pages", f"file://{at}/checkpoint").awaitTermination()
-    stored = S.stored_pages(spark, f"file://{at}/pages")
-    out = pages.edited_prefix(stored, stored.select("task_id").distinct().withColumns({"text": F.lit("edited"), "edited_pages": F.lit(2)}))
-    parts = F.split("text", "\n\n", -1)
-    return out.select("task_id", parts[0].alias("head"), (F.size(parts) - 1).cast("long").alias("rest"))
+    """Pages and edits in one stream, in no order: of a task the latest edit stands for its first pages, the others come behind it."""
+    at = folder(spark, "edits")
+    k = F.col("event_id")
+    is_edit = k % 17 == 0
+    e = _table(spark, sf_dir, "events").filter(k % 11 > 0).select(
+        F.lit(2).cast("long").alias("generation"), F.col("user_id").cast("string").alias("task_id"), F.when(~is_edit, (k % 50).cast("int")).alias("page_index"), F.concat(F.when(is_edit, "edit ").otherwise("text "), k.cast("string")).alias("text"),
+        F.lit(1).alias("n_blocks"), F.lit(0).alias("n_tables"), k.alias("arrival"), F.when(is_edit, "edit").otherwise("page").alias("kind"), F.when(is_edit, (k % 5).cast("int")).alias("edited_pages"),
+    )
+    e.repartition(6, F.xxhash64("arrival", F.lit(1))).write.json(f"file://{at}/in")
+    events = files.event_stream(spark, f"file://{at}/in", 2, EDITS)
+    S.store_pages(events.filter("kind = 'page'").drop("kind", "edited_pages"), f"file://{at}/pages", f"file://{at}/c1").awaitTermination()
+    S.store_edits(events, f"file://{at}/edits", f"file://{at}/c2").awaitTermination()
+    return S.current_texts(spark, f"file://{at}/pages", f"file://{at}/edits")
+
+
+@query("""
+    WITH p AS (SELECT conv_id, turn, any_value(CASE WHEN turn % 2 = 0 THEN 'pdf-text' ELSE 'ocr' END) AS source FROM conversations GROUP BY ALL)
+    SELECT CAST(conv_id AS VARCHAR) AS task_id, count(*) AS pages, count(*) AS rows, count(*) FILTER (WHERE source = 'ocr') AS recognised FROM p GROUP BY conv_id""")
+def stream_hand_off(spark, sf_dir):
+    """Two passes with a log between them; the second is stopped and started again as more comes: every page once."""
+    at = folder(spark, "hand-off")
+    shape = "task_id string, page_index int, source string, text string"
+    p = _turns(spark, sf_dir).select(F.col("task_id").cast("string").alias("task_id"), "page_index", F.when(F.col("page_index") % 2 == 0, "pdf-text").otherwise("ocr").alias("source"), "text")
+    seen = lambda df: df.withColumn("text", F.lit("recognised"))
+    for part in range(2):
+        p.filter(F.abs(F.xxhash64("task_id", "page_index")) % 2 == part).write.mode("append").json(f"file://{at}/in")
+        requests = spark.readStream.schema(shape).json(f"file://{at}/in")
+        S.first_pass(requests, f"file://{at}/pages", f"file://{at}/log", f"file://{at}/c1").awaitTermination()
+        S.second_pass(spark, f"file://{at}/log", shape, seen, f"file://{at}/pages", f"file://{at}/c2").awaitTermination()
+    rows = spark.read.parquet(f"file://{at}/pages")
+    return rows.groupBy("task_id").agg(F.count_distinct("page_index").alias("pages"), F.count("*").alias("rows"), F.count_if(F.col("text").eqNullSafe("recognised")).alias("recognised"))
+
+
+@query("""
+    SELECT CAST(user_id AS VARCHAR) AS task_id, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS total, count(DISTINCT event_id % 50) AS pages FROM events GROUP BY user_id""")
+def stream_growing_files(spark, sf_dir):
+    """Events in files that grow by pieces cut within lines, read after each piece: each event once, when its line is complete."""
+    at = folder(spark, "growing")
+    k = F.col("event_id")
+    row = F.struct(F.lit(1).alias("generation"), F.col("user_id").cast("string").alias("task_id"), (k % 50).cast("int").alias("page_index"), F.col("event_type").alias("text"), k.alias("arrival"))
+    _table(spark, sf_dir, "events").select(F.to_json(row)).repartition(4).write.text(f"file://{at}/whole")
+    os.makedirs(f"{at}/in")
+
+    def grow(share: float):
+        def append(files_):
+            for f in files_:
+                target = f"{at}/in/{os.path.basename(f['path'])}"
+                size = os.path.getsize(target) if os.path.exists(target) else 0
+                with open(target, "ab") as out:
+                    out.write(f["content"][size : int(len(f["content"]) * share)])
+
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"file://{at}/whole").foreachPartition(append)
+
+    for share in (0.3, 0.300001, 0.71, 1.0):
+        grow(share)
+        lines = files.event_lines(spark, f"{at}/in").writeStream.format("parquet").option("path", f"file://{at}/events").option("checkpointLocation", f"file://{at}/checkpoint")
+        lines.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"file://{at}/events").groupBy("task_id").agg(F.count("*").alias("events"), F.sum("arrival").alias("total"), F.count_distinct("page_index").alias("pages"))
 
 
 @query(f"""

@@ -20,6 +20,7 @@ BLOCKS = (
 TABLES = "task_id string, page_index int, end_page_index int, table_index int, source_table_count int, score double, box array<double>"
 CELLS = "task_id string, page_index int, table_index int, row_ord int, cell_ord int, row int, column int, row_span int, col_span int, text string, box array<double>"
 EVENTS = "generation long, task_id string, page_index int, text string, n_blocks int, n_tables int, arrival long"
+EDITS = EVENTS + ", kind string, edited_pages int"  # pages and edits as two kinds of events
 
 
 @dataclass(frozen=True)

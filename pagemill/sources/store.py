@@ -234,6 +234,54 @@ class Store:
 
 
 
+class SaveChain:
+    """Saves one after the other; what can't be saved is kept in a log and goes with the next save, never over a newer page.
+
+    Pages carry ``arrival``, a number that grows with each change of a page. ``log`` is a folder of this writer alone; it
+    outlives the process, so a new chain on it takes up where the last one failed.
+    """
+
+    def __init__(self, store: Store, log: str) -> None:
+        self.store, self.log = store, log
+        os.makedirs(log, exist_ok=True)
+
+    def pending(self) -> list[str]:
+        """Folders of saves that have failed, oldest first."""
+        return sorted(f"{self.log}/{d}" for d in os.listdir(self.log) if os.path.exists(f"{self.log}/{d}/done"))
+
+    def _waiting(self, reset: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
+        """Pages of failed saves without those that a later reset drops, and all resets."""
+        spark, out, resets = self.store.spark, [], reset
+        for at in reversed(self.pending()):
+            pages = spark.read.parquet(f"{at}/pages")
+            out.append(pages if resets is None else pages.join(resets.select("task_id"), "task_id", "left_anti"))
+            own = spark.read.parquet(f"{at}/resets")
+            resets = own if resets is None else resets.select("task_id").union(own)
+        return out, resets
+
+    def save(self, tasks: DataFrame, pages: DataFrame, reset: DataFrame | None = None) -> str:
+        done = self.pending()
+        try:
+            waiting, resets = self._waiting(reset)
+            every = latest(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [pages, *waiting]), "arrival")
+            stored = self.store.pages(every) if self.store.version() else None
+            if stored is not None and "arrival" in stored.columns:
+                newer = stored.select("task_id", "page_index", F.col("arrival").alias("_stored"))
+                if resets is not None:  # what a reset drops isn't newer than anything
+                    newer = newer.join(resets.select(F.col("task_id").alias("task_id")), "task_id", "left_anti")
+                every = every.join(newer, KEYS, "left").filter("_stored is null or _stored < arrival").drop("_stored")
+            version = self.store.save(tasks, every, self.store.version(), reset=resets)
+        except Exception:
+            at = f"{self.log}/{time.time_ns():020d}"
+            pages.write.parquet(f"{at}/pages")
+            (reset.select(F.col("task_id").cast("string").alias("task_id")) if reset is not None else self.store.spark.createDataFrame([], "task_id string")).write.parquet(f"{at}/resets")
+            open(f"{at}/done", "w").close()
+            raise
+        for at in done:
+            shutil.rmtree(at)
+        return version
+
+
 def _with(known: dict | None, pages: DataFrame) -> dict:
     """The stored columns and those that ``pages`` adds, as a schema's JSON."""
     old = known["fields"] if known else []

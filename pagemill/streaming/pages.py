@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
 
-from pagemill.operators.pages import document_text, earliest
+from pagemill.operators.pages import document_text, earliest, edited_prefix
 
 BLOCK = 256  # pages of a task that share a state, so that a task of many pages is no single group
 NEVER = (1 << 63) - 1  # the arrival of an event without one
@@ -248,6 +248,79 @@ def completed(pages: DataFrame, selected: DataFrame) -> DataFrame:
     return document_text(pages.join(whole, "task_id", "left_semi"))
 
 
+class _LatestEdit(StatefulProcessor):
+    """Whether a task's text has been edited, and when last."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.edited = handle.getValueState("edited", "arrival long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = max(rows, key=lambda r: (-1 if r["arrival"] is None else r["arrival"], r["text"] or ""))
+        arrival = -1 if last["arrival"] is None else last["arrival"]
+        if not self.edited.exists() or self.edited.get()[0] < arrival:
+            self.edited.update((arrival,))
+            yield Row(task_id=key[0], text=last["text"], edited_pages=last["edited_pages"], arrival=arrival)
+
+    def close(self) -> None:
+        pass
+
+
+_EDIT = "task_id string, text string, edited_pages int, arrival long"
+
+
+def store_edits(events: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes the edits among ``events`` (columns of EDITS) to ``folder``; of a task's edits only those later than all before."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    keyed_state(events.sparkSession)
+    edits = events.filter("kind = 'edit'").groupBy("task_id").transformWithState(_LatestEdit(), _EDIT, "Append", "None")
+    writer = edits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def current_texts(spark: SparkSession, pages: str, edits: str) -> DataFrame:
+    """task_id and text as they stand, from the folders of :func:`store_pages` and :func:`store_edits`.
+
+    A task's latest edit stands for its first edited_pages pages, by their numbers, and stays while later pages come behind it; the result is
+    the same for any order in which pages and edits arrive.
+    """
+    stored = stored_pages(spark, pages)
+    last = spark.read.schema(_EDIT).parquet(edits).groupBy("task_id").agg(F.max_by(F.struct("text", "edited_pages"), F.struct("arrival", "text")).alias("e")).select("task_id", "e.*")
+    plain = document_text(stored.join(last.select(F.col("task_id").alias("task_id")), "task_id", "left_anti")).select("task_id", "text")
+    return edited_prefix(stored, last).unionByName(plain)
+
+
+def first_pass(requests: DataFrame, folder: str, log: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Stores pages with embedded text at once; the others go to the hand-off ``log`` for :func:`second_pass`. A batch done again replaces both of its parts.
+
+    requests: task_id, page_index, source, text.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").partitionBy("cheap").parquet(f"{log}-requests/batch={number}")  # read once, then dealt out
+        parts = spark.read.schema(df.schema).parquet(f"{log}-requests/batch={number}")
+        parts.filter("cheap").drop("cheap").write.mode("overwrite").parquet(f"{folder}/pass=1/batch={number}")
+        parts.filter("not cheap").drop("cheap").write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    asked = requests.withColumn("cheap", F.coalesce(F.col("source") == "pdf-text", F.lit(False)))
+    writer = asked.dropDuplicates(["task_id", "page_index"]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def second_pass(spark: SparkSession, log: str, schema: str, recognise: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Recognises the pages of the hand-off log that aren't stored yet. Can be stopped, started later, or run beside the first pass: each page is done once."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        recognise(df).write.mode("overwrite").parquet(f"{folder}/pass=2/batch={number}")
+
+    asked = spark.readStream.schema(f"{schema}, batch long").option("basePath", log).parquet(log).drop("batch")
+    writer = asked.dropDuplicates(["task_id", "page_index"]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def hand_off(pages: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages with embedded text, for the cheap first pass, and those that still need recognition."""
     rest = pages.join(stored.select("task_id", "page_index"), ["task_id", "page_index"], "left_anti")

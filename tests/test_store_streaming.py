@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.schema import EVENTS
+from pagemill.schema import EDITS, EVENTS
 from pagemill.sources import files
-from pagemill.sources.store import Conflict, Store
+from pagemill.sources.store import Conflict, SaveChain, Store
 from pagemill.streaming import exports as E
 from pagemill.streaming import pages as S
 
@@ -80,6 +80,71 @@ def test_new_columns_and_locks(spark, tmp_path):
     assert len(stored(store)) == 2
 
 
+def test_failed_saves_go_with_the_next(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    chain = SaveChain(store, str(tmp_path / "log"))
+    tasks = spark.createDataFrame([("a",), ("b",)], "task_id string")
+    pages = lambda *rows: spark.createDataFrame(rows, PAGES + ", arrival long")
+
+    def failing(*args, **more):
+        raise OSError("no")
+
+    chain.save(tasks, pages(("a", 0, "first", 1), ("b", 0, "b", 2), ("a", 7, "old", 2)))
+    with monkeypatch.context() as m:
+        m.setattr(store, "save", failing)
+        for rows, reset in (([("a", 0, "failed", 3), ("a", 1, "one", 3)], None), ([("b", 0, "late", 1), ("b", 1, "b1", 4)], None), ([("a", 2, "two", 5)], tasks.filter("task_id = 'a'"))):
+            with pytest.raises(OSError):
+                chain.save(tasks, pages(*rows), reset)
+    assert len(chain.pending()) == 3 and stored(store) == {("a", 0): "first", ("b", 0): "b", ("a", 7): "old"}
+    again = SaveChain(store, str(tmp_path / "log"))  # another process
+    again.save(tasks, pages(("a", 2, "newer", 6)))
+    assert stored(store) == {("a", 2): "newer", ("b", 0): "b", ("b", 1): "b1"} and not again.pending()
+
+
+def test_lines_of_growing_files(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda i, text="x": json.dumps(dict(zip([x.split()[0] for x in EVENTS.split(", ")], (1, "a", i, text, 1, 0, i))))
+    big = "é" * 300
+    steps = [
+        {"1.json": line(0) + "\n" + line(1)[:20], "2.json": "", ".hidden": line(99) + "\n"}, {"1.json": line(1)[20:]}, {"1.json": "\r\n" + line(2) + "\nnot json\n\n{}\n" + line(3, big)[:100]},
+        {"1.json": line(3, big)[100:] + "\n", "2.json": line(4) + "\n" + line(5) + "\n" + line(6)}, {"2.json": "\n"}, {},
+    ]
+    spark.dataSource.register(files.GrowingLines)
+    seen = []
+    for step in steps:
+        for name, text in step.items():
+            with open(source / name, "ab") as f:
+                f.write(text.encode())
+        for q, df in (("out", files.event_lines(spark, str(source))), ("raw", spark.readStream.format("growing_lines").option("path", str(source)).option("piece", "50").load())):
+            df.writeStream.format("parquet").option("path", str(tmp_path / q)).option("checkpointLocation", str(tmp_path / f"{q}-check")).trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted(r.page_index for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert seen == [[0], [0], [0, 1, 2], [0, 1, 2, 3, 4, 5], list(range(7)), list(range(7))]
+    raw = sorted(r.line for r in spark.read.parquet(str(tmp_path / "raw")).collect())  # pieces shorter than lines
+    assert raw == sorted([*(line(i, big if i == 3 else "x") for i in range(7)), "not json", "", "{}"])
+    reader = files._LinesReader({"path": str(source)})
+    at = reader.latestOffset()
+    (source / "1.json").write_text(line(8) + "\n")  # begun anew
+    assert [x for p in reader.partitions(at, reader.latestOffset()) for _, x in reader.read(p)] == [line(8)]
+
+
+def test_edits_and_pages_in_any_order(spark, tmp_path):
+    names = [x.split()[0] for x in EDITS.split(", ")]
+    page = lambda t, p, text, n: (1, t, p, text, 1, 0, n, "page", None)
+    edit = lambda t, text, k, n: (1, t, None, text, 0, 0, n, "edit", k)
+    rows = [page("a", 0, "a0", 1), page("a", 1, "a1", 2), edit("a", "older", 2, 3), edit("a", "mine", 1, 4), page("a", 2, "a2", 5), page("b", 3, "b3", 6), page("b", 1, "b1", 7), edit("c", "all", None, 8), page("c", 0, "c0", 9), page("a", 1, "again", 10)]
+    want = {"a": "mine\n\na1\n\na2", "b": "b1\n\nb3", "c": "all"}
+    for turn, order in enumerate([rows, rows[::-1], rows[5:] + rows[:5]]):
+        at = tmp_path / str(turn)
+        (at / "in").mkdir(parents=True)
+        for n in range(0, len(rows), 4):
+            (at / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in order[n : n + 4]) + "\n")
+        events = files.event_stream(spark, str(at / "in"), 1, EDITS)
+        S.store_pages(events.filter("kind = 'page'").drop("kind", "edited_pages"), str(at / "pages"), str(at / "c1")).awaitTermination()
+        S.store_edits(events, str(at / "edits"), str(at / "c2")).awaitTermination()
+        assert {r.task_id: r.text for r in S.current_texts(spark, str(at / "pages"), str(at / "edits")).collect()} == want
+
+
 EVENT_ROWS = [(1, "a", 1, "first", 2, 0, 1), (1, "a", 1, "again", 9, 9, 2), (0, "a", 7, "old process", 1, 1, 3), (1, "a", 0, "zero", 1, 1, 4), (1, "b", 0, "b", 3, 0, 5)]
 
 
