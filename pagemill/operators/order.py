@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS, SAMPLE = 32, 640  # ranges, and rows looked at to set their bounds; neither changes a result
+RANGE_ROWS, MOST_RANGES = 50_000, 1024  # rows of a range, roughly; of more rows than both allow, ranges have more
+LOOKED_AT = 20  # rows of the sample for each bound; neither these nor the ranges change a result
 
 
-def numbered(df: DataFrame, number: str, *order: Column | str) -> DataFrame:
-    """``df`` with the rows' places from 0: ranges between bounds from a sample, places within each, and the ranges' counts added up.
+def numbered(df: DataFrame, number: str, *order: Column | str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with the rows' places from 0: ranges between bounds from a sample, as many as the rows ask for, places within each, and the ranges' counts added up.
 
-    Rows equal in ``order`` are numbered in any order, so it should tell all rows apart. The bounds are literals, so a
-    row's range is the same however often the plan runs.
+    Rows equal in ``order`` are numbered in any order, so it should tell all rows apart. The bounds are literals, found by
+    halving, so a row's range is the same however often the plan runs.
     """
     ks = [f"__k{i}" for i in range(len(order))]
     keyed = df.withColumns({k: F.col(c) if isinstance(c, str) else c for k, c in zip(ks, order)})
-    sample = keyed.select(*ks).orderBy(F.xxhash64(*ks), *ks).limit(SAMPLE).orderBy(*ks).collect()
-    bounds = [sample[i] for i in range(0, len(sample), -(-SAMPLE // PARTS))][1:]
+    ranges = min(MOST_RANGES, -(-keyed.count() // range_rows))
+    bounds = []
+    if ranges > 1:
+        sample = keyed.select(*ks).orderBy(F.xxhash64(*ks), *ks).limit(LOOKED_AT * ranges).orderBy(*ks).collect()
+        bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)]
     types = keyed.select(*ks).schema
+    key = F.struct(*ks)
     literal = lambda row: F.struct(*[F.lit(row[k]).cast(types[k].dataType).alias(k) for k in ks])
-    place = F.lit(0)
-    for b in bounds:
-        place = place + (F.struct(*ks) > literal(b)).cast("int")
-    dealt = keyed.withColumn("__range", place)
-    counts = dict(dealt.groupBy("__range").count().collect())  # at most PARTS rows
-    before = F.array(*[F.lit(sum(n for r, n in counts.items() if r < i)).cast("long") for i in range(PARTS + 1)])
+
+    def place(first: int, last: int) -> Column:
+        """Of a key behind bounds[:first] and not behind bounds[last]: how many bounds it is behind."""
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(key > literal(bounds[middle]), place(middle + 1, last)).otherwise(place(first, middle))
+
+    dealt = keyed.withColumn("__range", place(0, len(bounds)))
+    counts = dict(dealt.groupBy("__range").count().collect())  # a row a range
+    before = F.array(*[F.lit(sum(n for r, n in counts.items() if r < i)).cast("long") for i in range(len(bounds) + 1)])
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*ks)) - 1
     return dealt.withColumn(number, (F.get(before, F.col("__range")) + own).cast("int")).drop("__range", *ks)

@@ -801,6 +801,35 @@ def sheet_title_cases(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(named)), "case_id int, title string")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) || '.txt' AS name, CAST(length(o_orderpriority) AS BIGINT) AS length, sha256(o_orderpriority) AS sha256, 'txt' AS extension FROM orders")
+def listed_files(spark, sf_dir):
+    """A folder of a file an order: its listing, which reads no contents, and the contents' digests."""
+    at = folder(spark, "listed")
+    exports.publish(_table(spark, sf_dir, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("name"), F.encode("o_orderpriority", "UTF-8").alias("content"), F.lit("create").alias("action")), at)
+    both = files.listing(spark, f"file://{at}", "*.txt").select("path", "length").join(files.digests(spark, f"file://{at}").select("path", "sha256"), "path")
+    return both.select(X.base_name(F.col("path")).alias("name"), "length", "sha256", X.extension(F.col("path")).alias("extension"))
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT l_suppkey AS s, l_orderkey % 40 AS p FROM lineitem WHERE l_linenumber = 7),
+    t AS (SELECT s, p, CASE WHEN (s + p) % 7 = 0 THEN 2 ELSE 1 END AS tables, CASE WHEN p % 5 = 0 THEN 3 ELSE 2 END AS width, (s + p // 2) % 3 = 0 AS other FROM p),
+    b AS (SELECT *, lag(p) OVER w AS q, lag(tables) OVER w AS before, lag(width) OVER w AS was, lag(other) OVER w AS had FROM t WINDOW w AS (PARTITION BY s ORDER BY p)),
+    r AS (SELECT s, p, CASE WHEN tables <> 1 THEN 'not-one-table' WHEN before = 1 AND p <> q + 1 THEN 'non-consecutive' WHEN before = 1 AND width <> was THEN 'column-mismatch' WHEN before = 1 AND other <> had THEN 'no-header' END AS reason FROM b)
+    SELECT CAST(s AS VARCHAR) AS task_id, CAST(p AS INTEGER) AS page_index, reason FROM r WHERE reason IS NOT NULL""")
+def merge_reason_pages(spark, sf_dir):
+    """Pages of a supplier with one table or two, of two or three columns, under one header or another, some missing: every reason not to merge."""
+    p = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").select(F.col("l_suppkey").alias("s"), (F.col("l_orderkey") % 40).cast("int").alias("page_index")).distinct()
+    s, page = F.col("s"), F.col("page_index")
+    tables_ = p.select(
+        s.cast("string").alias("task_id"), "page_index", F.explode(F.when((s + page) % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("table_index"), F.when(page % 5 == 0, 3).otherwise(2).alias("width"),
+        F.when((s + F.floor(page / 2)) % 3 == 0, "weather").otherwise("amount").alias("header"),
+    )
+    rows = tables_.withColumn("row", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    text = F.when(F.col("row") == 1, F.concat(F.lit("value "), "page_index")).when(F.col("column") == 0, F.col("header")).otherwise("name")
+    cells = rows.select("task_id", "page_index", "table_index", F.col("row").alias("row_ord"), F.col("column").alias("cell_ord"), "row", "column", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), text.alias("text"), F.lit(None).cast("array<double>").alias("box"))
+    return tables.issues(cells)
+
+
 @query(f"""
     WITH {_ITEM_ROWS}, d AS (SELECT task_id, r, arg_max(f, n) AS f, arg_max(q, n) AS q FROM i GROUP BY ALL)
     SELECT CAST(task_id AS VARCHAR) AS task_id, 1 AS sheets, CAST(2 * count(*) AS INTEGER) AS cells, 0 AS formulas FROM d GROUP BY task_id""")
