@@ -120,15 +120,11 @@ def table_rows(markup: Column, boxes: Column | None = None) -> Column:
     return parse(markup, boxes if boxes is not None else F.lit(None).cast("array<array<double>>"))
 
 
-_CELL_COLUMNS = "row_ord int, cell_ord int, row int, column int, row_span int, col_span int, text string"
-class TableCells:
-    """One row a cell: SELECT * FROM table_cells(html)."""
-
-    def eval(self, markup: str):
-        for i, row in enumerate(parse_table(markup)):
-            for j, c in enumerate(row):
-                yield i, j, c["row"], c["column"], c["rowSpan"], c["colSpan"], c["text"]
-
-
 def register_table_cells(spark, name: str = "table_cells") -> None:
-    spark.udtf.register(name, F.udtf(TableCells, returnType=_CELL_COLUMNS))
+    """A table function in SQL, a row a cell: SELECT * FROM table_cells(html), or t, LATERAL table_cells(t.html). Markup is parsed in batches."""
+    spark.udf.register(f"{name}_rows", F.pandas_udf(lambda m: pd.Series([parse_table(x) for x in m], dtype=object), f"array<array<{CELL}>>"))
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(markup STRING)
+        RETURNS TABLE(row_ord INT, cell_ord INT, row INT, column INT, row_span INT, col_span INT, text STRING)
+        RETURN SELECT row_ord, cell_ord, cell.row, cell.column, cell.rowSpan, cell.colSpan, cell.text
+        FROM (SELECT {name}_rows(markup) AS found) LATERAL VIEW posexplode(found) AS row_ord, cells LATERAL VIEW posexplode(cells) AS cell_ord, cell""")

@@ -115,6 +115,9 @@ def test_table_function(spark):
     H.register_table_cells(spark)
     got = spark.sql("SELECT * FROM table_cells('<tr><td>a</td><td colspan=2>b</td></tr>')").collect()
     assert [(r.row, r.column, r.col_span, r.text) for r in got] == [(0, 0, 1, "a"), (0, 1, 2, "b")]
+    spark.createDataFrame([(1, "<tr><td>x</td></tr><tr><td>y</td></tr>"), (2, None), (3, "<p>")], "id int, html string").createOrReplaceTempView("marked_up")
+    got = spark.sql("SELECT id, row_ord, text FROM marked_up, LATERAL table_cells(html)").collect()
+    assert sorted((r.id, r.row_ord, r.text) for r in got) == [(1, 0, "x"), (1, 1, "y")]
 
 
 LINES = "task_id string, page_index int, block_ord int, text string, box array<double>, font_size double, direction string, candidate boolean, chars array<struct<text:string,box:array<double>,offset:int>>"
