@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 RANGE_ROWS, MOST_RANGES = 50_000, 1024  # rows of a range, roughly; of more rows than both allow, ranges have more
-LOOKED_AT = 20  # rows of the sample for each bound; neither these nor the ranges change a result
+LOOKED_AT = 4  # rows of the sample for each bound there can be; neither these nor the ranges change a result
 
 
 def numbered(df: DataFrame, number: str, *order: Column | str, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -17,11 +17,11 @@ def numbered(df: DataFrame, number: str, *order: Column | str, range_rows: int =
     """
     ks = [f"__k{i}" for i in range(len(order))]
     keyed = df.withColumns({k: F.col(c) if isinstance(c, str) else c for k, c in zip(ks, order)})
-    ranges = min(MOST_RANGES, -(-keyed.count() // range_rows))
-    bounds = []
-    if ranges > 1:
-        sample = keyed.select(*ks).orderBy(F.xxhash64(*ks), *ks).limit(LOOKED_AT * ranges).orderBy(*ks).collect()
-        bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)]
+    seen = Observation()  # the rows are counted as the sample is taken
+    sample = keyed.select(*ks).observe(seen, F.count(F.lit(1)).alias("rows")).orderBy(F.xxhash64(*ks), *ks).limit(LOOKED_AT * MOST_RANGES).collect()
+    sample = sample and keyed.sparkSession.createDataFrame(sample, keyed.select(*ks).schema).orderBy(*ks).collect()
+    ranges = min(MOST_RANGES, -(-seen.get["rows"] // range_rows))
+    bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)]
     types = keyed.select(*ks).schema
     key = F.struct(*ks)
     literal = lambda row: F.struct(*[F.lit(row[k]).cast(types[k].dataType).alias(k) for k in ks])
