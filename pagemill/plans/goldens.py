@@ -895,16 +895,17 @@ _FIRST = "f AS (SELECT user_id, event_id % 50 AS page, min(event_id) AS first FR
 
 
 @query(f"""
-    WITH {_FIRST} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(count(*) AS INTEGER) AS pages, CAST(sum(first % 9) AS INTEGER) AS blocks, CAST(sum(first % 2) AS INTEGER) AS tables FROM f GROUP BY user_id""")
+    WITH {_FIRST}, o AS (SELECT *, max(page) OVER (PARTITION BY user_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
+    SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(count(*) AS INTEGER) AS pages, CAST(sum(first % 9) AS INTEGER) AS blocks, CAST(sum(first % 2) AS INTEGER) AS tables, count(*) FILTER (WHERE reach IS NULL OR page > reach) AS in_order FROM o GROUP BY user_id""")
 def stream_running_totals(spark, sf_dir):
-    """A stream of page events with keyed state: running totals of first copies, corrected where an earlier copy comes later; events of the earlier process don't count."""
+    """A stream of page events with keyed state: running totals of first copies and of pages that came in order, corrected where an earlier copy comes later; events of the earlier process don't count."""
     S.keyed_state(spark)
     events, at = _page_events(spark, sf_dir)
     writer = S.progress(events).writeStream.format("parquet").option("path", f"file://{at}/totals").option("checkpointLocation", f"file://{at}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"file://{at}/totals")
-    last = F.max_by(F.struct("pages", "blocks", "tables"), "seq")
-    return rows.groupBy("task_id").agg(last.alias("t")).select("task_id", "t.pages", "t.blocks", "t.tables")
+    last = F.max_by(F.struct("pages", "blocks", "tables", "ordered"), "seq")
+    return rows.groupBy("task_id").agg(last.alias("t")).select("task_id", "t.pages", "t.blocks", "t.tables", F.col("t.ordered").cast("long").alias("in_order"))
 
 
 @query(f"""

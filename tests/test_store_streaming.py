@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import re
 
 import pytest
@@ -288,3 +289,16 @@ def test_event_log_rotates(spark, tmp_path, monkeypatch):
     assert len(log.files()) == 3 and all(len(open(f).read()) <= 200 for f in log.files())
     back = files.event_log(spark, log.files())
     assert {r.method for r in back.collect()} == {"ping", "other"} and back.agg(F.max("time")).first()[0].startswith("2024-01-01T00:00:08")
+
+
+def test_pages_in_order_are_counted_by_first_arrivals():
+    rnd = random.Random(3)
+    for _ in range(200):
+        first, front = {}, []
+        for arrival in rnd.sample(range(60), 40):
+            page = rnd.randrange(15)
+            if arrival < first.get(page, 99):
+                first[page] = arrival
+                S.placed(front, arrival, page)
+            by_arrival = sorted((a, p) for p, a in first.items())
+            assert front == [(a, p) for i, (a, p) in enumerate(by_arrival) if all(p > q for _, q in by_arrival[:i])]
