@@ -115,12 +115,16 @@ def resume_prefix(selected: Column, completed: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    kib, mib, gib = n / 1024, n / 1024**2, n / 1024**3
+    """Bytes as B, KB, MB or GB, halves rounded up; n: long, or decimal without a fraction, of which no digit is lost."""
+    kib, mib, gib = (n.cast("double") / 1024**k for k in (1, 2, 3))
+    cents = n.cast("decimal(38,0)") * 100 + 2**29
+    large = ((cents - cents % 2**30) / 2**30 / 100).cast("decimal(38,2)")
     return (
         F.when(n < 1024, F.format_string("%d B", n.cast("long")))
         .when(kib < 1024, F.format_string("%.1f KB", kib))
         .when(mib < 1024, F.format_string("%.1f MB", mib))
-        .otherwise(F.format_string("%.2f GB", gib))
+        .when(n < 2**53, F.format_string("%.2f GB", gib))
+        .otherwise(F.concat(large.cast("string"), F.lit(" GB")))
     )
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import normalize as N
 from pagemill.functions import text as X
+from pagemill.plans import catalog
 
 CASES = [
     ("3.今天天气很好", "3．今天天气很好"),
@@ -118,3 +119,12 @@ def test_whole_texts_are_cleaned_as_plainly(spark):
     got = {r.doc_id: r.text for r in catalog.QUERIES["normalize_whole_text"](spark, DATA).collect()}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     assert got == {r.doc_id: N.normalize_text(r.text) for r in docs} and len(got) == len(docs)
+
+
+def test_sizes_beyond_a_long(spark, tmp_path):
+    keys = [1, 3, 128, 524_287, 524_288, 900_000, 899_999, 700_001]
+    spark.createDataFrame([(k, k) for k in keys], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    cents = lambda n: (n * 100 + 2**29) // 2**30
+    got = {r.task_id: r.size for r in catalog.format_bytes(spark, str(tmp_path)).filter("task_id < 1000000").collect()}
+    assert got.pop(1) == "64 B" and got.pop(3) == "1.7 KB" and got.pop(128) == "128.0 MB"
+    assert got == {k: f"{cents(k**3 * 64) // 100}.{cents(k**3 * 64) % 100:02d} GB" for k in got} and len(got) == 5
