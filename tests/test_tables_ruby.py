@@ -167,3 +167,8 @@ def test_references_without_a_semicolon():
     page = "<title>a &amp; b &amp</title><script>x && y &amp</script><p>&copy; 1 & 2 &#65 &#65; &am<!-- &amp -->"
     assert H.sanitize(page, True) == "a &amp; b &amp;ampx &amp;&amp; y &amp;amp© 1 &amp; 2 &amp;#65 A &amp;am"
     assert H.sanitize(page) == "a &amp; b &amp;x &amp;&amp; y &amp;amp© 1 &amp; 2 A A &amp;am"
+
+
+def test_axis_of_a_very_long_line(spark):
+    lines = spark.createDataFrame([("t", 0, "vertical", "x" * 50_000), ("t", 0, "horizontal", "x" * 49_000), ("t", 1, "horizontal", "abc")], "task_id string, page_index int, direction string, text string")
+    assert {(r.page_index, r.direction) for r in ruby.dominant_axis(lines).collect()} == {(0, "vertical"), (1, "horizontal")}
