@@ -1,3 +1,4 @@
+import io
 import os
 import zipfile
 
@@ -211,3 +212,15 @@ def test_information_and_start(spark):
     start = pages.begun(tasks.filter("task_id = 'a'"), results, stored).first()
     assert (start.text, start.page_count, start.block_count, start.table_count, start.partial) == ("p0\n\np1", 2, 3, 1, True)
     assert pages.headers(results).first().text is None
+
+
+def test_workbooks_in_batches(spark):
+    cell = "task_id string, page_index int, table_index int, row_ord int, cell_ord int, row int, column int, row_span int, col_span int, text string, end_page_index int"
+    rows = [(f"t{i}", p, 0, r, 0, r, 0, 1, 1, None if r else f"p{p}", p) for i in range(600) for p in (1, 0) for r in (1, 0)]
+    books = exports.workbooks(spark.createDataFrame(rows, cell).repartition(3))
+    assert "InPandas" not in books._jdf.queryExecution().executedPlan().toString() and books.rdd.getNumPartitions() == 4
+    got = {r.task_id: bytes(r.content) for r in books.collect()}
+    assert len(got) == 600
+    with zipfile.ZipFile(io.BytesIO(got["t7"])) as z:
+        first, second = (z.read(f"xl/worksheets/sheet{n}.xml").decode() for n in (1, 2))
+    assert "p0" in first and "p1" in second and first.count("<c ") == 2 and first.index('r="A1"') < first.index('r="A2"')
