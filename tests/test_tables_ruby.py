@@ -172,3 +172,9 @@ def test_references_without_a_semicolon():
 def test_axis_of_a_very_long_line(spark):
     lines = spark.createDataFrame([("t", 0, "vertical", "x" * 50_000), ("t", 0, "horizontal", "x" * 49_000), ("t", 1, "horizontal", "abc")], "task_id string, page_index int, direction string, text string")
     assert {(r.page_index, r.direction) for r in ruby.dominant_axis(lines).collect()} == {(0, "vertical"), (1, "horizontal")}
+
+
+def test_glyphs_are_joined_to_nothing(spark):
+    glyphs = spark.range(10).selectExpr("'t' AS task_id", "0 AS page_index", "CAST(id AS INT) AS ord", "'a' AS text", "array(id * 10D, 0D, id * 10D + 10, 10D) AS box", "10D AS size")
+    lines = ruby.grouped_lines(glyphs)
+    assert "Join" not in lines._jdf.queryExecution().executedPlan().toString() and [r.text for r in lines.collect()] == ["a" * 10]
