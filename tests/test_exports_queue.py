@@ -2,6 +2,7 @@ import io
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,17 @@ def test_workbooks_in_batches(spark):
     with zipfile.ZipFile(io.BytesIO(got["t7"])) as z:
         first, second = (z.read(f"xl/worksheets/sheet{n}.xml").decode() for n in (1, 2))
     assert "p0" in first and "p1" in second and first.count("<c ") == 2 and first.index('r="A1"') < first.index('r="A2"')
+
+
+def test_names_are_given_and_taken_back_again_by_tasks(spark, tmp_path):
+    (tmp_path / "o.txt").write_text("old")
+    run = tmp_path / ".run-x"
+    run.mkdir()
+    rows = pa.RecordBatch.from_pylist([{"name": n, "content": c, "action": a} for n, c, a in (("n.txt", b"new", "create"), ("o.txt", b"over", "overwrite"), ("s.txt", b"no", "skip"))])
+    (own,) = [b.column(0)[0].as_py() for b in exports._staged(str(run))([rows])]
+    for _ in range(2):  # a naming task that is tried again finds its own names
+        exports._name(str(run), own, str(tmp_path))
+        assert {p.name: p.read_text() for p in tmp_path.glob("*.txt")} == {"n.txt": "new", "o.txt": "over"}
+    for _ in range(2):
+        exports._take_back(str(run), own, str(tmp_path))
+        assert {p.name: p.read_text() for p in tmp_path.glob("*.txt")} == {"o.txt": "old"}
