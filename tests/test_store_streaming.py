@@ -302,3 +302,15 @@ def test_pages_in_order_are_counted_by_first_arrivals():
                 S.placed(front, arrival, page)
             by_arrival = sorted((a, p) for p, a in first.items())
             assert front == [(a, p) for i, (a, p) in enumerate(by_arrival) if all(p > q for _, q in by_arrival[:i])]
+
+
+def test_tasks_list_a_folder_themselves(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.txt", "b.bin", "sub/c.txt", ".hidden.txt", "_left.txt", "_k=1.txt", "d e.txt"):
+        (tmp_path / name).write_text(name)
+    for at in (str(tmp_path), f"file://{tmp_path}"):
+        got = files.listing(spark, at, "*.txt")
+        assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+        spark_s = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(at).select("path", F.col("modificationTime").alias("modification_time"), "length")
+        assert sorted(got.collect()) == sorted(spark_s.collect()) and got.count() == 4
+    assert {r.path.split("/")[-1]: bytes(r.content).decode() for r in files.contents(spark, str(tmp_path), "b*").collect()} == {"b.bin": "b.bin"}
