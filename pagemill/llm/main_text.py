@@ -2,14 +2,14 @@
 
 A page is read into blocks of text, each in the zone of its innermost telling element:
 removed (menus, footers, forms, scripts and the like, by element or by words of class, id and role), article,
-main (the element, or a container named content, post and the like), or open (nothing says). An article's blocks are the result if there are any. Else the blocks of main, or else the open ones, are held
-against the host's other pages, as a suffix array would show them: the pages' streams of tokens (words, and a mark before
-each block; articles only cut the stream) are one text a host, whose suffixes are ranked by their first LONG tokens, by doubling;
-Spark brings equal suffixes of a host together, after each task has combined its own. Of a run of LONG tokens or more that
-pages with different markup share, every token is covered; a block more than half of whose words are covered is boilerplate.
-A host is never a group: its suffixes are dealt out by rank.
-
-Suffixes are compared by 64-bit fingerprints within a host. Pages alike as a whole don't count as
+main (the element, or a container named content, post and the like), or open (nothing says). The blocks of the best zone are held
+against the host's other pages, as a suffix array would show them: the pages' streams of tokens (all words, those of articles too, and a mark before
+each block) are one text a host, whose suffixes are ranked by their first LONG tokens, by doubling;
+Spark brings equal suffixes of a host together, after ranks of half the length have told which may have equals. Of a run of LONG tokens or more that
+pages with different markup share, every token is covered; a block more than half of whose words are covered is boilerplate, unless
+it is an article's, for which markup vouches. A host is never a group: its suffixes are dealt out by rank.
+
+Suffixes are compared by 64-bit fingerprints that hold the host. Pages alike as a whole don't count as
 repeating each other, and a page that would be left with less than a tenth of its words, a near copy of another, keeps its blocks.
 What repeats inside articles stays: pages of a host copy articles and share passages, which are main text.
 
@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.blocks import mix
-from pagemill.llm.work import NO_ID, bounded_batches, written
+from pagemill.llm.bloom import Bloom, Test
+from pagemill.llm.repeats import HELD, repeated, twice_at_most
+from pagemill.llm.work import NO_ID, bounded_batches, removed, written
 
 LONG = 8  # tokens; a power of two
 COPY = 10  # a page that would be left with less than a tenth of its words is a near copy of another
@@ -174,15 +176,10 @@ def _token(word: str) -> int:
 MARK = _token("\n")
 
 
-def stream(blocks: list[Block], own: int) -> tuple[list[int], list[int]]:
-    """Tokens of what stands outside articles, and the block of each (-1: none); ``own``, the page's own token, stands for an article."""
+def stream(blocks: list[Block]) -> tuple[list[int], list[int]]:
+    """Tokens of all that a page says, articles and removed elements included, and the block of each."""
     tokens, of = [], []
     for i, b in enumerate(blocks):
-        if b.zone == ARTICLE:
-            if not tokens or tokens[-1] != own:
-                tokens.append(own)
-                of.append(-1)
-            continue
         words = b.text.split(" ")
         tokens += [MARK, *map(_token, words)]
         of += [i] * (len(words) + 1)
@@ -199,39 +196,71 @@ def ranks(tokens: list[int], long: int = LONG) -> np.ndarray:
     return h if n == long else h[:0]
 
 
-def _suffixes(long: int):
+def anchors(tokens: list[int], host: str, long: int = LONG) -> np.ndarray:
+    """For every suffix of ``long`` tokens or more the smallest fingerprint of half as many tokens inside the first ``long``: runs of a host that are equal have equal ones, and neighbours mostly share theirs."""
+    half = long // 2
+    h = mix(ranks(tokens, half) ^ np.uint64(_token(host)))
+    width = long - half + 1
+    return np.lib.stride_tricks.sliding_window_view(h, width).min(axis=1) if len(h) >= width else h[:0]
+
+
+def _anchors(long: int, buckets: int):
+    """Anchors by bucket, each once a page; of those that are frequent in a task two go on."""
+
+    def run(batches):
+        def of_pages():
+            seen = set()  # latest pages: a copy adds nothing
+            for b in batches:
+                for host, content, markup in zip(*(c.to_pylist() for c in b.columns)):
+                    if (host, content) not in seen:
+                        seen.add((host, content))
+                        yield np.unique(anchors(stream(read_blocks(markup))[0], host, long))
+                if len(seen) > HELD:
+                    seen.clear()
+
+        yield from twice_at_most(of_pages(), buckets)
+
+    return run
+
+
+def _suffixes(long: int, shared: Test):
+    """Suffixes whose anchors pass; what passes wrongly is dropped when equal ones are brought together."""
+
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(4)]
             for host, key, content, markup in zip(*(c.to_pylist() for c in b.columns)):
                 found = read_blocks(markup)
                 best = level(found)
-                tokens, of = stream(found, content & 0xFFFFFFFFFFFFFFFF)
-                rank = ranks(tokens, long)
-                zones = np.array([found[i].zone if i >= 0 else GONE for i in of], np.int8)
-                asked = np.zeros(len(rank), bool)
-                if best < ARTICLE:  # some token of the run is of a block that the host decides on
-                    for d in range(long):
-                        asked |= zones[d : d + len(rank)] == best
-                out[0] += [host] * len(rank)
-                out[1].append(rank.view(np.int64))
-                out[2].append(np.full(len(rank), content))
-                out[3] += [key if a else None for a in asked.tolist()]
-                out[4].append(np.arange(len(rank), dtype=np.int32))
+                tokens, of = stream(found)
+                place = np.flatnonzero(shared(anchors(tokens, host, long).view(np.int64)))
+                if not len(place):
+                    continue
+                rank = mix(ranks(tokens, long)[place] ^ np.uint64(_token(host)))
+                own = np.array([b.zone == best and best != GONE for b in found])[of]
+                before = np.concatenate([[0], np.cumsum(own)])
+                asked = before[place + long] > before[place]  # some token of the run is of a block that the host decides on
+                out[0].append(rank.view(np.int64))
+                out[1].append(np.full(len(rank), content))
+                out[2] += [key if a else None for a in asked.tolist()]
+                out[3].append(place.astype(np.int32))
             join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), join(out[1], pa.int64()), join(out[2], pa.int64()), pa.array(out[3], b.schema.field(1).type), join(out[4], pa.int32())], ["host", "rank", "content", "key", "place"])
+            yield pa.RecordBatch.from_arrays([join(out[0], pa.int64()), join(out[1], pa.int64()), pa.array(out[2], b.schema.field(1).type), join(out[3], pa.int32())], ["rank", "content", "key", "place"])
 
     return run
 
 
 def main_blocks(blocks: list[Block], own: int, places: list[int] | None, long: int = LONG) -> tuple[list[str], int]:
-    """Texts of the blocks that stay, and how many went because the host repeats them at ``places`` of the stream."""
+    """Texts of the blocks that stay, and how many went because the host repeats them at ``places`` of the stream; ``own``, the page's fingerprint, decides nothing.
+
+    Of blocks that are repeated those of an article are held against the markup, which vouches for them.
+    """
     best = level(blocks)
     if best == GONE:
         return [], 0
     kept = [i for i, b in enumerate(blocks) if b.zone == best]
-    if best < ARTICLE and places:
-        _, of = stream(blocks, own)
+    if places:
+        _, of = stream(blocks)
         covered = np.zeros(len(of) + 1, np.int64)
         np.add.at(covered, places, 1)
         np.add.at(covered, np.asarray(places) + long, -1)
@@ -239,7 +268,7 @@ def main_blocks(blocks: list[Block], own: int, places: list[int] | None, long: i
         words = np.bincount(block[block >= 0], minlength=len(blocks)) - 1
         first = np.concatenate([[True], block[1:] != block[:-1]])  # the mark
         hit = np.bincount(block[(block >= 0) & ~first & (np.cumsum(covered)[:-1] > 0)], minlength=len(blocks))
-        unique = [i for i in kept if 2 * hit[i] <= words[i]]
+        unique = [i for i in kept if 2 * hit[i] <= words[i] or blocks[i].zone == ARTICLE]
         if COPY * sum(words[i] for i in unique) >= sum(words[i] for i in kept):
             return [blocks[i].text for i in unique], len(kept) - len(unique)
     return [blocks[i].text for i in kept], 0
@@ -266,8 +295,13 @@ def extracted(pages: DataFrame, long: int = LONG) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)", 1))
     key = F.struct(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID).cast("long")).alias("page"), F.xxhash64("url", markup).alias("row"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", markup.alias("html"), F.xxhash64(markup).alias("content"), host.alias("host"), key.alias("key"))
-    suffixes = rows.filter("host <> ''").select("host", "key", "content", "html").mapInArrow(_suffixes(long), "host string, rank long, content long, key struct<page: long, row: long>, place int")
-    repeated = suffixes.groupBy("host", "rank").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count("key").alias("asked")).filter("a <> b and asked > 0").select("host", "rank")
-    covered = suffixes.filter("key is not null").join(repeated, ["host", "rank"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    hosted = rows.filter("host <> ''")
+    buckets = 4 * max(8, pages.rdd.getNumPartitions())
+    twice = written(hosted.select("host", "content", "html").mapInArrow(_anchors(long, buckets), "bucket int, ranks binary").groupBy("bucket").applyInArrow(repeated, "rank long"), "host-anchors")
+    shared = Bloom(twice).test()
+    removed(twice)
+    suffixes = hosted.select("host", "key", "content", "html").mapInArrow(_suffixes(long, shared), "rank long, content long, key struct<page: long, row: long>, place int")
+    again = suffixes.groupBy("rank").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count("key").alias("asked")).filter("a <> b and asked > 0").select("rank")
+    covered = suffixes.filter("key is not null").join(again, "rank", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
     found = written(covered, "host-repeats")  # Spark broadcasts it if it is small, else deals out both sides
     return rows.join(found, "key", "left").select("page_id", "url", "html", "content", "places").mapInArrow(_texts(long), TEXTS)

@@ -114,7 +114,7 @@ def _buckets(values: np.ndarray, buckets: int):
     return pa.RecordBatch.from_arrays([pa.array(by[cut], pa.int32()), pa.array([values[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["bucket", "ranks"])
 
 
-def _twice_at_most(parts, buckets: int):
+def twice_at_most(parts, buckets: int):
     """Names by bucket; of those that occur more often in a stretch of HELD, two go on."""
     held, size = [], 0
     for part in parts:
@@ -129,7 +129,7 @@ def _twice_at_most(parts, buckets: int):
         yield _buckets(np.repeat(v, np.minimum(n, 2)), buckets)
 
 
-def _repeated(key, table):
+def repeated(key, table):
     v, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("ranks")]), return_counts=True)
     return pa.table({"rank": signed(v[n > 1])})
 
@@ -140,9 +140,9 @@ def repeated_ranks(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def run(batches):
         ranks_of = (runs(block, least).rank for b in batches for block in text_blocks(b.column(0)))
-        yield from _twice_at_most(ranks_of, buckets)
+        yield from twice_at_most(ranks_of, buckets)
 
-    return written(docs.select("text").mapInArrow(run, "bucket int, ranks binary").groupBy("bucket").applyInArrow(_repeated, "rank long"), "ranks")
+    return written(docs.select("text").mapInArrow(run, "bucket int, ranks binary").groupBy("bucket").applyInArrow(repeated, "rank long"), "ranks")
 
 
 def _ids(b: pa.RecordBatch, block: Block, shared: Test) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +270,9 @@ def repeats(docs: DataFrame, least: int = LEAST, shared: Test | None = None) ->
     in_doc, in_place = Bloom(open_runs.select("doc")).test(), Bloom(open_runs.select("place")).test()
 
     def names(batches):
-        yield from _twice_at_most((x[0] for x in _open_strings(batches, in_doc, in_place, shared, least)), buckets)
+        yield from twice_at_most((x[0] for x in _open_strings(batches, in_doc, in_place, shared, least)), buckets)
 
-    twice = written(docs.mapInArrow(names, "bucket int, ranks binary").groupBy("bucket").applyInArrow(_repeated, "rank long"), "pairs")
+    twice = written(docs.mapInArrow(names, "bucket int, ranks binary").groupBy("bucket").applyInArrow(repeated, "rank long"), "pairs")
     in_twice = Bloom(twice).test()
     removed(twice)
 

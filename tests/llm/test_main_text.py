@@ -125,3 +125,16 @@ def test_all_test_pages_have_text(spark):
     from tests.conftest import DATA
 
     assert queries.op12_host_suffixes(spark, DATA).filter(F.col("n_chars") == 0).count() == 0
+
+
+def test_articles_are_in_the_stream(spark):
+    line = " ".join(f"w{i}" for i in range(20))
+    blocks = read_blocks(f"<nav>n</nav><article>{line}</article>")
+    assert len(main_text.stream(blocks)[0]) == 2 + 21 and set(main_text.stream(blocks)[1]) == {0, 1}
+    assert main_text.main_blocks(blocks, 0, [2]) == ([line], 0)
+    # a list of teasers repeats what an article of its host says
+    teaser = f"<div>{line}</div><p>our latest texts and more of them by our own hand</p>"
+    rows = [(1, "http://a/1", f"<article>{line}<p>and on</article>", 1, "x"), (2, "http://a/2", teaser, 1, "x"), (3, "http://b/2", teaser, 1, "x")]
+    got = {r.page_id: (r.text, r.n_repeated) for r in main_text.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    own = "our latest texts and more of them by our own hand"
+    assert got == {1: (f"{line}\nand on", 0), 2: (own, 1), 3: (f"{line}\n{own}", 0)}
