@@ -178,3 +178,12 @@ def test_glyphs_are_joined_to_nothing(spark):
     glyphs = spark.range(10).selectExpr("'t' AS task_id", "0 AS page_index", "CAST(id AS INT) AS ord", "'a' AS text", "array(id * 10D, 0D, id * 10D + 10, 10D) AS box", "10D AS size")
     lines = ruby.grouped_lines(glyphs)
     assert "Join" not in lines._jdf.queryExecution().executedPlan().toString() and [r.text for r in lines.collect()] == ["a" * 10]
+
+
+def test_pairs_are_made_once(spark):
+    lines = spark.createDataFrame([("t", 0, 0, "ab", [10.0, 30.0, 70.0, 50.0], 20.0, "horizontal"), ("t", 0, 1, "r", [10.0, 18.0, 70.0, 27.0], 9.0, "horizontal")], "task_id string, page_index int, block_ord int, text string, box array<double>, font_size double, direction string")
+    out = ruby.bound(lines)
+    assert [r.role for r in out.orderBy("block_ord").collect()] == ["body", "ruby"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # pairs join twice, for roles and for glosses; glosses join what they say, and lines join both
+    assert plan.count("Join ") == 5
