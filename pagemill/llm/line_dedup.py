@@ -27,15 +27,15 @@ def removed_lines(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> t
     """(doc, text_id, unit) of every line that goes, doc being doc_id or NO_ID for null; and all lines (doc, text_id, unit, node)."""
     spec = Spec(k, num, den, True, 1)
     rows, counts = scan(docs, spec)
-    lines = rows.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc"), "text_id", "unit", "node")
+    lines = rows.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc"), "text_id", "unit", "node", "n")
     place = F.struct("doc", "text_id", "unit")
-    classes = lines.filter("node is not null").groupBy("node").agg(F.min(place).alias("home"), F.count("*").alias("copies"))
-    classes = written(classes.select("node", "home.*", "copies"), "line-classes")
+    classes = lines.filter("node is not null").groupBy("node").agg(F.min(place).alias("home"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = written(classes.select("node", "home.*", "n", "copies"), "line-classes")
     late = links(docs, spec, classes.drop("copies"), counts, later=True).select(F.col("a").alias("node")).distinct()
     repeats = classes.filter("copies > 1").select("node", F.struct("doc", "text_id", "unit").alias("home"))
     again = lines.join(repeats, "node").filter(place != F.col("home")).select("doc", "text_id", "unit")
     near = classes.join(late, "node", "left_semi").select("doc", "text_id", "unit")  # first of a set that comes after a similar one
-    return again.union(near), lines
+    return again.union(near), lines.drop("n")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

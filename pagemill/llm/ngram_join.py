@@ -26,9 +26,9 @@ def _components(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     units, counts = scan(docs, spec)
     key = F.coalesce("doc_id", F.lit(NO_ID).cast("long"))
     places = [F.min(F.struct(key.alias("doc"), "text_id", "unit")).alias("home"), F.min("doc_id").alias("first_doc"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), key.alias("doc"), "text_id")).alias("first")]
-    classes = units.filter("node is not null").groupBy("node").agg(*places, F.count("*").alias("copies"))
-    classes = written(classes.select("node", "home.*", "first_doc", "first", "copies"), "classes")
-    found = components(links(docs, spec, classes.select("node", "doc", "text_id", "unit"), counts))
+    classes = units.filter("node is not null").groupBy("node").agg(*places, F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = written(classes.select("node", "home.*", "n", "first_doc", "first", "copies"), "classes")
+    found = components(links(docs, spec, classes.select("node", "doc", "text_id", "unit", "n"), counts, units=units.filter("node is not null")))
     joined = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.min("first").alias("first"), F.sum("copies").alias("rows")).filter("rows > 1")
     return units, written(joined.select("node", "root").join(least, "root").select("node", "component_id", "first"), "components")

@@ -5,15 +5,19 @@ link if the Jaccard similarity of their sets is at least num / den. Equal sets
 are one node, known by a 64-bit fingerprint, so that copies aren't multiplied.
 
 1. ``scan`` reads all texts once: a row for each unit and, for tokens seen
-   twice or more in a task, counts that make up the order of tokens.
+   twice or more in a task, counts that make up the order of tokens. A document's
+   row has a sketch of its set: the parity of the number of tokens in each of n to 2 n cells.
 2. ``candidates``: a token order puts common tokens last and the rest by hash. A
    linking pair shares a token among each one's first n - ceil(t n) + 1. Executors
    group packed (token, node) records by bucket and drop tokens of one node;
    small groups give pairs, thinned by length and position; large groups give
    only their members, so no group is expanded. With several orders, a pair must
-   be found under each.
-3. The candidates' connected clusters are cut into blocks of BLOCK_NODES nodes; each two
-   blocks of a cluster meet in one task. There, too, two nodes are compared only if they
+   be found under each. Sketches differ in no more cells than sets do in tokens, so pairs
+   of documents whose sketches differ in more than a link allows go: else chance pairs,
+   which are the more the larger the table, would connect unlike documents to one cluster.
+3. The candidates' connected clusters are cut into blocks; each two
+   blocks of a cluster meet in one task. Blocks have BLOCK_NODES nodes, but a cluster has no more than
+   MEETINGS blocks unless they would hold more than BLOCK_TOKENS tokens, since a text is sent once for each. There, too, two nodes are compared only if they
    share a prefix token under every order; what is left gets an exact overlap.
 """
 
@@ -23,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,9 @@ from pagemill.llm.work import NO_ID, removed, row_key, written
 SMALL_GROUP = 32
 SEEN_BITS = 1 << 26
 BLOCK_NODES = 256
+MEETINGS = 6
+BLOCK_TOKENS = 1 << 20
+LEAST_BITS = 64  # cells of a sketch at least
 GROUP_NODES = 1024
 FEW = 8  # sets that are compared one by one
 LEVELS = 1 << 24  # bytes at most of the table of token counts, of which half is filled at most, by the most frequent tokens; it only affects cost
@@ -80,9 +88,30 @@ def set_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
         return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def sketches(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Of each set, cells (a power of two) that hold the parity of how many of its tokens fall into each."""
+    n = np.diff(first)
+    cells = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(cells)])
+    within = (mix(values ^ np.uint64(0xD1B54A32D192ED03)) & (np.repeat(cells, n) - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(at[:-1], n) + within, minlength=at[-1]) & 1
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd.astype(bool)))])
+
+
+def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """In how many cells two sketches differ, the longer one folded to the shorter one's length; sets differ in as many tokens at least."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.stack([pc.binary_length(x).to_numpy() for x in (a, b)]).astype(np.int64)
+    for m, n in np.unique(sizes, axis=1).T.tolist():
+        i = np.flatnonzero((sizes[0] == m) & (sizes[1] == n))
+        x, y = (np.frombuffer(b"".join(c.take(pa.array(i)).to_pylist()), np.uint8).reshape(len(i), -1, min(m, n)) for c in (a, b))
+        out[i] = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Units (doc_id, text_id, unit, n, node; node null where n is 0) and token counts (token, seen)."""
-    schema = "doc_id long, text_id long, unit int, n int, node long, token long, seen long"
+    """Units (doc_id, text_id, unit, n, node, sketch; node null where n is 0, sketch null for lines) and token counts (token, seen)."""
+    schema = "doc_id long, text_id long, unit int, n int, node long, sketch binary, token long, seen long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -100,14 +129,15 @@ def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
             n = n + before
             v, n = v[n > 1], n[n > 1]
             none = pa.nulls(len(v))
-            return pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())), signed(v), pa.array(n)], names)
+            return pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())), signed(v), pa.array(n)], names)
 
         for b in batches:
             for block in text_blocks(b.column(2)):
                 u = units(block, spec)
                 n, none = np.diff(u.first), pa.nulls(len(u.node), pa.int64())
                 node, doc = pa.array(u.node.view(np.int64), mask=n == 0), pa.array(u.doc)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(u.no, pa.int32()), pa.array(n, pa.int32()), node, none, none], names)
+                sketch = pa.nulls(len(u.node), pa.binary()) if spec.lines else sketches(u.values, u.first)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(u.no, pa.int32()), pa.array(n, pa.int32()), node, sketch, none, none], names)
                 held.append(u.values)
                 size += len(u.values)
                 if size > 2 * FLUSH:
@@ -246,8 +276,27 @@ def buckets_of(docs: DataFrame) -> int:
     return 4 * max(8, docs.rdd.getNumPartitions())
 
 
-def candidates(docs: DataFrame, spec: Spec, levels) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) whose connected clusters hold every pair of nodes that links; and the table that they are made from."""
+def alike(pairs: DataFrame, units: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs of nodes (a, b) but those that surely don't link, since their sketches differ in more cells than the sets of a link do in tokens."""
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    of_node = written(units.select("node", "n", "sketch").join(asked, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
+            ok = differing(b.column(3), b.column(5)) * (spec.den + spec.num) <= n * (spec.den - spec.num)
+            yield b.select([0, 1]).filter(pa.array(ok))
+
+    both = pairs.join(of_node.toDF("a", "n_a", "sketch_a"), "a").join(of_node.toDF("b", "n_b", "sketch_b"), "b")
+    out = written(both.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long"), "alike")
+    removed(pairs)
+    removed(of_node)
+    return out
+
+
+def candidates(docs: DataFrame, spec: Spec, levels, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) whose connected clusters hold every pair of nodes that links; and the table that they are made from. With ``units`` (of documents, as by ``scan``), pairs are held against sketches."""
     buckets = buckets_of(docs)
     found = packed(docs, spec, levels, buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
     found = written(found, "candidates")
@@ -264,7 +313,7 @@ def candidates(docs: DataFrame, spec: Spec, levels) -> tuple[DataFrame, DataFram
         there = rows.select("a").union(rows.filter("not large").select("b")).distinct()
         crowd = crowd.join(there, "a", "left_semi")
     star = crowd.join(crowd.groupBy("b").agg(F.min("a").alias("least")), "b").select("a", F.col("least").alias("b"))
-    return kept.union(star).distinct(), found
+    return (kept if units is None else alike(kept, units, spec)).union(star).distinct(), found
 
 
 def _texts(spec: Spec, in_row, in_node):
@@ -377,19 +426,21 @@ def _verify(spec: Spec, later: bool, levels):
     return run
 
 
-def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, later: bool = False) -> DataFrame:
+def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, later: bool = False, units: DataFrame | None = None) -> DataFrame:
     """Of the join's pairs, enough to connect every component: (a, b), nodes; with ``later`` the nodes that link to an earlier one, as a.
 
-    classes: node, doc, text_id and unit of each node's first unit (doc NO_ID for a null doc_id); the order of nodes is theirs.
+    classes: node, doc, text_id, unit and n of each node's first unit (doc NO_ID for a null doc_id); the order of nodes is theirs.
     """
     key = row_key()
     docs = docs.select(key["__doc"].alias("doc"), key["__text"].alias("text_id"), "text")
     levels = token_levels(counts)
-    edges, found = candidates(docs, spec, levels)
+    edges, found = candidates(docs, spec, levels, units)
     cluster = written(components(edges), "clusters")
     removed(found)
-    blocks = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
-    home = written(classes.join(cluster, "node").join(blocks, "root").select("node", "doc", "text_id", "unit", "root", "blocks"), "homes")
+    cluster_of = classes.join(cluster, "node")
+    fewest = F.least(F.ceil(F.count("*") / BLOCK_NODES), F.lit(MEETINGS))
+    blocks = cluster_of.groupBy("root").agg(F.greatest(fewest, F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    home = written(cluster_of.join(blocks, "root").select("node", "doc", "text_id", "unit", "root", "blocks"), "homes")
     removed(cluster)
     in_row, in_node = Bloom(home.select(F.col("doc").bitwiseXOR(F.col("text_id")))).test(), Bloom(home.select("node")).test()
     texts = docs.mapInArrow(_texts(spec, in_row, in_node), "node long, doc long, text_id long, unit int, text binary")

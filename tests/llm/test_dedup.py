@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,16 @@ def test_components_by_rounds_and_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(components, "ONE_TASK", 3)
     assert {tuple(r) for r in components.components(df).collect()} == one
     assert one == {(i, 0) for i in range(51)} | {(1000 + i, 1000) for i in range(40)} | {(500, 500), (501, 500)}
+
+
+def test_sketches_differ_in_no_more_cells_than_sets_in_tokens():
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 60, 64, 65, 300, 1000, 1020, 1030)]
+    sets += [np.sort(np.concatenate([s[len(s) // 10 :], draw.integers(0, 1 << 63, len(s) // 10).astype(np.uint64)])) for s in sets]
+    sketch = setjoin.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    found = setjoin.differing(sketch.take(pa.array(i)), sketch.take(pa.array(j)))
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (found <= apart).all() and found[i == j].sum() == 0
+    unlike = (apart > 500) & (np.minimum([len(sets[a]) for a in i], [len(sets[b]) for b in j]) > 500)
+    assert (3 * found[unlike & (apart > 1500)] > 900).all()  # far more than the tenth or so that a link allows
