@@ -210,3 +210,15 @@ def test_sketches_differ_in_no_more_cells_than_sets_in_tokens():
     assert (found <= apart).all() and found[i == j].sum() == 0
     unlike = (apart > 500) & (np.minimum([len(sets[a]) for a in i], [len(sets[b]) for b in j]) > 500)
     assert (3 * found[unlike & (apart > 1500)] > 900).all()  # far more than the tenth or so that a link allows
+
+
+def test_chance_pairs_connect_no_unlike_documents(spark):
+    """Each document shares a few shingles with the next one, and a full table of counts doesn't tell these from unique ones."""
+    rows = [(i, " ".join([*(f"w{i}x{j}" for j in range(12)), *(f"own{i}x{j}" for j in range(40)), *(f"w{i + 1}x{j}" for j in range(12))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spec = setjoin.Spec(1, 8, 10, False, 2)
+    units, _ = setjoin.scan(df, spec)
+    levels = spark.sparkContext.broadcast(bytes(1 << 13))
+    assert setjoin.candidates(df, spec, levels)[0].count() > 0
+    assert setjoin.candidates(df, spec, levels, units.filter("node is not null"))[0].count() == 0
+    assert ngram_join.groups(df, k=1, num=8, den=10).filter("doc_id = component_id").count() == 200
