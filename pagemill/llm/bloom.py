@@ -1,7 +1,8 @@
 """A Bloom filter of bounded size, built by the executors.
 
 It only thins out what a later exact join has to shuffle: its size has a bound
-whatever the data, and what passes wrongly is dropped by that join.
+whatever the data, and what passes wrongly is dropped by that join. It grows with its keys up to some
+90 million, since a filter that fills lets through what it should keep from being shuffled.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame
 
 from pagemill.llm.blocks import mix
 
-MOST_BITS, LEAST_BITS, BITS_A_KEY = 1 << 26, 1 << 20, 16
-_ROWS = 64  # rows that the filter travels in
+MOST_BITS, LEAST_BITS, BITS_A_KEY = 1 << 30, 1 << 16, 12
+SLICE_BITS = 1 << 22  # a slice's bits, about; a key has all its bits in one slice, which one group builds
+PROBES = 4
 
 
 def bit_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -21,39 +23,62 @@ def bit_places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _partial(size: int):
+def _hashes(keys: np.ndarray) -> np.ndarray:
+    return mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+
+
+def _slice(h: np.ndarray, slices: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+
+def _place(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """A bit of the key's slice."""
+    with np.errstate(over="ignore"):
+        again = mix(h + np.uint64(probe // 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
+    half = again >> np.uint64(32) if probe % 2 else again & np.uint64(0xFFFFFFFF)
+    return (half * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(slices: int):
     def run(batches):
-        bits = np.zeros(size // 8, np.uint8)
         for b in batches:
-            for at in bit_places(b.column(0).drop_null().to_numpy(zero_copy_only=False), size):
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        rows = bits.reshape(_ROWS, -1)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
+            h = _hashes(b.column(0).drop_null().to_numpy(zero_copy_only=False))
+            at = _slice(h, slices)
+            turn = np.argsort(at, kind="stable")
+            h, at = h[turn], at[turn]
+            cut = np.flatnonzero(np.diff(at, prepend=-1))
+            ends = np.append(cut[1:], len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int32()), pa.array([h[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["part", "bits"])
 
     return run
 
 
-def _union(key, table):
-    out = np.frombuffer(table.column("bits")[0].as_py(), np.uint8).copy()
-    for x in table.column("bits"):
-        out |= np.frombuffer(x.as_py(), np.uint8)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+def _built(bits: int):
+    def run(key, table):
+        h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("bits")])
+        on = np.zeros(bits, bool)
+        for probe in range(PROBES):
+            on[_place(h, probe, bits)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    return run
 
 
 class Bloom:
-    """Of the long values in the first column of ``df``; BITS_A_KEY bits a key, MOST_BITS (8 MB) at most."""
+    """Of the long values in the first column of ``df``; BITS_A_KEY bits a key, MOST_BITS (128 MB) at most. Keys, not filters, are dealt out to build it."""
 
     def __init__(self, df: DataFrame) -> None:
-        size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * df.count()).bit_length()))
-        parts = df.mapInArrow(_partial(size), "part int, bits binary").groupBy("part").applyInArrow(_union, "part int, bits binary").collect()
-        bits = np.zeros((_ROWS, size // 8 // _ROWS), np.uint8)
-        for r in parts:  # at most _ROWS
-            bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-        self.shared = df.sparkSession.sparkContext.broadcast(bits.tobytes())
+        size = min(MOST_BITS, max(LEAST_BITS, BITS_A_KEY * df.count()))
+        slices = -(-size // SLICE_BITS)
+        bits = 8 * -(-size // slices // 8)
+        parts = df.mapInArrow(_dealt(slices), "part int, bits binary").groupBy("part").applyInArrow(_built(bits), "part int, bits binary").collect()
+        out = np.zeros((slices, bits // 8), np.uint8)
+        for r in parts:  # MOST_BITS in all
+            out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        self.shared, self.slices = df.sparkSession.sparkContext.broadcast(out.tobytes()), slices
 
     def test(self) -> "Test":
-        return Test(self.shared)
+        return Test(self.shared, self.slices)
 
 
 class Test:
@@ -61,13 +86,22 @@ class Test:
 
     __test__ = False
 
-    def __init__(self, shared) -> None:
-        self.shared = shared
+    def __init__(self, shared, slices: int) -> None:
+        self.shared, self.slices = shared, slices
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        bits = np.frombuffer(self.shared.value, np.uint8)
-        a, b = bit_places(keys, 8 * len(bits))
-        return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+        table = np.frombuffer(self.shared.value, np.uint8)
+        size = len(table) // self.slices
+        h = _hashes(keys)
+        start = _slice(h, self.slices) * size
+        left = np.arange(len(h))
+        for probe in range(PROBES):
+            at = _place(h, probe, 8 * size)
+            on = (table[start + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            h, start, left = h[on], start[on], left[on]
+        out = np.zeros(len(keys), bool)
+        out[left] = True
+        return out
 
 
 def shared_ids(docs: DataFrame) -> Test:

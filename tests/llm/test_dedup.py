@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import components, decontaminate, line_dedup, ngram_join, repeats, setjoin
+from pagemill.llm import bloom, components, decontaminate, line_dedup, ngram_join, repeats, setjoin
 
 from .fixtures import DOCS, documents, shingle_set, words
 
@@ -222,3 +222,12 @@ def test_chance_pairs_connect_no_unlike_documents(spark):
     assert setjoin.candidates(df, spec, levels)[0].count() > 0
     assert setjoin.candidates(df, spec, levels, units.filter("node is not null"))[0].count() == 0
     assert ngram_join.groups(df, k=1, num=8, den=10).filter("doc_id = component_id").count() == 200
+
+
+def test_filters_stay_thin_with_many_keys(spark):
+    n = 6_000_000
+    test = bloom.Bloom(spark.range(0, n, 1, 8).select(F.col("id") * 3)).test()
+    there, other = np.arange(0, 3 * n, 300), np.arange(1, 3 * n, 30)
+    assert test(there).all() and test(other).mean() < 0.01
+    few = bloom.Bloom(spark.range(0)).test()
+    assert not few(there).any() and len(few(there[:0])) == 0
