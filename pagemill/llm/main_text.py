@@ -31,16 +31,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.blocks import mix
+from pagemill.llm.blocks import mix, signed, words
 from pagemill.llm.bloom import Bloom, Test
 from pagemill.llm.repeats import HELD, repeated, twice_at_most
-from pagemill.llm.work import NO_ID, bounded_batches, removed, written
+from pagemill.llm.work import NO_ID, bounded_batches, freed, removed, written
 
 LONG = 8  # tokens; a power of two
+GROUP = 1 << 19  # bytes of markup that are read together
 COPY = 10  # a page that would be left with less than a tenth of its words is a near copy of another
 GONE, OPEN, MAIN, ARTICLE = range(4)
 
@@ -176,17 +178,30 @@ def _token(word: str) -> int:
 MARK = _token("\n")
 
 
-def stream(blocks: list[Block]) -> tuple[list[int], list[int]]:
-    """Tokens of all that a page says, articles and removed elements included, and the block of each."""
-    tokens, of = [], []
-    for i, b in enumerate(blocks):
-        words = b.text.split(" ")
-        tokens += [MARK, *map(_token, words)]
-        of += [i] * (len(words) + 1)
-    return tokens, of
+class Streams(NamedTuple):
+    """Tokens of all that pages say, articles and removed elements included: a mark and the words of each block, page after page."""
 
+    tokens: np.ndarray
+    of: np.ndarray  # the block of each token, numbered through all pages
+    first: np.ndarray  # page i is tokens[first[i]:first[i + 1]]
 
-def ranks(tokens: list[int], long: int = LONG) -> np.ndarray:
+
+def streams(pages: list[list[Block]]) -> Streams:
+    texts = [b.text.encode("utf-8", "surrogatepass") for page in pages for b in page]
+    found = words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), lower=False)
+    size = np.diff(found.first) + 1
+    mark = np.cumsum(size) - size
+    tokens = np.full(size.sum(), MARK, np.uint64)
+    tokens[np.delete(np.arange(len(tokens)), mark)] = found.hash
+    return Streams(tokens, np.repeat(np.arange(len(texts)), size), np.append(mark, len(tokens))[np.cumsum([0, *map(len, pages)])])
+
+
+def stream(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """A page's tokens, and the block of each."""
+    return streams([blocks])[:2]
+
+
+def ranks(tokens: list[int] | np.ndarray, long: int = LONG) -> np.ndarray:
     """Fingerprints of the first ``long`` tokens of every suffix that has as many, by doubling."""
     h, n = np.array(tokens, np.uint64), 1
     while n < long and len(h) > n:
@@ -196,12 +211,37 @@ def ranks(tokens: list[int], long: int = LONG) -> np.ndarray:
     return h if n == long else h[:0]
 
 
-def anchors(tokens: list[int], host: str, long: int = LONG) -> np.ndarray:
-    """For every suffix of ``long`` tokens or more the smallest fingerprint of half as many tokens inside the first ``long``: runs of a host that are equal have equal ones, and neighbours mostly share theirs."""
+def anchors(s: Streams, hosts: list[str], long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Of every suffix of ``long`` tokens or more its place and the smallest fingerprint of half as many tokens inside the first ``long``: runs of a host that are equal have equal ones, and neighbours mostly share theirs."""
     half = long // 2
-    h = mix(ranks(tokens, half) ^ np.uint64(_token(host)))
-    width = long - half + 1
-    return np.lib.stride_tricks.sliding_window_view(h, width).min(axis=1) if len(h) >= width else h[:0]
+    own = np.repeat(np.array([_token(x) for x in hosts], np.uint64), np.diff(s.first))
+    ends = np.repeat(s.first[1:], np.diff(s.first))
+    place = np.flatnonzero(np.arange(len(ends)) + long <= ends)
+    h = ranks(s.tokens, half)
+    h = mix(h ^ own[: len(h)])
+    low = h[: max(len(h) - half, 0)].copy()
+    for i in range(1, half + 1):
+        np.minimum(low, h[i : i + len(low)], out=low)
+    return place, low[place]
+
+
+def _leads(anchor: np.ndarray) -> np.ndarray:
+    """Where neighbours don't share an anchor."""
+    out = np.ones(len(anchor), bool)
+    out[1:] = anchor[1:] != anchor[:-1]
+    return out
+
+
+def _parsed(batches, columns: int):
+    """Pages of some GROUP characters at a time: the values of the first columns as lists, the blocks, and the batch with the place of the first in it."""
+    for b in batches:
+        given = [b.column(i).to_pylist() for i in range(columns)]
+        markup, i = b.column(b.num_columns - 1), 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(markup), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + GROUP, "right")))
+            yield [x[i:j] for x in given], [read_blocks(x) for x in markup.slice(i, j - i).to_pylist()], b, i
+            i = j
 
 
 def _anchors(long: int, buckets: int):
@@ -210,13 +250,16 @@ def _anchors(long: int, buckets: int):
     def run(batches):
         def of_pages():
             seen = set()  # latest pages: a copy adds nothing
-            for b in batches:
-                for host, content, markup in zip(*(c.to_pylist() for c in b.columns)):
-                    if (host, content) not in seen:
-                        seen.add((host, content))
-                        yield np.unique(anchors(stream(read_blocks(markup))[0], host, long))
+            for (hosts, contents), found, _, _ in _parsed(batches, 2):
+                fresh = [i for i, x in enumerate(zip(hosts, contents)) if not (x in seen or seen.add(x))]
                 if len(seen) > HELD:
                     seen.clear()
+                s = streams([found[i] for i in fresh])
+                place, anchor = anchors(s, [hosts[i] for i in fresh], long)
+                cut = np.searchsorted(place, s.first)
+                for i, j in zip(cut[:-1], cut[1:]):
+                    one = anchor[i:j]
+                    yield np.unique(one[_leads(one)])
 
         yield from twice_at_most(of_pages(), buckets)
 
@@ -227,25 +270,20 @@ def _suffixes(long: int, shared: Test):
     """Suffixes whose anchors pass; what passes wrongly is dropped when equal ones are brought together."""
 
     def run(batches):
-        for b in batches:
-            out = [[] for _ in range(4)]
-            for host, key, content, markup in zip(*(c.to_pylist() for c in b.columns)):
-                found = read_blocks(markup)
-                best = level(found)
-                tokens, of = stream(found)
-                place = np.flatnonzero(shared(anchors(tokens, host, long).view(np.int64)))
-                if not len(place):
-                    continue
-                rank = mix(ranks(tokens, long)[place] ^ np.uint64(_token(host)))
-                own = np.array([b.zone == best and best != GONE for b in found])[of]
-                before = np.concatenate([[0], np.cumsum(own)])
-                asked = before[place + long] > before[place]  # some token of the run is of a block that the host decides on
-                out[0].append(rank.view(np.int64))
-                out[1].append(np.full(len(rank), content))
-                out[2] += [key if a else None for a in asked.tolist()]
-                out[3].append(place.astype(np.int32))
-            join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays([join(out[0], pa.int64()), join(out[1], pa.int64()), pa.array(out[2], b.schema.field(1).type), join(out[3], pa.int32())], ["rank", "content", "key", "place"])
+        for (hosts, contents), found, b, first in _parsed(batches, 2):
+            s = streams(found)
+            place, anchor = anchors(s, hosts, long)
+            lead = _leads(anchor)
+            place = place[shared(anchor[lead].view(np.int64))[np.cumsum(lead) - 1]] if len(place) else place
+            page = np.searchsorted(s.first, place, "right") - 1
+            host = np.array([_token(x) for x in hosts], np.uint64)
+            rank = mix(ranks(s.tokens, long)[place] ^ host[page])
+            best = [level(x) for x in found]
+            own = np.array([x.zone == z and z != GONE for x_, z in zip(found, best) for x in x_], bool)[s.of]
+            before = np.concatenate([[0], np.cumsum(own)])
+            asked = before[place + long] > before[place]  # some token of the run is of a block that the host decides on
+            key = b.column(2).take(pa.array(first + page, mask=~asked))
+            yield pa.RecordBatch.from_arrays([signed(rank), pa.array(np.array(contents, np.int64)[page]), key, pa.array(place - s.first[page], pa.int32())], ["rank", "content", "key", "place"])
 
     return run
 
@@ -260,16 +298,15 @@ def main_blocks(blocks: list[Block], own: int, places: list[int] | None, long: i
         return [], 0
     kept = [i for i, b in enumerate(blocks) if b.zone == best]
     if places:
-        _, of = stream(blocks)
-        covered = np.zeros(len(of) + 1, np.int64)
+        size = np.array([b.text.count(" ") + 1 for b in blocks])
+        block = np.repeat(np.arange(len(blocks)), size + 1)
+        covered = np.zeros(len(block) + 1, np.int64)
         np.add.at(covered, places, 1)
         np.add.at(covered, np.asarray(places) + long, -1)
-        block = np.array(of)
-        words = np.bincount(block[block >= 0], minlength=len(blocks)) - 1
         first = np.concatenate([[True], block[1:] != block[:-1]])  # the mark
-        hit = np.bincount(block[(block >= 0) & ~first & (np.cumsum(covered)[:-1] > 0)], minlength=len(blocks))
-        unique = [i for i in kept if 2 * hit[i] <= words[i] or blocks[i].zone == ARTICLE]
-        if COPY * sum(words[i] for i in unique) >= sum(words[i] for i in kept):
+        hit = np.bincount(block[~first & (np.cumsum(covered)[:-1] > 0)], minlength=len(blocks))
+        unique = [i for i in kept if 2 * hit[i] <= size[i] or blocks[i].zone == ARTICLE]
+        if COPY * sum(size[i] for i in unique) >= sum(size[i] for i in kept):
             return [blocks[i].text for i in unique], len(kept) - len(unique)
     return [blocks[i].text for i in kept], 0
 
@@ -288,6 +325,19 @@ def _texts(long: int):
     return run
 
 
+def _repeated_places(hosted: DataFrame, long: int) -> DataFrame:
+    """key and places: where the runs of a page begin that its host repeats."""
+    buckets = 4 * max(8, hosted.rdd.getNumPartitions())
+    twice = written(hosted.select("host", "content", "html").mapInArrow(_anchors(long, buckets), "bucket int, ranks binary").groupBy("bucket").applyInArrow(repeated, "rank long"), "host-anchors")
+    shared = Bloom(twice).test()
+    removed(twice)
+    freed(hosted.sparkSession)
+    suffixes = hosted.select("host", "content", "key", "html").mapInArrow(_suffixes(long, shared), "rank long, content long, key struct<page: long, row: long>, place int")
+    again = suffixes.groupBy("rank").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count("key").alias("asked")).filter("a <> b and asked > 0").select("rank")
+    covered = suffixes.filter("key is not null").join(again, "rank", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return written(covered, "host-repeats")
+
+
 def extracted(pages: DataFrame, long: int = LONG) -> DataFrame:
     """page_id, url, text, n_chars (code points), n_blocks kept and n_repeated, those that the host's other pages repeat, of every page."""
     bounded_batches(pages.sparkSession)
@@ -295,13 +345,6 @@ def extracted(pages: DataFrame, long: int = LONG) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)", 1))
     key = F.struct(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID).cast("long")).alias("page"), F.xxhash64("url", markup).alias("row"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", markup.alias("html"), F.xxhash64(markup).alias("content"), host.alias("host"), key.alias("key"))
-    hosted = rows.filter("host <> ''")
-    buckets = 4 * max(8, pages.rdd.getNumPartitions())
-    twice = written(hosted.select("host", "content", "html").mapInArrow(_anchors(long, buckets), "bucket int, ranks binary").groupBy("bucket").applyInArrow(repeated, "rank long"), "host-anchors")
-    shared = Bloom(twice).test()
-    removed(twice)
-    suffixes = hosted.select("host", "key", "content", "html").mapInArrow(_suffixes(long, shared), "rank long, content long, key struct<page: long, row: long>, place int")
-    again = suffixes.groupBy("rank").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count("key").alias("asked")).filter("a <> b and asked > 0").select("rank")
-    covered = suffixes.filter("key is not null").join(again, "rank", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    found = written(covered, "host-repeats")  # Spark broadcasts it if it is small, else deals out both sides
+    found = _repeated_places(rows.filter("host <> ''"), long)  # Spark broadcasts it if it is small, else deals out both sides
+    freed(pages.sparkSession)
     return rows.join(found, "key", "left").select("page_id", "url", "html", "content", "places").mapInArrow(_texts(long), TEXTS)

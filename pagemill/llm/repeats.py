@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm.blocks import BLOCK, OTHER_POWERS, POWERS, Block, mix, signed, spans_hash, text_blocks
 from pagemill.llm.bloom import Bloom, Test, parted, shared_ids, text_of
-from pagemill.llm.work import removed, row_key, written
+from pagemill.llm.work import freed, removed, row_key, written
 
 LEAST = 100
 HELD = 1 << 19  # names that a task holds before it combines them
@@ -253,6 +253,7 @@ def repeats(docs: DataFrame, least: int = LEAST, shared: Test | None = None) ->
     anchors = repeated_ranks(docs, least)
     found = surviving_runs(docs, Bloom(anchors).test(), shared, least)
     removed(anchors)
+    freed(docs.sparkSession)
     place = F.struct("doc", "p")
 
     def late(rows: DataFrame, first: DataFrame, by: list[str]) -> DataFrame:
@@ -275,6 +276,7 @@ def repeats(docs: DataFrame, least: int = LEAST, shared: Test | None = None) ->
     twice = written(docs.mapInArrow(names, "bucket int, ranks binary").groupBy("bucket").applyInArrow(repeated, "rank long"), "pairs")
     in_twice = Bloom(twice).test()
     removed(twice)
+    freed(docs.sparkSession)
 
     def strings(batches):
         def kept():
@@ -295,6 +297,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     shared = shared_ids(_keyed(docs))
     found = repeats(docs, least, shared).groupBy(F.col("doc").alias("__doc"), F.col("text_id").alias("__text")).agg(F.collect_set(F.struct("start", "end")).alias("__found"))  # at most a text's length
     found = written(found, "repeats")
+    freed(docs.sparkSession)
     rest, some = parted(docs.withColumns(row_key()), Bloom(found.select(F.col("__doc").bitwiseXOR(F.col("__text")))).test(), shared)
     rest, found = rest.drop("__doc", "__text"), found.withColumnsRenamed({"__doc": "__of_doc", "__text": "__of_text"})
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.blocks import Block, distinct, mix, shingles, signed, text_blocks, words
 from pagemill.llm.bloom import Bloom, bit_places
 from pagemill.llm.components import components
-from pagemill.llm.work import NO_ID, removed, row_key, written
+from pagemill.llm.work import NO_ID, freed, removed, row_key, written
 
 SMALL_GROUP = 32
 SEEN_BITS = 1 << 26
@@ -437,6 +437,7 @@ def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, la
     edges, found = candidates(docs, spec, levels, units)
     cluster = written(components(edges), "clusters")
     removed(found)
+    freed(docs.sparkSession)
     cluster_of = classes.join(cluster, "node")
     fewest = F.least(F.ceil(F.count("*") / BLOCK_NODES), F.lit(MEETINGS))
     blocks = cluster_of.groupBy("root").agg(F.greatest(fewest, F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
@@ -454,4 +455,5 @@ def links(docs: DataFrame, spec: Spec, classes: DataFrame, counts: DataFrame, la
     met = met.select("part", "root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "doc", "text_id", "unit", "text")
     out = written(met.groupBy("part").applyInArrow(_verify(spec, later, levels), "a long, b long").distinct(), "links")
     removed(home)
+    freed(docs.sparkSession)
     return out

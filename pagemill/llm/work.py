@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,3 +62,10 @@ def removed(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Shuffle files of steps that are over go. Spark drops them with the driver's garbage, which a driver that has little to do seldom collects; Python's hold on finished frames ends first, and Spark's on the last step a moment after it."""
+    gc.collect()
+    time.sleep(0.2)
+    spark.sparkContext._jvm.System.gc()

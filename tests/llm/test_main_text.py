@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,17 @@ def test_articles_are_in_the_stream(spark):
     got = {r.page_id: (r.text, r.n_repeated) for r in main_text.extracted(spark.createDataFrame(rows, PAGES)).collect()}
     own = "our latest texts and more of them by our own hand"
     assert got == {1: (f"{line}\nand on", 0), 2: (own, 1), 3: (f"{line}\n{own}", 0)}
+
+
+def test_streams_of_several_pages_are_those_of_each():
+    pages = [[], read_blocks("<p>é one\x85two</p><article>three <b>four</b></article>"), read_blocks(""), read_blocks("<nav>" + "a b c d e f g h i j " * 3 + "</nav><p>x</p>"), []]
+    s = main_text.streams(pages)
+    alone = [main_text.streams([p]) for p in pages]
+    assert s.tokens.tolist() == [t for a in alone for t in a.tokens.tolist()] and s.first.tolist() == [0, 0, 7, 7, 40, 40]
+    assert s.of.tolist() == [0] * 4 + [1] * 3 + [2] * 31 + [3] * 2
+    place, anchor = main_text.anchors(s, list("abcde"))
+    assert place.tolist() == list(range(7, 33))  # suffixes of eight tokens of one page
+    h = main_text.ranks(s.tokens[7:40], 4)
+    plain = [min(int(x) for x in main_text.mix(h[i : i + 5] ^ np.uint64(main_text._token("d")))) for i in range(26)]
+    assert anchor.tolist() == plain
+    assert [len(x) for x in main_text.anchors(main_text.streams([]), [])] == [0, 0]
