@@ -65,7 +65,8 @@ def removed(df: DataFrame) -> None:
 
 
 def freed(spark: SparkSession) -> None:
-    """Shuffle files of steps that are over go. Spark drops them with the driver's garbage, which a driver that has little to do seldom collects; Python's hold on finished frames ends first, and Spark's on the last step a moment after it."""
+    """Shuffle files of steps that are over go. Spark drops them with the driver's garbage, which a driver that has little to do seldom collects; Python's hold on finished frames ends first, and Spark's on the last step a moment later, so the driver collects twice."""
     gc.collect()
-    time.sleep(0.2)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
