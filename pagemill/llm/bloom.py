@@ -65,10 +65,10 @@ def _built(bits: int):
 
 
 class Bloom:
-    """Of the long values in the first column of ``df``; BITS_A_KEY bits a key, MOST_BITS (128 MB) at most. Keys, not filters, are dealt out to build it."""
+    """Of the long values in the first column of ``df``; BITS_A_KEY bits a key, ``most`` (128 MB) at most. Keys, not filters, are dealt out to build it."""
 
-    def __init__(self, df: DataFrame) -> None:
-        size = min(MOST_BITS, max(LEAST_BITS, BITS_A_KEY * df.count()))
+    def __init__(self, df: DataFrame, most: int = MOST_BITS) -> None:
+        size = min(most, max(LEAST_BITS, BITS_A_KEY * df.count()))
         slices = -(-size // SLICE_BITS)
         bits = 8 * -(-size // slices // 8)
         parts = df.mapInArrow(_dealt(slices), "part int, bits binary").groupBy("part").applyInArrow(_built(bits), "part int, bits binary").collect()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.setjoin import Spec, links, scan
-from pagemill.llm.work import NO_ID, row_key, written
+from pagemill.llm.work import NO_ID, removed, row_key, written
 
 
 def removed_lines(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +43,7 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> Da
     gone, _ = removed_lines(docs, k, num, den)
     units = F.sort_array(F.collect_list("unit"))  # at most a document's lines
     by_row = written(gone.distinct().groupBy(F.col("doc").alias("__of_doc"), F.col("text_id").alias("__of_text")).agg(units.alias("__gone")), "removed-lines")
+    removed(gone)
     docs = docs.drop("n_lines", "n_removed")
     # The lines' marks, from the gaps between the removed ones, so that a line's mark is found by its number.
     before = F.concat(F.array(F.lit(-1)), F.slice("__gone", F.lit(1), F.size("__gone") - 1))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
 from pagemill.llm.setjoin import Spec, links, scan
-from pagemill.llm.work import NO_ID, row_key, without, written
+from pagemill.llm.work import NO_ID, freed, removed, row_key, without, written
 
 
 def _components(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +31,9 @@ def _components(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     found = components(links(docs, spec, classes.select("node", "doc", "text_id", "unit", "n"), counts, units=units.filter("node is not null")))
     joined = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.min("first").alias("first"), F.sum("copies").alias("rows")).filter("rows > 1")
-    return units, written(joined.select("node", "root").join(least, "root").select("node", "component_id", "first"), "components")
+    named = written(joined.select("node", "root").join(least, "root").select("node", "component_id", "first"), "components")
+    removed(joined)
+    return units, named
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, orders: int = 2) -> DataFrame:
@@ -46,11 +48,13 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, order
 
     Rows are told apart by doc_id and text; of rows alike in both one stays, where they have words.
     """
-    units, named = _components(docs, Spec(k, num, den, False, orders))
+    units, named = _components(docs, Spec(k, num, den, False, orders, True))
     rows = units.select("node", F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc"), "text_id").join(named.select("node", "first.doc", "first.text_id").toDF("node", "first_doc", "first_text"), "node")
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("text_id") == F.col("first_text"))
-    rows = written(rows.groupBy("doc", "text_id").agg(F.bool_or(is_first).alias("stays"), F.count("*").alias("rows")).filter("not stays or rows > 1"), "near-copies")
-    rest = without(docs, rows)
-    again = rows.filter("stays").select(F.col("doc").alias("__doc"), F.col("text_id").alias("__text"))
+    gone = written(rows.groupBy("doc", "text_id").agg(F.bool_or(is_first).alias("stays"), F.count("*").alias("rows")).filter("not stays or rows > 1"), "near-copies")
+    removed(rows)
+    freed(docs.sparkSession)
+    rest = without(docs, gone)
+    again = gone.filter("stays").select(F.col("doc").alias("__doc"), F.col("text_id").alias("__text"))
     once = docs.withColumns(row_key()).join(again, ["__doc", "__text"], "left_semi").dropDuplicates(["__doc", "__text"]).select(*docs.columns)
     return rest.unionByName(once)

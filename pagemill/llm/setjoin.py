@@ -12,7 +12,9 @@ are one node, known by a 64-bit fingerprint, so that copies aren't multiplied.
    group packed (token, node) records by bucket and drop tokens of one node;
    small groups give pairs, thinned by length and position; large groups give
    only their members, so no group is expanded. With several orders, a pair must
-   be found under each. Sketches differ in no more cells than sets do in tokens, so pairs
+   be found under each. With ``apart``, tokens of one node alone, as far as the half of all tokens that is looked
+   through beforehand tells, come first in every order and aren't sent: prefixes of unlike documents are made of them, however
+   large the table, while tokens that are rare, but not alone, make the more pairs the larger it is. Sketches differ in no more cells than sets do in tokens, so pairs
    of documents whose sketches differ in more than a link allows go: else chance pairs,
    which are the more the larger the table, would connect unlike documents to one cluster.
 3. The candidates' connected clusters are cut into blocks; each two
@@ -32,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.blocks import Block, distinct, mix, shingles, signed, text_blocks, words
-from pagemill.llm.bloom import Bloom, bit_places
+from pagemill.llm.bloom import Bloom, Test, bit_places
 from pagemill.llm.components import components
+from pagemill.llm.repeats import repeated, twice_at_most
 from pagemill.llm.work import NO_ID, freed, removed, row_key, written
 
 SMALL_GROUP = 32
@@ -46,6 +49,7 @@ GROUP_NODES = 1024
 FEW = 8  # sets that are compared one by one
 LEVELS = 1 << 24  # bytes at most of the table of token counts, of which half is filled at most, by the most frequent tokens; it only affects cost
 _PART = 1 << 13
+APART_BITS = 1 << 29  # of the filter of tokens that several nodes hold, at most: 64 MB
 HOT = 17  # as a power of two: tokens counted more often are dealt out by node
 FLUSH = 1 << 18  # records held before they are passed on
 RECORD = np.dtype([("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4")])
@@ -57,6 +61,7 @@ class Spec(NamedTuple):
     den: int = 10
     lines: bool = False
     orders: int = 1
+    apart: bool = False
 
 
 class Units(NamedTuple):
@@ -175,28 +180,75 @@ def token_levels(counts: DataFrame):
     return counts.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def ordered(values: np.ndarray, first: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """Each unit's tokens as keys of the order, ascending: by count level (the top 6 bits), then by hash."""
+def ordered(values: np.ndarray, first: np.ndarray, levels: np.ndarray, order: int, alone: np.ndarray | None = None) -> np.ndarray:
+    """Each unit's tokens as keys of the order, ascending: by count level (the top 6 bits: 0 for tokens that are ``alone``, else from 1), then by hash."""
     with np.errstate(over="ignore"):
         key = mix(values + np.uint64((order + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) >> np.uint64(6)
-    key |= levels[(values & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+    level = levels[(values & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) + np.uint64(1)
+    key |= (level if alone is None else np.where(alone, np.uint64(0), level)) << np.uint64(58)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         key[a:b].sort()
     return key
 
 
-def packed(docs: DataFrame, spec: Spec, levels, buckets: int) -> DataFrame:
-    """Prefix records by order and bucket. Hot tokens are dealt out by node, since their groups aren't looked at as a whole."""
+class Fresh:
+    """Of the units of a block those that have tokens and whose set isn't among the latest ones: a copy adds nothing."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, u: Units) -> np.ndarray:
+        _, once = np.unique(u.node, return_index=True)
+        once = np.sort(once[np.diff(u.first)[once] > 0])
+        fresh = u.node[once].tolist()
+        once = once[[x not in self.seen for x in fresh]] if fresh else once
+        self.seen.update(fresh)
+        if len(self.seen) > 2 * FLUSH:
+            self.seen.clear()
+        return once
+
+
+def _looked_through(values: np.ndarray) -> np.ndarray:
+    """The half of all tokens of which it is known whether several nodes hold them."""
+    return values >> np.uint64(63) == 1
+
+
+def shared_tokens(docs: DataFrame, spec: Spec, buckets: int) -> Test:
+    """A test for the tokens, of those looked through, that two nodes or more hold; it passes some others."""
+
+    def run(batches):
+        def of_blocks():
+            fresh = Fresh()
+            for b in batches:
+                for block in text_blocks(b.column(0)):
+                    u = units(block, spec)
+                    own = np.zeros(len(u.node), bool)
+                    own[fresh(u)] = True
+                    yield u.values[np.repeat(own, np.diff(u.first)) & _looked_through(u.values)]
+
+        yield from twice_at_most(of_blocks(), buckets)
+
+    twice = written(docs.select("text").mapInArrow(run, "bucket int, ranks binary").groupBy("bucket").applyInArrow(repeated, "rank long"), "shared-tokens")
+    freed(docs.sparkSession)
+    shared = Bloom(twice, APART_BITS).test()
+    removed(twice)
+    freed(docs.sparkSession)
+    return shared
+
+
+def packed(docs: DataFrame, spec: Spec, levels, buckets: int, shared: Test | None = None) -> DataFrame:
+    """Prefix records by order and bucket; with ``shared`` without those of tokens that one node alone holds. Hot tokens are dealt out by node, since their groups aren't looked at as a whole."""
 
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
+        fresh = Fresh()
         held = {o: [] for o in range(spec.orders)}
-        size, seen = 0, set()  # latest nodes: a copy adds nothing
+        size = 0
 
         def flush():
             for o, parts in held.items():
                 r = np.concatenate(parts)
-                by = np.where(r["token"] >> np.uint64(58) >= HOT, buckets + r["node"] % np.uint64(buckets), r["token"] % np.uint64(buckets)).astype(np.int64)
+                by = np.where(r["token"] >> np.uint64(58) > HOT, buckets + r["node"] % np.uint64(buckets), r["token"] % np.uint64(buckets)).astype(np.int64)
                 turn = np.argsort(by.astype(np.uint16) if 2 * buckets < 1 << 16 else by, kind="stable")
                 r, by = r[turn], by[turn]
                 cut = np.flatnonzero(np.diff(by, prepend=-1))
@@ -210,25 +262,23 @@ def packed(docs: DataFrame, spec: Spec, levels, buckets: int) -> DataFrame:
             for block in text_blocks(b.column(0)):
                 u = units(block, spec)
                 n = np.diff(u.first)
-                _, once = np.unique(u.node, return_index=True)
-                once = np.sort(once[n[once] > 0])
-                fresh = u.node[once].tolist()
-                once = once[[x not in seen for x in fresh]]
-                seen.update(fresh)
-                if len(seen) > 2 * FLUSH:
-                    seen.clear()
+                once = fresh(u)
                 if not len(once):
                     continue
+                alone = None
+                if shared is not None:
+                    alone = _looked_through(u.values)
+                    alone[alone] = ~shared(u.values[alone].view(np.int64))
                 take = n[once] - -(-spec.num * n[once] // spec.den) + 1
                 start = u.first[once]
                 within = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 for o in range(spec.orders):
-                    key = ordered(u.values, u.first, table, o)
+                    key = ordered(u.values, u.first, table, o, alone)
                     r = np.empty(len(within), RECORD)
                     r["token"] = key[np.repeat(start, take) + within]
                     r["node"], r["n"], r["at"] = np.repeat(u.node[once], take), np.repeat(n[once], take), within
-                    held[o].append(r)
-                size += len(within)
+                    held[o].append(r if alone is None else r[r["token"] >> np.uint64(58) > 0])
+                size += len(held[0][-1])
                 if size > FLUSH:
                     yield from flush()
                     size = 0
@@ -298,8 +348,10 @@ def alike(pairs: DataFrame, units: DataFrame, spec: Spec) -> DataFrame:
 def candidates(docs: DataFrame, spec: Spec, levels, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) whose connected clusters hold every pair of nodes that links; and the table that they are made from. With ``units`` (of documents, as by ``scan``), pairs are held against sketches."""
     buckets = buckets_of(docs)
-    found = packed(docs, spec, levels, buckets).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
+    shared = shared_tokens(docs, spec, buckets) if spec.apart else None
+    found = packed(docs, spec, levels, buckets, shared).groupBy("ord", "bucket").applyInArrow(_grouped(spec, buckets), "ord int, a long, b long, large boolean")
     found = written(found, "candidates")
+    freed(docs.sparkSession)  # the records
     pairs = lambda o: found.filter((F.col("ord") == o) & ~F.col("large")).select("a", "b").distinct()
     kept = pairs(0)
     for o in range(1, spec.orders):

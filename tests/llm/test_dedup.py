@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import bloom, components, decontaminate, line_dedup, ngram_join, repeats, setjoin
+from pagemill.llm import bloom, components, decontaminate, line_dedup, ngram_join, repeats, setjoin, work
 
 from .fixtures import DOCS, documents, shingle_set, words
 
@@ -224,6 +224,31 @@ def test_chance_pairs_connect_no_unlike_documents(spark):
     assert ngram_join.groups(df, k=1, num=8, den=10).filter("doc_id = component_id").count() == 200
 
 
+def test_tokens_of_one_node_come_first_and_are_not_sent(spark):
+    """Of each document a third of the tokens is shared with unlike ones, and a full table of counts doesn't tell; copies, near copies and short texts still link."""
+    rows = [(i, " ".join([*(f"w{i}x{j}" for j in range(20)), *(f"own{i}x{j}" for j in range(80)), *(f"w{i + 1}x{j}" for j in range(20))])) for i in range(150)]
+    spec, levels = setjoin.Spec(1, 8, 10, False, 2, True), spark.sparkContext.broadcast(bytes(1 << 13))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, found = setjoin.candidates(df, spec._replace(apart=False), levels)
+    assert found.count() > 100
+    _, found = setjoin.candidates(df, spec, levels)
+    assert found.count() == 0
+    rows += [(1000 + i, f"more{i} " * 2 + t) for i, t in rows[:40]] + [(2000, rows[3][1]), (2001, rows[4][1].replace("own4x1 ", "other ")), (2002, "a b c d"), (2003, "d c b a"), (2004, "a b c e"), (2005, "a"), (2006, "A"), (2007, None), (2008, " ")]
+    rows += [(3000 + i, " ".join(f"f{j}" for j in range(i % 7, 40 + i % 5))) for i in range(60)]  # a large group
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in ngram_join.deduplicated(df, k=1).collect()}
+    assert kept == {i for i, _, c in plain_components(rows, 1, 8, 10) if i == c} and len(kept) < 170
+
+
+def test_finished_tables_of_lines_and_near_copies_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(work, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(i, "\n".join(f"a{i % 4}x{j} " * 3 + " ".join(f"w{i % 20}x{j}x{k}" for k in range(12)) for j in range(5))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dedup in (line_dedup.deduplicated, ngram_join.deduplicated):
+        assert dedup(df).count() == (40 if dedup is line_dedup.deduplicated else 20)
+        assert not {p.name.split("-")[0] for p in (tmp_path / "pagemill").iterdir()} & {"units", "classes", "line", "shared"}
+
+
 def test_filters_stay_thin_with_many_keys(spark):
     n = 6_000_000
     test = bloom.Bloom(spark.range(0, n, 1, 8).select(F.col("id") * 3)).test()
