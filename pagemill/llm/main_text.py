@@ -44,6 +44,7 @@ from pagemill.llm.work import NO_ID, bounded_batches, freed, removed, written
 LONG = 8  # tokens; a power of two
 GROUP = 1 << 19  # bytes of markup that are read together
 COPY = 10  # a page that would be left with less than a tenth of its words is a near copy of another
+USUAL = 200  # characters of attributes that are remembered
 GONE, OPEN, MAIN, ARTICLE = range(4)
 
 _MARKUP = re.compile(
@@ -79,6 +80,10 @@ class Block(NamedTuple):
 
 def _zone(zone: int, name: str, attributes: str) -> int:
     """The zone inside an element that stands in ``zone``."""
+    return (_usual_zone if len(attributes) < USUAL else _zone_of)(zone, name, attributes)
+
+
+def _zone_of(zone: int, name: str, attributes: str) -> int:
     if zone == GONE or name in REMOVED or (name == "header" and zone != ARTICLE):
         return GONE
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
@@ -96,6 +101,9 @@ def _zone(zone: int, name: str, attributes: str) -> int:
     return max(zone, ARTICLE if "article" in (name, role) else MAIN if name == "main" or role == "main" else OPEN)
 
 
+_usual_zone = lru_cache(1 << 14)(_zone_of)  # start tags of a site are mostly alike
+
+
 def read_blocks(markup: str) -> list[Block]:
     """All blocks of a page that hold text, in order."""
     out: list[Block] = []
@@ -104,6 +112,12 @@ def read_blocks(markup: str) -> list[Block]:
     zone = OPEN
 
     def end_block():
+        if len(parts) == 1:
+            z, text = parts.pop()
+            text = " ".join(text.split())
+            if text:
+                out.append(Block(z, text))
+            return
         for z in sorted({z for z, _ in parts}):
             text = " ".join("".join(t for y, t in parts if y == z).split())
             if text:
@@ -127,38 +141,42 @@ def read_blocks(markup: str) -> list[Block]:
     at = 0
     while at < len(markup):
         m = _MARKUP.search(markup, at)
-        text = markup[at : m.start()] if m else markup[at:]
-        if text:
+        start, end = m.span() if m else (len(markup), len(markup))
+        if start > at:
+            text = markup[at:start]
             parts.append((zone, unescape(text) if "&" in text else text))
         if m is None:
             break
-        at = m.end()
-        if not m[2]:
+        at = end
+        closing, name, attributes = m.groups()
+        if not name:
             continue
-        name = m[2].lower()
+        name = name.lower()
         if name == "br":
             parts.append((zone, " "))
             continue
-        if name not in INLINE:
+        inline = name in INLINE
+        if parts and not inline:
             end_block()
-        if m[1]:
-            i = above({name}, through=INLINE) if name in INLINE else above({name})
-            if i is not None:
+        if closing:
+            if stack and stack[-1][0] == name:
+                zone = stack.pop()[1]
+            elif (i := above({name}, through=INLINE) if inline else above({name})) is not None:
                 pop_to(i)
             continue
         if stack and stack[-1][0] == "head" and name not in HEAD:
             pop_to(len(stack) - 1)
-        if name in AFTER_P and (i := above({"p"}, through=INLINE)) is not None:
+        if stack and name in AFTER_P and ((top := stack[-1][0]) == "p" or top in INLINE) and (i := above({"p"}, through=INLINE)) is not None:
             pop_to(i)
         if name in ENDS and (i := above(ENDS[name][0], ENDS[name][1])) is not None:
             pop_to(i)
         if name in RAW:
             end = RAW[name].search(markup, at)
             at = end.start() if end else len(markup)
-        if name in VOID or m[3].endswith("/") and name in ("svg", "path", "math"):
+        if name in VOID or attributes.endswith("/") and name in ("svg", "path", "math"):
             continue
-        inner = _zone(zone, name, m[3])
-        if name not in INLINE or inner != zone:
+        inner = _zone(zone, name, attributes)
+        if not inline or inner != zone:
             stack.append((name, zone))
             zone = inner
     end_block()
@@ -333,9 +351,15 @@ def _repeated_places(hosted: DataFrame, long: int) -> DataFrame:
     removed(twice)
     freed(hosted.sparkSession)
     suffixes = hosted.select("host", "content", "key", "html").mapInArrow(_suffixes(long, shared), "rank long, content long, key struct<page: long, row: long>, place int")
+    suffixes = written(suffixes, "host-suffixes")  # read twice, so that pages aren't
     again = suffixes.groupBy("rank").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count("key").alias("asked")).filter("a <> b and asked > 0").select("rank")
+    again = written(again, "host-again")
+    freed(hosted.sparkSession)
     covered = suffixes.filter("key is not null").join(again, "rank", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    return written(covered, "host-repeats")
+    places = written(covered, "host-repeats")
+    removed(suffixes)
+    removed(again)
+    return places
 
 
 def extracted(pages: DataFrame, long: int = LONG) -> DataFrame:

@@ -153,3 +153,12 @@ def test_streams_of_several_pages_are_those_of_each():
     plain = [min(int(x) for x in main_text.mix(h[i : i + 5] ^ np.uint64(main_text._token("d")))) for i in range(26)]
     assert anchor.tolist() == plain
     assert [len(x) for x in main_text.anchors(main_text.streams([]), [])] == [0, 0]
+
+
+def test_start_tags_that_are_alike_are_judged_once():
+    main_text._usual_zone.cache_clear()
+    page = "<nav class='top bar'><a href='/'>a</a></nav><div class='content'>b</div><div class='content'>c</div>"
+    long = f"<div class='{'x ' * 200}menu'>d</div>"
+    for _ in range(3):
+        assert [b.zone for b in read_blocks(page + long)] == [GONE, MAIN, MAIN, GONE]
+    assert main_text._usual_zone.cache_info()[:2] == (9, 3)  # hits, misses; long attributes aren't held
