@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import exports, pages, queue
+from pagemill.plans import catalog, goldens
 from pagemill.schema import ExportOptions
 from pagemill.sources import payloads
 
+from .conftest import DATA
+
 ITEMS = "id string, file_name string, profile string, mode string, has_text boolean, n_tables int"
 TWO = [("a", "d\\scan.pdf", "fast", "text", True, 0), ("b", "/x/scan.pdf", "fast", "table", True, 2)]
 
@@ -103,6 +106,24 @@ def test_publish(spark, tmp_path):
         exports.publish(df.withColumn("content", F.lit(b"else")), str(tmp_path))
 
 
+@pytest.mark.parametrize("name", ["listed_files"])
+def test_files_of_one_round_are_on_disk(spark, monkeypatch, name):
+    at_once, folders, publish = [], set(), exports.publish
+
+    def counted(contents, directory):
+        out = publish(contents, directory)
+        folders.add(directory)
+        at_once.append(sum(len(os.listdir(f)) for f in folders if os.path.exists(f)))
+        return out
+
+    monkeypatch.setattr(goldens, "AT_ONCE", 400, raising=False)
+    monkeypatch.setattr(exports, "publish", counted)
+    got = [r.name for r in catalog.QUERIES[name](spark, DATA).select("name").collect()]
+    keys = spark.read.parquet(f"{DATA}/orders.parquet").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".txt"))).collect()
+    assert sorted(got) == sorted(k[0] for k in keys) and len(got) == 1500
+    assert max(at_once) < 600 and len(folders) == 4 and not any(os.path.exists(f) for f in folders)
+
+
 def test_exported_ids(spark):
     plan = spark.createDataFrame([(["a"], "create"), (["a"], "skip"), (["b", None], "overwrite"), (["c"], "skip")], "ids array<string>, action string")
     written, whole = exports.exported_ids(plan)
