@@ -106,7 +106,7 @@ def test_publish(spark, tmp_path):
         exports.publish(df.withColumn("content", F.lit(b"else")), str(tmp_path))
 
 
-@pytest.mark.parametrize("name", ["listed_files"])
+@pytest.mark.parametrize("name", ["listed_files", "published_files"])
 def test_files_of_one_round_are_on_disk(spark, monkeypatch, name):
     at_once, folders, publish = [], set(), exports.publish
 
