@@ -1,9 +1,14 @@
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.operators import ruby, tables
+from pagemill.plans import catalog, goldens  # noqa: F401
+from pagemill.schema import RUBY
+
+from .conftest import DATA
 
 CELLS = "task_id string, page_index int, table_index int, row_ord int, cell_ord int, row int, column int, row_span int, col_span int, text string"
 
@@ -187,3 +192,27 @@ def test_pairs_are_made_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # pairs join twice, for roles and for glosses; glosses join what they say, and lines join both
     assert plan.count("Join ") == 5
+
+
+def test_pages_bind_as_lines_do(spark):
+    rnd = random.Random(5)
+    rows = []
+    for page in range(30):
+        for i in range(rnd.randrange(1, 25)):
+            x, y, size = rnd.randrange(0, 60, 5), rnd.randrange(0, 90, 6), rnd.choice([5, 9, 9, 20, 20, 40, 0])
+            chars = [("字", [x + 10.0 * k, float(y), x + 10.0 * k + 10, y + 20.0], k) for k in range(3)] if rnd.random() < 0.3 else None
+            glosses = [(0, 1, "old", None, [0.0, 0.0, 1.0, 1.0], "estimated")] if rnd.random() < 0.1 else None
+            box = [float(x), float(y), x + rnd.choice([20.0, 40.0]), y + float(size)] if rnd.random() < 0.95 else None
+            rows.append(("t", page, 3 * i + 1, rnd.choice(["漢字語", "かん", " "]), box, float(size), rnd.choice(["horizontal", "horizontal", "vertical", None]), rnd.choice([True, False]), chars, rnd.choice(["body", "body", "ruby", None]), glosses, rnd.random()))
+    lines = spark.createDataFrame(rows, LINES + f", role string, ruby {RUBY}, score double").repartition(3)
+    got, want = ruby.bound_pages(lines), ruby.bound(lines)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    order = ["page_index", "block_ord"]
+    assert got.orderBy(order).collect() == want.orderBy(order).collect()
+    assert {r.role for r in got.collect()} == {"body", "ruby", "ruby-unmatched"}
+
+
+def test_a_page_s_lines_are_shuffled_once(spark):
+    plan = catalog.QUERIES["ruby_page_binding"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    # the line items, and then a row a task
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
